@@ -1,0 +1 @@
+"""voxelweave.streaming"""
