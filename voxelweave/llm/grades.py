@@ -20,16 +20,19 @@ BITS = 20
 
 
 class Features(dict):
-    """word -> (bucket of the word, bucket of its shape); remembers at most ``most`` words."""
+    """word -> (buckets of the word, its beginnings and its shape; two marks); remembers at most ``most`` words."""
 
     most = 300_000
 
-    def __missing__(self, word: bytes) -> tuple[int, int, bool, bool]:
+    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], bool, bool]:
         core = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         tail = word[len(word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :][:3]
         shape = (b"U" if core.isupper() and len(core) > 2 else b"l") + (b"0" if core[:1].isdigit() else b"") + (b"" if core else b"-") + tail
         odd = bool(tail) and tail not in (b".", b",", b";", b":", b"?", b"!")
-        self[word] = found = (bucket(b"w" + core.lower()), bucket(b"s" + shape), odd, shape[:1] == b"U")
+        low = core.decode("utf-8", "replace").lower()
+        starts = {low[:n] for n in (4, 5, 6, 8) if len(low) > n}
+        buckets = (bucket(b"w" + low.encode()), bucket(b"s" + shape), *(bucket(b"p" + x.encode()) for x in starts))
+        self[word] = found = (buckets, odd, shape[:1] == b"U")
         return found
 
     def of(self, text: str | None) -> np.ndarray:
@@ -43,10 +46,10 @@ class Features(dict):
         found = [self[x] for x in kinds]
         n = len(w)
         ratio = lambda name, x, steps: bucket(b"r:%s%d" % (name, int(np.searchsorted(steps, x))))
-        out = {b for x in found for b in x[:2]}
+        out = set().union(*(x[0] for x in found))
         out.add(ratio(b"kinds", len(kinds) / n, [0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8] if n > 30 else [0.3, 0.6]))
-        out.add(ratio(b"odd", sum(c for x, c in zip(found, kinds.values(), strict=True) if x[2]) / n, [0.01, 0.05, 0.1, 0.2, 0.4, 0.7]))
-        out.add(ratio(b"upper", sum(c for x, c in zip(found, kinds.values(), strict=True) if x[3]) / n, [0.02, 0.1, 0.3, 0.6]))
+        out.add(ratio(b"odd", sum(c for x, c in zip(found, kinds.values(), strict=True) if x[1]) / n, [0.01, 0.05, 0.1, 0.2, 0.4, 0.7]))
+        out.add(ratio(b"upper", sum(c for x, c in zip(found, kinds.values(), strict=True) if x[2]) / n, [0.02, 0.1, 0.3, 0.6]))
         out.add(ratio(b"most", max(kinds.values()) / n, [0.05, 0.1, 0.2, 0.4, 0.7]))
         out.add(ratio(b"n", n, [5, 20, 50]))
         return np.fromiter(out, np.int64, len(out))
@@ -67,19 +70,34 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None], -40, 40)))
 
 
-def fit(buckets: list[np.ndarray], grades: np.ndarray, levels: int = 3, penalty: float = 2e-3, rounds: int = 150, rate: float = 0.05, least: int = 8) -> Ordinal:
-    """Adam on the mean negative log-likelihood of the grades; buckets seen in under ``least`` texts weigh 0."""
+def fit(buckets: list[np.ndarray], grades: np.ndarray, levels: int = 3, penalty: float = 1.0, rounds: int = 200, rate: float = 0.05, least: int = 8, telling: float = 1.0) -> Ordinal:
+    """Adam on the negative log-likelihood of the grades plus ``penalty`` / 2 times the squared weights.
+
+    Rare grades count more, by the root of their share. A bucket enters with
+    the log ratio of its shares among the best grade and the others; where
+    that is under ``telling``, or it is in under ``least`` texts or 0.2 % of
+    them, it weighs 0.
+    """
     if not len(grades):
         return Ordinal(np.zeros(2**BITS, np.float32), np.linspace(-3, -1, levels - 1))
-    seen = np.bincount(np.concatenate(buckets), minlength=2**BITS)
-    used = np.flatnonzero(seen >= least)
+    every = np.concatenate(buckets)
+    seen = np.bincount(every, minlength=2**BITS)
+    top = np.repeat(grades == levels - 1, [len(b) for b in buckets])
+    high = np.bincount(every[top], minlength=2**BITS)
+    n_high = (grades == levels - 1).sum()
+    # how much more often the best grade holds a bucket than the others do
+    ratio = np.log((high + 1) / (n_high + 2)) - np.log((seen - high + 1) / (len(grades) - n_high + 2))
+    used = np.flatnonzero((seen >= max(least, 0.002 * len(grades))) & (np.abs(ratio) >= telling))
     place = np.full(2**BITS, -1)
     place[used] = np.arange(len(used))
     rows = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
     cols = place[np.concatenate(buckets)]
     rows, cols = rows[cols >= 0], cols[cols >= 0]
+    value = ratio[used][cols]
     n, k = len(grades), len(used)
     cum = [min(max((grades >= j).mean(), 1e-3), 1 - 1e-3) for j in range(1, levels)]
+    worth = np.array([1 / np.sqrt(max((grades == j).mean(), 1e-3)) for j in range(levels)])[grades]
+    worth /= worth.sum()
     # the thresholds are a first one and gaps of exp(gap)
     theta = np.array([np.log((1 - p) / p) for p in cum])
     x = np.concatenate([np.zeros(k), theta[:1], np.log(np.maximum(np.diff(theta), 0.1))])
@@ -87,21 +105,21 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, levels: int = 3, penalty:
     for t in range(1, rounds + 1):
         first, gaps = x[k], np.exp(x[k + 1 :])
         cut = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(rows, x[cols], n)
+        score = np.bincount(rows, x[cols] * value, n)
         sig = 1 / (1 + np.exp(-np.clip(score[:, None] - cut[None], -40, 40)))
         up = np.concatenate([np.ones((n, 1)), sig, np.zeros((n, 1))], axis=1)
         at = np.arange(n)
         p = np.maximum(up[at, grades] - up[at, grades + 1], 1e-9)
         slope = np.concatenate([np.zeros((n, 1)), sig * (1 - sig), np.zeros((n, 1))], axis=1)
-        own, above = slope[at, grades] / p, slope[at, grades + 1] / p
-        g_score = -(own - above) / n
-        g_cut = np.array([(own[grades == j].sum() - above[grades == j - 1].sum()) / n for j in range(1, levels)])
+        own, above = worth * slope[at, grades] / p, worth * slope[at, grades + 1] / p
+        g_score = -(own - above)
+        g_cut = np.array([(own[grades == j].sum() - above[grades == j - 1].sum()) for j in range(1, levels)])
         g_tail = np.cumsum(g_cut[::-1])[::-1]
-        g = np.concatenate([np.bincount(cols, g_score[rows], k) + penalty * x[:k] / max(1, k) * 50, [g_tail[0]], g_tail[1:] * gaps])
+        g = np.concatenate([np.bincount(cols, g_score[rows] * value, k) + penalty * x[:k] / n, [g_tail[0]], g_tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(2**BITS, np.float32)
-    weights[used] = x[:k]
+    weights[used] = x[:k] * ratio[used]
     return Ordinal(weights, x[k] + np.concatenate([[0.0], np.cumsum(np.exp(x[k + 1 :]))]))
 
 
