@@ -19,7 +19,7 @@ from ..operators.components import components
 from ..plans.tables import cut, text_batches
 from .wordhash import WordHash, mix, windows, words
 
-COORDINATES = 64
+COORDINATES = 48
 _DRAW = np.random.default_rng(77)
 _A = _DRAW.integers(1, 2**63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = _DRAW.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -80,7 +80,7 @@ def _branches(node: F.Column, sig: F.Column) -> F.Column:
     return F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))
 
 
-def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 12, small: int = 12, depth: int = 3) -> DataFrame:
+def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 8, small: int = 12, depth: int = 3) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row each: doc_id, n_shingles, component_id, kept.
 
     A document's set holds the distinct ``size``-word shingles of its whole
@@ -110,8 +110,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     level = reps.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"), "sig")
     stars, leaves = [], []
     for d in range(depth):
-        members = level.select("id", F.explode(_branches(F.col("node"), F.col("sig"))).alias("node")).distinct()
-        members = cut(members) if d else cut(members.repartition("node"))
+        members = level.select("id", F.explode(F.array_distinct(_branches(F.col("node"), F.col("sig")))).alias("node"))
         nodes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("low")).filter("m > 1")
         held = cut(members.join(nodes, "node"))
         stars.append(held.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
@@ -121,10 +120,21 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     for x, y in zip(stars[1:], leaves[1:], strict=True):
         pairs, leaf = pairs.unionByName(x), leaf.unionByName(y)
 
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").filter(F.size("items") > 0))
-    linked = cut(_confirmed(pairs, sets, percent))
+    def alike(p: DataFrame) -> DataFrame:
+        """Pairs whose coordinates agree about as often as a link's do; 0.22 is over three deviations."""
+        for end in ("a", "b"):
+            p = p.join(reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
+        return p.filter(near_sizes & close).select("a", "b")
+
+    near_sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    close = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= int(COORDINATES * (percent / 100 - 0.22))
+    pairs = cut(alike(pairs.distinct()))
+
+    def sets_of(p: DataFrame) -> DataFrame:
+        wanted = p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
+        return cut(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").filter(F.size("items") > 0))
+
+    linked = cut(_confirmed(pairs, sets_of(pairs), percent))
 
     # only what is not yet connected is compared again, pair by pair
     found = components(linked)
@@ -133,11 +143,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     part = cut(place.join(mixed, "node").join(reps, "id"))
     a = part.select("node", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "sig")])
     b = part.select("node", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "sig")])
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-    rest = a.join(b, "node").filter(near).filter(same >= int(COORDINATES * (percent / 100 - 0.2))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    more = cut(_confirmed(cut(rest.distinct()), sets, percent))
-    found = components(linked.unionByName(more)) if more.take(1) else found
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near_sizes
+    rest = cut(a.join(b, "node").filter(near).filter(close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    more = cut(_confirmed(rest, sets_of(rest), percent)) if rest.take(1) else rest
+    found = cut(components(linked.unionByName(more)) if more.take(1) else found)
 
     home = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
     return rows.drop("sig").join(home, key, "left").select(

@@ -13,33 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut, partitions, text_batches
-from .recurring import LAST, recurring
-from .wordhash import WordHash, mix, windows, words
+from .recurring import LAST, bounds, ranges, recurring
+from .wordhash import WordHash, windows, words
 
 #: Words of the fingerprints by which candidates are found.
 GRAM = 6
 
 
-def _least_grams(grams: np.ndarray, span: int) -> np.ndarray:
-    """Place of the least of each ``span`` neighbouring fingerprints (the last of equal ones)."""
+def _selected(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least fingerprint of each ``span`` neighbours, and which places hold one (all of equal ones)."""
     n = len(grams) - span + 1
     if n <= 0:
-        return np.empty(0, np.int64)
-    low, at = grams[:n].copy(), np.arange(n)
+        return np.empty(0, np.uint64), np.zeros(len(grams), bool)
+    low = grams[:n]
     for i in range(1, span):
-        x = grams[i : i + n]
-        less = x <= low
-        low[less], at[less] = x[less], np.flatnonzero(less) + i
-    return at
+        low = np.minimum(low, grams[i : i + n])
+    held = np.zeros(len(grams), bool)
+    for i in range(span):
+        held[i : i + n] |= grams[i : i + n] == low
+    return low, held
 
 
 def _codes(h: np.ndarray) -> str:
-    """Two characters a word, from two alphabets: 38 bits of its hash."""
-    m = mix(h)
-    pair = np.empty((len(h), 2), np.uint32)
-    pair[:, 0] = 0x10000 + (m & np.uint64(0x7FFFF)).astype(np.uint32)
-    pair[:, 1] = 0x90000 + ((m >> np.uint64(20)) & np.uint64(0x7FFFF)).astype(np.uint32)
-    return pair.tobytes().decode("utf-32-le")
+    """A character a word: 20 bits of its hash."""
+    return (0x10000 + (h & np.uint64(0xFFFFF)).astype(np.uint32)).tobytes().decode("utf-32-le")
 
 
 def _runs(places: np.ndarray) -> list[tuple[int, int]]:
@@ -50,135 +47,169 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate([[0], ends + 1])].tolist(), places[np.concatenate([ends, [len(places) - 1]])].tolist(), strict=True))
 
 
-def removed_words(docs: DataFrame, size: int = 13, shard_windows: int = 40_000, shard_segments: int = 4_000) -> DataFrame:
+class Shard:
+    """Passages and the automaton of their recurring phrases."""
+
+    def __init__(self) -> None:
+        self.phrases: dict[str, list[tuple[int, int]]] = {}
+        self.passages: list[tuple[int, np.ndarray]] = []
+        self.automaton = None
+
+    def add(self, doc: int, h: np.ndarray, seeds: list[int]) -> None:
+        codes = _codes(h)
+        for at in seeds:
+            self.phrases.setdefault(codes[at : at + GRAM], []).append((len(self.passages), at))
+        self.passages.append((doc, h))
+
+    def locate(self, doc: int, h: np.ndarray, size: int) -> list[tuple[int, int]]:
+        """Stretches of ``size`` and more words of ``h`` that passages of smaller docs hold, compared word by word."""
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for phrase, at in self.phrases.items():
+                self.automaton.add_word(phrase, at)
+            self.automaton.make_automaton()
+        if not self.phrases:
+            return []
+        found, done = [], {}
+        for end, at in self.automaton.iter(_codes(h)):
+            here = end - GRAM + 1
+            for n, there in at:
+                owner, p = self.passages[n]
+                key = (n, here - there)
+                if owner >= doc or done.get(key, -1) > here:
+                    continue
+                k = min(here, there)
+                back = h[here - k : here] != p[there - k : there]
+                left = here - int(back[::-1].argmax()) if back.any() else here - k
+                k = min(len(h) - here, len(p) - there)
+                on = h[here : here + k] != p[there : there + k]
+                right = here + (int(on.argmax()) if on.any() else k)
+                done[key] = max(right, here + 1)
+                if right - left >= size:
+                    found.append((left, right))
+        return found
+
+
+def removed_words(docs: DataFrame, size: int = 13, shard_phrases: int = 100_000, shard_rows: int = 2_000) -> DataFrame:
     """``docs(doc, tag, text)`` -> ``(doc, tag, packed, spans)`` for documents that lose words.
 
     A word goes if a window of ``size`` words covers it whose word sequence
-    starts in a document with a smaller id, too. ``packed``: the deflated
-    words; ``spans``: array of [from, to) word places that go.
-
-    1. Of the fingerprints of ``GRAM`` words, each window selects the least,
-       so equal windows select equal ones; those in two or more documents are
-       found by one sorted stream. 2. The windows there are confirmed by 128
-       bits over all their words, again as a stream. 3. Runs of confirmed
-       windows in the document with the smallest id are the passages; each
-       shard of passages of at most about ``shard_windows`` windows becomes an
-       automaton. 4. All documents with confirmed windows are streamed
-       through the shards that may concern them; shards that many documents
-       need are copied, one copy for each ``shard_segments`` of them.
+    starts in a document with a smaller id, too. ``packed``: the words,
+    compressed; ``spans``: array of [from, to) word places that go.
+
+    1. Phrases of ``GRAM`` words: each window selects its least by hash, so
+    equal windows select equal ones. One sorted stream confirms which phrases
+    recur, and the first document of each. 2. The passages around them in
+    those first documents are dealt to shards; a shard's phrases become an
+    automaton. 3. Every other document with recurring phrases is streamed through
+    the shards of their first documents: the automaton finds each phrase,
+    and the passage is followed word by word to both sides. Shards that many
+    documents need are copied, one copy for each ``shard_rows`` of them.
+    4. A candidate window that its phrase's first document does not hold may
+    still be in another one: a second sorted stream, by 128 bits over all
+    words of the window, settles these.
     """
     spark = docs.sparkSession
     span = size - GRAM + 1
 
-    def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for batch in batches:
-            k, d, a = [], [], []
-            for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grams = windows(known.of(words(text)), GRAM)
-                at = np.unique(_least_grams(grams, span))
-                k.append(grams[at].view(np.int64)), d.append(np.full(len(at), doc, np.int64)), a.append(at | (tag << 32))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-            key = cat(k)
-            yield pa.RecordBatch.from_arrays([key, pa.array(np.zeros(len(key), np.int64)), cat(d), cat(a)], names=["k1", "k2", "doc", "at"])
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidate windows of a document as runs of words, and the document's words."""
-        known, packer = WordHash(), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            out = []
-            for doc, tag, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = words(text)
-                h = known.of(w)
-                least = _least_grams(windows(h, GRAM), span)
-                chosen = np.flatnonzero(np.isin(least, np.array(places, np.int64)))
-                found = [{"start": a, "codes": h[a : b + size].view(np.int64)} for a, b in _runs(chosen)]
-                out.append((doc, tag, packer.compress(b" ".join(w)), found))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("codes", pa.list_(pa.int64()))]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], kind)], names=["doc", "tag", "packed", "runs"])
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for doc, tag, start, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.array(h, np.int64).view(np.uint64)
-                a, b = windows(h, size), windows(h, size, seed=1)
-                at = start + np.arange(len(a), dtype=np.int64) | (tag << 32)
-                for c, x in zip(cols, (a.view(np.int64), b.view(np.int64), np.full(len(a), doc, np.int64), at), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in cols], names=["k1", "k2", "doc", "at"])
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc, places of confirmed windows, start and hashes of a run) -> passages as characters."""
-        for batch in batches:
-            shard, doc_of, codes = [], [], []
-            for key, doc, places, start, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = np.array(h, np.int64).view(np.uint64)
-                mine = np.sort(np.array(places, np.int64)) - start
-                for a, b in _runs(mine[(mine >= 0) & (mine <= len(h) - size)]):
-                    shard.append(key), doc_of.append(doc), codes.append(_codes(h[a : b + size]))
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(doc_of, pa.int64()), pa.array(codes, pa.string())], names=["shard", "doc", "codes"])
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = [_codes(np.array(h, np.int64).view(np.uint64)) for h in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(codes, pa.string())], names=["shard", "copy", "doc", "tag", "start", "codes"])
+    def fingerprints(ends):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = WordHash()
+            for batch in batches:
+                k, d, a = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    grams = windows(known.of(words(text)), GRAM)
+                    at = np.flatnonzero(_selected(grams, span)[1])
+                    k.append(grams[at].view(np.int64)), d.append(np.full(len(at), doc, np.int64)), a.append(at | (tag << 32))
+                key, doc, at = np.concatenate(k), np.concatenate(d), np.concatenate(a)
+                to = ranges(ends, key, doc) if ends else np.zeros(len(key), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, np.zeros(len(key), np.int64), doc, at, to)], names=["k1", "k2", "doc", "at", "to"])
+
+        return run
+
+    def segments(shards: int):
+        """A document's passages (kind 0), its stretches for other documents' shards (kind 1), and its words (kind 2)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, packer = WordHash(), zstandard.ZstdCompressor(level=1)
+            for batch in batches:
+                out: list[tuple] = []
+                for doc, tag, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    w = words(text)
+                    h = known.of(w)
+                    grams = windows(h, GRAM)
+                    low, _ = _selected(grams, span)
+                    at = np.array([f["place"] for f in found], np.int64)
+                    first = np.array([f["first"] for f in found], np.int64)
+                    shard = np.where(first == doc, -1, first % shards)
+                    if (shard >= 0).any():
+                        out.append((2, -1, doc, tag, 0, packer.compress(b" ".join(w)), None))
+                    for s in np.unique(shard).tolist():
+                        mine = at[shard == s]
+                        held = np.zeros(len(grams), bool)
+                        held[mine] = True
+                        need = np.zeros(len(low), bool)
+                        for i in range(span):
+                            need |= held[i : i + len(low)] & (grams[i : i + len(low)] == low)
+                        for a, b in _runs(np.flatnonzero(need)):
+                            marks = mine[(mine >= a) & (mine <= b + size - GRAM)] - a if s < 0 else np.flatnonzero(need[a : b + 1])
+                            out.append((0 if s < 0 else 1, doc % shards if s < 0 else s, doc, tag, a, h[a : b + size].tobytes(), marks.astype(np.int32)))
+                cols = list(zip(*out, strict=True)) if out else [[]] * 7
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "shard", "doc", "tag", "start", "data", "marks"])
+
+        return run
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a shard: its passages, then the segments streamed through their automaton."""
-        at, automaton, ready = None, None, False
+        """Rows of a shard: its passages, then stretches of documents. Gives spans, and keys of windows not found."""
+        at, shard = None, None
+        none = np.empty(0, np.int64)
         for batch in batches:
-            docs_of, tags, starts, ends = [], [], [], []
-            for shard, copy, kind, doc, tag, start, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (shard, copy) != at:
-                    at, automaton, ready = (shard, copy), ahocorasick.Automaton(), False
+            spans: list[tuple[int, int, int, int]] = []
+            k1, k2, docs_of, ats = [none], [none], [none], [none]
+            for number, copy, kind, doc, tag, start, data, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (number, copy) != at:
+                    at, shard = (number, copy), Shard()
+                h = np.frombuffer(data, np.uint64)
                 if kind == 0:
-                    for i in range(0, len(codes) - 2 * size + 1, 2):
-                        window = codes[i : i + 2 * size]
-                        if automaton.get(window, LAST) >= doc:
-                            automaton.add_word(window, doc)
-                    continue
-                if not ready:
-                    automaton.make_automaton()
-                    ready = True
-                if automaton.kind != ahocorasick.AHOCORASICK:
+                    shard.add(doc, h, marks)
                     continue
-                places = np.array([(end + 1) // 2 - size for end, first in automaton.iter(codes) if first < doc], np.int64)
-                for a, b in _runs(places):
-                    docs_of.append(doc), tags.append(tag), starts.append(start + a), ends.append(start + b + size)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_of, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc", "tag", "a", "b"])
+                left = np.zeros(len(h) - size + 1, bool)
+                left[marks] = True
+                for a, b in shard.locate(doc, h, size):
+                    spans.append((doc, tag, start + a, start + b))
+                    left[a : b - size + 1] = False
+                rest = np.flatnonzero(left)
+                if len(rest):
+                    k1.append(windows(h, size)[rest].view(np.int64)), k2.append(windows(h, size, seed=1)[rest].view(np.int64))
+                    docs_of.append(np.full(len(rest), doc, np.int64)), ats.append(start + rest | (tag << 32))
+            d, t, a, b = zip(*spans, strict=True) if spans else ([], [], [], [])
+            keys = [np.concatenate(x) for x in (k1, k2, docs_of, ats)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(d), 0), np.zeros(len(d), np.int64), np.array(d, np.int64), np.array(t, np.int64) << 32, a, b)], names=["rest", "k1", "doc", "at", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.ones(len(keys[0]), np.int64), keys[0], keys[2], keys[3], keys[1], np.zeros(len(keys[0]), np.int64))], names=["rest", "k1", "doc", "at", "a", "b"])
 
     tag, place = F.shiftright("at", 32).alias("tag"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("place")
-    row_schema = "k1 long, k2 long, doc long, at long"
-    candidates = recurring(docs.mapInArrow(fingerprints, row_schema)).select("doc", tag, place)
-    candidates = candidates.groupBy("doc", "tag").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
-    parts = cut(docs.join(candidates, ["doc", "tag"]).select("doc", "tag", "text", "places").mapInArrow(segments, "doc long, tag long, packed binary, runs array<struct<start:int,codes:array<long>>>"))
-    runs = parts.select("doc", "tag", F.explode("runs").alias("r")).select("doc", "tag", "r.start", F.col("r.codes").alias("hashes"))
-    confirmed = cut(recurring(runs.mapInArrow(keys, row_schema)).select("k1", "k2", "first", "doc", tag, place))
-
-    # a passage belongs to the shard of the first document's id
-    n = confirmed.filter("doc = first").count()
-    shards = max(partitions(spark), -(-n // shard_windows))
-    shard = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(shards)).cast("int")
-    mine = confirmed.filter("doc = first").groupBy("doc", "tag").agg(F.collect_set("place").alias("places"))
-    patterns = runs.join(mine, ["doc", "tag"]).select(shard("doc").alias("shard"), "doc", "places", "start", "hashes").mapInArrow(passages, "shard int, doc long, codes string")
-    needs = confirmed.filter("doc > first").select("doc", "tag", shard("first").alias("shard")).distinct()
-    size_of = cut(needs.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(shard_segments)).cast("int").alias("copies")))
-    routed = (
-        needs.join(size_of, "shard")
-        .select("doc", "tag", "shard", F.pmod(F.xxhash64("doc", F.lit(9)), F.col("copies")).cast("int").alias("copy"))
-        .join(runs, ["doc", "tag"])
-        .select("shard", "copy", "doc", "tag", "start", "hashes")
-        .mapInArrow(coded, "shard int, copy int, doc long, tag long, start int, codes string")
-        .withColumn("kind", F.lit(1))
-    )
-    copied = patterns.join(size_of, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "doc", "codes", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tag"), F.lit(0).alias("start"))
-    order = ["shard", "copy", "kind", "doc", "tag", "start", "codes"]
-    stream = routed.select(*order).unionByName(copied.select(*order)).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind")
-    hits = stream.mapInArrow(locate, "doc long, tag long, a int, b int")
-    spans = hits.groupBy("doc", "tag").agg(F.collect_set(F.array("a", "b")).alias("spans"))
-    return parts.select("doc", "tag", "packed").join(spans, ["doc", "tag"])
+    row_schema = "k1 long, k2 long, doc long, at long, to int"
+    few = docs.filter(F.pmod(F.xxhash64("doc", F.lit(21)), F.lit(64)) == 0).limit(2000)
+    ends = bounds(few.mapInArrow(fingerprints(None), row_schema))
+    phrases = recurring(docs.mapInArrow(fingerprints(ends), row_schema)).select("doc", tag, place, "first")
+    shards = max(partitions(spark), -(-phrases.filter("doc = first").count() // shard_phrases))
+    found = phrases.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "first")).alias("found")).hint("shuffle_hash")
+    parts = cut(docs.join(found, ["doc", "tag"]).select("doc", "tag", "text", "found").mapInArrow(segments(shards), "kind int, shard int, doc long, tag long, start int, data binary, marks array<int>"))
+
+    order = ["shard", "copy", "kind", "doc", "tag", "start", "data", "marks"]
+    copies = cut(parts.filter("kind = 1").groupBy("shard").agg(F.ceil(F.count("*") / F.lit(shard_rows)).cast("int").alias("copies")))
+    dealt = parts.filter("kind < 2").join(copies, "shard")
+    every = F.sequence(F.lit(0), F.col("copies") - 1)
+    stretches = dealt.filter("kind = 1").withColumn("copy", F.pmod(F.xxhash64("doc", F.lit(9)), F.col("copies")).cast("int")).select(*order)
+    passages = dealt.filter("kind = 0").withColumn("copy", F.explode(every)).select(*order)
+    stream = stretches.unionByName(passages).repartition(partitions(spark), "shard", "copy").sortWithinPartitions("shard", "copy", "kind", "doc")
+    hits = cut(stream.mapInArrow(locate, "rest long, k1 long, doc long, at long, a long, b long"))
+    spans = hits.filter("rest = 0").select("doc", F.shiftright("at", 32).alias("tag"), "a", "b")
+    rest = recurring(hits.filter("rest = 1").select("k1", F.col("a").alias("k2"), "doc", "at")).filter("doc > first")
+    spans = spans.unionByName(rest.select("doc", tag, place.cast("long").alias("a"), (place + F.lit(size)).cast("long").alias("b")))
+    spans = spans.groupBy("doc", "tag").agg(F.collect_set(F.array("a", "b")).alias("spans"))
+    return parts.filter("kind = 2").select("doc", "tag", F.col("data").alias("packed")).join(spans, ["doc", "tag"])
 
 
 def passage_digests(docs: DataFrame, size: int = 13) -> DataFrame:

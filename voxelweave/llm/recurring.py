@@ -25,13 +25,14 @@ def recurring(rows: DataFrame) -> DataFrame:
     and sorted by key, doc and at, so that the rows of a hot key spread over
     neighbouring partitions. A task streams its runs of equal keys; for its
     first and last run it leaves a note (two per task), from which the driver
-    joins runs that cross partitions.
+    joins runs that cross partitions. Where ``rows`` has a column ``to``, it is
+    the number of the row's range (see ``bounds``), and nothing is sampled.
     """
     spark = rows.sparkSession
-    # the session's own zone of types: kind, part and side are small integers
+    n = partitions(spark)
+    ranged = rows.repartitionById(n, F.col("to")) if "to" in rows.columns else rows.repartitionByRange(n, "k1", "k2", "doc", "at")
     runs = cut(
-        rows.select("k1", "k2", "doc", "at")
-        .repartitionByRange(partitions(spark), "k1", "k2", "doc", "at")
+        ranged.select("k1", "k2", "doc", "at")
         .sortWithinPartitions("k1", "k2", "doc", "at")
         .mapInArrow(_runs, "kind int, part int, k1 long, k2 long, first long, doc long, at long")
     )
@@ -44,10 +45,14 @@ def recurring(rows: DataFrame) -> DataFrame:
         else:
             open_runs.append(run := [(k1, k2), low, high, []])
         run[3].append((part, side))
-    found = [(part, side, low) for _, low, high, at in open_runs if low < high for part, side in at]
-    sides = F.broadcast(spark.createDataFrame(found, "part int, kind int, low long"))
+    lows: list[int | None] = [None] * (2 * n + 2)  # by task, for its first and its last run
+    for _, low, high, at in open_runs:
+        for part, side in at if low < high else ():
+            lows[2 * part + side - 1] = low
+    table = F.split(F.lit(",".join("" if x is None else str(x) for x in lows)), ",")
+    low = F.nullif(F.get(table, 2 * F.col("part") + F.col("kind") - 1), F.lit("")).cast("long")
     sure = runs.filter(F.col("kind") == ROW).select("k1", "k2", "first", "doc", "at")
-    edge = runs.filter(F.col("kind").isin(HEAD, TAIL)).join(sides, ["part", "kind"]).select("k1", "k2", F.col("low").alias("first"), "doc", "at")
+    edge = runs.filter(F.col("kind").isin(HEAD, TAIL)).select("k1", "k2", low.alias("first"), "doc", "at").filter("first is not null")
     return sure.unionByName(edge)
 
 
@@ -109,3 +114,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, side = joined(), TAIL if runs_seen else HEAD
         yield out(side, run, 0)
         yield note(side, run)
+
+
+def bounds(sample: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the ranges, from at most ``most`` rows ``(k1, doc)`` of a sample of the documents."""
+    got = sample.select("k1", "doc").limit(most).toPandas().sort_values(["k1", "doc"])
+    n = partitions(sample.sparkSession)
+    at = [len(got) * i // n for i in range(1, n)] if len(got) else []
+    return got.k1.to_numpy(np.int64)[at], got.doc.to_numpy(np.int64)[at]
+
+
+def ranges(ends: tuple[np.ndarray, np.ndarray], k1: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The range of each row; rows of a key that is an end itself are told apart by doc."""
+    low, high = np.searchsorted(ends[0], k1, "left"), np.searchsorted(ends[0], k1, "right")
+    to = low.copy()
+    for i in np.flatnonzero(high > low):
+        to[i] += np.searchsorted(ends[1][low[i] : high[i]], doc[i], "right")
+    return to.astype(np.int32)
