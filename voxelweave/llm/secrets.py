@@ -36,7 +36,9 @@ def train(docs: DataFrame, sample: int = 1000, seed: str = "markov") -> list[flo
     digests of the doc_id. Add-one estimates of the transitions; the table has a
     fixed size, whatever the input. No rows give a table of zeros.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")).limit(sample)
+    order = (F.xxhash64("doc_id"), "doc_id")
+    ids = docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample).distinct()  # of few columns; texts follow
+    rows = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(*order, F.length("text")).limit(sample)
     words = F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z0-9_.-]{4,}"), F.lit(0))
     ordinary = rows.select(F.explode(words).alias("w")).select(F.lit(False).alias("random"), F.explode(F.array("w", F.upper("w"))).alias("token"))
     digest = lambda n: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed), F.lit(n)), 512)
