@@ -23,7 +23,7 @@ def normal(df: pd.DataFrame, digits: int = 6) -> list[tuple]:
     df = df[sorted(df.columns)]
 
     def cell(x):
-        if x is None or x is pd.NaT:
+        if x is None or x is pd.NaT or x is pd.NA:
             return None
         if isinstance(x, (list, tuple)) or hasattr(x, "tolist") and getattr(x, "ndim", 0):
             return tuple(cell(y) for y in list(x))
