@@ -113,7 +113,8 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
         members = level.select("id", F.explode(F.array_distinct(_branches(F.col("node"), F.col("sig")))).alias("node"))
         nodes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("id").alias("low")).filter("m > 1")
         held = cut(members.join(nodes, "node"))
-        stars.append(held.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")))
+        # one pair a set and level is enough to connect a dense group; what it misses is left to the leaves
+        stars.append(held.groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).filter("a <> b").select("a", "b"))
         leaves.append(held.filter((F.col("m") <= small) | F.lit(d == depth - 1)).select("node", "id"))
         level = held.filter(F.col("m") > small).select("node", "id").join(reps.select("id", "sig"), "id")
     pairs, leaf = stars[0], leaves[0]
@@ -132,7 +133,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
 
     def sets_of(p: DataFrame) -> DataFrame:
         wanted = p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
-        return cut(texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").filter(F.size("items") > 0))
+        return cut(texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").filter(F.size("items") > 0))
 
     linked = cut(_confirmed(pairs, sets_of(pairs), percent))
 
