@@ -17,7 +17,7 @@ from .recurring import LAST, bounds, ranges, recurring
 from .wordhash import WordHash, windows, words
 
 #: Words of the fingerprints by which candidates are found.
-GRAM = 6
+GRAM = 8
 
 
 def _selected(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
