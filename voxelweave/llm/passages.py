@@ -47,6 +47,26 @@ def _runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.concatenate([[0], ends + 1])].tolist(), places[np.concatenate([ends, [len(places) - 1]])].tolist(), strict=True))
 
 
+def _stretch(h: np.ndarray, here: int, p: np.ndarray, there: int, near: int = 16) -> tuple[int, int]:
+    """Ends in ``h`` of the equal words around ``h[here]`` and ``p[there]``; most differ within ``near`` words, so these are tried first."""
+    k = min(here, there)
+    for n in (min(k, near), k):
+        back = h[here - n : here] != p[there - n : there]
+        far = int(back[::-1].argmax()) if n else 0
+        if n and back[n - 1 - far]:
+            left = here - far
+            break
+    else:
+        left = here - k
+    k = min(len(h) - here, len(p) - there)
+    for n in (min(k, near + GRAM), k):
+        on = h[here : here + n] != p[there : there + n]
+        far = int(on.argmax())
+        if on[far]:
+            return left, here + far
+    return left, here + k
+
+
 class Shard:
     """Passages and the automaton of their recurring phrases."""
 
@@ -78,12 +98,7 @@ class Shard:
                 key = (n, here - there)
                 if owner >= doc or done.get(key, -1) > here:
                     continue
-                k = min(here, there)
-                back = h[here - k : here] != p[there - k : there]
-                left = here - int(back[::-1].argmax()) if back.any() else here - k
-                k = min(len(h) - here, len(p) - there)
-                on = h[here : here + k] != p[there : there + k]
-                right = here + (int(on.argmax()) if on.any() else k)
+                left, right = _stretch(h, here, p, there)
                 done[key] = max(right, here + 1)
                 if right - left >= size:
                     found.append((left, right))
@@ -128,7 +143,7 @@ def removed_words(docs: DataFrame, size: int = 13, shard_phrases: int = 100_000,
         return run
 
     def segments(shards: int):
-        """A document's passages (kind 0), its stretches for other documents' shards (kind 1), and its words (kind 2)."""
+        """A document's passages and phrases in them (kind 0), its stretches for other documents' shards (kind 1), and its words (kind 2)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, packer = WordHash(), zstandard.ZstdCompressor(level=1)
@@ -139,21 +154,25 @@ def removed_words(docs: DataFrame, size: int = 13, shard_phrases: int = 100_000,
                     h = known.of(w)
                     grams = windows(h, GRAM)
                     low, _ = _selected(grams, span)
-                    at = np.array([f["place"] for f in found], np.int64)
-                    first = np.array([f["first"] for f in found], np.int64)
+                    pairs = sorted((f["place"], f["first"]) for f in found)
+                    at = np.array([x for x, _ in pairs], np.int64)
+                    first = np.array([x for _, x in pairs], np.int64)
                     shard = np.where(first == doc, -1, first % shards)
                     if (shard >= 0).any():
                         out.append((2, -1, doc, tag, 0, packer.compress(b" ".join(w)), None))
-                    for s in np.unique(shard).tolist():
-                        mine = at[shard == s]
-                        held = np.zeros(len(grams), bool)
-                        held[mine] = True
-                        need = np.zeros(len(low), bool)
-                        for i in range(span):
-                            need |= held[i : i + len(low)] & (grams[i : i + len(low)] == low)
-                        for a, b in _runs(np.flatnonzero(need)):
-                            marks = mine[(mine >= a) & (mine <= b + size - GRAM)] - a if s < 0 else np.flatnonzero(need[a : b + 1])
-                            out.append((0 if s < 0 else 1, doc % shards if s < 0 else s, doc, tag, a, h[a : b + size].tobytes(), marks.astype(np.int32)))
+                    # the windows that selected these phrases, numbered so that runs of two shards never touch
+                    wide = len(h) + 2
+                    need = []
+                    for i in range(span):
+                        begin = at - i
+                        mine = (begin >= 0) & (begin < len(low))
+                        mine[mine] = low[begin[mine]] == grams[at[mine]]
+                        need.append((shard[mine] + 1) * wide + begin[mine])
+                    own = at[shard < 0]
+                    for a, b in _runs(np.unique(np.concatenate(need))):
+                        s, a, b = a // wide - 1, a % wide, b % wide
+                        marks = (own[np.searchsorted(own, a) : np.searchsorted(own, b + span)] - a).astype(np.int32) if s < 0 else None
+                        out.append((0 if s < 0 else 1, doc % shards if s < 0 else s, doc, tag, a, h[a : b + size].tobytes(), marks))
                 cols = list(zip(*out, strict=True)) if out else [[]] * 7
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "shard", "doc", "tag", "start", "data", "marks"])
@@ -166,7 +185,7 @@ def removed_words(docs: DataFrame, size: int = 13, shard_phrases: int = 100_000,
         none = np.empty(0, np.int64)
         for batch in batches:
             spans: list[tuple[int, int, int, int]] = []
-            k1, k2, docs_of, ats = [none], [none], [none], [none]
+            texts, rests, docs_of, ats, total = [none.view(np.uint64)], [none], [none], [none], 0
             for number, copy, kind, doc, tag, start, data, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (number, copy) != at:
                     at, shard = (number, copy), Shard()
@@ -174,17 +193,20 @@ def removed_words(docs: DataFrame, size: int = 13, shard_phrases: int = 100_000,
                 if kind == 0:
                     shard.add(doc, h, marks)
                     continue
-                left = np.zeros(len(h) - size + 1, bool)
-                left[marks] = True
+                left = np.ones(len(h) - size + 1, bool)
                 for a, b in shard.locate(doc, h, size):
                     spans.append((doc, tag, start + a, start + b))
                     left[a : b - size + 1] = False
                 rest = np.flatnonzero(left)
                 if len(rest):
-                    k1.append(windows(h, size)[rest].view(np.int64)), k2.append(windows(h, size, seed=1)[rest].view(np.int64))
+                    texts.append(h), rests.append(rest + total)
                     docs_of.append(np.full(len(rest), doc, np.int64)), ats.append(start + rest | (tag << 32))
+                    total += len(h)
+            # the stretches end to end, so that windows are hashed once a batch
+            h, rest = np.concatenate(texts), np.concatenate(rests)
+            k1, k2 = windows(h, size)[rest].view(np.int64), windows(h, size, seed=1)[rest].view(np.int64)
             d, t, a, b = zip(*spans, strict=True) if spans else ([], [], [], [])
-            keys = [np.concatenate(x) for x in (k1, k2, docs_of, ats)]
+            keys = [k1, k2, np.concatenate(docs_of), np.concatenate(ats)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(d), 0), np.zeros(len(d), np.int64), np.array(d, np.int64), np.array(t, np.int64) << 32, a, b)], names=["rest", "k1", "doc", "at", "a", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.ones(len(keys[0]), np.int64), keys[0], keys[2], keys[3], keys[1], np.zeros(len(keys[0]), np.int64))], names=["rest", "k1", "doc", "at", "a", "b"])
 
