@@ -97,7 +97,9 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
        ``depth`` levels. 3. In every node all sets are compared with the
        smallest id, so a dense group of any size becomes connected by as many
        pairs as it has members. 4. In leaves, the sets that are still in
-       different components are compared with each other.
+       different components are compared with each other. In leaves that stayed
+    large, a set's shingles that no other set of such leaves has bound its
+    intersections from above, so only pairs that may still link are made.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -115,7 +117,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
         held = cut(members.join(nodes, "node"))
         # one pair a set and level is enough to connect a dense group; what it misses is left to the leaves
         stars.append(held.groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).filter("a <> b").select("a", "b"))
-        leaves.append(held.filter((F.col("m") <= small) | F.lit(d == depth - 1)).select("node", "id"))
+        leaves.append(held.filter((F.col("m") <= small) | F.lit(d == depth - 1)).select("node", "id", "m"))
         level = held.filter(F.col("m") > small).select("node", "id").join(reps.select("id", "sig"), "id")
     pairs, leaf = stars[0], leaves[0]
     for x, y in zip(stars[1:], leaves[1:], strict=True):
@@ -131,22 +133,30 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     close = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= int(COORDINATES * (percent / 100 - 0.22))
     pairs = cut(alike(pairs.distinct()))
 
-    def sets_of(p: DataFrame) -> DataFrame:
-        wanted = p.select(F.col("a").alias("id")).union(p.select("b")).distinct()
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.distinct()
         return cut(texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").filter(F.size("items") > 0))
 
-    linked = cut(_confirmed(pairs, sets_of(pairs), percent))
+    linked = cut(_confirmed(pairs, sets_of(_ends(pairs)), percent))
 
     # only what is not yet connected is compared again, pair by pair
     found = components(linked)
     place = leaf.distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = place.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("node")
-    part = cut(place.join(mixed, "node").join(reps, "id"))
-    a = part.select("node", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "sig")])
-    b = part.select("node", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "sig")])
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near_sizes
+    part = cut(place.join(mixed, "node"))
+    hot = cut(part.filter(F.col("m") > small).select("id").distinct())
+    alone = sets_of(hot).select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    alone = cut(alone.filter("c = 1").groupBy("id").agg(F.count("*").alias("own")))
+    part = part.join(reps, "id").join(alone, "id", "left")
+    part = part.withColumn("most", F.col("n") - F.when(F.col("m") > small, F.coalesce("own", F.lit(0))).otherwise(0))
+    part = cut(part.filter(100 * F.col("most") >= percent * F.col("n")).drop("own", "m"))
+    a = part.select("node", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "most", "sig")])
+    b = part.select("node", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "most", "sig")])
+    shared = F.least("most_a", "most_b")  # no more shingles can be common to both
+    may_link = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & near_sizes & may_link
     rest = cut(a.join(b, "node").filter(near).filter(close).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
-    more = cut(_confirmed(rest, sets_of(rest), percent)) if rest.take(1) else rest
+    more = cut(_confirmed(rest, sets_of(_ends(rest)), percent)) if rest.take(1) else rest
     found = cut(components(linked.unionByName(more)) if more.take(1) else found)
 
     home = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
@@ -158,6 +168,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
