@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables, and brute force where there is no SQL."""
 
 import itertools
+import random
 
 import pytest
 
@@ -67,3 +68,30 @@ def test_near_pairs_take_the_border_in(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "blob_id long, z double, y double, x double")
     b = spark.createDataFrame([(2, 2.0, -3.0, 3.0), (3, 2.1, 0.0, 0.0)], "blob_id long, z double, y double, x double")
     assert [r.blob_id_b for r in points.near_pairs(a, b, (2, 3, 3)).collect()] == [2]
+
+
+def _greedy(a, b, tol):
+    used, want = set(), set()
+    gap = lambda r, s: sum(abs(x - y) for x, y in zip(r[2:], s[2:], strict=True))
+    for _, i, j in sorted((gap(r, s), r[0], s[0]) for r, s in itertools.product(a, b) if r[1] == s[1] and _near(r[2:], s[2:], tol)):
+        if ("a", i) not in used and ("b", j) not in used:
+            used |= {("a", i), ("b", j)}
+            want.add((i, j))
+    return want
+
+
+def test_greedy_goes_on_in_crowded_places(spark):
+    schema = "blob_id long, roi int, z double, y double, x double"
+    a = [(i, 1, 0.0, 0.0, 0.0) for i in range(80)] + [(i, 1, 9.0, 0.0, 0.0) for i in range(80, 150)]
+    b = [(i, 1, 0.0, 0.0, 0.0) for i in range(75)] + [(i, 1, 9.0, 1.0, 0.0) for i in range(75, 160)]
+    got = points.greedy_matches(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), (2, 3, 3), ("roi",))
+    assert {(r.a, r.b) for r in got.collect()} == _greedy(a, b, (2, 3, 3)) and got.count() == 145
+
+
+def test_greedy_with_ties_between_places(spark):
+    rng = random.Random(3)
+    schema = "blob_id long, roi int, z double, y double, x double"
+    a, b = ([(i, rng.randrange(2), *(float(rng.randrange(3)) for _ in range(3))) for i in rng.sample(range(500), n)] for n in (90, 70))
+    got = points.greedy_matches(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), (1, 1, 2), ("roi",))
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(_greedy(a, b, (1, 1, 2)))
+    assert points.greedy_matches(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), (1, 1, 2)).collect() == []

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, partitions
 from .components import components
 
 AXES = ("z", "y", "x")
@@ -117,21 +117,59 @@ def pruned_tiles(points: DataFrame, tile: Sequence[int], overlap: Sequence[float
     return points
 
 
-def greedy_matches(a: DataFrame, b: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id", rounds: int = 60) -> DataFrame:
-    """One-to-one matches, smallest sum of axis distances first (ties by ids): rounds of mutually best pairs."""
-    cols = [key, *keys, *AXES]
+def _ranked(points: DataFrame, place: Sequence[str], key: str) -> DataFrame:
+    """``points`` with ``_p``, the smallest id at its place, and ``_i``, its rank by id there.
+
+    Ranks are counted in ranges of (place, id), so a crowded place is spread over tasks.
+    """
+    there = points.select(*place, key).distinct()
+    first = there.groupBy(*place).agg(F.min(key).alias("_p"))
+    there = there.join(first, list(place))  # without nulls, which are near nothing
+    there = cut(there.repartitionByRange(partitions(points.sparkSession), "_p", key).withColumn("_block", F.spark_partition_id()))
+    before = Window.partitionBy("_p").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = there.groupBy("_p", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("_p", "_block").orderBy(key))
+    return cut(there.withColumn("_i", rank).join(blocks.drop("_n"), ["_p", "_block"]).withColumn("_i", F.col("_i") + F.col("_before")).drop("_block", "_before"))
+
+
+def greedy_matches(a: DataFrame, b: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
+    """One-to-one matches, smallest sum of axis distances first (ties by ids); ids are unique in each table.
+
+    Rounds over pairs of places, as all points of a place have the same gaps:
+    in a pair of places whose first free points are mutually best, the i-th
+    free points match, up to the first id at which another place with the
+    same gap comes in. What is free at a place is always the end of its list.
+    Goes on until no pair is left. Places that tie with others of the same gap
+    may need as many rounds as they have points.
+    """
+    place = [*keys, *AXES]
+    one, two = _ranked(a, place, key), _ranked(b, place, key)
+    spots = lambda t: t.select("_p", *place).distinct()
     gap = sum((F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in AXES), F.lit(0.0))
-    left = cut(near_pairs(a.select(*cols), b.select(*cols), tolerance, keys).select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), gap.alias("gap")))
-    done = None
-    for _ in range(rounds):
-        best_a = left.groupBy("a").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p")
-        best_b = left.groupBy("b").agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p")
-        now = cut(best_a.join(best_b, "p").select("p.a", "p.b", "p.gap"))
-        done = now if done is None else done.unionByName(now)
-        left = cut(left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti"))
+    left = cut(near_pairs(spots(one), spots(two), tolerance, keys).select(F.col("_p_a").alias("p"), F.col("_p_b").alias("q"), gap.alias("gap")))
+    one = one.select(F.col("_p").alias("p"), F.col(key).alias("a"), F.col("_i").alias("i"))
+    two = two.select(F.col("_p").alias("q"), F.col(key).alias("b"), F.col("_i").alias("i"))
+    done, n = None, 0
+    while True:
+        head_a = one.groupBy("p").agg(F.min("a").alias("a"), F.min("i").alias("i_a"))
+        head_b = two.groupBy("q").agg(F.min("b").alias("b"), F.min("i").alias("i_b"))
+        left = cut(left.select("p", "q", "gap").join(head_a, "p").join(head_b, "q"))
         if left.isEmpty():
-            break
-    return done
+            return left.select("a", "b", "gap") if done is None else done
+        best_p = left.groupBy("p").agg(F.min(F.struct("gap", "b", "q")).alias("_b")).select("p", F.col("_b.q").alias("q"))
+        best_q = left.groupBy("q").agg(F.min(F.struct("gap", "a", "p")).alias("_a")).select("q", F.col("_a.p").alias("p"))
+        pairs = cut(left.join(best_p, ["p", "q"]).join(best_q, ["p", "q"]))
+        rival = lambda end, other, head: left.join(pairs.select(end, F.col(other).alias("_o"), F.col("gap").alias("_g")), end).filter((F.col("gap") == F.col("_g")) & (F.col(other) != F.col("_o"))).groupBy(end).agg(F.min(head).alias(f"stop_{head}"))
+        pairs = cut(pairs.drop("a", "b").join(rival("p", "q", "b"), "p", "left").join(rival("q", "p", "a"), "q", "left"))
+        free = lambda t, end, head: t.join(pairs, end).filter(F.col(f"stop_{head}").isNull() | (F.col(head) < F.col(f"stop_{head}"))).select("p", "q", "gap", (F.col("i") - F.col(f"i_{head}")).alias("i"), head)
+        now = cut(free(one, "p", "a").join(free(two, "q", "b").drop("gap"), ["p", "q", "i"]).select("a", "b", "gap"))
+        if now.isEmpty():
+            raise RuntimeError("greedy_matches did not settle")
+        n += 1
+        done = now if done is None else done.unionByName(now)
+        done = cut(done) if n % 30 == 0 else done
+        one = cut(one.join(left.select("p").distinct(), "p", "left_semi").join(now.select("a"), "a", "left_anti"))
+        two = cut(two.join(left.select("q").distinct(), "q", "left_semi").join(now.select("b"), "b", "left_anti"))
 
 
 def closest(a: DataFrame, b: DataFrame, tolerance: float, keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
