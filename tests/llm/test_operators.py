@@ -155,3 +155,16 @@ def test_pipeline_runs_and_keeps_whole_documents(spark):
     for r in rows:
         by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.length / r.doc_tokens
     assert rows and all(abs(n - round(n)) < 1e-6 and 1 <= round(n) <= 3 for n in by_doc.values())
+
+
+def test_near_links_of_repeated_ids_in_large_leaves(spark):
+    rng = np.random.default_rng(4)
+    common = lambda n: [f"c{j}" for j in rng.permutation(120)[:n]]
+    own = lambda name, n: [f"{name}x{j}" for j in range(n)]
+    rows = [(i, common(80)) for i in range(150)]
+    for i in range(10):
+        w = common(80)
+        rows += [(1000 + i, w), (1000 + i, common(30) + own(f"v{i}", 50)), (2000 + i, w + own(f"b{i}", 8))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_components(docs, size=1, small=1).collect()}
+    assert got == {i: i for i in range(150)} | {1000 + i: 1000 + i for i in range(10)} | {2000 + i: 1000 + i for i in range(10)}

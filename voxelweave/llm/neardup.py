@@ -34,6 +34,11 @@ def shingle_hashes(known: WordHash, text: str | None, size: int) -> np.ndarray:
     return np.unique(windows(h, min(size, len(h)), seed=0 if len(h) >= size else 1))
 
 
+def _prints(h: np.ndarray) -> tuple[int, int]:
+    """Fingerprints of a set, as unsigned sums over its hashes."""
+    return int(h.sum(dtype=np.uint64)), int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
+
+
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
@@ -45,8 +50,8 @@ def _sketches(size: int):
                 if not len(h):
                     s1.append(0), s2.append(0), sigs.append(None)
                     continue
-                s1.append(int(h.sum(dtype=np.uint64)))
-                s2.append(int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
+                for at, x in zip((s1, s2), _prints(h), strict=True):
+                    at.append(x)
                 low = np.full(COORDINATES, np.uint64(2**64 - 1))
                 for i in range(0, len(h), 2048):  # bounded work space for very long texts
                     low = np.minimum(low, (h[None, i : i + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
@@ -63,8 +68,9 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
-            found = [shingle_hashes(known, t, size).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "items"])
+            found = [shingle_hashes(known, t, size) for t in batch.column(1).to_pylist()]
+            prints = np.array([_prints(h) if len(h) else (0, 0) for h in found], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(prints[:, 0]), pa.array(prints[:, 1])], names=["id", "items", "s1", "s2"])
 
     return run
 
@@ -107,7 +113,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     rows = cut(texts.mapInArrow(_sketches(size), "doc_id long, n_shingles long, s1 long, s2 long, sig array<int>"))
     key = ["s1", "s2", "n_shingles"]
     classes = cut(rows.filter("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
-    reps = classes.select("id", F.col("n_shingles").alias("n"), "sig")
+    reps = classes.select("id", "s1", "s2", F.col("n_shingles").alias("n"), "sig")
 
     level = reps.select("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(trees).cast("long"))).alias("node"), "sig")
     stars, leaves = [], []
@@ -135,7 +141,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = ids.distinct()
-        return cut(texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>").filter(F.size("items") > 0))
+        return cut(texts.withColumnRenamed("doc_id", "id").join(wanted.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_sets(size), "id long, items array<long>, s1 long, s2 long").filter(F.size("items") > 0))
 
     linked = cut(_confirmed(pairs, sets_of(_ends(pairs)), percent))
 
@@ -145,11 +151,12 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     mixed = place.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("node")
     part = cut(place.join(mixed, "node"))
     hot = cut(part.filter(F.col("m") > small).select("id").distinct())
-    alone = sets_of(hot).select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), F.min("id").alias("id"))
-    alone = cut(alone.filter("c = 1").groupBy("id").agg(F.count("*").alias("own")))
-    part = part.join(reps, "id").join(alone, "id", "left")
+    one = ["s1", "s2", "n"]  # by class, as texts that repeat a doc_id are sets of their own
+    alone = sets_of(hot).select("s1", "s2", F.size("items").cast("long").alias("n"), F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in one])
+    alone = cut(alone.filter("c = 1").groupBy(*one).agg(F.count("*").alias("own")))
+    part = part.join(reps, "id").join(alone, one, "left")
     part = part.withColumn("most", F.col("n") - F.when(F.col("m") > small, F.coalesce("own", F.lit(0))).otherwise(0))
-    part = cut(part.filter(100 * F.col("most") >= percent * F.col("n")).drop("own", "m"))
+    part = cut(part.filter(100 * F.col("most") >= percent * F.col("n")).drop("own", "m", "s1", "s2"))
     a = part.select("node", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "most", "sig")])
     b = part.select("node", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "most", "sig")])
     shared = F.least("most_a", "most_b")  # no more shingles can be common to both
