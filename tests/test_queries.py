@@ -7,7 +7,7 @@ import pytest
 
 from tests.oracle import differences, duck
 from voxelweave.functions import views
-from voxelweave.operators import points, volumes
+from voxelweave.operators import hierarchy, points, volumes
 from voxelweave.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,10 @@ def test_greedy_with_ties_between_places(spark):
     got = points.greedy_matches(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), (1, 1, 2), ("roi",))
     assert sorted((r.a, r.b) for r in got.collect()) == sorted(_greedy(a, b, (1, 1, 2)))
     assert points.greedy_matches(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), (1, 1, 2)).collect() == []
+
+
+def test_closure_of_a_deep_tree_and_a_cycle(spark):
+    tree = spark.createDataFrame([(i, i - 1 if i else None) for i in range(19)], "id long, parent long")
+    assert hierarchy.closure(tree).filter("descendant = 18").count() == 19
+    with pytest.raises(ValueError, match="cycle"):
+        hierarchy.closure(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))

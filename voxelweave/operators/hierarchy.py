@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
 
-def closure(tree: DataFrame, depth: int = 16) -> DataFrame:
+
+def closure(tree: DataFrame) -> DataFrame:
     """``tree(id, parent)`` -> ``(ancestor, descendant, depth)``, each node its own ancestor at depth 0.
 
     One join with the tree for each level; stops at the first level without rows.
+    A node that is its own ancestor is an error.
     """
     up = tree.select(F.col("id").alias("_id"), F.col("parent").alias("_up"))
     step = tree.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"))
     out = step
-    for _ in range(depth):
-        step = step.join(up, F.col("ancestor") == F.col("_id")).filter("_up is not null").select(F.col("_up").alias("ancestor"), "descendant", (F.col("depth") + 1).alias("depth"))
-        if step.isEmpty():
-            break
+    while True:
+        step = cut(step.join(up, F.col("ancestor") == F.col("_id")).filter("_up is not null").select(F.col("_up").alias("ancestor"), "descendant", (F.col("depth") + 1).alias("depth")))
+        n, rings = step.agg(F.count("*"), F.count(F.when(F.col("ancestor") == F.col("descendant"), 1))).first()
+        if rings:
+            raise ValueError("the tree has a cycle")
+        if not n:
+            return out
         out = out.unionByName(step)
-    return out
 
 
 def lookup(tree: DataFrame, closed: DataFrame) -> DataFrame:
