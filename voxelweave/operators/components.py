@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, free
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .filter("a <> b")
             .distinct()
         )
-        e = cut(small)
+        old, e = e, cut(small)
+        free(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +19,14 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary folder made and set.
+    unset and the master is local (tests on one machine) is a temporary folder
+    made. On a cluster without the setting this is an error, as executors
+    would write to folders that others don't see.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(scratch, "own", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         scratch.own = root
     path = f"{root.rstrip('/')}/voxelweave-{uuid.uuid4().hex}"
@@ -32,9 +37,8 @@ def scratch(spark: SparkSession) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
-@atexit.register
-def _clear() -> None:
-    for spark, path in _made:
+def _remove(made: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in made:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -42,6 +46,18 @@ def _clear() -> None:
             return
 
 
+@atexit.register
+def _clear() -> None:
+    _remove(_made)
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables that ``cut`` wrote and that nothing reads any more, as those of earlier rounds of a loop."""
+    paths = {p for t in tables if (p := getattr(t, "_scratch", None))}
+    _remove([x for x in _made if x[1] in paths])
+    _made[:] = [x for x in _made if x[1] not in paths]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read from there.
 
@@ -50,7 +66,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -62,3 +80,11 @@ def text_batches(spark: SparkSession, rows: int = 2000) -> None:
 def partitions(spark: SparkSession) -> int:
     """Partitions for an explicit shuffle: the session's own setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """``name``, made longer until none of ``columns`` is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
