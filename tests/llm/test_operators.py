@@ -168,3 +168,32 @@ def test_near_links_of_repeated_ids_in_large_leaves(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.near_components(docs, size=1, small=1).collect()}
     assert got == {i: i for i in range(150)} | {1000 + i: 1000 + i for i in range(10)} | {2000 + i: 1000 + i for i in range(10)}
+
+
+def test_links_in_a_crowded_family_equal_brute_force(spark):
+    """Variants of one text, most too far from each other to link: recall over all pairs in one large leaf."""
+    rng = np.random.default_rng(8)
+    base = [f"b{j}" for j in range(150)]
+    texts = []
+    for i in range(900):
+        w, edits = list(base), int(rng.integers(1, 9))
+        for at in rng.choice(150, edits, replace=False):
+            w[at] = f"e{i}x{at}"
+        texts.append(w)
+        if i % 3 == 0:  # a second one close to this one
+            w = list(w)
+            w[int(rng.integers(150))] = f"t{i}"
+            texts.append(w)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    low = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 7 * len(sets[i] & sets[j]) >= 3 * (len(sets[i]) + len(sets[j]))]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            m = min(low[i], low[j])
+            changed |= low[i] != m or low[j] != m
+            low[i] = low[j] = m
+    got = {r.doc_id: r.component_id for r in neardup.near_components(docs).collect()}
+    assert [got[i] for i in range(len(sets))] == low and 10 < len(set(low)) < len(low) - 300
