@@ -117,8 +117,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bounds(sample: DataFrame, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the ranges, from at most ``most`` rows ``(k1, doc)`` of a sample of the documents."""
-    got = sample.select("k1", "doc").limit(most).toPandas().sort_values(["k1", "doc"])
+    """Ends of the ranges, from at most ``most`` rows ``(k1, doc)`` of a sample of the documents, chosen by hash."""
+    got = sample.select("k1", "doc").orderBy(F.xxhash64("k1", "doc")).limit(most).toPandas().sort_values(["k1", "doc"])
     n = partitions(sample.sparkSession)
     at = [len(got) * i // n for i in range(1, n)] if len(got) else []
     return got.k1.to_numpy(np.int64)[at], got.doc.to_numpy(np.int64)[at]

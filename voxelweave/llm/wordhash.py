@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
@@ -36,6 +39,27 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (b.lower() if lower else b).split()
 
 
+def chunks(texts: list[str | None], most: int = 2_000_000) -> Iterator[slice]:
+    """Runs of texts of about ``most`` characters together, or one longer text."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if size and size + n > most:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += n
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
+def joined(known: WordHash, found: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts end to end, and where each text starts (and the last ends)."""
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
+    if len(known) > known.most:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.uint64, int(starts[-1])), starts
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finalizer that spreads all bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
