@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,27 +26,74 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) ->
     return np.unique(c, axis=0)
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, scaled to length 1."""
+    x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def vector_components(vectors: DataFrame, cosine: float = 0.98, per_cell: int = 500, most_cells: int = 512, sample: int = 20_000, block: int = 1024) -> DataFrame:
+class Cells:
+    """Centroids for each number of cells that some label needs: one level up to ``WIDE``, beyond it a second level below each of ``WIDE``."""
+
+    WIDE = 64
+
+    def __init__(self, sample: np.ndarray, sizes: list[int]):
+        top = {k: spherical_kmeans(sample, k) for k in {min(k, self.WIDE) for k in sizes if k > 1}} if len(sample) else {}
+        self.levels: dict[int, tuple[np.ndarray, list[np.ndarray] | None]] = {}
+        for k in sizes:
+            if k <= 1 or not top:
+                continue
+            first, below = top[min(k, self.WIDE)], None
+            if k > self.WIDE:
+                near = (sample @ first.T).argmax(axis=1)
+                below = [spherical_kmeans(own, min(k // self.WIDE, len(own))) if len(own := sample[near == i]) else first[i : i + 1] for i in range(len(first))]
+            self.levels[k] = first, below
+
+    @staticmethod
+    def _step(x: np.ndarray, c: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, centroid, is it the nearest: every centroid that a vector within the angle may be nearest to."""
+        s = x @ c.T
+        near, at = s.argmax(axis=1), np.arange(len(s))
+        apart = np.linalg.norm(c[:, None] - c[None], axis=2)
+        visits = s[at, near][:, None] - s <= apart[near] * far
+        visits[at, near] = True
+        row, cell = np.nonzero(visits)
+        return row, cell, near[row] == cell
+
+    def visits(self, x: np.ndarray, k: int, far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if k not in self.levels:
+            return np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        first, below = self.levels[k]
+        row, cell, home = self._step(x, first, far)
+        if below is None:
+            return row, cell, home
+        out = []
+        for i in np.unique(cell):
+            mine, own = row[cell == i], home[cell == i]
+            r, c, h = self._step(x[mine], below[i], far)
+            out.append((mine[r], i * self.WIDE + c, h & own[r]))
+        return tuple(np.concatenate(z) for z in zip(*out, strict=True))
+
+
+def vector_components(vectors: DataFrame, cosine: float = 0.98, per_cell: int = 2000, most_cells: int = 4096, sample: int = 20_000, block: int = 2048) -> DataFrame:
     """``vectors(vec_id, embedding, label, ...)`` -> one row each: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal length link at ``cosine`` or
     more, in double precision. Those that are null, empty, zero or hold null or
     non-finite components, and rows with a null vec_id, link with nothing; a
     null vec_id has a null component and is kept. Rows with the same label and
-    vector are one class; each counts as a link of the others.
+    vector are one class; each counts as a link of the others. No rows give no
+    rows; other columns are ignored.
 
     Centroids are fitted on at most ``sample`` vectors; every vector is
-    assigned. A vector belongs to the cell of its nearest centroid and visits
-    each cell that a vector linked with it could belong to: those whose
-    bisecting hyperplane is no farther than the angle of ``cosine``. So cells
-    lose no link. Cells are cut into blocks; a task compares two blocks and
-    returns counts and a spanning set of links, never all pairs.
+    assigned. A label has a cell for each ``per_cell`` of its vectors, rounded
+    to a power of two, up to ``most_cells``. A vector belongs to the cell of its
+    nearest centroid and visits each cell that a vector linked with it could
+    belong to: those whose bisecting hyperplane is no farther than the angle of
+    ``cosine``, on both levels. So cells lose no link. Cells are cut into
+    blocks; a task compares two blocks and returns counts and a spanning set
+    of links, never all pairs.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -62,39 +111,34 @@ def vector_components(vectors: DataFrame, cosine: float = 0.98, per_cell: int =
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
         .withColumn("dim", F.size("embedding"))
     )
-    n, labels = classes.agg(F.count("*"), F.countDistinct("label")).first()
-    cells = min(most_cells, max(1, round(n / max(labels, 1) / per_cell)))
+    size = classes.groupBy("label").agg(F.count("*").alias("size"))
+    wanted = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.col("size") / F.lit(per_cell), F.lit(1.0))))).cast("int")
+    size = cut(size.select("label", F.least(wanted, F.lit(most_cells)).alias("cells")))
+    sizes = [r.cells for r in size.select("cells").distinct().collect()]  # powers of two
     dim = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = dim[0].dim if dim else 0
-    centroids = None
-    if cells > 1:
-        seen = classes.filter(F.col("dim") == dim).select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()
-        centroids = spherical_kmeans(unit(seen.embedding.tolist()), cells)
+    dim, seen = dim[0].dim if dim else 0, []
+    if max(sizes, default=1) > 1:
+        seen = classes.filter(F.col("dim") == dim).select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas().embedding.tolist()
+    cells = Cells(unit(np.array(seen)) if len(seen) else np.empty((0, dim)), sizes)
     far = float(np.sqrt(1 - cosine**2)) + 1e-9
+    kept = ["label", "dim", "rep", "m"]
 
-    def assign(frames):
-        if centroids is None:
-            apart = None
-        else:
-            apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
-        for pdf in frames:
-            out = []
-            for d, rows in pdf.groupby("dim"):
-                if centroids is None or d != dim:
-                    out.append(rows.assign(cell=-1, home=True))
-                    continue
-                for i in range(0, len(rows), 2000):
-                    some = rows.iloc[i : i + 2000]
-                    s = unit(some.embedding.tolist()) @ centroids.T
-                    near = s.argmax(axis=1)
-                    visits = s[np.arange(len(s)), near][:, None] - s <= apart[near] * far
-                    visits[np.arange(len(s)), near] = True
-                    at, cell = np.nonzero(visits)
-                    out.append(some.iloc[at].assign(cell=cell, home=near[at] == cell))
-            yield (pd.concat(out) if out else pdf.assign(cell=0, home=True))[["label", "dim", "cell", "home", "rep", "m", "embedding"]]
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    inside = cut(classes.select("label", "dim", "rep", "m", "embedding").mapInPandas(assign, f"label {label_type}, dim int, cell int, home boolean, rep long, m long, embedding array<{vectors.schema['embedding'].dataType.elementType.simpleString()}>"))
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, k = batch.column("dim").to_numpy(), batch.column("cells").to_numpy()
+            for d, n in sorted(set(zip(lengths.tolist(), k.tolist(), strict=True))):
+                mine = np.flatnonzero((lengths == d) & (k == n))
+                for i in range(0, len(mine), 2000):
+                    some = batch.take(pa.array(mine[i : i + 2000]))
+                    raw = some.column("embedding").flatten().to_numpy().reshape(-1, d)
+                    row, cell, home = cells.visits(unit(raw), n if d == dim else 1, far)
+                    vec = pa.array([x.tobytes() for x in raw], pa.binary()).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(row)) for c in kept), pa.array(cell.astype(np.int32)), pa.array(home), vec], names=[*kept, "cell", "home", "vec"])
+
+    label_type, element = classes.schema["label"].dataType.simpleString(), vectors.schema["embedding"].dataType.elementType.simpleString()
+    dtype = {"float": np.float32, "double": np.float64}.get(element, np.float64)
+    usual = classes if element in ("float", "double") else classes.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    inside = cut(usual.join(size, "label").select(*kept, "cells", "embedding").mapInArrow(assign, f"label {label_type}, dim int, rep long, m long, cell int, home boolean, vec binary"))
     blocks = inside.groupBy("label", "dim", "cell").agg(
         F.ceil(F.count(F.when(F.col("home"), 1)) / F.lit(block)).cast("int").alias("homes"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("alls")
     )
@@ -102,28 +146,31 @@ def vector_components(vectors: DataFrame, cosine: float = 0.98, per_cell: int =
     mine = F.pmod(F.xxhash64("rep"), F.col("homes")).cast("int")
     other = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("alls")).cast("int")
     key = ["label", "dim", "cell", "i", "j"]
-    left = placed.filter("home").select("label", "dim", "cell", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "m", "embedding")
-    right = placed.select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), other.alias("j"), F.lit(False).alias("left"), "rep", "m", "embedding")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.left], pdf[~pdf.left]
-        ids, links = np.concatenate([a.rep.to_numpy(), b.rep.to_numpy()]), np.zeros(len(a), np.int64)
-        low_a, low_b = a.rep.to_numpy().copy(), b.rep.to_numpy().copy()
-        if len(a) and len(b):
-            near = unit(a.embedding.tolist()) @ unit(b.embedding.tolist()).T >= cosine
-            other = a.rep.to_numpy()[:, None] != b.rep.to_numpy()[None]
-            links = (near & other) @ b.m.to_numpy()
-            near |= ~other
+    left = placed.filter("home").select("label", "dim", "cell", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("left"), "rep", "m", "vec")
+    right = placed.select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), other.alias("j"), F.lit(False).alias("left"), "rep", "m", "vec")
+
+    def compare(table: pa.Table) -> pa.Table:
+        left, rep, m = (table.column(c).to_numpy() for c in ("left", "rep", "m"))
+        x = unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype).reshape(len(rep), -1))
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        links, low = np.zeros(len(rep), np.int64), rep.copy()
+        near = [np.nonzero(x[a[i : i + 512]] @ x[b].T >= cosine) for i in range(0, len(a), 512)]
+        if near:
+            one = a[np.concatenate([i * 512 + p for i, (p, _) in enumerate(near)])]
+            two = b[np.concatenate([q for _, q in near])]
+            apart = rep[one] != rep[two]
+            np.add.at(links, one[apart], m[two[apart]])
             while True:  # the least id that reaches each row
-                new_a = np.minimum(low_a, np.where(near, low_b[None], np.iinfo(np.int64).max).min(axis=1))
-                new_b = np.minimum(low_b, np.where(near, new_a[:, None], np.iinfo(np.int64).max).min(axis=0))
-                if (new_a == low_a).all() and (new_b == low_b).all():
+                new = low.copy()
+                np.minimum.at(new, one, low[two])
+                np.minimum.at(new, two, new[one])
+                if (new == low).all():
                     break
-                low_a, low_b = new_a, new_b
-        out = pd.DataFrame({"rep": ids, "links": np.concatenate([links, np.zeros(len(b), np.int64)]), "to": np.concatenate([low_a, low_b])})
-        return out[(out.links > 0) | (out.rep != out.to)]
+                low = new
+        tell = (links > 0) | (low != rep)
+        return pa.table({"rep": rep[tell], "links": links[tell], "to": low[tell]})
 
-    found = cut(left.unionByName(right).groupBy(*key).applyInPandas(compare, "rep long, links long, to long"))
+    found = cut(left.unionByName(right).groupBy(*key).applyInArrow(compare, "rep long, links long, to long"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     home = (
