@@ -15,7 +15,8 @@ class Template:
     A turn is ``open`` role ``close`` text ``end``. Characters that could form
     a mark are escaped in roles and texts, so ``</s>`` or ``[INST]`` in a text
     stay text and come back when read. Texts of ``loss`` roles are trained on.
-    ``allowed`` holds the transitions of the turn machine.
+    ``allowed`` holds the transitions of the turn machine, whose states are
+    the roles and "" at the start; ``ends`` the states it may stop in.
     """
 
     open: str = "<|"
@@ -23,6 +24,7 @@ class Template:
     end: str = "</s>\n"
     loss: tuple[str, ...] = ("assistant",)
     allowed: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
+    ends: tuple[str, ...] = ("assistant",)
     #: The first pair is undone last.
     escapes: tuple[tuple[str, str], ...] = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lsqb;"), ("|", "&vert;"))
 
@@ -43,15 +45,18 @@ def unescaped(text: Column, t: Template = CHAT) -> Column:
 
 
 def format_conversations(turns: DataFrame, t: Template = CHAT) -> DataFrame:
-    """``turns(conv_id, turn, role, text)`` -> ``(conv_id, segments, valid)``.
+    """``turns(conv_id, turn, role, text)`` -> ``(conv_id, segments, valid, bad_turn)``.
 
     ``segments``: array of (text, loss) in order of turn (null last; ties by
     role and text); joined they are the formatted conversation, and the
     segments with ``loss`` are the escaped texts of ``t.loss`` roles. Null role
-    or text counts as empty; a null conv_id is one conversation. ``valid``:
-    the roles follow ``t.allowed`` from the start; conversations that do not
-    are formatted all the same. A conversation becomes one row, so it must fit
-    one; nothing else is gathered.
+    or text counts as empty; rows with a null conv_id are one conversation; repeated
+    rows are turns of their own; no rows give no rows; other columns are ignored.
+    ``valid``: the machine of ``t.allowed`` and ``t.ends`` accepts the roles.
+    ``bad_turn``: the place, from 0, of the first turn that it refuses; the number of
+    turns if it stops in a state that is no end; null if valid. Conversations that it
+    refuses are formatted all the same. A conversation becomes one row, so
+    it must fit one; nothing else is gathered.
     """
     order = F.struct(F.col("turn").isNull().alias("n"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     conv = turns.select("conv_id", order.alias("o")).groupBy("conv_id").agg(F.array_sort(F.collect_list("o")).alias("turns"))
@@ -67,18 +72,24 @@ def format_conversations(turns: DataFrame, t: Template = CHAT) -> DataFrame:
             ),
         )
     )
-    # the machine: each pair of neighbouring roles must be a transition; the first comes from the start
-    steps = {f"{a}\n{b}" for a, then in t.allowed.items() for b in then}
-    previous = F.concat(F.array(F.lit("")), F.transform(F.slice("turns", 1, F.greatest(F.size("turns") - 1, F.lit(0))), lambda x: x["role"]))
-    pairs = F.zip_with(previous, F.transform("turns", lambda x: x["role"]), lambda a, b: F.concat(a, F.lit("\n"), b))
-    return conv.select("conv_id", pieces.alias("segments"), F.forall(pairs, lambda x: x.isin(*sorted(steps))).alias("valid"))
+    # the machine: one state after the other; where a step is refused, its place stays
+    steps = sorted(f"{x}\n{y}" for x, then in t.allowed.items() for y in then)
+    start = F.struct(F.lit("").alias("state"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("bad"))
+
+    def step(m: Column, turn: Column) -> Column:
+        may = F.concat(m["state"], F.lit("\n"), turn["role"]).isin(*steps)
+        return F.struct(turn["role"].alias("state"), (m["at"] + 1).alias("at"), F.coalesce(m["bad"], F.when(~may, m["at"])).alias("bad"))
+
+    bad = F.aggregate("turns", start, step, lambda m: F.coalesce(m["bad"], F.when(~m["state"].isin(*t.ends), m["at"])))
+    return conv.select("conv_id", pieces.alias("segments"), bad.alias("bad_turn")).select("conv_id", "segments", F.col("bad_turn").isNull().alias("valid"), "bad_turn")
 
 
 def read_back(formatted: DataFrame, t: Template = CHAT) -> DataFrame:
-    """``(conv_id, segments, ...)`` -> ``(conv_id, roles_texts, loss_text, formatted)``, parsed from the output."""
+    """``(conv_id, segments, ...)`` -> ``(conv_id, turns, loss_text, formatted, ...)``, parsed from the output; other columns stay."""
+    more = [c for c in formatted.columns if c not in ("conv_id", "segments")]
     whole = F.array_join(F.transform("segments", lambda s: s["text"]), "")
     split_at = lambda text, mark: F.split(text, "\\Q" + mark + "\\E", -1)
-    one = formatted.select("conv_id", whole.alias("formatted"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t)), "").alias("loss_text"))
+    one = formatted.select("conv_id", *more, whole.alias("formatted"), F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], t)), "").alias("loss_text"))
     turns = F.filter(split_at(F.col("formatted"), t.end), lambda x: F.length(x) > 0)
     parsed = F.transform(
         turns,
@@ -87,13 +98,12 @@ def read_back(formatted: DataFrame, t: Template = CHAT) -> DataFrame:
             unescaped(F.substr(x, F.instr(x, t.close) + F.lit(len(t.close))), t).alias("text"),
         ),
     )
-    return one.select("conv_id", parsed.alias("turns"), "loss_text", "formatted")
+    return one.select("conv_id", parsed.alias("turns"), "loss_text", "formatted", *more)
 
 
 def chat_digests(turns: DataFrame, t: Template = CHAT) -> DataFrame:
-    """Per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid."""
-    done = format_conversations(turns, t)
-    back = read_back(done.select("conv_id", "segments"), t)
+    """Per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, bad_turn."""
+    back = read_back(format_conversations(turns, t), t)
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
@@ -102,4 +112,6 @@ def chat_digests(turns: DataFrame, t: Template = CHAT) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
     )

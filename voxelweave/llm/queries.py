@@ -122,12 +122,15 @@ select doc_id, len(w)::bigint as n_words, coalesce(len(ps),0)::bigint as n_remov
 from d left join r using (rid)""",
     "op8_chat_formatting": f"""
 with a as (select conv_id, turn, coalesce(role,'') as role, coalesce(text,'') as text from conversations
- union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
-select conv_id, count(*) as n_turns, sha256(string_agg(role||chr(10)||text||chr(10),'' order by turn nulls last, role, text)) as turns_sha256,
+ union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o as (select *, row_number() over w - 1 as nth, coalesce(lag(role) over w,'') as before from a window w as (partition by conv_id order by turn nulls last, role, text)),
+m as (select conv_id, coalesce(min(nth) filter (before||'>'||role not in ('>system','>user','system>user','user>assistant','assistant>user')), case when arg_max(role,nth)<>'assistant' then count(*) end) as bad_turn from o group by conv_id),
+g as (select conv_id, count(*) as n_turns, sha256(string_agg(role||chr(10)||text||chr(10),'' order by turn nulls last, role, text)) as turns_sha256,
  coalesce(sum(length(text)) filter (role='assistant'),0)::bigint as loss_chars,
  sha256(coalesce(string_agg(text,'' order by turn nulls last, role, text) filter (role='assistant'),'')) as loss_sha256,
  sum(length('<|'||{esc("role")}||'|>'||chr(10)||{esc("text")}||'</s>'||chr(10)))::bigint as formatted_chars
-from a group by conv_id""",
+from a group by conv_id)
+select g.*, bad_turn is null as valid, bad_turn from g join m on g.conv_id is not distinct from m.conv_id""",
     "op10_minhash_near_dedup": rf"""
 with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text,''),{LOWER}),'{SPACE}'), lambda x: x<>'') as w from documents),
 s as (select distinct doc_id, array_to_string(list_slice(w,i,i+4),' ') as k from d, unnest(range(1,len(w)-3)) u(i) where len(w)>=5
