@@ -126,12 +126,14 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, levels: int = 3, penalty:
 def graded(docs: DataFrame, labels: DataFrame, sample: int | None = 10_000) -> DataFrame:
     """(doc_id, text, grade): 2 is good quality and not toxic, 1 lacks one of the two, 0 both. Unknown grades are left out.
 
-    At most ``sample`` labels (those with the smallest hashes of doc_id) are taken, so the texts need no shuffle.
+    At most ``sample`` labels are taken, of those whose document there is (the smallest hashes of doc_id), so the texts
+    need no shuffle. Of a doc_id's several grades the least counts; null grades and null doc_ids are left out.
     """
     grade = F.col("quality") + 1 - F.col("toxic")
     rated = labels.select("doc_id", grade.cast("int").alias("grade")).filter("grade between 0 and 2").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     if sample:
-        rated = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+        there = docs.select("doc_id").join(rated, "doc_id").select("doc_id", "grade").distinct()
+        rated = F.broadcast(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     return docs.select("doc_id", "text").join(rated, "doc_id")
 
 
@@ -170,7 +172,13 @@ def grade_documents(docs: DataFrame, model: Ordinal, at_least: int = 2, least: f
 
 
 def accepted(docs: DataFrame, model: Ordinal, at_least: int = 2, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns.
+
+    Rows are judged by their text alone, so repeated rows and null doc_ids share
+    the fate of their text; null and empty texts have one feature of their own. A
+    tail probability of exactly ``least`` is kept. No rows give no rows; other
+    columns may have any name.
+    """
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(model)

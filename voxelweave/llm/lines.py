@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from ..plans.tables import text_batches
+from ..plans.tables import fresh, text_batches
 from .recurring import LAST, recurring
 from .wordhash import utf8
 
@@ -95,17 +95,20 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that ``keep_bitmaps`` drops cut from ``text``; every other column stays.
 
     ``n_chars``, where there is one, follows the new text. Rows without drops
-    are unchanged, null text included.
+    are unchanged, null and empty text included; a row that loses all its lines
+    keeps an empty text. Repeated rows are cut alike. No rows give no rows; other
+    columns may have any name.
     """
-    spans = keep_bitmaps(docs).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("keep").alias("_keep")).hint("shuffle_hash")
+    doc_, tag_, keep_ = (fresh(c, docs.columns) for c in ("_doc", "_tag", "_keep"))
+    spans = keep_bitmaps(docs).select(F.col("doc").alias(doc_), F.col("tag").alias(tag_), F.col("keep").alias(keep_)).hint("shuffle_hash")
 
     @F.pandas_udf("string")
     def cut_text(text, keep):
         return text.combine(keep, lambda t, k: t if k is None else _kept(t, k)[1].decode("utf-8", "surrogatepass"))
 
     doc, tag = F.coalesce("doc_id", F.lit(LAST)), F.coalesce(F.xxhash64("text").bitwiseAND(0x7FFFFFFF), F.lit(0))
-    joined = docs.join(spans, (doc == F.col("_doc")) & (tag == F.col("_tag")), "left")
-    out = joined.withColumn("text", F.when(F.col("_keep").isNull(), F.col("text")).otherwise(cut_text("text", "_keep")))
+    joined = docs.join(spans, (doc == F.col(doc_)) & (tag == F.col(tag_)), "left")
+    out = joined.withColumn("text", F.when(F.col(keep_).isNull(), F.col("text")).otherwise(cut_text("text", keep_)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_keep").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(keep_).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

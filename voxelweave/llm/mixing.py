@@ -55,7 +55,7 @@ def mix_copies(docs: DataFrame, seed: str = "mix", weights: Sequence[int] = (5,
     Copies of a doc_id share their coin, so reruns agree; rows with a null
     doc_id share one coin per source.
     """
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     targets = source_targets(sized, weights, most).select(F.col("source").alias("_source"), "source_size", "target")
     coin = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))), 1, 12), 16, 10).cast("double") / float(2**48)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -67,7 +67,11 @@ def mix_copies(docs: DataFrame, seed: str = "mix", weights: Sequence[int] = (5,
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it."""
+    """``docs`` with each row repeated as often as the mix takes it, all columns as they are.
+
+    A source without words (null and empty texts only) has the rate 0, so its rows go. Repeated rows of a doc_id share
+    its coin; null is a source like others. No rows give no rows; other columns may have any name.
+    """
     taken = mix_copies(docs, **options).filter("copies > 0")
     return taken.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 

@@ -111,7 +111,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 1
     the partitions, one row each, give every partition's global offset. Pass
     2 cuts each document at the multiples of ``length``. Only the last
     sequence is short. Repeated and null doc_ids are packed as they come; no
-    rows give no rows.
+    rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     text_batches(spark)
