@@ -39,6 +39,28 @@ def blobs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def places(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of even density at any size: planes of 500 points, more planes the more events there are."""
+    e = read(spark, sf, "events")
+    n = F.col("event_id")
+    return e.select(
+        n.alias("blob_id"),
+        F.floor(n / 500).cast("double").alias("z"),
+        ((n * n * 31 + n * 7) % 211).cast("double").alias("y"),
+        ((n * n * 17 + n * 13) % 499).cast("double").alias("x"),
+        F.col("value").alias("radius"),
+        (F.pmod(n, F.lit(3)) - 1).cast("int").alias("confirmed"),
+        F.pmod(F.col("user_id"), F.lit(4)).cast("int").alias("channel"),
+    )
+
+
+def rois(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes, one a supplier: roi_id, z0, y0, x0, nz, ny, nx."""
+    k = F.col("s_suppkey")
+    size = [F.lit(n).alias(c) for c, n in (("nz", 6), ("ny", 40), ("nx", 60))]
+    return read(spark, sf, "supplier").select(k.cast("long").alias("roi_id"), (k % 20).cast("int").alias("z0"), (k * 37 % 170).cast("int").alias("y0"), (k * 53 % 430).cast("int").alias("x0"), *size)
+
+
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
     """sample, region, condition, volume, nuclei per order."""
     o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
@@ -63,6 +85,8 @@ def ontology(spark: SparkSession, sf: str) -> DataFrame:
 SQL = {
     "voxels": "(select l_linestatus as sample, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as channel, l_quantity::int as z, round(l_discount*100)::int as y, round(l_tax*100)::int as x, (l_suppkey+1)::int as label, (l_partkey%100+1)::int as label2, l_extendedprice as atlas from lineitem)",
     "blobs": "(select event_id as blob_id, user_id as roi, (event_id*7%50)::double as z, (event_id*13%200)::double as y, (event_id*29%300)::double as x, value as radius, (event_id%3-1)::int as confirmed, (event_id%5%3-1)::int as truth, (user_id%4)::int as channel from events)",
+    "places": "(select event_id as blob_id, (event_id//500)::double as z, ((event_id*event_id*31+event_id*7)%211)::double as y, ((event_id*event_id*17+event_id*13)%499)::double as x, value as radius, (event_id%3-1)::int as confirmed, (user_id%4)::int as channel from events)",
+    "rois": "(select s_suppkey::bigint as roi_id, (s_suppkey%20)::int as z0, (s_suppkey*37%170)::int as y0, (s_suppkey*53%430)::int as x0, 6 as nz, 40 as ny, 60 as nx from supplier)",
     "metrics": "(select o_custkey as sample, c_nationkey as region, o_orderstatus as condition, o_totalprice as volume, c_acctbal as nuclei from orders join customer on o_custkey=c_custkey)",
     "ontology": "(select 1000000::bigint as id, 'root' as name, 0 as level, null::bigint as parent union all select 100000+r_regionkey, r_name, 1, 1000000 from region union all select 200000+n_nationkey, n_name, 2, 100000+n_regionkey from nation union all select s_suppkey+1, s_name, 3, 200000+s_nationkey from supplier)",
 }

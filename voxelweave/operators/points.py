@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut, partitions
+from ..plans.tables import cut, free, partitions
 from .components import components
 
 AXES = ("z", "y", "x")
@@ -81,27 +81,40 @@ def without_close(check: DataFrame, master: DataFrame, tolerance: Sequence[float
     return check.join(close, key, "left_anti")
 
 
-def thinned(points: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id", rounds: int = 60) -> DataFrame:
+def absorbed(check: DataFrame, master: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
+    """``master`` with the places of points that absorb others: the half-even mean with the last (by id) close row of ``check``."""
+    cols = [key, *keys, *AXES]
+    pairs = near_pairs(check.select(*cols), master.select(*cols), tolerance, keys)
+    last = pairs.groupBy(F.col(f"{key}_b").alias(key)).agg(F.max(F.struct(f"{key}_a", *[F.bround((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2).alias(c) for c in AXES])).alias("_m"))
+    out = master.join(last, key, "left")
+    return out.select(*[F.coalesce(F.col(f"_m.{c}"), out[c]).alias(c) if c in AXES else F.col(c) for c in master.columns])
+
+
+def thinned(points: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
     """Keep-first in z, y, x order: a point goes if a kept earlier one is within the tolerance.
 
-    Rounds: a point without an undecided or kept earlier neighbour is kept;
-    then those near a kept one go. The same result as one sequential scan.
+    Of the points of one place all but the first go, so rounds run over
+    places: one without an undecided or kept earlier neighbour is kept; then those
+    near a kept one go; until none is undecided. The same result as
+    one sequential scan; a chain takes a round for each two of its places.
     """
-    order = lambda e: F.struct(*[F.col(f"{c}_{e}") for c in (*AXES, key)])
-    cols = [key, *keys, *AXES]
-    pairs = near_pairs(points.select(*cols), points.select(*cols), tolerance, keys).filter(order("b") < order("a")).select(F.col(f"{key}_a").alias("later"), F.col(f"{key}_b").alias("earlier"))
-    pairs = cut(pairs.distinct())
-    gone = None
-    left = pairs
-    for _ in range(rounds):
-        waiting = left.select("later").distinct()
-        kept = left.select(F.col("earlier").alias("later")).distinct().join(waiting, "later", "left_anti").withColumnRenamed("later", "earlier")
+    cols = [*keys, *AXES]
+    places = cut(points.filter(" and ".join(f"{c} is not null" for c in cols)).groupBy(*cols).agg(F.min(key).alias(key)))
+    order = lambda e: F.struct(*[F.col(f"{c}_{e}") for c in AXES])
+    pairs = near_pairs(places, places, tolerance, keys).filter(order("b") < order("a")).select(F.col(f"{key}_a").alias("later"), F.col(f"{key}_b").alias("earlier"))
+    left, gone = cut(pairs.distinct()), None
+    while not left.isEmpty():
+        waiting = left.select(F.col("later").alias("earlier")).distinct()
+        kept = left.select("earlier").distinct().join(waiting, "earlier", "left_anti")
         out = cut(left.join(kept, "earlier").select("later").distinct())
         gone = out if gone is None else gone.unionByName(out)
-        left = cut(left.join(out, "later", "left_anti").join(out.withColumnRenamed("later", "earlier"), "earlier", "left_anti").join(kept, "earlier", "left_anti"))
-        if left.isEmpty():
-            break
-    return points.join(gone.withColumnRenamed("later", key), key, "left_anti")
+        done = out.select(F.col("later").alias("earlier"), F.lit(True).alias("_gone"))
+        old, left = left, cut(left.join(out, "later", "left_anti").join(done, "earlier", "left_anti"))
+        free(old)
+    gone = places.select(key).limit(0) if gone is None else gone.select(F.col("later").alias(key))
+    stays = places.select(key).join(gone, key, "left_anti")
+    without = points.filter(" or ".join(f"{c} is null" for c in cols))  # near nothing
+    return points.join(stays.unionByName(without.select(key)), key, "left_semi")
 
 
 def pruned_tiles(points: DataFrame, tile: Sequence[int], overlap: Sequence[float], tolerance: Sequence[float], key: str = "blob_id") -> DataFrame:
@@ -179,21 +192,34 @@ def closest(a: DataFrame, b: DataFrame, tolerance: float, keys: Sequence[str] =
     return pairs.groupBy(F.col(f"{key}_a").alias("a")).agg(F.min(F.struct(F.col("_d").alias("dist"), F.col(f"{key}_b").alias("b"))).alias("p")).select("a", "p.b", "p.dist")
 
 
-def nearest(points: DataFrame, k: int, radius: float, axes: Sequence[str], key: str, grow: int = 12) -> DataFrame:
-    """Distance to the k-th neighbour, itself the first; the radius doubles for those with too few, up to ``grow`` times."""
-    todo, out = points.select(key, *axes), None
+def extent(*tables: DataFrame, axes: Sequence[str] = AXES) -> float:
+    """Length of the diagonal of the box around all points; 0 without points."""
+    both = tables[0].select(*axes)
+    for t in tables[1:]:
+        both = both.unionByName(t.select(*axes))
+    ends = both.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in axes]).first()
+    return sum((x or 0.0) ** 2 for x in ends) ** 0.5
+
+
+def nearest(points: DataFrame, k: int, radius: float, axes: Sequence[str], key: str) -> DataFrame:
+    """Distance to the k-th neighbour, itself the first; null where there are fewer points.
+
+    The radius doubles for those with too few neighbours in reach, until it
+    spans all points. Of a point's neighbours only the k nearest are kept, in each task
+    before the shuffle and after it.
+    """
     everyone = points.select(key, *axes)
-    for i in range(grow):
-        pairs = near_pairs(todo, everyone, (radius,) * len(axes), (), axes).withColumn("d", F.sqrt(squared(axes))).filter(F.col("d") <= radius)
-        best = pairs.groupBy(F.col(f"{key}_a").alias(key)).agg(F.min_by("d", F.lit(0)).alias("_"), F.sort_array(F.collect_list("d")).alias("ds"))
-        best = cut(best.select(key, F.get("ds", F.lit(k - 1)).alias("dist")))
-        have = best.filter("dist is not null")
+    todo, out, far = everyone, None, extent(points, axes=axes)
+    nth = Window.partitionBy(f"{key}_a").orderBy("d")
+    while True:
+        pairs = near_pairs(todo, everyone, (radius,) * len(axes), (), axes).select(f"{key}_a", F.sqrt(squared(axes)).alias("d")).filter(F.col("d") <= radius)
+        best = pairs.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= k).groupBy(F.col(f"{key}_a").alias(key)).agg(F.max(F.when(F.col("_n") == k, F.col("d"))).alias("dist"))
+        have = cut(best.filter("dist is not null"))
         out = have if out is None else out.unionByName(have)
         todo = cut(todo.join(have.select(key), key, "left_anti"))
-        if i == grow - 1 or todo.isEmpty():
-            break
+        if radius > far or todo.isEmpty():
+            return out.unionByName(todo.select(key, F.lit(None).cast("double").alias("dist")))
         radius *= 2
-    return out
 
 
 def dbscan(points: DataFrame, eps: float, least: int, axes: Sequence[str], key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -219,7 +245,7 @@ def cluster_metrics(clusters: DataFrame) -> DataFrame:
 
 
 def latest_rows(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Upsert: the new row of each key replaces the old one."""
+    """Upsert: the new row of each key replaces the old one; a grouped maximum. Of several new rows of a key the greatest stays."""
+    rest = [c for c in old.columns if c not in key]
     both = old.withColumn("_s", F.lit(0)).unionByName(new.withColumn("_s", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("_s"))
-    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_s")
+    return both.groupBy(*key).agg(F.max(F.struct("_s", *rest)).alias("_r")).select(*[F.col(c) if c in key else F.col(f"_r.{c}") for c in old.columns])

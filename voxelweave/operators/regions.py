@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 CELL = ["z", "y", "x"]
 
 
 def region_counts(v: DataFrame, group: list[str], value: str = "atlas") -> DataFrame:
-    """Volume, summed and described intensity of each region, in one pass."""
-    p = lambda q: F.percentile(value, F.lit(q))
-    return v.groupBy(*group).agg(
-        F.count("*").alias("volume"), F.sum(value).alias("intensity"), F.stddev_pop(value).alias("std"), F.avg(value).alias("mean"), p(0.5).alias("median"), p(0.05).alias("low"), p(0.95).alias("high")
-    )
+    """Volume, summed and described intensity of each region; quantiles from sorted counts."""
+    sums = v.groupBy(*group).agg(F.count("*").alias("volume"), F.sum(value).alias("intensity"), F.stddev_pop(value).alias("std"), F.avg(value).alias("mean"))
+    return sums.join(quantiles(v, group, value, {"median": 0.5, "low": 0.05, "high": 0.95}), group, "left")
 
 
 def entropy(v: DataFrame, group: list[str], value: str) -> DataFrame:
@@ -127,7 +129,12 @@ def unlabeled_share(v: DataFrame, label: str, extent: tuple[int, int]) -> DataFr
 
 
 def intensity_bounds(v: DataFrame, by: str, value: str, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    return v.groupBy(by).agg(F.percentile(value, F.lit(low)).alias("near_min"), F.percentile(value, F.lit(high)).alias("near_max"))
+    return quantiles(v, [by], value, {"near_min": low, "near_max": high})
+
+
+def merged_bounds(planes: DataFrame, by: str) -> DataFrame:
+    """Per-plane bounds as those of the whole volume."""
+    return planes.groupBy(by).agg(F.min("near_min").alias("near_min"), F.max("near_max").alias("near_max"))
 
 
 def unmixed(v: DataFrame, parts: dict[int, dict[int, float]], channels: list[int]) -> DataFrame:
@@ -135,3 +142,117 @@ def unmixed(v: DataFrame, parts: dict[int, dict[int, float]], channels: list[int
     wide = v.groupBy("sample", *CELL).pivot("channel", channels).agg(F.avg("atlas"))
     cols = {c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in channels}
     return wide.select("sample", *CELL, *[F.greatest(cols[c] - sum((cols[o] * f for o, f in parts.get(c, {}).items()), F.lit(0.0)), F.lit(0.0)).alias(f"channel_{c}") for c in channels])
+
+
+def point_labels(points: DataFrame, v: DataFrame, scale: tuple[float, float, float], label: str = "label") -> DataFrame:
+    """Each point with the label at its truncated scaled place; null beyond the volume."""
+    at = points.select("*", *[(F.col(c) * f).cast("int").alias(f"{c}_index") for c, f in zip(CELL, scale, strict=True)])
+    cells = v.select(*[F.col(c).alias(f"{c}_index") for c in CELL], F.col(label).alias("label"))
+    return at.join(cells, [f"{c}_index" for c in CELL], "left").select(*points.columns, "label")
+
+
+def edge_distances(edges: DataFrame, distances: DataFrame, label: str = "label") -> DataFrame:
+    """Sum, mean and number of the distances on each label's edge voxels."""
+    return edges.join(distances, CELL).groupBy(label).agg(F.sum("dist").alias("edge_dist_sum"), F.avg("dist").alias("edge_dist_mean"), F.count("*").alias("edge_size"))
+
+
+def inside_outside(v: DataFrame, interior: DataFrame, value: str, label: str = "label") -> DataFrame:
+    """Deviation of all voxels, of the interior and of the border of each label, their difference, and the coefficient of variation."""
+    d = v.filter(F.col(label) != 0).join(interior.select(*CELL, F.lit(True).alias("_in")), CELL, "left")
+    inner, outer = F.stddev_pop(F.when(F.col("_in"), F.col(value))), F.stddev_pop(F.when(F.col("_in").isNull(), F.col(value)))
+    return d.groupBy(label).agg(F.stddev_pop(value).alias("var"), inner.alias("var_in"), outer.alias("var_out"), (outer - inner).alias("var_diff"), F.try_divide(F.stddev_pop(value), F.avg(value)).alias("coef_var"))
+
+
+def region_metrics(v: DataFrame, points: DataFrame, distances: DataFrame, group: list[str], value: str = "atlas", label: str = "label") -> DataFrame:
+    """One row per region: counts, intensity, points, density and edge distances; a region without points or edges has 0 and null.
+
+    ``v`` has ``group`` and voxels, ``points`` has ``group`` and a row a point, ``distances`` has ``group`` and ``dist``.
+    """
+    n = points.groupBy(*group).agg(F.count("*").alias("nuclei"))
+    e = distances.groupBy(*group).agg(F.sum("dist").alias("edge_dist_sum"), F.avg("dist").alias("edge_dist_mean"), F.count("*").alias("edge_size"))
+    out = region_counts(v, group, value).join(n, group, "left").join(e, group, "left")
+    nuclei = F.coalesce("nuclei", F.lit(0))
+    return out.withColumn("nuclei", nuclei).withColumn("density", F.try_divide(nuclei, F.col("volume")))
+
+
+def combined_sides(df: DataFrame, by: list[str]) -> DataFrame:
+    """Volumes and nuclei of both sides of a region together, the density anew."""
+    out = df.withColumn("region", F.abs("region")).groupBy(*by).agg(F.sum("volume").alias("volume"), F.sum("nuclei").alias("nuclei"))
+    return out.withColumn("density", F.try_divide("nuclei", "volume"))
+
+
+def thresholded_overlap(v: DataFrame, a: str, b: str, low_a: float | None = None, low_b: float | None = None) -> DataFrame:
+    """Dice coefficient and sizes of the two foregrounds; a threshold defaults to the mean."""
+    means = v.agg(F.avg(a).alias("_a"), F.avg(b).alias("_b"))
+    d = v.crossJoin(F.broadcast(means))  # one row
+    one = F.col(a) > (F.col("_a") if low_a is None else low_a)
+    two = F.col(b) > (F.col("_b") if low_b is None else low_b)
+    n = lambda m: F.count(F.when(m, 1))
+    return d.agg(dice(one, two).alias("dsc"), n(one).alias("size_a"), n(two).alias("size_b"))
+
+
+def mean_label_overlap(v: DataFrame, a: str, b: str) -> DataFrame:
+    """One Dice coefficient over all labels: twice the voxels of equal label over those labelled in either."""
+    return v.agg(F.try_divide(2 * F.sum(((F.col(a) == F.col(b)) & (F.col(a) != 0)).cast("int")), F.sum((F.col(a) != 0).cast("int")) + F.sum((F.col(b) != 0).cast("int"))).alias("dsc"))
+
+
+def value_map(v: DataFrame, df: DataFrame, value: str, condition: str | None = None, fn: Callable[[str], Column] = F.avg, label: str = "label") -> DataFrame:
+    """Voxels with their region's averaged value, or with the second condition's less the first's (in order); by the label without its sign."""
+    if condition is None:
+        by = df.groupBy("region").agg(fn(value).alias("value"))
+    else:
+        ends = df.agg(F.min(condition).alias("_lo"), F.max(condition).alias("_hi"))
+        each = df.groupBy("region", condition).agg(fn(value).alias("_v")).crossJoin(F.broadcast(ends))  # one row
+        of = lambda end: F.max(F.when(F.col(condition) == F.col(end), F.col("_v")))
+        by = each.groupBy("region").agg((of("_hi") - of("_lo")).alias("value"))
+    return v.join(by, F.abs(label) == F.col("region"), "left").select(*v.columns, "value")
+
+
+def pair_heat_maps(points: DataFrame, scale: tuple[float, float, float], shape: tuple[int, int, int], flags: list[str]) -> DataFrame:
+    """Points per scaled voxel for each pair of channels whose flags both are 1."""
+    pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1 :]]
+    on = F.filter(F.array(*[F.when((F.col(a) == 1) & (F.col(b) == 1), F.lit(f"{a}-{b}")) for a, b in pairs]), lambda x: x.isNotNull())
+    return heat_map(points.select(*CELL, F.explode(on).alias("pair")), scale, shape, ["pair"])
+
+
+def scaled_boxes(boxes_of: DataFrame, scale: tuple[float, float, float]) -> DataFrame:
+    """Boxes and centroids over the scaling, rounded half-even."""
+    return boxes_of.withColumns({f"{c}_{n}": F.bround(F.col(f"{c}_{n}") / f).cast("int") for c, f in zip(CELL, scale, strict=True) for n in ("min", "max", "mid")})
+
+
+def radial_distance(borders: DataFrame, centre: DataFrame) -> DataFrame:
+    """Distance of each border voxel to the truncated centre (one row of z, y, x)."""
+    mid = centre.select(*[F.col(c).cast("int").alias(f"_{c}") for c in CELL])
+    return borders.crossJoin(F.broadcast(mid)).select(*CELL, F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in CELL), F.lit(0.0))).alias("radial"))  # one row
+
+
+def smoothing_metrics(before: DataFrame, after: DataFrame, label: str = "label") -> DataFrame:
+    """Per label of two (label, volume, surface) tables: compaction, displacement of volume, quality, surface to volume and its change."""
+    d = before.join(after.select(label, F.col("volume").alias("volume_new"), F.col("surface").alias("surface_new")), label, "left")
+    shape = lambda s, n: F.try_divide(F.col(s) ** 3, F.col(n) ** 2)
+    compaction = F.try_divide(shape("surface", "volume") - shape("surface_new", "volume_new"), shape("surface", "volume"))
+    displacement = F.try_divide(F.abs(F.col("volume_new") - F.col("volume")), F.col("volume"))
+    to_vol, to_vol_new = F.try_divide("surface", "volume"), F.try_divide("surface_new", "volume_new")
+    return d.select(
+        label, "volume", "volume_new", compaction.alias("compaction"), displacement.alias("displacement"), (compaction - displacement).alias("quality"), to_vol.alias("sa_to_vol"), to_vol_new.alias("sa_to_vol_new"), F.try_divide(to_vol_new, to_vol).alias("sa_to_vol_frac"), F.col("volume_new").isNull().alias("lost")
+    )
+
+
+def saturated(v: DataFrame, by: str, value: str, low: float = 0.05, high: float = 0.995) -> DataFrame:
+    """Values clipped at two quantiles of their channel and stretched to 0 .. 1; a flat channel stays as it is."""
+    ends = quantiles(v, [by], value, {"_lo": low, "_hi": high})
+    clipped = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
+    return v.join(ends, by).withColumn(value, F.when(F.col("_hi") > F.col("_lo"), (clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col(value))).select(*v.columns)
+
+
+def otsu(v: DataFrame, value: str, bins: int = 256) -> DataFrame:
+    """The threshold of greatest variance between the classes below and above it, from a histogram of ``bins`` bins."""
+    ends = v.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    at = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
+    h = v.crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row; at most ``bins`` rows
+    before, every = Window.orderBy("bin"), Window.partitionBy()
+    mid = F.col("n") * (F.col("bin") + 0.5)
+    c = h.select("bin", F.sum("n").over(before).alias("w0"), F.sum(mid).over(before).alias("s0"), F.sum("n").over(every).alias("w"), F.sum(mid).over(every).alias("s")).filter("w0 < w")
+    gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0"))
+    best = c.agg(F.max_by("bin", F.col("w0") * (F.col("w") - F.col("w0")) * gap**2).alias("bin"))
+    return ends.crossJoin(best).select((F.col("lo") + (F.col("bin") + 0.5) / bins * (F.col("hi") - F.col("lo"))).alias("threshold"))

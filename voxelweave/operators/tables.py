@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def join_on(dfs: Sequence[DataFrame], key: str, how: str = "left", first_only: bool = False) -> DataFrame:
-    """Chain of joins; a column that the left has already gets the suffix ``_i``; ``first_only`` keeps one row per key."""
+    """Chain of joins; a column that the left has already gets the suffix ``_i``; ``first_only`` keeps the least row of each key, as tables have no order."""
     out = dfs[0]
     for i, df in enumerate(dfs[1:], 1):
         if first_only:
@@ -25,14 +27,8 @@ def normalize_to_base(df: DataFrame, ids: list[str], condition: str, base: str,
     return df.join(ref, ids, "left").select(*ids, condition, *[fn(F.col(m), F.col(f"_base_{m}")).alias(m) for m in metrics])
 
 
-def z_scores(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
-    """(x - mean) / population deviation within the group; nulls are left out of both."""
-    w = Window.partitionBy(*group)
-    return df.withColumns({f"{m}_z": F.try_divide(F.col(m) - F.avg(m).over(w), F.stddev_pop(m).over(w)) for m in metrics})
-
-
 def z_scores_grouped(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
-    """As ``z_scores``, from grouped moments joined back: no group passes through one task."""
+    """(x - mean) / population deviation within the group, nulls left out of both; from grouped moments joined back, so no group passes through one task."""
     moments = df.groupBy(*group).agg(*[F.avg(m).alias(f"_m_{m}") for m in metrics], *[F.stddev_pop(m).alias(f"_s_{m}") for m in metrics])
     out = df.join(moments, group)
     return out.select(*df.columns, *[F.try_divide(F.col(m) - F.col(f"_m_{m}"), F.col(f"_s_{m}")).alias(f"{m}_z") for m in metrics])
@@ -139,4 +135,78 @@ def common_labels(df: DataFrame, sample: str, samples: list[str], label: str) ->
 def group_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """n, mean, median, sample deviation and standard error."""
     sd = F.stddev_samp(value)
-    return df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), sd.alias("sd"), (sd / F.sqrt(F.count(value))).alias("se"))
+    sums = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count(value))).alias("se"))
+    return sums.join(quantiles(df, group, value, {"median": 0.5}), group, "left").select(*group, "n", "mean", "median", "sd", "se")
+
+
+def with_columns(df: DataFrame, values: dict[str, object]) -> DataFrame:
+    """Constant columns."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def prefixed(dfs: dict[str, DataFrame], key: str, keep: Callable[[str], bool] = lambda c: True) -> DataFrame:
+    """The columns chosen by name of each table, as ``label.column`` with _ for the dot, side by side by ``key``."""
+    out = None
+    for label, df in dfs.items():
+        part = df.select(key, *[F.col(c).alias(f"{label}_{c}") for c in df.columns if c != key and keep(c)])
+        out = part if out is None else out.join(part, key, "full_outer")
+    return out
+
+
+def pivoted(df: DataFrame, ids: list[str], conditions: list[str], values: list[str], aggregate: Column) -> DataFrame:
+    """A column for each of ``values``, the conditions joined by _; ``aggregate`` says which value where several meet."""
+    key = F.concat_ws("_", *conditions)
+    return df.withColumn("_key", key).groupBy(*ids).pivot("_key", values).agg(aggregate)
+
+
+def present_in(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    return df.join(other.select(key).distinct(), key, "left_semi")
+
+
+def with_names(df: DataFrame, regions: DataFrame, key: str) -> DataFrame:
+    """Region names and levels on metric rows; all metric rows stay."""
+    return regions.join(df, key, "right")
+
+
+def peaks(df: DataFrame, ids: list[str], size: str, quality: str) -> DataFrame:
+    """Rows of the best quality of each group, and those of filter size 0."""
+    top = df.groupBy(*ids).agg(F.max(quality).alias("_top"))
+    return df.join(top, ids).filter((F.col(quality) == F.col("_top")) | (F.col(size) == 0)).select(*df.columns)
+
+
+def chosen_in_order(df: DataFrame, column: str, groups: list) -> DataFrame:
+    """Rows of the listed groups with ``place``, the group's place in the list."""
+    return df.withColumn("place", F.array_position(F.array(*map(F.lit, dict.fromkeys(groups))), F.col(column)).cast("int")).filter("place > 0")
+
+
+def volcano(df: DataFrame, effect: str, p: str, volume: str, least_effect: float, least_logp: float) -> DataFrame:
+    """-log10 p, the size sqrt(volume / max) and whether a row is labelled."""
+    top = df.agg(F.max(volume).alias("_top"))
+    logp = -F.log10(p)
+    return df.crossJoin(F.broadcast(top)).select(*df.columns, logp.alias("logp"), F.sqrt(F.try_divide(volume, F.col("_top"))).alias("size"), ((F.abs(effect) >= least_effect) & (logp >= least_logp)).alias("labelled"))  # one row
+
+
+def grid_statistics(df: DataFrame, params: list[str]) -> DataFrame:
+    """Positives and detections summed per parameter set: precision, sensitivity and false discovery rate."""
+    s = df.groupBy(*params).agg(*[F.sum(c).alias(c) for c in ("pos", "tp", "fp")])
+    ppv = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    return s.select(*params, "pos", "tp", "fp", ppv.alias("ppv"), F.try_divide("tp", "pos").alias("sensitivity"), (1 - ppv).alias("fdr"))
+
+
+def parameter_grid(df: DataFrame, values: dict[str, Sequence[float]], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn`` of ``df`` with a column for each parameter, at every combination of the listed values."""
+    for name, x in values.items():
+        df = df.withColumn(name, F.explode(F.array(*map(F.lit, x))))
+    return fn(df)
+
+
+def compared_sets(df: DataFrame, size: str, best: Column) -> DataFrame:
+    """Labelled unions of the unsmoothed rows, the rows of the best size, and all smoothed rows."""
+    of = lambda name, on: df.filter(on).withColumn("set", F.lit(name))
+    return of("original", F.col(size) == 0).unionByName(of("best", best)).unionByName(of("smoothed", F.col(size) > 0))
+
+
+def pruning_ratios(df: DataFrame, by: list[str], before: str, after: str, next_: str) -> DataFrame:
+    """Points kept by pruning over those before and over the next tile's; means weighted by the points."""
+    mean = lambda c: F.try_divide(F.sum(F.try_divide(F.col(after), F.col(c)) * F.col(before)), F.sum(F.when(F.col(c) != 0, F.col(before))))
+    return df.groupBy(*by).agg(F.sum(before).alias("points"), mean(before).alias("kept"), mean(next_).alias("kept_to_next"))

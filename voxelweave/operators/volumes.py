@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import cut
 from .components import components
-from .points import near_pairs, squared
+from .points import extent, near_pairs, squared
 
 CELL = ["z", "y", "x"]
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -22,11 +22,6 @@ def _neighbours(v: DataFrame, columns: Sequence[str], offsets: Sequence[tuple[in
     return e.select(*[F.col(c).alias(f"{c}0") for c in CELL], *columns, *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in CELL])
 
 
-def one_label_a_cell(v: DataFrame, label: str) -> DataFrame:
-    """The smallest label where several rows share a place."""
-    return v.groupBy(*CELL).agg(F.min(label).alias("label"))
-
-
 def tiles(v: DataFrame, size: Sequence[int], overlap: Sequence[int], shape: Sequence[int]) -> DataFrame:
     """Each voxel with every tile that holds it; a tile reaches past its far side by the overlap."""
     for c, s, o, n in zip(CELL, size, overlap, shape, strict=True):
@@ -97,19 +92,24 @@ def dilated(v: DataFrame, radius: int = 1) -> DataFrame:
     return _neighbours(v, [], ball).select(*CELL).distinct()
 
 
-def nearest_voxel(a: DataFrame, b: DataFrame, radius: float = 2.0, grow: int = 12) -> DataFrame:
-    """For each voxel of ``a`` the distance to the nearest of ``b``; the radius doubles where none is found."""
-    todo, out = a.select(*CELL).distinct(), None
-    there = b.select(*CELL).distinct()
-    for i in range(grow):
+def nearest_voxel(a: DataFrame, b: DataFrame, radius: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
+    """For each voxel of ``a`` the distance to the nearest of ``b``, and that one's columns ``carry`` (ties by place); null if ``b`` is empty.
+
+    The radius doubles where none is found, until it spans both sets.
+    """
+    todo, out, far = a.select(*CELL).distinct(), None, extent(a, b)
+    there = b.select(*CELL, *carry).distinct()
+    if there.isEmpty():
+        return todo.select("*", F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in carry])
+    while True:
         pairs = near_pairs(todo, there, (radius,) * 3).withColumn("d", F.sqrt(squared())).filter(F.col("d") <= radius)
-        best = cut(pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in CELL]).agg(F.min("d").alias("dist")))
+        near = F.min(F.struct("d", *[f"{c}_b" for c in (*CELL, *carry)])).alias("_m")
+        best = cut(pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in CELL]).agg(near).select(*CELL, F.col("_m.d").alias("dist"), *[F.col(f"_m.{c}_b").alias(c) for c in carry]))
         out = best if out is None else out.unionByName(best)
         todo = cut(todo.join(best, CELL, "left_anti"))
-        if i == grow - 1 or todo.isEmpty():
-            break
+        if radius > far or todo.isEmpty():
+            return out
         radius *= 2
-    return out
 
 
 def mirrored(v: DataFrame, axis: str, middle: int, sign: int = -1, label: str = "label") -> DataFrame:
@@ -127,3 +127,114 @@ def asymmetric(v: DataFrame, axis: str, middle: int, sign: int = -1, label: str
 def turned(v: DataFrame, a: str, b: str, size: int) -> DataFrame:
     """A quarter turn in the plane of two axes."""
     return v.withColumns({a: F.col(b), b: F.lit(size - 1) - F.col(a)})
+
+
+def flipped(v: DataFrame, axis: str, size: int) -> DataFrame:
+    """The axis reversed."""
+    return v.withColumn(axis, F.lit(size - 1) - F.col(axis))
+
+
+def transposed(v: DataFrame, a: str, b: str) -> DataFrame:
+    """Two axes swapped."""
+    return v.withColumns({a: F.col(b), b: F.col(a)})
+
+
+def truncated(v: DataFrame, bounds: dict[str, tuple[float, float]], shape: dict[str, int], label: str = "label") -> DataFrame:
+    """Labels beyond the fractional bounds of any axis become 0."""
+    inside = F.lit(True)
+    for c, (low, high) in bounds.items():
+        inside = inside & (F.col(c) >= int(low * shape[c])) & (F.col(c) < int(high * shape[c]))
+    return v.withColumn(label, F.when(inside, F.col(label)).otherwise(0))
+
+
+def cropped(v: DataFrame, offset: Sequence[int], size: Sequence[int], border: Sequence[int] = (0, 0, 0)) -> DataFrame:
+    """The half-open box with its border on both sides, moved to the origin."""
+    for c, o, n, b in zip(CELL, offset, size, border, strict=True):
+        v = v.filter((F.col(c) >= o - b) & (F.col(c) < o + n + b))
+    return v.withColumns({c: F.col(c) - max(o - b, 0) for c, o, b in zip(CELL, offset, border, strict=True)})
+
+
+def cropped_to_labels(v: DataFrame, padding: int = 0, label: str = "label") -> DataFrame:
+    """The box around all labelled voxels with padding, within the volume, moved to its corner."""
+    ends = v.filter(F.col(label) != 0).agg(*[f(c).alias(f"{c}_{n}") for c in CELL for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    d = v.crossJoin(F.broadcast(ends))  # one row
+    for c in CELL:
+        d = d.filter(F.col(c).between(F.col(f"{c}_lo") - padding, F.col(f"{c}_hi") + padding))
+    return d.select(*[(F.col(c) - F.greatest(F.col(f"{c}_lo") - padding, F.lit(0))).alias(c) if c in CELL else F.col(c) for c in v.columns])
+
+
+def without_leading_planes(v: DataFrame, axis: str, label: str = "label") -> DataFrame:
+    """Planes before the first that has a label are dropped."""
+    first = v.filter(F.col(label) != 0).agg(F.min(axis).alias("_first"))
+    return v.crossJoin(F.broadcast(first)).filter(F.col(axis) >= F.col("_first")).drop("_first")  # one row
+
+
+def placed(v: DataFrame, other: DataFrame, offset: Sequence[int], value: str) -> DataFrame:
+    """``other``, moved by ``offset``, overwrites the voxels of ``v`` that it covers; beyond ``v`` it is cut off."""
+    there = other.select(*[(F.col(c) + o).cast("int").alias(c) for c, o in zip(CELL, offset, strict=True)], F.col(value).alias("_new"))
+    return v.join(there, CELL, "left").withColumn(value, F.coalesce("_new", value)).select(*v.columns)
+
+
+def masked(v: DataFrame, mask: DataFrame, label: str = "label") -> DataFrame:
+    """Labels become 0 where ``mask`` has no voxel."""
+    on = mask.select(*CELL, F.lit(True).alias("_on")).distinct()
+    return v.join(on, CELL, "left").withColumn(label, F.when(F.col("_on"), F.col(label)).otherwise(0)).select(*v.columns)
+
+
+def combined_masks(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Places of two voxel sets: ``and``, ``or``, ``xor`` or ``not`` (the first without the second)."""
+    both = a.select(*CELL, F.lit(1).alias("n")).distinct().unionByName(b.select(*CELL, F.lit(2).alias("n")).distinct()).groupBy(*CELL).agg(F.sum("n").alias("n"))
+    return both.filter({"and": "n = 3", "or": "n >= 1", "xor": "n <> 3", "not": "n = 1"}[how]).select(*CELL)
+
+
+def opened(v: DataFrame, radius: int = 1, label: str = "label") -> DataFrame:
+    """Erosion and then dilation of each label; a voxel that several labels reach takes the smallest."""
+    return _grown(eroded(v, label, radius), radius, label)
+
+
+def _grown(v: DataFrame, radius: int, label: str) -> DataFrame:
+    r = range(-radius, radius + 1)
+    ball = [(a, b, c) for a in r for b in r for c in r if a * a + b * b + c * c <= radius * radius]
+    return _neighbours(v, [label], ball).groupBy(*CELL).agg(F.min(label).alias(label))
+
+
+def closed(v: DataFrame, radius: int = 1) -> DataFrame:
+    """Dilation and then erosion of a voxel set; places beyond the volume are as others."""
+    wide = dilated(v, radius).withColumn("label", F.lit(1))
+    return eroded(wide, "label", radius).select(*CELL)
+
+
+def in_painted(v: DataFrame, label: str = "label") -> DataFrame:
+    """Voxels without a label take that of the nearest labelled voxel (ties by place); all stay if there is none."""
+    own = v.filter(F.col(label) != 0)
+    fill = nearest_voxel(v.filter(F.col(label) == 0), own.select(*CELL, F.col(label).alias("_near")), carry=["_near"])
+    return v.join(fill.drop("dist"), CELL, "left").withColumn(label, F.coalesce("_near", label)).select(*v.columns)
+
+
+def largest(named: DataFrame, label: str = "label") -> DataFrame:
+    """Of ``connected``: the largest component of each label (the smaller number of equals)."""
+    top = named.groupBy(label).agg(F.max(F.struct("size", (-F.col("component")).alias("_c"))).alias("_t")).select(label, (-F.col("_t._c")).alias("component"))
+    return named.join(top, [label, "component"])
+
+
+def zero_crossings(v: DataFrame, value: str) -> DataFrame:
+    """Voxels with a face neighbour of the other sign."""
+    near = _neighbours(v.select(*CELL, F.signum(value).alias("_s")), ["_s"]).join(v.select(*CELL, F.signum(value).alias("_m")), CELL)
+    return near.filter("_s * _m < 0").select(*[F.col(f"{c}0").alias(c) for c in CELL]).distinct()
+
+
+def erosion_table(v: DataFrame, radii: Sequence[int], least: float, label: str = "label") -> DataFrame:
+    """Per label: size, and the largest of ``radii`` (descending) whose erosion keeps over ``least`` of it, with that size; else radius 0."""
+    out = v.filter(F.col(label) != 0).groupBy(label).agg(F.count("*").alias("size"))
+    for r in radii:
+        out = out.join(eroded(v, label, r).groupBy(label).agg(F.count("*").alias(f"_{r}")), label, "left")
+    pick = F.coalesce(*[F.when(F.col(f"_{r}") > least * F.col("size"), F.struct(F.lit(r).alias("radius"), F.col(f"_{r}").alias("kept"))) for r in radii], F.struct(F.lit(0).alias("radius"), F.col("size").alias("kept")))
+    return out.select(label, "size", pick.alias("p")).select(label, "size", "p.radius", "p.kept")
+
+
+def painted(points: DataFrame, radius: int) -> DataFrame:
+    """Voxels of the balls around points, each with the greatest point id."""
+    r = range(-radius, radius + 1)
+    ball = [(a, b, c) for a in r for b in r for c in r if a * a + b * b + c * c <= radius * radius]
+    cells = points.select(*[F.col(c).cast("int").alias(c) for c in CELL], "blob_id")
+    return _neighbours(cells, ["blob_id"], ball).groupBy(*CELL).agg(F.max("blob_id").alias("blob_id"))

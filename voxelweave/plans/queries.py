@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +13,12 @@ from ..operators import regions as r
 from ..operators import stats as st
 from ..operators import tables as t
 from ..operators import volumes as v
+from .registry import ORACLE_SQL, QUERIES, query
 from .tables import read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 CONDITIONS = ["F", "O", "P"]
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            text = sql
-            for k, x in SQL.items():
-                text = text.replace("{" + k + "}", x)
-            ORACLE_SQL[f.__name__] = text
-        return f
-
-    return add
-
-
 def _tree(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     tree = views.ontology(s, d)
     return tree, h.closure(tree)
@@ -410,6 +393,11 @@ def density_clusters(s, d):
     return p.dbscan(_vectors(s, d), 4.0, 4, p.AXES, "vec_id")
 
 
+@query("select channel, count(*) as n from {blobs} group by 1")
+def points_per_channel(s, d):
+    return views.blobs(s, d).groupBy("channel").agg(F.count("*").alias("n"))
+
+
 @query("select l_orderkey%5000 as z, count(*) as n from lineitem group by 1")
 def points_per_cell(s, d):
     return read(s, d, "lineitem").groupBy((F.col("l_orderkey") % 5000).alias("z")).agg(F.count("*").alias("n"))
@@ -507,16 +495,19 @@ def mean_difference(s, d):
 
 @query("select region, count(*) as n, regr_slope(nuclei,volume) as slope, regr_intercept(nuclei,volume) as intercept, regr_r2(nuclei,volume) as r2, sqrt((regr_syy(nuclei,volume)-regr_slope(nuclei,volume)*regr_sxy(nuclei,volume))/(regr_sxx(nuclei,volume)*(count(*)-2))) as slope_se from {metrics} group by 1")
 def linear_regression(s, d):
-    return st.regression(views.metrics(s, d), "region", "volume", "nuclei")
+    return st.regression(views.metrics(s, d), "region", "volume", "nuclei").drop("p")
 
 
 @query("""with r as (select region, condition, rank() over (partition by region order by volume)+(count(*) over (partition by region, volume)-1)/2 as k, count(*) over (partition by region, volume) as ties from {metrics} where condition in ('F','O')),
 s as (select region, count(*) filter (condition='F')::double as n1, count(*) filter (condition='O')::double as n2, sum(k) filter (condition='F') as r1, sum(ties*ties-1)::double as t from r group by 1),
 z as (select region, r1-n1*(n1+1)/2 as u, n1+n2 as n, (r1-n1*(n1+1)/2-n1*n2/2)/sqrt(n1*n2/12*(n1+n2+1-t/((n1+n2)*(n1+n2-1)))) as z from s) select region, u, z, z/sqrt(n) as effect from z""")
 def rank_sum_test(s, d):
-    return st.rank_sum(views.metrics(s, d), "region", "condition", "volume", ("F", "O"))
+    return st.rank_sum(views.metrics(s, d), "region", "condition", "volume", ("F", "O")).drop("p")
 
 
 @query("""with a as (select region, rank() over (partition by region order by volume)+(count(*) over (partition by region, volume)-1)/2 as ra, rank() over (partition by region order by nuclei)+(count(*) over (partition by region, nuclei)-1)/2 as rb from {metrics}) select region, corr(ra,rb) as rho from a group by 1""")
 def spearman_correlation(s, d):
     return st.spearman(views.metrics(s, d), "region", "volume", "nuclei")
+
+
+from . import matching_queries, metric_queries, volume_queries  # noqa: E402, F401  they register theirs

@@ -9,26 +9,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
+from ..plans.tables import cut
+
 
 def write_points(points: DataFrame, path: str) -> None:
     """z, y, x and r as compressed CSV with a header."""
     points.select("z", "y", "x", F.col("radius").alias("r")).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
-def read_ontology_json(spark: SparkSession, path: str, depth: int = 16) -> DataFrame:
-    """Nested nodes below ``msg[0]``, children in arrays -> id, name, acronym, level, parent; one union branch a level."""
-    node = "id long, name string, acronym string, st_level int, parent_structure_id long"
-    schema = node
-    for _ in range(depth):
-        schema = f"{node}, children array<struct<{schema}>>"
-    level = spark.read.schema(f"msg array<struct<{schema}>>").option("multiLine", True).json(path).select(F.col("msg")[0].alias("n"))
+def read_ontology_json(spark: SparkSession, path: str) -> DataFrame:
+    """Nested nodes below ``msg[0]``, children in arrays of any depth -> id, name, acronym, level, parent.
+
+    Children stay text until their level is reached; goes on until a level has no nodes.
+    """
+    node = "array<struct<id long, name string, acronym string, st_level int, parent_structure_id long, children string>>"
+    level = spark.read.schema(f"msg {node}").option("multiLine", True).json(path).select(F.explode(F.slice("msg", 1, 1)).alias("n"))
     out = None
-    for i in range(depth + 1):
+    while True:
+        level = cut(level)
+        if level.isEmpty() and out is not None:
+            return out
         rows = level.select("n.id", "n.name", F.coalesce("n.acronym", F.lit("")).alias("acronym"), F.coalesce("n.st_level", F.lit(1)).alias("level"), F.col("n.parent_structure_id").alias("parent"))
         out = rows if out is None else out.unionByName(rows)
-        if i < depth:
-            level = level.select(F.explode("n.children").alias("n"))
-    return out
+        level = level.select(F.explode(F.from_json("n.children", node)).alias("n"))
 
 
 def read_ontology_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +49,12 @@ def read_ontology_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_label_description(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of id, colour, visibility and a quoted name; # begins a comment."""
+    """Lines of id, colour, visibility and a quoted name; # begins a comment, and lines of another form are an error."""
     line = r'^\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\s+([\d.]+)\s+(\d+)\s+(\d+)\s+"(.*)"'
     part = lambda i: F.regexp_extract("value", line, i)
-    rows = spark.read.text(path).filter(F.col("value").rlike(line))
+    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(#|$)"))
+    whole = F.when(F.col("value").rlike(line), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not a label description: "), F.col("value"))))
+    rows = rows.select(whole.alias("value"))
     ints = {1: "id", 2: "r", 3: "g", 4: "b", 6: "vis", 7: "mesh"}
     return rows.select(*[part(i).cast("int").alias(n) for i, n in ints.items()], part(5).cast("double").alias("a"), part(8).alias("name"))
 
@@ -82,3 +88,19 @@ def read_raw_volume(spark: SparkSession, path: str, dtype: str, shape: tuple[int
             yield pd.DataFrame({"z": at // ny, "y": at % ny, "x": np.tile(np.arange(nx), len(data)), "value": np.concatenate(data) if data else []})
 
     return spark.createDataFrame(rows.map(lambda r: (bytearray(r[0]), r[1])), "data binary, row long").mapInPandas(values, "z int, y int, x int, value double")
+
+
+def read_planes(spark: SparkSession, path: str, pattern: str = r"_ch_?(\d+)") -> DataFrame:
+    """Plane files of a folder -> path, channel (from the name by ``pattern``, else 0) and z (order of the names in a channel)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    channel = F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("int"), F.lit(0))
+    ordered = files.select("path", "length", channel.alias("channel"), name.alias("name"), F.lit(1).alias("one"))
+    return running(ordered, ["channel"], "name", "one").select("path", "length", "channel", F.col("before").cast("int").alias("z"))
+
+
+def records(spark: SparkSession, rows: Sequence[dict], columns: dict[str, str]) -> DataFrame:
+    """A table of records, or of a dict of lists, with ``columns`` (source key -> column name) in that order."""
+    if isinstance(rows, dict):
+        rows = [dict(zip(rows, x, strict=True)) for x in zip(*rows.values(), strict=True)]
+    return spark.createDataFrame([tuple(r.get(k) for k in columns) for r in rows], list(columns.values()))
