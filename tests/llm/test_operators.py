@@ -48,7 +48,7 @@ DOCS = {
     "cut": lines.drop_repeated_lines,
     "rules": rules.quality,
     "secrets": secrets.secret_digests,
-    "grades": lambda d: grades.grade_documents(d, grades.fit([], np.array([], np.int64))),
+    "grades": lambda d: grades.grade_documents(d, grades.fit(*[np.array([], np.int64)] * 3)),
     "mix": mixing.mix_table,
     "passages": passages.passage_digests,
     "near": neardup.near_components,

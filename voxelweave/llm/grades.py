@@ -70,9 +70,10 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None], -40, 40)))
 
 
-def fit(buckets: list[np.ndarray], grades: np.ndarray, levels: int = 3, penalty: float = 1.0, rounds: int = 200, rate: float = 0.05, least: int = 8, telling: float = 1.0) -> Ordinal:
+def fit(buckets: np.ndarray, lengths: np.ndarray, grades: np.ndarray, levels: int = 3, penalty: float = 1.0, rounds: int = 200, rate: float = 0.05, least: int = 8, telling: float = 1.0) -> Ordinal:
     """Adam on the negative log-likelihood of the grades plus ``penalty`` / 2 times the squared weights.
 
+    ``buckets`` holds those of all texts end to end, ``lengths`` how many each has.
     Rare grades count more, by the root of their share. A bucket enters with
     the log ratio of its shares among the best grade and the others; where
     that is under ``telling``, or it is in under ``least`` texts or 0.2 % of
@@ -80,19 +81,18 @@ def fit(buckets: list[np.ndarray], grades: np.ndarray, levels: int = 3, penalty:
     """
     if not len(grades):
         return Ordinal(np.zeros(2**BITS, np.float32), np.linspace(-3, -1, levels - 1))
-    every = np.concatenate(buckets)
-    seen = np.bincount(every, minlength=2**BITS)
-    top = np.repeat(grades == levels - 1, [len(b) for b in buckets])
-    high = np.bincount(every[top], minlength=2**BITS)
+    seen = np.bincount(buckets, minlength=2**BITS)
+    high = np.bincount(buckets[np.repeat(grades == levels - 1, lengths)], minlength=2**BITS)
     n_high = (grades == levels - 1).sum()
     # how much more often the best grade holds a bucket than the others do
     ratio = np.log((high + 1) / (n_high + 2)) - np.log((seen - high + 1) / (len(grades) - n_high + 2))
     used = np.flatnonzero((seen >= max(least, 0.002 * len(grades))) & (np.abs(ratio) >= telling))
-    place = np.full(2**BITS, -1)
-    place[used] = np.arange(len(used))
-    rows = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-    cols = place[np.concatenate(buckets)]
-    rows, cols = rows[cols >= 0], cols[cols >= 0]
+    place = np.full(2**BITS, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    # of all buckets only those with a weight go on
+    cols = place[buckets]
+    rows = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[cols >= 0]
+    cols = cols[cols >= 0]
     value = ratio[used][cols]
     n, k = len(grades), len(used)
     cum = [min(max((grades >= j).mean(), 1e-3), 1 - 1e-3) for j in range(1, levels)]
@@ -146,8 +146,10 @@ def train(rated: DataFrame, sample: int = 6000, **options) -> Ordinal:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([known.of(x).astype(np.int32) for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "grade", "buckets"])
 
-    got = some.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, buckets array<int>").toPandas().sort_values(["doc_id", "grade"], kind="stable")
-    return fit([np.asarray(b, np.int64) for b in got.buckets], got.grade.to_numpy(np.int64), **options)
+    got = some.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, buckets array<int>").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")])  # at most ``sample`` rows, of numbers only
+    lists = got.column("buckets").combine_chunks()
+    return fit(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), got.column("grade").to_numpy().astype(np.int64), **options)
 
 
 def grade_documents(docs: DataFrame, model: Ordinal, at_least: int = 2, least: float = 0.5) -> DataFrame:

@@ -116,11 +116,10 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 1
     spark = docs.sparkSession
     text_batches(spark)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    wide = Tokenizer.from_file(path).get_vocab_size() > 2**16
-    dtype = "<u4" if wide else "<u2"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = encoder_of(path), TaskContext.get().partitionId(), 0
+        dtype = encoder.dtype
         last = np.array([end_id], dtype).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 250):
@@ -150,7 +149,8 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 1
             left = np.maximum(begin[row], (begin[row] // length + nth) * length)
             right = np.minimum(begin[row] + n[row], (begin[row] // length + nth + 1) * length)
             start, size = left - begin[row], right - left
-            raw, w = batch.column(3).to_pylist(), np.dtype(dtype).itemsize
+            raw = batch.column(3).to_pylist()
+            w = len(raw[0]) // int(n[0]) if raw else 1  # bytes of an id; each document has its last id at least
             cut_ids = [raw[r][s * w : (s + z) * w] for r, s, z in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
             doc = batch.column(1).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
