@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,22 +18,26 @@ from ..plans.tables import text_batches
 from .wordhash import words
 
 BITS = 20
+ODD, UPPER = 1 << BITS, 2 << BITS
 
 
 class Features(dict):
-    """word -> (buckets of the word, its beginnings and its shape; two marks); remembers at most ``most`` words."""
+    """word -> buckets of the word, its beginnings and its shape, as int32 bytes; remembers at most ``most`` words.
+
+    The first bucket carries two marks in the bits above: ``ODD`` and ``UPPER``.
+    """
 
     most = 300_000
 
-    def __missing__(self, word: bytes) -> tuple[tuple[int, ...], bool, bool]:
+    def __missing__(self, word: bytes) -> bytes:
         core = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         tail = word[len(word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :][:3]
         shape = (b"U" if core.isupper() and len(core) > 2 else b"l") + (b"0" if core[:1].isdigit() else b"") + (b"" if core else b"-") + tail
         odd = bool(tail) and tail not in (b".", b",", b";", b":", b"?", b"!")
         low = core.decode("utf-8", "replace").lower()
         starts = {low[:n] for n in (4, 5, 6, 8) if len(low) > n}
-        buckets = (bucket(b"w" + low.encode()), bucket(b"s" + shape), *(bucket(b"p" + x.encode()) for x in starts))
-        self[word] = found = (buckets, odd, shape[:1] == b"U")
+        marks = (ODD if odd else 0) | (UPPER if shape[:1] == b"U" else 0)
+        self[word] = found = array("i", [bucket(b"w" + low.encode()) | marks, bucket(b"s" + shape), *[bucket(b"p" + x.encode()) for x in starts]]).tobytes()
         return found
 
     def of(self, text: str | None) -> np.ndarray:
@@ -43,16 +48,20 @@ class Features(dict):
         if not w:
             return np.array([bucket(b"r:empty")])
         kinds = Counter(w)
-        found = [self[x] for x in kinds]
-        n = len(w)
+        found = list(map(self.__getitem__, kinds))
+        n, times = len(w), np.fromiter(kinds.values(), np.int64, len(kinds))
+        own = np.frombuffer(b"".join(found), np.int32)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // own.itemsize
+        first = own[np.concatenate([[0], ends[:-1]])]
         ratio = lambda name, x, steps: bucket(b"r:%s%d" % (name, int(np.searchsorted(steps, x))))
-        out = set().union(*(x[0] for x in found))
-        out.add(ratio(b"kinds", len(kinds) / n, [0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8] if n > 30 else [0.3, 0.6]))
-        out.add(ratio(b"odd", sum(c for x, c in zip(found, kinds.values(), strict=True) if x[1]) / n, [0.01, 0.05, 0.1, 0.2, 0.4, 0.7]))
-        out.add(ratio(b"upper", sum(c for x, c in zip(found, kinds.values(), strict=True) if x[2]) / n, [0.02, 0.1, 0.3, 0.6]))
-        out.add(ratio(b"most", max(kinds.values()) / n, [0.05, 0.1, 0.2, 0.4, 0.7]))
-        out.add(ratio(b"n", n, [5, 20, 50]))
-        return np.fromiter(out, np.int64, len(out))
+        whole = [
+            ratio(b"kinds", len(kinds) / n, [0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8] if n > 30 else [0.3, 0.6]),
+            ratio(b"odd", times[first & ODD > 0].sum() / n, [0.01, 0.05, 0.1, 0.2, 0.4, 0.7]),
+            ratio(b"upper", times[first & UPPER > 0].sum() / n, [0.02, 0.1, 0.3, 0.6]),
+            ratio(b"most", times.max() / n, [0.05, 0.1, 0.2, 0.4, 0.7]),
+            ratio(b"n", n, [5, 20, 50]),
+        ]
+        return np.unique(np.concatenate([own & (2**BITS - 1), np.array(whole, np.int32)])).astype(np.int64)
 
 
 def bucket(x: bytes) -> int:
