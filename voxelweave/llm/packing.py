@@ -64,6 +64,10 @@ class Words(dict):
             self.old = dict(self)
             self.clear()
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class CachedTokenizer:
     """The ids of ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian bytes.
@@ -96,7 +100,7 @@ _encoders: dict[str, CachedTokenizer] = {}
 
 
 def encoder_of(path: str) -> CachedTokenizer:
-    """One encoder for each process, so that its words outlive a task."""
+    """One encoder for each process; a task forgets its words at its end, as an idle process would hold their memory."""
     if path not in _encoders:
         _encoders[path] = CachedTokenizer(path)
     return _encoders[path]
@@ -131,6 +135,7 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = 1
                     [pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n), batch.column(0).slice(i, 250), pa.array(n), pa.array(ids, pa.binary())], names=["part", "before", "doc_id", "doc_tokens", "ids"]
                 )
                 before = int(ends[-1]) if len(ends) else before
+        encoder.words.forget()
 
     ids = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tokens, "part int, before long, doc_id long, doc_tokens long, ids binary"))
     total, starts = 0, []
