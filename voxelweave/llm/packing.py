@@ -43,6 +43,14 @@ def ranked_merges(tokenizer: Tokenizer) -> Callable[[bytes], list[int]] | None:
     return core._core_bpe.encode_single_piece
 
 
+def splits_at_spaces(tokenizer: Tokenizer) -> bool:
+    """Is the file a byte-level BPE whose pre-tokenizer works by ``public_tokenizers.PATTERN`` on unchanged text?"""
+    file = json.loads(tokenizer.to_str())
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    same = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not file["normalizer"]
+    return same and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+
+
 class Words(dict):
     """Word -> the ids of a space and the word, as little-endian bytes; keeps about ``most`` recent words."""
 
@@ -50,7 +58,7 @@ class Words(dict):
         super().__init__()
         self.dtype, self.most, self.old = dtype, most, {}
         self.pieces = regex.compile(pattern).findall
-        self.merge = ranked_merges(tokenizer) or (lambda piece: [t.id for t in tokenizer.model.tokenize(piece.decode("latin1").translate(BYTES))])
+        self.merge = splits_at_spaces(tokenizer) and ranked_merges(tokenizer) or (lambda piece: [t.id for t in tokenizer.model.tokenize(piece.decode("latin1").translate(BYTES))])
 
     def __missing__(self, word: str) -> bytes:
         if (found := self.old.pop(word, None)) is None:
@@ -75,13 +83,17 @@ class CachedTokenizer:
     The pre-tokenizer of a byte-level BPE never joins a space to what stands
     before it, except within a run of white space. So a text is cut at its
     spaces, and each word goes once to the tokenizer's model. Texts with white
-    space before a space, a space at the end or the special token are encoded whole.
+    space before a space, a space at the end or the special token are encoded
+    whole, and so is every text if the file's pre-tokenizer is another.
+    ``plain``: special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.apart = splits_at_spaces(self.tokenizer)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 2**16 else "<u4"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Words(self.tokenizer, public_tokenizers.PATTERN, self.dtype)
 
     def _whole(self, text: str) -> bytes:
@@ -90,7 +102,7 @@ class CachedTokenizer:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if text[-1] == " " or any(x in text for x in PAIRS) or any(x in text for x in self.special) or WIDE.search(text):
+        if not self.apart or text[-1] == " " or any(x in text for x in PAIRS) or any(x in text for x in self.special) or WIDE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
         return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import read
-from . import chat, grades, lines, mixing, neardup, packing, passages, rules, secrets, vectors, whitening
+from . import alignment, chat, fingerprints, grades, lines, mixing, neardup, packing, passages, rules, secrets, vectors, whitening
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +59,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(read(spark, sf_dir, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_secret_scan, op5_quality_classifier, op6_source_mixing, op7_substring_dedup, op8_chat_formatting, op9_packing, op10_minhash_near_dedup, op11_embedding_whitening)
+    for f in (op1_line_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_secret_scan, op5_quality_classifier, op6_source_mixing, op7_substring_dedup, op8_chat_formatting, op9_packing, op10_minhash_near_dedup, op11_embedding_whitening, op12_tokenizer_alignment, op13_document_fingerprints)
 }
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
