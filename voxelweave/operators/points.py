@@ -90,6 +90,23 @@ def absorbed(check: DataFrame, master: DataFrame, tolerance: Sequence[float], ke
     return out.select(*[F.coalesce(F.col(f"_m.{c}"), out[c]).alias(c) if c in AXES else F.col(c) for c in master.columns])
 
 
+def kept_first(pairs: DataFrame) -> DataFrame:
+    """``pairs(later, earlier)`` of ids that exclude each other -> the ids ``later`` that go: those with a kept earlier one.
+
+    Rounds: one without an undecided or kept earlier neighbour is kept; then those near a kept one go; until none is undecided.
+    """
+    left, gone = cut(pairs.distinct()), None
+    while not left.isEmpty():
+        waiting = left.select(F.col("later").alias("earlier")).distinct()
+        kept = left.select("earlier").distinct().join(waiting, "earlier", "left_anti")
+        out = cut(left.join(kept, "earlier").select("later").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        done = out.select(F.col("later").alias("earlier"), F.lit(True).alias("_gone"))
+        old, left = left, cut(left.join(out, "later", "left_anti").join(done, "earlier", "left_anti"))
+        free(old)
+    return left.select("later") if gone is None else gone
+
+
 def thinned(points: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
     """Keep-first in z, y, x order: a point goes if a kept earlier one is within the tolerance.
 
@@ -102,16 +119,7 @@ def thinned(points: DataFrame, tolerance: Sequence[float], keys: Sequence[str] =
     places = cut(points.filter(" and ".join(f"{c} is not null" for c in cols)).groupBy(*cols).agg(F.min(key).alias(key)))
     order = lambda e: F.struct(*[F.col(f"{c}_{e}") for c in AXES])
     pairs = near_pairs(places, places, tolerance, keys).filter(order("b") < order("a")).select(F.col(f"{key}_a").alias("later"), F.col(f"{key}_b").alias("earlier"))
-    left, gone = cut(pairs.distinct()), None
-    while not left.isEmpty():
-        waiting = left.select(F.col("later").alias("earlier")).distinct()
-        kept = left.select("earlier").distinct().join(waiting, "earlier", "left_anti")
-        out = cut(left.join(kept, "earlier").select("later").distinct())
-        gone = out if gone is None else gone.unionByName(out)
-        done = out.select(F.col("later").alias("earlier"), F.lit(True).alias("_gone"))
-        old, left = left, cut(left.join(out, "later", "left_anti").join(done, "earlier", "left_anti"))
-        free(old)
-    gone = places.select(key).limit(0) if gone is None else gone.select(F.col("later").alias(key))
+    gone = kept_first(pairs).select(F.col("later").alias(key))
     stays = places.select(key).join(gone, key, "left_anti")
     without = points.filter(" or ".join(f"{c} is null" for c in cols))  # near nothing
     return points.join(stays.unionByName(without.select(key)), key, "left_semi")
