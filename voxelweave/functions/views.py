@@ -81,12 +81,39 @@ def ontology(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    """z, y, x, label, label2, atlas: planes of 100 voxels, more of them the more line items there are; labels come in slabs of three planes."""
+    k = F.floor(F.col("l_orderkey") / 60) % 3
+    cells = read(spark, sf, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 20).cast("int").alias("z"),
+        (F.col("l_partkey") % 10).cast("int").alias("y"),
+        (F.col("l_suppkey") % 10).cast("int").alias("x"),
+        k.cast("int").alias("label"),
+        (k + F.when(F.col("l_partkey") % 10 < 2, 5).otherwise(0)).cast("int").alias("label2"),
+        F.col("l_extendedprice").alias("atlas"),
+    )
+    return cells.groupBy("z", "y", "x").agg(F.min("label").alias("label"), F.max("label2").alias("label2"), F.avg("atlas").alias("atlas"))
+
+
+def spots(spark: SparkSession, sf: str) -> DataFrame:
+    """z, y, x, value: a volume of blurred spots, one a part in slabs of 64, of three widths and two strengths."""
+    n = F.col("p_partkey")
+    part = read(spark, sf, "part").select(
+        (F.floor(n / 64) * 9 + 4 + n * 7 % 3).cast("int").alias("z0"), (F.floor(n % 64 / 8) * 9 + 4 + n * 11 % 3).cast("int").alias("y0"), (n % 8 * 9 + 4 + n * 5 % 3).cast("int").alias("x0"), (n % 3 * 0.3 + 1.2).cast("double").alias("s"), (n % 2 * 0.2 + 0.6).cast("double").alias("top")
+    )
+    near = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(y).alias("y"), F.lit(x).alias("x")) for z in range(-4, 5) for y in range(-4, 5) for x in range(-4, 5) if z * z + y * y + x * x <= 16])
+    e = part.select("*", F.explode(near).alias("o"))
+    d2 = F.col("o.z") ** 2 + F.col("o.y") ** 2 + F.col("o.x") ** 2
+    return e.groupBy(*[(F.col(f"{c}0") + F.col(f"o.{c}")).alias(c) for c in ("z", "y", "x")]).agg(F.sum(F.col("top") * F.exp(-d2 / (2 * F.col("s") ** 2))).alias("value"))
+
+
 #: The same views in DuckDB SQL.
 SQL = {
     "voxels": "(select l_linestatus as sample, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as channel, l_quantity::int as z, round(l_discount*100)::int as y, round(l_tax*100)::int as x, (l_suppkey+1)::int as label, (l_partkey%100+1)::int as label2, l_extendedprice as atlas from lineitem)",
     "blobs": "(select event_id as blob_id, user_id as roi, (event_id*7%50)::double as z, (event_id*13%200)::double as y, (event_id*29%300)::double as x, value as radius, (event_id%3-1)::int as confirmed, (event_id%5%3-1)::int as truth, (user_id%4)::int as channel from events)",
     "places": "(select event_id as blob_id, (event_id//500)::double as z, ((event_id*event_id*31+event_id*7)%211)::double as y, ((event_id*event_id*17+event_id*13)%499)::double as x, value as radius, (event_id%3-1)::int as confirmed, (user_id%4)::int as channel from events)",
     "rois": "(select s_suppkey::bigint as roi_id, (s_suppkey%20)::int as z0, (s_suppkey*37%170)::int as y0, (s_suppkey*53%430)::int as x0, 6 as nz, 40 as ny, 60 as nx from supplier)",
+    "grid": "(select z, y, x, min(label) as label, max(label2) as label2, avg(atlas) as atlas from (select (l_orderkey//20)::int as z, (l_partkey%10)::int as y, (l_suppkey%10)::int as x, (l_orderkey//60%3)::int as label, (l_orderkey//60%3 + case when l_partkey%10<2 then 5 else 0 end)::int as label2, l_extendedprice as atlas from lineitem) group by 1,2,3)",
     "metrics": "(select o_custkey as sample, c_nationkey as region, o_orderstatus as condition, o_totalprice as volume, c_acctbal as nuclei from orders join customer on o_custkey=c_custkey)",
     "ontology": "(select 1000000::bigint as id, 'root' as name, 0 as level, null::bigint as parent union all select 100000+r_regionkey, r_name, 1, 1000000 from region union all select 200000+n_nationkey, n_name, 2, 100000+n_regionkey from nation union all select s_suppkey+1, s_name, 3, 200000+s_nationkey from supplier)",
 }

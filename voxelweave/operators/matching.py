@@ -104,6 +104,27 @@ def roi_matches(test: DataFrame, base: DataFrame, rois: DataFrame, tolerance: Se
     return first.unionByName(optimal_matches(outer, missed, "roi_id", tolerance))
 
 
+def channel_matches(points: DataFrame, rois: DataFrame, tolerance: Sequence[float], channels: Sequence[int]) -> DataFrame:
+    """Co-localization by matches: (roi_id, channel_a, channel_b, a, b, dist) for each pair of channels, the lower first.
+
+    The higher channel's points are matched with the lower one's in each box by ``roi_matches``.
+    """
+    out = None
+    for i, low in enumerate(sorted(channels)):
+        for high in sorted(channels)[i + 1 :]:  # a few channels
+            found = roi_matches(points.filter(F.col("channel") == high), points.filter(F.col("channel") == low), rois, tolerance)
+            one = found.select("roi_id", F.lit(low).alias("channel_a"), F.lit(high).alias("channel_b"), F.col("b").alias("a"), F.col("a").alias("b"), "dist")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def match_table(matches: DataFrame, points: DataFrame) -> DataFrame:
+    """Matches for storing: match_id (by box and points), roi_id, blob1, blob2, dist, with both points' flags reset to -1."""
+    end = lambda n, e: points.select(F.col("blob_id").alias(e), F.struct(*[F.lit(-1).alias(c) if c in ("confirmed", "truth") else F.col(c) for c in points.columns]).alias(n))
+    keyed = matches.withColumn("match_id", F.xxhash64("roi_id", "a", "b"))
+    return keyed.join(end("blob1", "a"), "a").join(end("blob2", "b"), "b").select("match_id", "roi_id", "blob1", "blob2", "dist")
+
+
 def colocalized(points: DataFrame, tolerance: float, keys: Sequence[str] = ()) -> DataFrame:
     """(a, b, channel_a, channel_b, dist): points of two channels within the tolerance (strictly), lower channel first.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut, free, partitions
 from .components import components
+from .ranks import quantiles, running
 
 AXES = ("z", "y", "x")
 
@@ -29,6 +31,19 @@ def shifted(points: DataFrame, by: Sequence[float], factor: Sequence[float] = (1
     return points.withColumns({c: F.col(c) * f + b for c, b, f in zip(AXES, by, factor, strict=True)})
 
 
+def changed(points: DataFrame, fn: Callable[[DataFrame], DataFrame], where: Column | None = None) -> DataFrame:
+    """``fn`` applied to the points, or to those of ``where`` alone; columns stay as they are."""
+    if where is None:
+        return fn(points).select(*points.columns)
+    on = F.coalesce(where, F.lit(False))
+    return fn(points.filter(on)).select(*points.columns).unionByName(points.filter(~on))
+
+
+def stored(points: DataFrame) -> DataFrame:
+    """Blobs as the store keeps them: absolute place, radius and flags."""
+    return points.select(*[F.col(f"abs_{c}").cast("int").alias(c) for c in AXES], "radius", "confirmed", "truth", "channel")
+
+
 def with_flag(points: DataFrame, column: str, value: int, where: Column) -> DataFrame:
     return points.withColumn(column, F.when(where, value).otherwise(F.col(column)))
 
@@ -75,10 +90,10 @@ def squared(axes: Sequence[str] = AXES) -> Column:
 
 
 def without_close(check: DataFrame, master: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
-    """Rows of ``check`` that have no row of ``master`` within the tolerance box."""
-    cols = [key, *keys, *AXES]
-    close = near_pairs(check.select(*cols), master.select(*cols), tolerance, keys).select(F.col(f"{key}_a").alias(key)).distinct()
-    return check.join(close, key, "left_anti")
+    """Rows of ``check`` that have no row of ``master`` within the tolerance box. Places are compared, whatever the number of points there."""
+    cols = [*keys, *AXES]
+    close = near_pairs(check.select(*cols).distinct(), master.select(*cols).distinct(), tolerance, keys).select(*[F.col(f"{c}_a").alias(c) for c in cols]).distinct()
+    return check.join(close, cols, "left_anti").select(*check.columns)
 
 
 def absorbed(check: DataFrame, master: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
@@ -132,9 +147,7 @@ def pruned_tiles(points: DataFrame, tile: Sequence[int], overlap: Sequence[float
         band = points.withColumn("_t", at)
         low = band.filter(F.col(c) - F.col("_t") * size >= size - wide).withColumn("_t", F.col("_t") + 1)
         high = band.filter(F.col(c) - F.col("_t") * size < wide)
-        cols = [key, "channel", "_t", *AXES]
-        close = near_pairs(high.select(*cols), low.select(*cols), tolerance, ("channel", "_t")).select(F.col(f"{key}_a").alias(key)).distinct()
-        points = points.join(close, key, "left_anti")
+        points = without_close(high, low, tolerance, ("channel", "_t")).unionByName(band.filter(~(F.col(c) - F.col("_t") * size < wide) | F.col(c).isNull())).drop("_t")
     return points
 
 
@@ -194,10 +207,11 @@ def greedy_matches(a: DataFrame, b: DataFrame, tolerance: Sequence[float], keys:
 
 
 def closest(a: DataFrame, b: DataFrame, tolerance: float, keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
-    """For each point its nearest of the other set, strictly under the tolerance; ties by id."""
-    cols = [key, *keys, *AXES]
-    pairs = near_pairs(a.select(*cols), b.select(*cols), (tolerance,) * 3, keys).withColumn("_d", F.sqrt(squared())).filter(F.col("_d") < tolerance)
-    return pairs.groupBy(F.col(f"{key}_a").alias("a")).agg(F.min(F.struct(F.col("_d").alias("dist"), F.col(f"{key}_b").alias("b"))).alias("p")).select("a", "p.b", "p.dist")
+    """For each point its nearest of the other set, strictly under the tolerance; ties by id. Places are compared, each with its smallest id."""
+    cols = [*keys, *AXES]
+    pairs = near_pairs(a.select(*cols).distinct(), b.groupBy(*cols).agg(F.min(key).alias(key)), (tolerance,) * 3, keys).withColumn("_d", F.sqrt(squared())).filter(F.col("_d") < tolerance)
+    best = pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in cols]).agg(F.min(F.struct(F.col("_d").alias("dist"), F.col(f"{key}_b").alias("b"))).alias("p"))
+    return a.join(best, cols).select(F.col(key).alias("a"), "p.b", "p.dist")
 
 
 def extent(*tables: DataFrame, axes: Sequence[str] = AXES) -> float:
@@ -230,19 +244,77 @@ def nearest(points: DataFrame, k: int, radius: float, axes: Sequence[str], key:
         radius *= 2
 
 
+def neighbour_distances(points: DataFrame, k: int, radius: float, axes: Sequence[str], key: str, most: float | None = None, rows: int = 1000) -> DataFrame:
+    """``nearest`` in order of distance: (key, dist, rank, shown, zoomed).
+
+    With ``most`` distances of that many medians and more are left out.
+    ``shown`` marks every n-th row so that about ``rows`` remain for an overview; ``zoomed`` those over the 90th percentile.
+    """
+    near = cut(nearest(points, k, radius, axes, key).filter("dist is not null").withColumn("_all", F.lit(0)))
+    if most is not None:
+        middle = quantiles(near, ["_all"], "dist", {"_m": 0.5})
+        near = cut(near.join(F.broadcast(middle), "_all").filter(F.col("dist") < most * F.col("_m")).drop("_m"))  # one row
+    ends = quantiles(near, ["_all"], "dist", {"_p90": 0.9}).join(near.groupBy("_all").agg(F.count("*").alias("_size")), "_all")
+    ranked = running(near.withColumn("_pos", F.struct("dist", key)).withColumn("_c", F.lit(1)), ["_all"], "_pos", "_c")
+    step = F.greatest(F.floor(F.col("_size") / rows), F.lit(1))
+    return ranked.join(F.broadcast(ends), "_all").select(key, "dist", F.col("before").alias("rank"), (F.col("before") % step == 0).alias("shown"), (F.col("dist") > F.col("_p90")).alias("zoomed"))
+
+
 def dbscan(points: DataFrame, eps: float, least: int, axes: Sequence[str], key: str, by: Sequence[str] = ()) -> DataFrame:
-    """Density clusters: ``eps`` inclusive, ``least`` points with itself; noise is -1.
+    """Density clusters within each ``by``: ``eps`` inclusive, ``least`` points with itself; noise is -1.
+
+    A cluster is named by its smallest core id; border points go to the smallest cluster they touch. Points with null places are noise.
 
-    A cluster is named by its smallest core id; border points go to the smallest cluster they touch.
+    Places are counted once. In cells of side eps / sqrt(d) all points are near
+    each other: those of cells with ``least`` points are core without any
+    comparison, and a cell's cores are one node. Nodes are joined by one
+    witness per eighth of a cell first; only neighbouring cells that are still
+    in different components compare their cores. Other points stand in cells of fewer
+    than ``least``, so what they are compared with grows with the points.
     """
-    cols = [key, *by, *axes]
-    pairs = cut(near_pairs(points.select(*cols), points.select(*cols), (eps,) * len(axes), by, axes).filter(squared(axes) <= eps * eps).select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")))
-    core = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("a"))
-    links = pairs.join(core, "a").join(core.withColumnRenamed("a", "b"), "b")
-    named = components(links)
-    cores = cut(core.withColumnRenamed("a", "id").join(named, "id", "left").select("id", F.coalesce("component", "id").alias("cluster")))
-    border = pairs.join(core, "a", "left_anti").join(cores.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
-    return points.select(F.col(key).alias("id")).join(cores.unionByName(border), "id", "left").select(F.col("id").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    d, cols = len(axes), [*by, *axes]
+    side = eps / d**0.5 * (1 - 1e-9)
+    cell = [f"_g{i}" for i in range(d)]
+    spots = points.filter(" and ".join(f"{c} is not null" for c in cols)).groupBy(*cols).agg(F.count("*").alias("_n"), F.min(key).alias("_id"))
+    spots = cut(spots.withColumns({g: F.floor(F.col(c) / side).cast("long") for g, c in zip(cell, axes, strict=True)}))
+    full = spots.groupBy(*by, *cell).agg(F.sum("_n").alias("_full")).filter(F.col("_full") >= least).select(*by, *cell)
+    dense, sparse = spots.join(full, [*by, *cell], "left_semi"), cut(spots.join(full, [*by, *cell], "left_anti"))
+    near = lambda a, b: near_pairs(a, b, (eps,) * d, by, axes).filter(squared(axes) <= eps * eps)
+    counts = near(sparse.select(*cols, "_id"), spots.select(*cols, "_n")).groupBy(F.col("_id_a").alias("_id"), *[F.col(f"{c}_a").alias(c) for c in cols]).agg(F.sum("_n_b").alias("_near"))
+    few = counts.filter(F.col("_near") >= least).select(*cols)
+    cores = cut(dense.select(*cols, "_id", *cell).unionByName(sparse.join(few, cols, "left_semi").select(*cols, "_id", *cell)))
+    nodes = cut(cores.groupBy(*by, *cell).agg(F.min("_id").alias("node")))
+    of_cell = cores.join(nodes, [*by, *cell])
+    part = [F.floor(F.col(c) / (side / 2)).alias(f"_h{i}") for i, c in enumerate(axes)]
+    witness = of_cell.groupBy(*by, "node", *part).agg(F.min(F.struct(*axes)).alias("_w")).select(*by, "node", *[F.col(f"_w.{c}").alias(c) for c in axes])
+    pairs = lambda t: t.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    links = cut(pairs(near(witness, witness).filter("node_a < node_b")).distinct())
+    joined = cut(nodes.join(components(links).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    steps = F.array(*[F.struct(*[F.lit(x).alias(g) for g, x in zip(cell, o, strict=True)]) for o in _offsets(d, int(d**0.5) + 1)])
+    beside = joined.select(*by, F.explode(steps).alias("_o"), *cell, F.col("node").alias("node_a"), F.col("component").alias("_one")).select(*by, *[(F.col(g) + F.col(f"_o.{g}")).alias(g) for g in cell], "node_a", "_one")
+    apart = cut(beside.join(joined.select(*by, *cell, F.col("node").alias("node_b"), F.col("component").alias("_two")), [*by, *cell]).filter("_one < _two").select("node_a", "node_b"))
+    ends = of_cell.select("node", *axes)
+    side_of = lambda e: ends.select(F.col("node").alias(f"node_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in axes])
+    more = apart.join(side_of("a"), "node_a").join(side_of("b"), "node_b").filter(squared(axes) <= eps * eps)
+    named = components(links.unionByName(pairs(more).distinct()))
+    cluster = cut(nodes.join(named.withColumnRenamed("id", "node"), "node", "left").select(*by, *cell, F.coalesce("component", "node").alias("cluster")))
+    inner = cores.join(cluster, [*by, *cell]).select(*cols, "cluster")
+    others = sparse.join(few, cols, "left_anti").select(*cols)
+    border = near(others, inner).groupBy(*[F.col(f"{c}_a").alias(c) for c in cols]).agg(F.min("cluster_b").alias("cluster"))
+    return points.select(key, *cols).join(inner.unionByName(border), cols, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def _offsets(d: int, reach: int) -> list[tuple[int, ...]]:
+    return [o for o in product(range(-reach, reach + 1), repeat=d) if any(o)]
+
+
+def clusters_by_label(points: DataFrame, label: str, scale: Sequence[float], eps: float, least: int, key: str = "blob_id") -> DataFrame:
+    """Clusters of each label's points, whose places are scaled and cut to whole numbers: label, clusters, noise, size of the largest."""
+    whole = points.select(key, label, *[(F.col(c) * f).cast("int").cast("double").alias(c) for c, f in zip(AXES, scale, strict=True)])
+    named = dbscan(whole, eps, least, AXES, key, (label,)).join(points.select(key, label), key)
+    n = named.groupBy(label, "cluster").agg(F.count("*").alias("n"))
+    real = F.col("cluster") != -1
+    return n.groupBy(label).agg(F.count(F.when(real, 1)).alias("n_clusters"), F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)).alias("n_noise"), F.max(F.when(real, F.col("n"))).alias("largest"))
 
 
 def cluster_metrics(clusters: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import quantiles
+from .volumes import nearest_voxel
 
 CELL = ["z", "y", "x"]
 
@@ -215,6 +218,48 @@ def pair_heat_maps(points: DataFrame, scale: tuple[float, float, float], shape:
     return heat_map(points.select(*CELL, F.explode(on).alias("pair")), scale, shape, ["pair"])
 
 
+def combination_heat_maps(points: DataFrame, scale: tuple[float, float, float], shape: tuple[int, int, int], flags: list[str], chosen: Sequence[str] = ()) -> DataFrame:
+    """Points per scaled voxel for each combination of two or more channels that holds all ``chosen`` ones, where all its flags are 1.
+
+    A point's raised flags are expanded into their subsets, so all combinations are
+    counted in one pass; the number of combinations grows with the flags alone.
+    """
+    sets = [c for n in range(2, len(flags) + 1) for c in combinations(flags, n) if set(chosen) <= set(c)]
+    if not sets:
+        return heat_map(points.limit(0).select(*CELL, F.lit("").alias("channels")), scale, shape, ["channels"])
+    all_on = lambda c: reduce(lambda a, b: a & b, [F.col(f) == 1 for f in c])
+    on = F.filter(F.array(*[F.when(all_on(c), F.lit("-".join(c))) for c in sets]), lambda x: x.isNotNull())
+    return heat_map(points.select(*CELL, F.explode(on).alias("channels")), scale, shape, ["channels"])
+
+
+def merged_values(images: Sequence[DataFrame], value: str, fn: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """Images of one size as one: ``fn`` of the values at each place."""
+    both = reduce(lambda a, b: a.unionByName(b), [v.select(*CELL, value) for v in images])
+    return both.groupBy(*CELL).agg(fn(F.col(value)).alias(value))
+
+
+def detection_accuracy(df: DataFrame, by: list[str], verified: bool = False, maybes: str = "ignore", radius: float = 0.001) -> DataFrame:
+    """Positives, true and false positives, misses, sensitivity and precision per group.
+
+    ``verified``: truths are positives, confirmed others true. Otherwise confirmed
+    points are positives, and true if they were detected: hand-made ones have
+    a radius under ``radius``. Points that are maybes (confirmed 2) count by
+    ``maybes`` then: ``ignore``; ``correct``: detected ones are positive and true;
+    ``incorrect``: detected ones are false and the others positive.
+    """
+    if maybes not in ("ignore", "correct", "incorrect"):
+        raise ValueError("maybes is ignore, correct or incorrect")
+    n = lambda on: F.count(F.when(on, 1))
+    sure, found, maybe = F.col("confirmed") == 1, F.col("radius") >= radius, F.col("confirmed") == 2
+    pos, tp, fp = (n(F.col("truth") >= 0), n((F.col("truth") == -1) & sure), n(F.col("confirmed") == 0)) if verified else (n(sure), n(sure & found), n(F.col("confirmed") == 0))
+    if not verified and maybes == "correct":
+        pos, tp = pos + n(maybe & found), tp + n(maybe & found)
+    elif not verified and maybes == "incorrect":
+        pos, fp = pos + n(maybe & ~found), fp + n(maybe & found)
+    out = df.groupBy(*by).agg(pos.alias("pos"), tp.alias("tp"), fp.alias("fp"))
+    return out.select(*by, "pos", "tp", "fp", (F.col("pos") - F.col("tp")).alias("fn"), F.try_divide("tp", "pos").alias("sensitivity"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("ppv"))
+
+
 def scaled_boxes(boxes_of: DataFrame, scale: tuple[float, float, float]) -> DataFrame:
     """Boxes and centroids over the scaling, rounded half-even."""
     return boxes_of.withColumns({f"{c}_{n}": F.bround(F.col(f"{c}_{n}") / f).cast("int") for c, f in zip(CELL, scale, strict=True) for n in ("min", "max", "mid")})
@@ -226,23 +271,27 @@ def radial_distance(borders: DataFrame, centre: DataFrame) -> DataFrame:
     return borders.crossJoin(F.broadcast(mid)).select(*CELL, F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in CELL), F.lit(0.0))).alias("radial"))  # one row
 
 
-def smoothing_metrics(before: DataFrame, after: DataFrame, label: str = "label") -> DataFrame:
-    """Per label of two (label, volume, surface) tables: compaction, displacement of volume, quality, surface to volume and its change."""
-    d = before.join(after.select(label, F.col("volume").alias("volume_new"), F.col("surface").alias("surface_new")), label, "left")
-    shape = lambda s, n: F.try_divide(F.col(s) ** 3, F.col(n) ** 2)
-    compaction = F.try_divide(shape("surface", "volume") - shape("surface_new", "volume_new"), shape("surface", "volume"))
-    displacement = F.try_divide(F.abs(F.col("volume_new") - F.col("volume")), F.col("volume"))
-    to_vol, to_vol_new = F.try_divide("surface", "volume"), F.try_divide("surface_new", "volume_new")
-    return d.select(
-        label, "volume", "volume_new", compaction.alias("compaction"), displacement.alias("displacement"), (compaction - displacement).alias("quality"), to_vol.alias("sa_to_vol"), to_vol_new.alias("sa_to_vol_new"), F.try_divide(to_vol_new, to_vol).alias("sa_to_vol_frac"), F.col("volume_new").isNull().alias("lost")
-    )
+def radial_difference(original: DataFrame, shifted: DataFrame) -> DataFrame:
+    """``(z, y, x, radial)`` of two border sets -> shifted places with radial less that of the nearest original place (ties by place; less 0 where radial is 0)."""
+    near = nearest_voxel(shifted, original.select(*CELL, F.col("radial").alias("_orig")), carry=["_orig"])
+    away = F.col("radial") - F.when(F.col("radial") <= 0, 0.0).otherwise(F.col("_orig"))
+    return shifted.join(near.drop("dist"), list(CELL), "left").select(*CELL, "radial", away.alias("difference"))
+
 
+def saturated(v: DataFrame, by: list[str], value: str, near_max: DataFrame | None = None, factor: float = 0.5, low: float = 0.05, high: float = 0.995) -> DataFrame:
+    """Values clipped at two quantiles of their group (a tile's channel) and stretched to 0 .. 1; a flat group stays as it is.
 
-def saturated(v: DataFrame, by: str, value: str, low: float = 0.05, high: float = 0.995) -> DataFrame:
-    """Values clipped at two quantiles of their channel and stretched to 0 .. 1; a flat channel stays as it is."""
-    ends = quantiles(v, [by], value, {"_lo": low, "_hi": high})
+    The upper end is at least ``factor`` times the channel's ``near_max``, a
+    table of some of ``by`` and that column, so that dim tiles are not
+    stretched to the full range.
+    """
+    ends = quantiles(v, by, value, {"_lo": low, "_hi": high})
+    flat = F.col("_hi") == F.col("_lo")
+    if near_max is not None:
+        ends = ends.join(near_max, [c for c in by if c in near_max.columns], "left")
+        ends = ends.withColumn("_hi", F.when(flat, F.col("_hi")).otherwise(F.greatest("_hi", F.col("near_max") * factor))).drop("near_max")
     clipped = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
-    return v.join(ends, by).withColumn(value, F.when(F.col("_hi") > F.col("_lo"), (clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col(value))).select(*v.columns)
+    return v.join(ends, by).withColumn(value, F.when(flat, F.col(value)).otherwise((clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).select(*v.columns)
 
 
 def otsu(v: DataFrame, value: str, bins: int = 256) -> DataFrame:

@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..plans.tables import cut, partitions
+from ..plans.tables import cut, fresh, partitions
 from .ranks import average_ranks, quantiles, running
 
 
@@ -53,6 +53,62 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _column(ok, lambda o: _betainc((df[o] / 2).to_numpy(), np.full(o.sum(), 0.5), (df[o] / (df[o] + t[o] ** 2)).to_numpy()))
 
 
+def t_quantiles(p: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Quantiles of Student's t for upper shares ``p`` >= 0.5: the inverse of the incomplete beta function by bisection, all rows at once."""
+    tail = 2 * (1 - p)  # of both sides
+    low, high = np.zeros(len(p)), np.ones(len(p))  # of x = df / (df + t^2)
+    for _ in range(200):
+        x = (low + high) / 2
+        under = _betainc(df / 2, np.full(len(p), 0.5), x) < tail
+        low, high = np.where(under, x, low), np.where(under, high, x)
+    x = (low + high) / 2
+    return np.sqrt(df * (1 - x) / x)
+
+
+@F.pandas_udf(DoubleType())
+def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
+    """The t that a share ``p`` (over 0.5) of the distribution is below; null without degrees of freedom."""
+    ok = p.notna() & df.notna() & (df > 0) & (p >= 0.5) & (p < 1)
+    return _column(ok, lambda o: t_quantiles(p[o].to_numpy(float), df[o].to_numpy(float)))
+
+
+def noncentral_t(t: float, df: float, shift: float) -> float:
+    """The share of a noncentral t distribution below ``t``, as a Poisson mixture of incomplete beta functions."""
+    if t < 0:
+        return 1 - noncentral_t(-t, df, -shift)
+    x, half = t * t / (df + t * t), shift * shift / 2
+    out = math.erfc(shift / math.sqrt(2)) / 2
+    if x > 0:
+        j = np.arange(int(half + 12 * math.sqrt(half + 1) + 60), dtype=float)
+        log = -half + j * (math.log(half) if half > 0 else -np.inf) if half > 0 else np.where(j == 0, 0.0, -np.inf)
+        p = np.exp(log - _lgamma(j + 1))
+        q = np.exp(log - _lgamma(j + 1.5)) * shift / math.sqrt(2)
+        b = np.full(len(j), df / 2)
+        out += 0.5 * float((p * _betainc(j + 0.5, b, np.full(len(j), x)) + q * _betainc(j + 1, b, np.full(len(j), x))).sum())
+    return min(max(out, 0.0), 1.0)
+
+
+def noncentrality(t: float, df: float, share: float) -> float:
+    """The shift for which ``share`` of the noncentral t distribution is below ``t``; it falls as the shift grows."""
+    low, high = t - 10 - abs(t), t + 10 + abs(t)
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if noncentral_t(t, df, middle) > share else (low, middle)
+    return (low + high) / 2
+
+
+@F.pandas_udf(StructType([StructField("low", DoubleType()), StructField("high", DoubleType())]))
+def cohen_interval(d: pd.Series, scale: pd.Series, df: pd.Series) -> pd.DataFrame:
+    """95 % interval of a standardized difference ``d`` whose t is d * scale; runs on the rows of a result, one a region."""
+    out = []
+    for x, k, n in zip(d, scale, df, strict=True):
+        if pd.isna(x) or pd.isna(k) or pd.isna(n) or n <= 0 or not np.isfinite(x * k):
+            out.append((None, None))
+        else:
+            out.append((noncentrality(x * k, n, 0.975) / k, noncentrality(x * k, n, 0.025) / k))
+    return pd.DataFrame(out, columns=["low", "high"], dtype=float)
+
+
 @F.pandas_udf(DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal."""
@@ -98,7 +154,7 @@ def chi2_p_value(x: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def welch(df: DataFrame, region: str, condition: str, value: str, pair: tuple[str, str]) -> DataFrame:
-    """Welch's t of the second condition against the first, per region: n, means, effect, d, t, degrees of freedom, p."""
+    """Welch's t of the second condition against the first, per region: n, means, effect, Cohen's d and its interval, t, degrees of freedom, p."""
     agg = df.filter(F.col(condition).isin(*pair) & F.col(value).isNotNull()).groupBy(region)
     cols = []
     for i, c in enumerate(pair, 1):
@@ -109,7 +165,10 @@ def welch(df: DataFrame, region: str, condition: str, value: str, pair: tuple[st
     effect = F.col("mean2") - F.col("mean1")
     pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2"), F.col("n1") + F.col("n2") - 2))
     s = s.withColumns({"effect": effect, "cohen_d": F.try_divide(effect, pooled), "t": F.try_divide(effect, F.sqrt(a + b)), "df": F.try_divide((a + b) ** 2, F.try_divide(a * a, F.col("n1") - 1) + F.try_divide(b * b, F.col("n2") - 1))})
-    return s.withColumn("p", t_p_value("t", "df"))
+    s = s.withColumn("p", t_p_value("t", "df"))
+    between = F.sqrt(F.try_divide(F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2")))
+    interval = cohen_interval("cohen_d", between, (F.col("n1") + F.col("n2") - 2).cast("double"))
+    return s.withColumns({"cohen_low": interval["low"], "cohen_high": interval["high"]})
 
 
 def mean_difference(df: DataFrame, region: str, condition: str, value: str, pair: tuple[str, str]) -> DataFrame:
@@ -138,12 +197,20 @@ def rank_sum(df: DataFrame, region: str, condition: str, value: str, pair: tuple
     return s.select(region, u.alias("u"), z.alias("z"), F.try_divide(z, F.sqrt(n)).alias("effect")).withColumn("p", normal_p_value("z"))
 
 
-def corrected(df: DataFrame, p: str, method: str = "bonferroni") -> DataFrame:
-    """Adds ``p_corr``; null p stay null and do not count. ``bh``: the least of p * n / rank over this and all greater p."""
+def corrected(df: DataFrame, p: str, method: str = "bonferroni", n: str | None = None) -> DataFrame:
+    """Adds ``p_corr``; null p stay null and do not count. ``bh``: the least of p * n / rank over this and all greater p.
+
+    With the column ``n`` of a test's size, rows of one value or fewer do not count either and stay null.
+    """
+    if n is not None:
+        fine = F.col(n) > 1
+        done = corrected(df.withColumn("_p", F.when(fine, F.col(p))), "_p", method)
+        return done.drop("_p")
     n = df.filter(F.col(p).isNotNull()).agg(F.count("*").alias("_n"))
     d = df.crossJoin(F.broadcast(n))  # one row
+    at = fresh("_at", df.columns)
     if method == "bonferroni":
-        return d.withColumn("p_corr", F.least(F.col(p) * F.col("_n"), F.lit(1.0))).drop("_n")
+        return d.withColumn("p_corr", F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("_n"), F.lit(1.0)))).drop("_n")
     # ranks of the distinct p from sorted counts; the minimum over greater p by ranges of p
     counts = d.filter(F.col(p).isNotNull()).groupBy(p, "_n").agg(F.count("*").alias("_c"))
     ranked = running(counts.withColumn("_all", F.lit(0)), ["_all"], p, "_c").withColumn("_v", F.col(p) * F.col("_n") / (F.col("before") + F.col("_c")))
@@ -151,8 +218,8 @@ def corrected(df: DataFrame, p: str, method: str = "bonferroni") -> DataFrame:
     onward = Window.partitionBy("_block").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     low = parts.groupBy("_block").agg(F.min("_v").alias("_low"))
     later = low.alias("x").join(low.alias("y"), F.col("y._block") > F.col("x._block"), "left").groupBy("x._block").agg(F.min("y._low").alias("_later"))  # a row per partition
-    least = parts.withColumn("_here", F.min("_v").over(onward)).join(F.broadcast(later), "_block").select(F.col(p).alias("_p"), F.least("_here", F.coalesce("_later", F.lit(1.0)), F.lit(1.0)).alias("p_corr"))
-    return d.join(least, F.col(p) == F.col("_p"), "left").drop("_n", "_p")
+    least = parts.withColumn("_here", F.min("_v").over(onward)).join(F.broadcast(later), "_block").select(F.col(p).alias(at), F.least("_here", F.coalesce("_later", F.lit(1.0)), F.lit(1.0)).alias("p_corr"))
+    return d.join(least, F.col(p) == F.col(at), "left").drop("_n", at)
 
 
 def spearman(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -184,11 +251,12 @@ def paired_values(df: DataFrame, ids: list[str], condition: str, value: str, pai
 
 
 def one_sample_t(df: DataFrame, region: str, value: str | Column, mu: float = 0.0) -> DataFrame:
-    """t of the mean against ``mu`` per region: n, mean, effect, Cohen's d, t, df, p."""
+    """t of the mean against ``mu`` per region: n, mean, effect, Cohen's d and its interval, t, df, p."""
     s = df.groupBy(region).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     effect = F.col("mean") - mu
     s = s.select(region, "n", "mean", effect.alias("effect"), F.try_divide(effect, F.col("sd")).alias("cohen_d"), F.try_divide(effect, F.col("sd") / F.sqrt("n")).alias("t"), (F.col("n") - 1).cast("double").alias("df"))
-    return s.withColumn("p", t_p_value("t", "df"))
+    interval = cohen_interval("cohen_d", F.sqrt("n"), "df")
+    return s.withColumn("p", t_p_value("t", "df")).withColumns({"cohen_low": interval["low"], "cohen_high": interval["high"]})
 
 
 def paired_t(df: DataFrame, region: str, sample: str, condition: str, value: str, pair: tuple[str, str]) -> DataFrame:
@@ -248,7 +316,7 @@ def logistic(df: DataFrame, region: str, condition: str, value: str, pair: tuple
     return out.withColumn("z", F.try_divide("slope", "slope_se")).withColumn("p", normal_p_value("z"))
 
 
-def wide_stats(stats: DataFrame, region: str, effect: str, p: str, low: Column, high: Column) -> DataFrame:
-    """Regions with a p value: effect, interval, p, corrected p and -log10 of it."""
-    d = corrected(stats.filter(F.col(p).isNotNull()).withColumns({"_low": low, "_high": high}), p)
-    return d.select(region, F.col(effect).alias("vals_effect"), F.col("_low").alias("vals_ci_low"), F.col("_high").alias("vals_ci_hi"), F.col(p).alias("vals_p"), F.col("p_corr").alias("vals_pcorr"), (-F.log10("p_corr")).alias("vals_logp"))
+def wide_stats(stats: DataFrame, region: str, effect: str, p: str, low: Column, high: Column, n: str = "n") -> DataFrame:
+    """Regions with a p value: n, effect, interval, p, corrected p (of tests of two values and more) and -log10 of it."""
+    d = corrected(stats.filter(F.col(p).isNotNull()).withColumns({"_low": low, "_high": high}), p, n=n)
+    return d.select(region, F.col(n).alias("vals_n"), F.col(effect).alias("vals_effect"), F.col("_low").alias("vals_ci_low"), F.col("_high").alias("vals_ci_hi"), F.col(p).alias("vals_p"), F.col("p_corr").alias("vals_pcorr"), (-F.log10("p_corr")).alias("vals_logp"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import quantiles
+from .stats import t_quantile
 
 
 def join_on(dfs: Sequence[DataFrame], key: str, how: str = "left", first_only: bool = False) -> DataFrame:
@@ -83,10 +84,25 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).join(F.broadcast(ends)).select(at.cast("int").alias("bin")).groupBy("bin").count().withColumnRenamed("count", "n")
 
 
-def combine_columns(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+def mean_of(columns: list[str]) -> Column:
     """Mean of the columns that are not null."""
-    have = F.filter(F.array(*columns), lambda x: x.isNotNull())
-    return df.withColumn(name, F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, x: a + x), F.size(have)))
+    have = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, x: a + x), F.size(have))
+
+
+def ratio_of(columns: list[str]) -> Column:
+    """The first column over the second."""
+    return F.try_divide(F.col(columns[0]), F.col(columns[1]))
+
+
+def combine_columns(df: DataFrame, name: str, columns: list[str], fn: Callable[[list[str]], Column] = mean_of) -> DataFrame:
+    """``fn`` of the columns, row by row: their mean unless told otherwise."""
+    return df.withColumn(name, fn(columns))
+
+
+def combined_by(df: DataFrame, combos: dict[str, tuple[list[str], Callable[[list[str]], Column]]]) -> DataFrame:
+    """A column for each named combination of columns; those with a column that ``df`` lacks are left out."""
+    return df.withColumns({name: fn(cols) for name, (cols, fn) in combos.items() if set(cols) <= set(df.columns)})
 
 
 def paired(df: DataFrame, a: str, b: str, fn: Callable[[Column, Column], Column], name: str) -> DataFrame:
@@ -133,10 +149,10 @@ def common_labels(df: DataFrame, sample: str, samples: list[str], label: str) ->
 
 
 def group_summary(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """n, mean, median, sample deviation and standard error."""
+    """n, mean, median, sample deviation, standard error, and half of the mean's 95 % interval (null for fewer than two values)."""
     sd = F.stddev_samp(value)
     sums = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), sd.alias("sd"), (sd / F.sqrt(F.count(value))).alias("se"))
-    return sums.join(quantiles(df, group, value, {"median": 0.5}), group, "left").select(*group, "n", "mean", "median", "sd", "se")
+    return sums.join(quantiles(df, group, value, {"median": 0.5}), group, "left").select(*group, "n", "mean", "median", "sd", "se", (t_quantile(F.lit(0.975), (F.col("n") - 1).cast("double")) * F.col("se")).alias("ci"))
 
 
 def with_columns(df: DataFrame, values: dict[str, object]) -> DataFrame:

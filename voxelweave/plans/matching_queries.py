@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import views
+from ..operators import detection as de
 from ..operators import matching as m
 from ..operators import points as p
 from .registry import query
@@ -74,12 +75,12 @@ def matches_of_channels(s, d):
     return m.of_points(m.of_channels(m.colocalized(x, 4.0), 3, 1), x.filter("confirmed = 1")).select("a", "b", "dist")
 
 
-@query("""with r as (select blob_id, channel as own, z::int+dz as z, y::int+dy as y, x::int+dx as x from {places}, (select unnest(range(-2,3)) as dz), (select unnest(range(-2,3)) as dy), (select unnest(range(-2,3)) as dx) where dz*dz+dy*dy+dx*dx<=4 and y<11 and x<9),
+@query("""with r as (select blob_id, channel as own, z::int%51+dz as z, y::int%11+dy as y, x::int%9+dx as x from {places}, (select unnest(range(-2,3)) as dz), (select unnest(range(-2,3)) as dy), (select unnest(range(-2,3)) as dx) where dz*dz+dy*dy+dx*dx<=4),
 h as (select z, y, x, max(blob_id) as blob_id, arg_max(own, blob_id) as own from r group by 1,2,3),
 n as (select blob_id, own, channel, avg(atlas) as mean from h join (select z, y, x, channel, atlas from {voxels}) using (z, y, x) group by 1,2,3),
 l as (select channel, min(mean) as least from n where own=channel group by 1) select blob_id, channel, (mean>=least)::int as coloc from n join l using (channel) where channel in (0,1)""")
 def intensity_colocalization(s, d):
-    near = views.places(s, d).filter("y < 11 and x < 9")  # where the voxel table has places at all
+    near = views.places(s, d).withColumns({c: (F.col(c) % n).cast("double") for c, n in (("z", 51), ("y", 11), ("x", 9))})  # into the voxels' box
     v = views.voxels(s, d).select("z", "y", "x", "channel", "atlas")
     return m.colocalized_by_intensity(near, v, [0, 1])
 
@@ -184,3 +185,89 @@ def colocalization_heat_maps(s, d):
     n = F.col("blob_id")
     f = views.places(s, d).select("*", (n % 2).cast("int").alias("f0"), (n % 3 == 0).cast("int").alias("f1"), (n % 5 == 0).cast("int").alias("f2"))
     return r.pair_heat_maps(f, (0.5, 0.1, 0.1), (25, 21, 50), ["f0", "f1", "f2"])
+
+
+# ---- blob tables ----------------------------------------------------------------------------------------------------------
+@query("select blob_id, z, y, x, radius, -1 as confirmed, -1 as truth, 2 as channel, z as abs_z, y as abs_y, x as abs_x from {places}")
+def formatted_points(s, d):
+    return de.formatted(views.places(s, d).select("blob_id", "z", "y", "x", "radius"), 2)
+
+
+@query("select blob_id, z+10 as z, y-5 as y, x as x, radius, confirmed, -1 as truth, channel from {places}")
+def located_points(s, d):
+    x = de.formatted(views.places(s, d).withColumns({"abs_z": F.col("z") + 10, "abs_y": F.col("y") - 5}))
+    return de.located(x).select("blob_id", "z", "y", "x", "radius", "confirmed", "truth", "channel")
+
+
+@query("select (z+10)::int as z, y::int as y, x::int as x, radius, case when channel=1 then 0 else confirmed end as confirmed, -1 as truth, channel from {places}")
+def stored_points(s, d):
+    x = de.formatted(views.places(s, d).withColumn("abs_z", F.col("z") + 10))
+    return p.stored(p.changed(x, lambda t: t.withColumn("confirmed", F.lit(0)), F.col("channel") == 1))
+
+
+@query()
+def channel_matches(s, d):
+    return m.channel_matches(views.places(s, d), views.rois(s, d), TOLERANCE, [0, 1, 2])
+
+
+@query()
+def stored_matches(s, d):
+    x = views.places(s, d)
+    found = m.channel_matches(x, views.rois(s, d), TOLERANCE, [0, 3])
+    return m.match_table(found, x).select("match_id", "roi_id", F.col("blob1.blob_id").alias("blob1"), F.col("blob2.blob_id").alias("blob2"), F.col("blob1.confirmed").alias("confirmed1"), "dist")
+
+
+FLAGS = "(select *, (blob_id%2)::int as c0, (blob_id%3<>0)::int as c1, (blob_id%5<2)::int as c2, (blob_id%7<>1)::int as c3 from {places})"
+
+
+@query("with c as (select * from (values ('c0-c1',1,1,0,0),('c1-c2',0,1,1,0),('c1-c3',0,1,0,1),('c0-c1-c2',1,1,1,0),('c0-c1-c3',1,1,0,1),('c1-c2-c3',0,1,1,1),('c0-c1-c2-c3',1,1,1,1)) c(channels,w0,w1,w2,w3)) select channels, least(round_even(z*0.5,0)::int,24) as z, least(round_even(y*0.1,0)::int,20) as y, least(round_even(x*0.1,0)::int,49) as x, count(*) as n from " + FLAGS + " b join c on b.c0>=w0 and b.c1>=w1 and b.c2>=w2 and b.c3>=w3 group by all")
+def combination_heat_maps(s, d):
+    from ..operators import regions as r
+
+    n = F.col("blob_id")
+    x = views.places(s, d).withColumns({"c0": (n % 2).cast("int"), "c1": (n % 3 != 0).cast("int"), "c2": (n % 5 < 2).cast("int"), "c3": (n % 7 != 1).cast("int")})
+    return r.combination_heat_maps(x, (0.5, 0.1, 0.1), (25, 21, 50), ["c0", "c1", "c2", "c3"], ["c1"])
+
+
+#: Planes are 20 apart here, so clusters lie within them; the same places in whole numbers.
+SCALED = "(select blob_id, channel, (z*20)::int as z, y::int as y, x::int as x from {places})"
+
+
+@query(f"""with recursive v as {SCALED}, e as materialized (select a.blob_id as a, b.blob_id as b from v a join v b on a.channel=b.channel and a.z=b.z and (a.y-b.y)**2+(a.x-b.x)**2<=169),
+c as (select a from e group by a having count(*)>=3), k as materialized (select e.a, e.b from e join c on c.a=e.a join c c2 on c2.a=e.b),
+g(a,b) as (select a,b from k union select g.a,k.b from g join k on g.b=k.a), m as (select a, min(b) as cl from g group by a),
+o as (select e.a, min(m.cl) as cl from e join m on m.a=e.b where e.a not in (select a from c) group by 1),
+n as (select channel, coalesce(m.cl,o.cl,-1) as cluster, count(*) as n from v left join m on m.a=blob_id left join o on o.a=blob_id group by 1,2)
+select channel, count(*) filter (cluster<>-1) as n_clusters, coalesce(sum(n) filter (cluster=-1),0)::bigint as n_noise, max(n) filter (cluster<>-1) as largest from n group by 1""")
+def clusters_by_channel(s, d):
+    return p.clusters_by_label(views.places(s, d), "channel", (20, 1, 1), 13.0, 3)
+
+
+@query("""with v as (select z, y, x, sqrt((z-25)**2+(y-5)**2+(x-4)**2) as radial, p from (select distinct z, y, x, (label2=1) as p from {voxels} where label2 in (1,2))),
+j as (select a.z, a.y, a.x, a.radial, min(struct_pack(d:=sqrt((a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2), z:=b.z, y:=b.y, x:=b.x, r:=b.radial)) as m from v a join v b on not a.p and b.p group by all)
+select z, y, x, radial, radial-case when radial<=0 then 0 else m.r end as difference from j""")
+def radial_differences(s, d):
+    from ..operators import regions as r
+
+    v = views.voxels(s, d)
+    mid = s.range(1).select(F.lit(25).alias("z"), F.lit(5).alias("y"), F.lit(4).alias("x"))
+    borders = lambda n: r.radial_distance(v.filter(F.col("label2") == n).select("z", "y", "x").distinct(), mid)
+    return r.radial_difference(borders(1), borders(2))
+
+
+@query("""with v as (select vec_id, embedding[1]::double*100 as z, embedding[2]::double*100 as y, embedding[3]::double*100 as x from embeddings),
+k as (select a.vec_id, sqrt((a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2) as dist, row_number() over (partition by a.vec_id order by (a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2) as n from v a, v b),
+f as (select vec_id, dist from k where n=5), q as (select * from f where dist<1.5*(select median(dist) from f)),
+r as (select *, row_number() over (order by dist, vec_id)-1 as rank, greatest(count(*) over ()//100,1) as step, quantile_cont(dist,0.9) over () as p90 from q)
+select vec_id, dist, rank, rank%step=0 as shown, dist>p90 as zoomed from r""")
+def neighbour_overview(s, d):
+    e = views.read(s, d, "embeddings")
+    v = e.select("vec_id", *[(F.col("embedding")[i].cast("double") * 100).alias(c) for i, c in enumerate(("z", "y", "x"))])
+    return p.neighbour_distances(v, 5, 6.0, p.AXES, "vec_id", 1.5, 100)
+
+
+@query("select max(z)+1 as nz, max(y)+1 as ny, max(x)+1 as nx, quantile_cont(atlas,0.005) as near_min, quantile_cont(atlas,0.995) as near_max, 'double' as value_type, 5.0::double as magnification, 1.0::double as zoom, 6.6::double as resolution_z, 1.1::double as resolution_y, 1.1::double as resolution_x from {voxels}")
+def volume_metadata(s, d):
+    from ..sources.files import volume_metadata as about
+
+    return about(views.voxels(s, d), (6.6, 1.1, 1.1), 5.0, 1.0, "atlas")

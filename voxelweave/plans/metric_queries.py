@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import views
 from ..functions.views import SQL
 from ..operators import hierarchy as h
+from ..operators import models as mo
 from ..operators import regions as r
 from ..operators import stats as st
 from ..operators import tables as t
@@ -92,9 +93,14 @@ def plane_bounds(s, d):
     return r.merged_bounds(planes, "channel")
 
 
-@query("""with b as (select channel, quantile_cont(atlas,0.05) as lo, quantile_cont(atlas,0.995) as hi from {voxels} group by 1) select sample, channel, z, y, x, (least(greatest(atlas,lo),hi)-lo)/(hi-lo) as atlas from {voxels} join b using (channel)""")
+@query("""with v as (select *, z//10 as tile from {voxels}), k as (select channel, quantile_cont(atlas,0.995) as near_max from v group by 1), b as (select channel, tile, quantile_cont(atlas,0.05) as lo, quantile_cont(atlas,0.995) as hi from v group by 1,2), e as (select channel, tile, lo, case when lo=hi then hi else greatest(hi,0.9*near_max) end as hi from b join k using (channel))
+select sample, channel, z, y, x, case when lo=hi then atlas else (least(greatest(atlas,lo),hi)-lo)/(hi-lo) end as atlas from v join e using (channel, tile)""")
 def saturated(s, d):
-    return r.saturated(views.voxels(s, d).select("sample", "channel", "z", "y", "x", "atlas"), "channel", "atlas")
+    from ..operators.ranks import quantiles
+
+    v = views.voxels(s, d).select("sample", "channel", "z", "y", "x", "atlas", F.floor(F.col("z") / 10).alias("tile"))
+    top = quantiles(v, ["channel"], "atlas", {"near_max": 0.995})
+    return r.saturated(v, ["channel", "tile"], "atlas", top, 0.9).drop("tile")
 
 
 @query("""with e as (select min(atlas) as lo, max(atlas) as hi from {voxels}), h as (select least(floor((atlas-lo)/(hi-lo)*64),63)::int as bin, count(*) as n from {voxels}, e group by 1),
@@ -217,18 +223,18 @@ def paired_values(s, d):
 
 @query(f"select region, count(*) as n, avg(v2-v1) as mean, avg(v2-v1) as effect, avg(v2-v1)/nullif(stddev_samp(v2-v1),0) as cohen_d, avg(v2-v1)/nullif(stddev_samp(v2-v1)/sqrt(count(*)),0) as t, (count(*)-1)::double as df from (select region, v1/1e6 as v1, v2/1e6 as v2 from {PAIRED}) group by 1")
 def paired_t_test(s, d):
-    return st.paired_t(_base(s, d).withColumn("volume", F.col("volume") / 1e6), "region", "sample", "condition", "volume", PAIR).drop("p")
+    return st.paired_t(_base(s, d).withColumn("volume", F.col("volume") / 1e6), "region", "sample", "condition", "volume", PAIR).drop("p", "cohen_low", "cohen_high")
 
 
 @query("select region, count(nuclei) as n, avg(nuclei) as mean, avg(nuclei)-4000 as effect, (avg(nuclei)-4000)/stddev_samp(nuclei) as cohen_d, (avg(nuclei)-4000)/(stddev_samp(nuclei)/sqrt(count(nuclei))) as t, (count(nuclei)-1)::double as df from {metrics} group by 1")
 def one_sample_t_test(s, d):
-    return st.one_sample_t(views.metrics(s, d), "region", "nuclei", 4000.0).drop("p")
+    return st.one_sample_t(views.metrics(s, d), "region", "nuclei", 4000.0).drop("p", "cohen_low", "cohen_high")
 
 
 @query(f"""with r as (select region, v2-v1 as d, abs(v2-v1) as a from {PAIRED} where v2<>v1), k as (select *, {RANK.replace('{v}', 'a')} as rank, count(*) over (partition by region, a) as ties from r),
 s as (select region, count(*)::double as n, sum(case when d>0 then rank else 0 end)::double as w, sum(ties*ties-1)::double as t from k group by 1), z as (select *, (w-n*(n+1)/4)/sqrt(n*(n+1)*(2*n+1)/24-t/48) as z from s) select region, n, w, z, z/sqrt(n) as effect from z""")
 def signed_rank_test(s, d):
-    return st.signed_rank(_base(s, d), "region", "sample", "condition", "volume", PAIR).drop("p")
+    return st.signed_rank(_base(s, d), "region", "sample", "condition", "volume", PAIR).drop("p", "cohen_low", "cohen_high")
 
 
 @query()
@@ -259,12 +265,44 @@ def stats_by_region(s, d):
 
 @query()
 def wide_statistics(s, d):
-    w = st.welch(views.metrics(s, d), "region", "condition", "volume", PAIR)
-    se = F.sqrt(F.col("var1") / F.col("n1") + F.col("var2") / F.col("n2"))
-    return st.wide_stats(w, "region", "effect", "p", F.col("effect") - se, F.col("effect") + se)
+    w = st.welch(views.metrics(s, d), "region", "condition", "volume", PAIR).withColumn("n", F.col("n1") + F.col("n2"))
+    return st.wide_stats(w, "region", "cohen_d", "p", F.col("cohen_low"), F.col("cohen_high"))
 
 
 @query("with r as (select *, ((sample*7919)%1000+1)/1001.0 as p from {metrics}), k as (select *, rank() over (order by p)+count(*) over (partition by p)-1 as k, count(*) over () as n from r) select sample, region, volume, p, least(min(p*n/k) over (order by p desc),1) as p_corr from k")
 def corrected_p_values(s, d):
     m = views.metrics(s, d).select("sample", "region", "volume", ((F.col("sample") * 7919 % 1000 + 1) / 1001.0).alias("p"))
     return st.corrected(m, "p", "bh")
+
+
+# ---- models with a second factor ----------------------------------------------------------------------------------------
+SIDED = "(select region, condition, (case when sample%3=0 then 'L' else 'R' end) as side, volume, nuclei from {metrics} where condition<>'P')".replace("{metrics}", SQL["metrics"])
+
+
+def _sided(s, d):
+    return views.metrics(s, d).filter("condition <> 'P'").select("region", "condition", F.when(F.col("sample") % 3 == 0, "L").otherwise("R").alias("side"), "volume", "nuclei")
+
+
+#: With all four pairs of levels the model has a mean for each; its errors are those of differences of means.
+@query(f"""with c as (select region, condition as g, side as s, count(*)::double as n, avg(volume) as m, var_pop(volume) as v from {SIDED} group by all),
+w as (select region, sum(n)::bigint as n, sum(n*v)/(sum(n)-4) as s2, sum(n*v) as rest, sum(n*m)/sum(n) as mean, max(m) filter (g='F' and s='L') as m00, max(m) filter (g='O' and s='L') as m10, max(m) filter (g='F' and s='R') as m01, max(m) filter (g='O' and s='R') as m11,
+max(1/n) filter (g='F' and s='L') as i00, max(1/n) filter (g='O' and s='L') as i10, max(1/n) filter (g='F' and s='R') as i01, max(1/n) filter (g='O' and s='R') as i11 from c group by 1),
+q as (select w.*, 1-rest/(select sum(c.n*c.v)+sum(c.n*(c.m-w.mean)**2) from c where c.region=w.region) as r_squared from w),
+x as (select region, n, 1 as position, 'group:O' as term, m10-m00 as estimate, sqrt(s2*(i00+i10)) as se, m00 as intercept, r_squared from q union all select region, n, 2, 'side:R', m01-m00, sqrt(s2*(i00+i01)), m00, r_squared from q union all select region, n, 3, 'group:O*side:R', m11-m10-m01+m00, sqrt(s2*(i00+i10+i01+i11)), m00, r_squared from q)
+select region, position, term, n, estimate, se, estimate/se as t, (n-4)::double as df, r_squared, intercept from x""")
+def sided_linear_models(s, d):
+    return mo.linear_model(_sided(s, d), "region", "volume", "condition", "side").drop("p")
+
+
+@query()
+def sided_logistic_models(s, d):
+    return mo.logistic_model(_sided(s, d), "region", "condition", "volume", PAIR, "side")
+
+
+@query(f"""with m as (select region, measure, condition as g, value as v from {SIDED} unpivot (value for measure in (volume, nuclei)) where region not in (3, 7)),
+c as (select region, measure, count(*) as n, avg(v) filter (g='F') as a, avg(v) filter (g='O') as b, count(*) filter (g='F') as na, count(*) filter (g='O') as nb, var_pop(v) filter (g='F') as va, var_pop(v) filter (g='O') as vb from m group by 1,2),
+e as (select *, sqrt((na*va+nb*vb)/(n-2)*(1.0/na+1.0/nb)) as se from c)
+select region, measure, 1 as position, 'group:O' as term, n, b-a as estimate, se, (b-a)/se as t, (n-2)::double as df from e""")
+def models_by_measure(s, d):
+    model = lambda rows, key, value: mo.linear_model(rows, key, value, "condition")
+    return mo.by_measure(_sided(s, d), "region", ["condition"], ["volume", "nuclei"], model, ignore=[3, 7]).drop("p", "r_squared", "intercept")

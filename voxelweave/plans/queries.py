@@ -13,6 +13,8 @@ from ..operators import regions as r
 from ..operators import stats as st
 from ..operators import tables as t
 from ..operators import volumes as v
+from ..operators.blocks import extents
+from ..operators.ranks import quantiles
 from .registry import ORACLE_SQL, QUERIES, query
 from .tables import read
 
@@ -140,11 +142,32 @@ def merged_images(s, d):
     return views.voxels(s, d).groupBy("sample", "z", "y", "x").agg(F.sum("atlas").alias("atlas"))
 
 
+@query("select z, y, x, max(atlas) as atlas from {voxels} where sample='F' or channel=1 group by 1,2,3")
+def merged_by_maximum(s, d):
+    x = views.voxels(s, d)
+    return r.merged_values([x.filter("sample = 'F'"), x.filter("channel = 1")], "atlas", F.max)
+
+
+ACCURACY = "select channel, 'ignore' as maybes, pos, tp, fp from f union all select channel, 'correct', pos+mf, tp+mf, fp from f union all select channel, 'incorrect', pos+m-mf, tp, fp+mf from f"
+
+
+@query(f"""with b as (select channel, case when blob_id%4=3 then 2 else confirmed end as confirmed, case when blob_id%5=0 then 0.0 else radius end as radius from {{blobs}}),
+f as (select channel, count(*) filter (confirmed=1) as pos, count(*) filter (confirmed=1 and radius>=0.001) as tp, count(*) filter (confirmed=0) as fp, count(*) filter (confirmed=2) as m, count(*) filter (confirmed=2 and radius>=0.001) as mf from b group by 1), a as ({ACCURACY})
+select *, pos-tp as fn, case when pos<>0 then tp/pos end as sensitivity, case when tp+fp<>0 then tp/(tp+fp) end as ppv from a""")
+def detection_accuracy(s, d):
+    b = views.blobs(s, d).withColumns({"confirmed": F.when(F.col("blob_id") % 4 == 3, 2).otherwise(F.col("confirmed")), "radius": F.when(F.col("blob_id") % 5 == 0, 0.0).otherwise(F.col("radius"))})
+    out = None
+    for how in ("ignore", "correct", "incorrect"):
+        one = r.detection_accuracy(b, ["channel"], maybes=how).withColumn("maybes", F.lit(how))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("select label, median(z)/(select max(z) from {voxels}) as weight from {voxels} group by 1")
 def distance_weight(s, d):
     vox = views.voxels(s, d)
     top = F.broadcast(vox.agg(F.max("z").alias("top")))
-    return vox.groupBy("label").agg(F.percentile("z", F.lit(0.5)).alias("m")).join(top).select("label", (F.col("m") / F.col("top")).alias("weight"))
+    return quantiles(vox, ["label"], "z", {"m": 0.5}).join(top).select("label", (F.col("m") / F.col("top")).alias("weight"))
 
 
 # ---- hierarchy -------------------------------------------------------------------------------------------------------
@@ -269,6 +292,12 @@ def combined_columns(s, d):
     return t.combine_columns(views.metrics(s, d), "homogeneity", ["volume", "nuclei"]).select("sample", "region", "condition", "homogeneity")
 
 
+@query("select sample, region, condition, (volume+nuclei)/2 as homogeneity, case when volume<>0 then nuclei/volume end as share from {metrics}")
+def column_combinations(s, d):
+    combos = {"homogeneity": (["volume", "nuclei"], t.mean_of), "share": (["nuclei", "volume"], t.ratio_of), "absent": (["nuclei", "missing"], t.mean_of)}
+    return t.combined_by(views.metrics(s, d), combos).select("sample", "region", "condition", "homogeneity", "share")
+
+
 @query("select sample, volume+nuclei as added, volume-nuclei as less, volume*nuclei as times, case when nuclei<>0 then volume/nuclei end as ratio from {metrics}")
 def paired_columns(s, d):
     m = views.metrics(s, d)
@@ -302,7 +331,17 @@ def common_labels(s, d):
 
 @query("select region, condition, count(volume) as n, avg(volume) as mean, quantile_cont(volume,0.5) as median, stddev_samp(volume) as sd, stddev_samp(volume)/sqrt(count(volume)) as se from {metrics} group by 1,2")
 def group_summary(s, d):
-    return t.group_summary(views.metrics(s, d), ["region", "condition"], "volume")
+    return t.group_summary(views.metrics(s, d), ["region", "condition"], "volume").drop("ci")
+
+
+#: The 0.975 quantile of Student's t by its expansion around the normal one, for many degrees of freedom.
+Z = "1.959963984540054"
+T975 = f"({Z}+({Z}**3+{Z})/(4*f)+(5*{Z}**5+16*{Z}**3+3*{Z})/(96*f**2)+(3*{Z}**7+19*{Z}**5+17*{Z}**3-15*{Z})/(384*f**3)+(79*{Z}**9+776*{Z}**7+1482*{Z}**5-1920*{Z}**3-945*{Z})/(92160*f**4))"
+
+
+@query(f"select region, condition, n, mean, {T975}*sd/sqrt(n) as ci from (select region, condition, count(volume) as n, avg(volume) as mean, stddev_samp(volume) as sd, count(volume)-1.0 as f from {{metrics}} where condition<>'P' group by 1,2)")
+def mean_intervals(s, d):
+    return t.group_summary(views.metrics(s, d).filter("condition <> 'P'"), ["region", "condition"], "volume").select("region", "condition", "n", "mean", "ci")
 
 
 @query("select a.region, a.volume, b.volume as volume_1, c.nuclei from (select region, sum(volume) as volume from {metrics} where condition='F' group by 1) a left join (select region, sum(volume) as volume from {metrics} where condition='O' group by 1) b using (region) left join (select region, min(nuclei) as nuclei from {metrics} group by 1) c using (region)")
@@ -337,9 +376,9 @@ def first_points(s, d):
 NEAR = "abs(a.z-b.z)<=2 and abs(a.y-b.y)<=3 and abs(a.x-b.x)<=3"
 
 
-@query("select a.blob_id as a, b.blob_id as b from {blobs} a join {blobs} b on a.channel=0 and b.channel=1 and " + NEAR)
+@query("select a.blob_id as a, b.blob_id as b from {places} a join {places} b on a.channel=0 and b.channel=1 and " + NEAR)
 def near_points(s, d):
-    b = views.blobs(s, d).select("blob_id", "channel", "z", "y", "x")
+    b = views.places(s, d).select("blob_id", "channel", "z", "y", "x")
     return p.near_pairs(b.filter("channel = 0"), b.filter("channel = 1"), (2, 3, 3)).select(F.col("blob_id_a").alias("a"), F.col("blob_id_b").alias("b"))
 
 
@@ -404,12 +443,12 @@ def points_per_cell(s, d):
 
 
 # ---- volumes ---------------------------------------------------------------------------------------------------------
-GRID = "(select z, y, x, min(label2%3) as label from {voxels} group by 1,2,3)".replace("{voxels}", SQL["voxels"])
+GRID = "(select z, y, x, label from {grid})".replace("{grid}", SQL["grid"])
 FACES = "(values (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx)"
 
 
 def _grid(s, d):
-    return views.voxels(s, d).groupBy("z", "y", "x").agg(F.min(F.col("label2") % 3).alias("label"))
+    return views.grid(s, d).select("z", "y", "x", "label")
 
 
 @query(f"select distinct a.z, a.y, a.x, a.label from {GRID} a, {FACES} join {GRID} b on b.z=a.z+dz and b.y=a.y+dy and b.x=a.x+dx where a.label<>0 and b.label<>a.label")
@@ -448,26 +487,27 @@ def dilated_labels(s, d):
     return v.dilated(_grid(s, d).filter("label = 2"))
 
 
-@query(f"select a.z, a.y, a.x, min(sqrt((a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2)) as dist from (select * from {GRID} where label=1) a, (select * from {GRID} where label=2) b group by 1,2,3")
+@query(f"select a.z, a.y, a.x, min(sqrt((a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2)) as dist from (select * from {GRID} where label=1) a join (select * from {GRID} where label=2) b on b.z between a.z-9 and a.z+9 group by 1,2,3")
 def nearest_border(s, d):
     g = _grid(s, d)
     return v.nearest_voxel(g.filter("label = 1"), g.filter("label = 2"))
 
 
-@query(f"select z, y, x, label from {GRID} where z<25 union all select 49-z, y, x, -label from {GRID} where z<25")
+@query(f"select z, y, x, label from {GRID} where x<5 union all select z, y, 9-x, -label from {GRID} where x<5")
 def mirrored_labels(s, d):
-    return v.mirrored(_grid(s, d), "z", 25)
+    return v.mirrored(_grid(s, d), "x", 5)
 
 
-@query(f"select z, y, x, label from {GRID} a where not exists (select 1 from {GRID} b where 49-b.z=a.z and b.y=a.y and b.x=a.x and b.label=a.label)")
+@query(f"select z, y, x, label from {GRID} a where not exists (select 1 from {GRID} b where b.z=a.z and b.y=a.y and 9-b.x=a.x and b.label=a.label)")
 def asymmetric_labels(s, d):
-    return v.asymmetric(_grid(s, d), "z", 25, 1)
+    return v.asymmetric(_grid(s, d), "x", 5, 1)
 
 
 @query(f"select z, y, x, label from {GRID}")
 def tiles_round_trip(s, d):
-    shape, size = (51, 11, 9), (16, 4, 3)
-    return v.merged_tiles(v.tiles(_grid(s, d), size, (3, 1, 2), shape), size, shape)
+    g, size = _grid(s, d), (16, 4, 3)
+    shape = extents(g)
+    return v.merged_tiles(v.tiles(g, size, (3, 1, 2), shape), size, shape)
 
 
 @query(f"select x as y, 10-y as x, z, label from {GRID}")
@@ -479,7 +519,7 @@ def quarter_turn(s, d):
 @query("""with a as (select region, count(volume) filter (condition='F') as n1, avg(volume) filter (condition='F') as mean1, var_samp(volume) filter (condition='F') as var1, count(volume) filter (condition='O') as n2, avg(volume) filter (condition='O') as mean2, var_samp(volume) filter (condition='O') as var2 from {metrics} group by 1)
 select region, n1, mean1, n2, mean2, mean2-mean1 as effect, (mean2-mean1)/sqrt(((n1-1)*var1+(n2-1)*var2)/(n1+n2-2)) as cohen_d, (mean2-mean1)/sqrt(var1/n1+var2/n2) as t, (var1/n1+var2/n2)**2/((var1/n1)**2/(n1-1)+(var2/n2)**2/(n2-1)) as df from a""")
 def welch_test(s, d):
-    return st.welch(views.metrics(s, d), "region", "condition", "volume", ("F", "O")).drop("p", "var1", "var2")
+    return st.welch(views.metrics(s, d), "region", "condition", "volume", ("F", "O")).drop("p", "var1", "var2", "cohen_low", "cohen_high")
 
 
 @query()

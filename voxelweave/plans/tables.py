@@ -71,10 +71,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, as whole texts may be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def text_batches(spark: SparkSession, rows: int = 2000, size: int = 16 * 2**20) -> None:
+    """Bound the rows and the bytes of an Arrow batch, as whole texts may be long (a single longer text is a batch of its own).
+
+    Only lowers the session's settings, and leaves them so: results are lazy, and run with the settings of their action.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = bytes_of(spark.conf.get(key))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
+def bytes_of(setting: str) -> int:
+    """A size as Spark writes it, as ``64m``."""
+    unit = setting.strip().lower().rstrip("b")
+    scale = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}.get(unit[-1:], 1)
+    return int(unit.rstrip("kmgt")) * scale
 
 
 def partitions(spark: SparkSession) -> int:

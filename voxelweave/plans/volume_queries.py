@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import views
+from ..functions.views import SQL
+from ..operators import blocks
+from ..operators import detection as de
+from ..operators import morphology as mo
 from ..operators import regions as r
 from ..operators import volumes as v
 from .registry import query
 
-#: Planes of 100 voxels: z grows with the table, labels come in slabs of three planes.
-GRID = "(select z, y, x, min(label) as label, max(label2) as label2, avg(atlas) as atlas from (select (l_orderkey//20)::int as z, (l_partkey%10)::int as y, (l_suppkey%10)::int as x, (l_orderkey//60%3)::int as label, (l_orderkey//60%3 + case when l_partkey%10<2 then 5 else 0 end)::int as label2, l_extendedprice as atlas from lineitem) group by 1,2,3)"
+GRID = SQL["grid"]
 FACES = "(values (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx)"
 SELF = "(values (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx)"
 
@@ -24,18 +27,7 @@ THERE = "b.z=n.bz and b.y=n.by and b.x=n.bx"
 ERODED = f"(with {_steps(GRID)} select n.z, n.y, n.x, n.label from n join {GRID} b on {THERE} and b.label=n.label where n.label<>0 group by all having count(*)=6)"
 
 
-def _grid(s, d):
-    i = views.read(s, d, "lineitem")
-    k = F.floor(F.col("l_orderkey") / 60) % 3
-    cells = i.select(
-        F.floor(F.col("l_orderkey") / 20).cast("int").alias("z"),
-        (F.col("l_partkey") % 10).cast("int").alias("y"),
-        (F.col("l_suppkey") % 10).cast("int").alias("x"),
-        k.cast("int").alias("label"),
-        (k + F.when(F.col("l_partkey") % 10 < 2, 5).otherwise(0)).cast("int").alias("label2"),
-        F.col("l_extendedprice").alias("atlas"),
-    )
-    return cells.groupBy("z", "y", "x").agg(F.min("label").alias("label"), F.max("label2").alias("label2"), F.avg("atlas").alias("atlas"))
+_grid = views.grid
 
 
 def _labels(s, d):
@@ -111,11 +103,10 @@ def closed_labels(s, d):
     return v.closed(_labels(s, d).filter("label = 2"))
 
 
-@query(f"""with g as (select * from {GRID} where z<60), u as (select a.z, a.y, a.x, b.label2, row_number() over (partition by a.z, a.y, a.x order by sqrt((a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2), b.z, b.y, b.x) as n from (select * from g where label2<5) a join (select * from g where label2>=5) b on abs(a.z-b.z)<=30)
-select g.z, g.y, g.x, coalesce(u.label2, case when g.label2<5 then 0 else g.label2 end) as label from g left join u on u.n=1 and u.z=g.z and u.y=g.y and u.x=g.x""")
+@query(f"""with g as (select * from {GRID}), u as (select a.z, a.y, a.x, min(struct_pack(d:=sqrt((a.z-b.z)**2+(a.y-b.y)**2+(a.x-b.x)**2), z:=b.z, y:=b.y, x:=b.x, l:=b.label2)) as m from (select * from g where label2<5) a join (select * from g where label2>=5) b on b.z between a.z-14 and a.z+14 group by 1,2,3)
+select g.z, g.y, g.x, coalesce(u.m.l, case when g.label2<5 then 0 else g.label2 end) as label from g left join u on u.z=g.z and u.y=g.y and u.x=g.x""")
 def in_painted_labels(s, d):
-    g = _grid(s, d).filter("z < 60").select("z", "y", "x", F.when(F.col("label2") < 5, 0).otherwise(F.col("label2")).alias("label"))
-    return v.in_painted(g)
+    return v.in_painted(_grid(s, d).select("z", "y", "x", F.when(F.col("label2") < 5, 0).otherwise(F.col("label2")).alias("label")))
 
 
 @query(f"with {_steps(GRID)} select distinct n.z, n.y, n.x from n join {GRID} b on {THERE} where (n.atlas-35000)*(b.atlas-35000)<0")
@@ -152,13 +143,14 @@ def _shape(label: str) -> str:
 
 
 @query(f"""with g as (select * from {GRID}), {_steps('g')}, d as (select a.label, a.volume, b.volume as volume_new, a.surface, b.surface as surface_new from {_shape("label")} a left join {_shape("label2")} b using (label)),
-m as (select *, (surface**3/volume**2-surface_new**3/volume_new**2)/(surface**3/volume**2) as compaction, abs(volume_new-volume)/volume as displacement from d)
-select label, volume, volume_new, compaction, displacement, compaction-displacement as quality, surface/volume as sa_to_vol, surface_new/volume_new as sa_to_vol_new, (surface_new/volume_new)/(surface/volume) as sa_to_vol_frac, volume_new is null as lost from m""")
+w as (select label2 as label, count(*) filter (label<>label2) as away from g group by 1),
+m as (select d.*, (surface**3/volume**2-surface_new**3/volume_new**2)/(surface**3/volume**2) as compaction, away/volume_new as displacement from d left join w using (label))
+select label, volume::double as volume_orig, coalesce(volume_new,0)::double as volume, compaction, displacement, compaction-displacement as quality, surface**3/volume**2 as compactness_orig, surface_new**3/volume_new**2 as compactness, surface/volume as sa_to_vol_orig, surface_new/volume_new as sa_to_vol, (surface_new/volume_new)/(surface/volume) as sa_to_vol_frac from m""")
 def smoothing_metrics(s, d):
-    g = _grid(s, d)
-    one = v.compactness(g.select("z", "y", "x", "label")).drop("compactness")
-    two = v.compactness(g.select("z", "y", "x", F.col("label2").alias("label"))).drop("compactness")
-    return r.smoothing_metrics(one, two)
+    g = _grid(s, d).select("z", "y", "x", F.col("label").cast("long").alias("was"), F.col("label2").cast("long").alias("label"))
+    shape = blocks.extents(g)
+    before = mo.label_measures(g.select("z", "y", "x", F.col("was").alias("label")), shape=shape)
+    return mo.smoothing_quality(before, mo.label_measures(g, shape=shape, was="was"), by=())
 
 
 @query(f"select label, count(*) as volume from {GRID} where label<>2 and label not in (select label2 from {GRID} where y>=2 and label2<>1) group by 1")
@@ -168,12 +160,64 @@ def labels_lost_in_part(s, d):
     return r.labels_lost(g.select("z", "y", "x", "label").join(new, ["z", "y", "x"]), "label", "new")
 
 
-@query(f"with g as (select z, y, x, label from {GRID} where z<51) select tz as tile_z, ty as tile_y, z, y, x, label from g, (select unnest(range(4)) as tz), (select unnest(range(2)) as ty) where z>=tz*16 and z<tz*16+16+3 and y>=ty*6 and y<ty*6+6+1 and tz*16<51")
+@query(f"with g as (select z, y, x, label from {GRID}) select tz as tile_z, ty as tile_y, z, y, x, label from g, (select unnest(generate_series(0,1)) as back), (select unnest(range(2)) as ty), lateral (select z//16-back as tz) where tz>=0 and z<tz*16+16+3 and y>=ty*6 and y<ty*6+6+1")
 def tile_members(s, d):
-    g = _labels(s, d).filter("z < 51")
-    return v.tiles(g, (16, 6, 10), (3, 1, 0), (51, 10, 10)).select("tile_z", "tile_y", "z", "y", "x", "label")
+    g = _labels(s, d)
+    return v.tiles(g, (16, 6, 10), (3, 1, 0), (blocks.extents(g)[0], 10, 10)).select("tile_z", "tile_y", "z", "y", "x", "label")
 
 
 @query()
 def largest_components(s, d):
     return v.largest(v.connected(_labels(s, d), full=False)).groupBy("label").agg(F.count("*").alias("size"), F.min("component").alias("component"))
+
+
+# ---- halo blocks: detection, preprocessing, smoothing ---------------------------------------------------------------------
+#: Planted spots are 1.2 to 1.8 voxels wide.
+SPOTS = de.Profile(min_sigma=1.0, max_sigma=2.2, sigmas=5, threshold=0.1, overlap=0.5)
+
+
+@query()
+def detected_points(s, d):
+    return de.detected(views.spots(s, d), SPOTS)
+
+
+TILE = "with g as (select z, y, x, atlas/100000 as v from {grid}), e as (select max(z)+1 as n from g), d as (select z//10 as t, z, y, x, coalesce(g.v,0) as v from (select unnest(range((select n from e)))::int as z) join (select unnest(range(10))::int as y) on true join (select unnest(range(10))::int as x) on true left join g using (z, y, x)),"
+
+
+@query(TILE + """q as (select t, quantile_cont(v,0.05) as lo, quantile_cont(v,0.995) as hi from d group by 1),
+s as materialized (select t, z, y, x, case when lo=hi then v else (least(greatest(v,lo),greatest(hi,0.45))-lo)/(greatest(hi,0.45)-lo) end as v from d join q using (t)),
+k as (select k, exp(-k*k/8.0)/sum(exp(-k*k/8.0)) over () as w from (select unnest(generate_series(-8,8)) as k)),
+c as materialized (select t, z, y, x, least(greatest(v,0),1) as v from s),
+bx as materialized (select a.t, a.z, a.y, a.x, sum(w*b.v) as v from c a join k on true join c b on b.z=a.z and b.y=a.y and b.x=least(greatest(a.x+k,0),9) group by all),
+cy as materialized (select a.t, a.z, a.y, a.x, sum(w*b.v) as v from bx a join k on true join bx b on b.z=a.z and b.x=a.x and b.y=least(greatest(a.y+k,0),9) group by all),
+cz as materialized (select a.t, a.z, a.y, a.x, sum(w*b.v) as v from cy a join k on true join e on true join cy b on b.y=a.y and b.x=a.x and b.z=least(greatest(a.z+k,a.t*10),least(a.t*10+9,n-1)) group by all),
+u as materialized (select c.t, c.z, c.y, c.x, 2*c.v-0.3*cz.v as v from c join cz using (t, z, y, x)),
+o as (select * from (values (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx)),
+r as (select a.t, a.z, a.y, a.x, min(b.v) as least from u a join o on true join u b on b.t=a.t and b.z=a.z+dz and b.y=a.y+dy and b.x=a.x+dx group by all),
+m as (select t, avg(v) as mean from s group by 1)
+select z, y, x, case when mean>0.2 then least else u.v end as value from u join r using (t, z, y, x) join m using (t) where t in (select z//10 from g)""")
+def preprocessed_volume(s, d):
+    g = _grid(s, d).select("z", "y", "x", (F.col("atlas") / 100000).alias("value"))
+    return de.preprocessed(g, de.Profile(blur=2.0), 0.9, tile=(10, 10, 10))
+
+
+@query()
+def smoothed_labels(s, d):
+    return mo.smoothed_labels(_labels(s, d), [1, 2], small=500)
+
+
+@query()
+def smoothing_sweep(s, d):
+    return mo.smoothing_sweep(_labels(s, d), [1, 2, 3], small=500)[0]
+
+
+@query()
+def adaptive_smoothing(s, d):
+    return mo.smoothing_sweep(_labels(s, d), [1, 2], mode="adaptive_opening")[1]
+
+
+@query(f"""with g as (select * from {GRID}), o as (select 2.0*count(*) filter (atlas>30000 and label<>0)/(count(*) filter (atlas>30000)+count(*) filter (label<>0)) as dsc, count(*) filter (atlas>30000) as volume_atlas, count(*) filter (label<>0) as volume_labels from g),
+w as (select * from g where atlas>20000), f as (select count(*) as faces from w a join {FACES} on true left join w b on b.z=a.z+dz and b.y=a.y+dy and b.x=a.x+dx where b.z is null)
+select o.*, faces::double**3/(select count(*) from w)::double**2 as compactness from o, f""")
+def refinement_row(s, d):
+    return mo.refinement_row(_grid(s, d), "atlas", "label", 30000, 20000)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ranks import running
+from ..operators.detection import formatted
+from ..operators.ranks import quantiles, running
 from ..plans.tables import cut
 
 
@@ -18,6 +19,19 @@ def write_points(points: DataFrame, path: str) -> None:
     points.select("z", "y", "x", F.col("radius").alias("r")).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
+def read_points(spark: SparkSession, path: str, channel: int | None = 0) -> DataFrame:
+    """A stored blob table of any version, with all columns: older ones lack flags and absolute places (see ``formatted``)."""
+    return formatted(spark.read.option("mergeSchema", True).parquet(path), channel)
+
+
+def volume_metadata(v: DataFrame, resolution: Sequence[float], magnification: float = 1.0, zoom: float = 1.0, value: str = "value") -> DataFrame:
+    """One row about a volume: its shape, value type, resolutions and magnification, and the values near its ends (quantiles 0.005 and 0.995)."""
+    ends = quantiles(v.withColumn("_all", F.lit(0)), ["_all"], value, {"near_min": 0.005, "near_max": 0.995})
+    shape = v.agg(*[(F.max(c) + 1).alias(f"n{c}") for c in ("z", "y", "x")]).withColumn("_all", F.lit(0))
+    own = {"value_type": v.schema[value].dataType.simpleString(), "magnification": magnification, "zoom": zoom} | dict(zip(("resolution_z", "resolution_y", "resolution_x"), resolution, strict=True))
+    return shape.join(F.broadcast(ends), "_all", "left").drop("_all").withColumns({k: F.lit(x) for k, x in own.items()})  # one row each
+
+
 def read_ontology_json(spark: SparkSession, path: str) -> DataFrame:
     """Nested nodes below ``msg[0]``, children in arrays of any depth -> id, name, acronym, level, parent.
 
