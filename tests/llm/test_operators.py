@@ -89,6 +89,24 @@ def test_vectors_of_odd_rows(spark):
     assert vectors.vector_components(v.limit(0)).collect() == []
 
 
+def test_a_repeated_vec_id_is_one_vector_of_several_forms(spark):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.05], 1), (2, [0.0, 1.0], 1), (3, [0.02, 1.0], 1), (4, [1.0, 1.0], 1), (4, [1.0, 1.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.vector_components(v).collect())
+    assert got == [(1, 1, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_repeated_rows_that_lose_words_stay_one_row_each(spark, times):
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(1, f"a b {shared} c")] + [(2, f"d {shared} e f")] * times + [(3, f"{shared} g")] + [(None, f"h {shared}")] * times
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 9, r.n_words, r.n_removed, r.kept_sha256) for r in passages.passage_digests(docs).collect())
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(1, 43, 0, digest(f"a b {shared} c"))] + [(2, 43, 40, digest("d e f"))] * times + [(3, 41, 40, digest("g"))] + [(9, 41, 40, digest("h"))] * times
+    assert got == want
+
+
 def test_cells_lose_no_link(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 8))

@@ -128,7 +128,7 @@ def _runs(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def removed_words(docs: DataFrame, size: int = 13, shard_phrases: int = 100_000, shard_rows: int = 20_000, sample: int = 4_000) -> DataFrame:
-    """``docs(doc, tag, text)`` -> ``(doc, tag, packed, spans)`` for documents that lose words.
+    """``docs(doc, tag, text)`` -> ``(doc, tag, packed, spans)`` for documents that lose words, one for each repeat of a row.
 
     A word goes if a window of ``size`` words covers it whose word sequence
     starts in a document with a smaller id, too. ``packed``: the words,
@@ -319,6 +319,7 @@ def passage_digests(docs: DataFrame, size: int = 13) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["doc", "tag", "n_removed", "left_sha256"])
 
     cuts = removed_words(searched, size).mapInArrow(digest, "doc long, tag long, n_removed long, left_sha256 string")
+    cuts = cuts.groupBy("doc", "tag").agg(F.min("n_removed").alias("n_removed"), F.min("left_sha256").alias("left_sha256"))  # repeated rows come out equal
     gone = copies.select("doc", "tag", F.lit(None).cast("long").alias("n_removed"), F.sha2(F.lit("").cast("binary"), 256).alias("left_sha256"))
     return base.join(cuts.unionByName(gone), ["doc", "tag"], "left").select(
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),

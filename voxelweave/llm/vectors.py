@@ -83,8 +83,9 @@ def vector_components(vectors: DataFrame, cosine: float = 0.98, per_cell: int =
     more, in double precision. Those that are null, empty, zero or hold null or
     non-finite components, and rows with a null vec_id, link with nothing; a
     null vec_id has a null component and is kept. Rows with the same label and
-    vector are one class; each counts as a link of the others. No rows give no
-    rows; other columns are ignored.
+    vector are one class; each counts as a link of the others. Rows that repeat
+    a vec_id with another vector are forms of one vector: each has the links of
+    all forms and their component. No rows give no rows; other columns are ignored.
 
     Centroids are fitted on at most ``sample`` vectors; every vector is
     assigned. A label has a cell for each ``per_cell`` of its vectors, rounded
