@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -29,8 +30,27 @@ class Tokens:
     def __init__(self, entries: list[bytes], ends: tuple[bytes, bytes]):
         self.entries = entries
         self.length = np.array([len(x) for x in entries], np.int64)
+        self.flat, self.begin = np.frombuffer(b"".join(entries), np.uint8), np.cumsum(self.length) - self.length
         self.text = [np.array([b"%d%s" % (i, e) for i in range(len(entries))], object) for e in ends]
 
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens end to end."""
+        n = self.length[ids]
+        at = np.repeat(self.begin[ids] - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        return self.flat[at]
+
+    def spells(self, ids: list[np.ndarray], whole: list[bytes]) -> np.ndarray:
+        """Which of the token lists join to their texts."""
+        size = np.array([int(self.length[x].sum()) for x in ids])
+        fine = size == np.array([len(w) for w in whole])
+        some = np.flatnonzero(fine)
+        if len(some):
+            mine = self.joined(np.concatenate([ids[i] for i in some.tolist()]))
+            odd = np.flatnonzero(mine != np.frombuffer(b"".join(whole[i] for i in some.tolist()), np.uint8))
+            fine[some[np.searchsorted(np.cumsum(size[some]), odd, "right")]] = False
+        return fine
+
 
 class ByteLevel(Tokens):
     """Byte-level BPE of a space and the text."""
@@ -59,7 +79,7 @@ class Pieces(Tokens):
         super().__init__([bytes([int(name(i)[3:5], 16)]) if m.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(m.get_piece_size())], (b",", b";"))
         inner = any("▁" in name(i).lstrip("▁") for i in range(m.get_piece_size()))
         self.apart = not inner and b"".join(self.entries[i] for i in m.encode(" a  b ")) == b"  a  b "
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.most = most
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -74,12 +94,12 @@ class Pieces(Tokens):
         new = list({u for s in split for u in s if u not in self.known})
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
-            self.known.update(zip(some, (np.array(x, np.int64) for x in self.model.encode(some, num_threads=1)), strict=True))
+            self.known.update(zip(some, (array("i", x).tobytes() for x in self.model.encode(some, num_threads=1)), strict=True))
         # the model gives nothing for the empty text, but a lone space within one is a token
         get, lone = self.known.__getitem__, self.model.encode(" ")
         if "" in self.known:
-            self.known[""] = np.array(lone if len(lone) == 1 and self.entries[lone[0]] == b" " else [self.model.piece_to_id("▁")], np.int64)
-        return [np.concatenate([get(u) for u in s]) if t else np.empty(0, np.int64) for t, s in zip(texts, split, strict=True)]
+            self.known[""] = array("i", lone if len(lone) == 1 and self.entries[lone[0]] == b" " else [self.model.piece_to_id("▁")]).tobytes()
+        return [np.frombuffer(b"".join(map(get, s)), np.int32).astype(np.int64) if t else np.empty(0, np.int64) for t, s in zip(texts, split, strict=True)]
 
 
 _loaded: dict[tuple[str, str], tuple[ByteLevel, Pieces]] = {}
@@ -125,7 +145,7 @@ def leaf_groups(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray)
         cut_here = found >= 0
         leaves.append(high[~cut_here])
         low, at, high = low[cut_here], found[cut_here], high[cut_here]
-        low, high = np.concatenate([low, at]), np.concatenate([at, high])
+        low, high = np.stack([low, at], axis=1).ravel(), np.stack([at, high], axis=1).ravel()  # in order, so searches are near each other
     return np.sort(np.concatenate(leaves)) if leaves else np.empty(0, np.int64)
 
 
@@ -134,9 +154,9 @@ class Aligned:
 
     def __init__(self, one: ByteLevel, two: Pieces, texts: list[str]):
         ids, whole = [one.ids(texts), two.ids(texts)], [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
-        for i, (t, raw) in enumerate(zip(texts, whole, strict=True)):
-            if not t or any(b"".join(map(k.entries.__getitem__, x[i].tolist())) != raw for k, x in ((one, ids[0]), (two, ids[1]))):
-                ids[0][i] = ids[1][i] = np.empty(0, np.int64)
+        fine = one.spells(ids[0], whole) & two.spells(ids[1], whole) & np.array([bool(t) for t in texts])
+        for i in np.flatnonzero(~fine).tolist():
+            ids[0][i] = ids[1][i] = np.empty(0, np.int64)
         self.n = [np.array([len(x) for x in side], np.int64) for side in ids]
         self.ids = [np.concatenate(side) if side else np.empty(0, np.int64) for side in ids]
         self.ends = [np.cumsum(k.length[x]) for k, x in zip((one, two), self.ids, strict=True)]
