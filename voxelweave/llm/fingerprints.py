@@ -107,11 +107,11 @@ def _pieces(texts: list[str], most: int = 400) -> Iterator[slice]:
             yield slice(i, min(i + most, part.stop))
 
 
-def followed(docs: DataFrame) -> DataFrame:
+def followed(docs: DataFrame, sample: int = 20_000) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> rows (follower, doc_id, text), each followed in its partition by the next document.
 
     Documents come by falling doc_id (null last, rows of one doc_id by a hash
-    of the text). Ranges are ends of a sample; the first document of each
+    of the text). The ends of the ranges are those of about ``sample`` rows; the first document of each
     range, one row, is copied behind the end of the range before it (that of
     the first range behind the last), so a text is shuffled once and no order
     over all rows is ever in one task. ``follower`` marks the copy.
@@ -120,7 +120,8 @@ def followed(docs: DataFrame) -> DataFrame:
     n = partitions(spark)
     keyed = docs.select(F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("hash", F.xxhash64("text"))
-    ends = bounds(keyed.select(F.col("key").alias("k1"), F.col("hash").alias("doc")))
+    few = keyed.filter(F.pmod(F.xxhash64("key", "hash"), F.lit(max(1, docs.count() // sample))) == 0)
+    ends = bounds(few.select(F.col("key").alias("k1"), F.col("hash").alias("doc")))
 
     @F.pandas_udf("int")
     def range_of(key: pd.Series, own: pd.Series) -> pd.Series:
