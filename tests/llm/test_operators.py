@@ -293,6 +293,31 @@ def test_near_links_of_repeated_ids_in_large_leaves(spark):
     assert got == {i: i for i in range(150)} | {1000 + i: 1000 + i for i in range(10)} | {2000 + i: 1000 + i for i in range(10)}
 
 
+def test_trees_follow_from_recall():
+    assert neardup.trees_for(0.999, 75, 3) == 8 and neardup.trees_for(0.99999, 75, 3) == 13 and neardup.trees_for(0.999, 100, 3) == 1
+    rng, s, met = np.random.default_rng(3), 0.75, 0
+    for _ in range(4000):  # a tree of three levels, simulated
+        nodes = 1
+        for _ in range(3):
+            nodes = sum(int((rng.random(2 if rng.random() < 1 / 3 else 1) < s).sum()) for _ in range(nodes))
+        met += nodes > 0
+    assert abs(met / 4000 - 0.5997) < 0.04
+
+
+def test_random_pairs_at_the_threshold_are_all_found(spark):
+    """Pairs of similarity 0.75 and a little more or less, apart from all others: the links equal brute force."""
+    rng, texts = np.random.default_rng(12), []
+    for i in range(250):
+        n = int(rng.integers(40, 160))
+        w = [f"p{i}x{j}" for j in range(n)]
+        texts += [w, w[: n - int(rng.integers(0, n // 4))] + [f"q{i}x{j}" for j in range(int(rng.integers(0, n // 6)))]]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    want = {2 * i + 1: 2 * i if 100 * len(sets[2 * i] & sets[2 * i + 1]) >= 75 * len(sets[2 * i] | sets[2 * i + 1]) else 2 * i + 1 for i in range(250)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_components(docs).collect() if r.doc_id % 2}
+    assert got == want and 50 < sum(v % 2 for v in want.values()) < 200
+
+
 def test_links_in_a_crowded_family_equal_brute_force(spark):
     """Variants of one text, most too far from each other to link: recall over all pairs in one large leaf."""
     rng = np.random.default_rng(8)

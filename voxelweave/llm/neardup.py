@@ -9,6 +9,7 @@ exhaustively, and independent trees repeat this.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,20 @@ def _branches(node: F.Column, sig: F.Column) -> F.Column:
     return F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))
 
 
-def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: int = 8, small: int = 12, depth: int = 3) -> DataFrame:
+def trees_for(recall: float, percent: int, depth: int) -> int:
+    """Trees needed so that a pair at the threshold stays together down to ``depth`` in one of them with probability ``recall``.
+
+    A shared node has one child, which both sets take with probability s, or in
+    a third of the nodes two; so the pair's shared nodes are a branching process.
+    """
+    s, together = percent / 100, 1.0
+    for _ in range(depth):
+        apart = 1 - s * together
+        together = 1 - (2 * apart + apart * apart) / 3
+    return 1 if together >= 1 else ceil(log(1 - recall) / log(1 - together))
+
+
+def near_components(docs: DataFrame, size: int = 5, percent: int = 75, recall: float = 0.999, small: int = 12, depth: int = 3) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row each: doc_id, n_shingles, component_id, kept.
 
     A document's set holds the distinct ``size``-word shingles of its whole
@@ -95,8 +109,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     Classes link at 100 * intersection >= ``percent`` * union, confirmed on the
     full sets. Rows with a null doc_id are linked with nothing, keep a null
     component and stay. Rows that repeat a doc_id stand for one document that
-    links where any of them does. A pair at the threshold shares a node of the first
-    level with probability 1 - (1 - 0.75) ** (4 * trees / 3), nearly 1.
+    links where any of them does.
 
     1. One pass over the texts gives set sizes, fingerprints of sets and
        MinHash coordinates. 2. Nodes of over ``small`` sets branch, to
@@ -108,11 +121,12 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     leaves that hold several components form families, whose links
     ``_family_pairs`` finds exactly without comparing all with all.
 
-    Recall at the threshold itself: a pair whose nodes all stay large meets in a
-    leaf with probability 0.9993 (8 trees, 3 levels), and in a family even if
-    it shares no leaf; candidates whose 48 coordinates agree in under 45 %
-    are dropped, about 3 of a million links.
+    The number of trees follows from ``recall``: the probability that a pair at
+    the threshold itself, whose nodes all stay large, meets in a leaf; in a family it
+    meets even if it shares no leaf. Candidates whose 48 coordinates agree in
+    under a fifth are not confirmed: of a link's, that is 3 in 10 ** 17.
     """
+    trees = trees_for(recall, percent, depth)
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -137,13 +151,13 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
         pairs, leaf = pairs.unionByName(x), leaf.unionByName(y)
 
     def alike(p: DataFrame) -> DataFrame:
-        """Pairs whose coordinates agree about as often as a link's do; 0.3 is nearly five deviations."""
+        """Pairs of fitting sizes whose coordinates agree in more than chance; no link's agree so rarely."""
         for end in ("a", "b"):
             p = p.join(reps.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("sig").alias(f"sig_{end}")), end)
         return p.filter(near_sizes & close).select("a", "b")
 
     near_sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    close = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= int(COORDINATES * (percent / 100 - 0.3))
+    close = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x)) >= int(COORDINATES * (percent / 100 - 0.55))
     pairs = cut(alike(pairs.distinct()))
 
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -174,7 +188,10 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 75, trees: in
     found = cut(components(linked.unionByName(more)) if more.take(1) else found)
 
     home = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
-    return rows.drop("sig").join(home, key, "left").select(
+    # rows without a set have one key, and no class to look up
+    real = F.col("n_shingles") > 0
+    placed = rows.drop("sig").filter(real).join(home, key, "left").unionByName(rows.drop("sig").filter(~real), allowMissingColumns=True)
+    return placed.select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
