@@ -147,7 +147,7 @@ def pruned_tiles(points: DataFrame, tile: Sequence[int], overlap: Sequence[float
         band = points.withColumn("_t", at)
         low = band.filter(F.col(c) - F.col("_t") * size >= size - wide).withColumn("_t", F.col("_t") + 1)
         high = band.filter(F.col(c) - F.col("_t") * size < wide)
-        points = without_close(high, low, tolerance, ("channel", "_t")).unionByName(band.filter(~(F.col(c) - F.col("_t") * size < wide) | F.col(c).isNull())).drop("_t")
+        points = cut(without_close(high, low, tolerance, ("channel", "_t")).unionByName(band.filter(~(F.col(c) - F.col("_t") * size < wide) | F.col(c).isNull())).drop("_t"))
     return points
 
 
@@ -295,9 +295,12 @@ def dbscan(points: DataFrame, eps: float, least: int, axes: Sequence[str], key:
     apart = cut(beside.join(joined.select(*by, *cell, F.col("node").alias("node_b"), F.col("component").alias("_two")), [*by, *cell]).filter("_one < _two").select("node_a", "node_b"))
     ends = of_cell.select("node", *axes)
     side_of = lambda e: ends.select(F.col("node").alias(f"node_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in axes])
-    more = apart.join(side_of("a"), "node_a").join(side_of("b"), "node_b").filter(squared(axes) <= eps * eps)
-    named = components(links.unionByName(pairs(more).distinct()))
-    cluster = cut(nodes.join(named.withColumnRenamed("id", "node"), "node", "left").select(*by, *cell, F.coalesce("component", "node").alias("cluster")))
+    more = cut(pairs(apart.join(side_of("a"), "node_a").join(side_of("b"), "node_b").filter(squared(axes) <= eps * eps)).distinct())
+    if more.isEmpty():
+        cluster = joined.select(*by, *cell, F.col("component").alias("cluster"))
+    else:
+        named = components(links.unionByName(more))
+        cluster = cut(nodes.join(named.withColumnRenamed("id", "node"), "node", "left").select(*by, *cell, F.coalesce("component", "node").alias("cluster")))
     inner = cores.join(cluster, [*by, *cell]).select(*cols, "cluster")
     others = sparse.join(few, cols, "left_anti").select(*cols)
     border = near(others, inner).groupBy(*[F.col(f"{c}_a").alias(c) for c in cols]).agg(F.min("cluster_b").alias("cluster"))

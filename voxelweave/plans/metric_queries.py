@@ -276,11 +276,11 @@ def corrected_p_values(s, d):
 
 
 # ---- models with a second factor ----------------------------------------------------------------------------------------
-SIDED = "(select region, condition, (case when sample%3=0 then 'L' else 'R' end) as side, volume, nuclei from {metrics} where condition<>'P')".replace("{metrics}", SQL["metrics"])
+SIDED = "(select region%5 as region, condition, (case when sample%3=0 then 'L' else 'R' end) as side, volume, nuclei from {metrics} where condition<>'P')".replace("{metrics}", SQL["metrics"])
 
 
 def _sided(s, d):
-    return views.metrics(s, d).filter("condition <> 'P'").select("region", "condition", F.when(F.col("sample") % 3 == 0, "L").otherwise("R").alias("side"), "volume", "nuclei")
+    return views.metrics(s, d).filter("condition <> 'P'").select((F.col("region") % 5).alias("region"), "condition", F.when(F.col("sample") % 3 == 0, "L").otherwise("R").alias("side"), "volume", "nuclei")
 
 
 #: With all four pairs of levels the model has a mean for each; its errors are those of differences of means.
@@ -299,10 +299,10 @@ def sided_logistic_models(s, d):
     return mo.logistic_model(_sided(s, d), "region", "condition", "volume", PAIR, "side")
 
 
-@query(f"""with m as (select region, measure, condition as g, value as v from {SIDED} unpivot (value for measure in (volume, nuclei)) where region not in (3, 7)),
+@query(f"""with m as (select region, measure, condition as g, value as v from {SIDED} unpivot (value for measure in (volume, nuclei)) where region not in (3, 4)),
 c as (select region, measure, count(*) as n, avg(v) filter (g='F') as a, avg(v) filter (g='O') as b, count(*) filter (g='F') as na, count(*) filter (g='O') as nb, var_pop(v) filter (g='F') as va, var_pop(v) filter (g='O') as vb from m group by 1,2),
 e as (select *, sqrt((na*va+nb*vb)/(n-2)*(1.0/na+1.0/nb)) as se from c)
 select region, measure, 1 as position, 'group:O' as term, n, b-a as estimate, se, (b-a)/se as t, (n-2)::double as df from e""")
 def models_by_measure(s, d):
     model = lambda rows, key, value: mo.linear_model(rows, key, value, "condition")
-    return mo.by_measure(_sided(s, d), "region", ["condition"], ["volume", "nuclei"], model, ignore=[3, 7]).drop("p", "r_squared", "intercept")
+    return mo.by_measure(_sided(s, d), "region", ["condition"], ["volume", "nuclei"], model, ignore=[3, 4]).drop("p", "r_squared", "intercept")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import views
 from ..functions.views import SQL
 from ..operators import hierarchy as h
+from ..operators import labelling as lb
 from ..operators import points as p
 from ..operators import regions as r
 from ..operators import stats as st
@@ -335,13 +336,13 @@ def group_summary(s, d):
 
 
 #: The 0.975 quantile of Student's t by its expansion around the normal one, for many degrees of freedom.
-Z = "1.959963984540054"
+Z = "1.959963984540054::double"
 T975 = f"({Z}+({Z}**3+{Z})/(4*f)+(5*{Z}**5+16*{Z}**3+3*{Z})/(96*f**2)+(3*{Z}**7+19*{Z}**5+17*{Z}**3-15*{Z})/(384*f**3)+(79*{Z}**9+776*{Z}**7+1482*{Z}**5-1920*{Z}**3-945*{Z})/(92160*f**4))"
 
 
-@query(f"select region, condition, n, mean, {T975}*sd/sqrt(n) as ci from (select region, condition, count(volume) as n, avg(volume) as mean, stddev_samp(volume) as sd, count(volume)-1.0 as f from {{metrics}} where condition<>'P' group by 1,2)")
+@query(f"select condition, n, mean, {T975}*sd/sqrt(n) as ci from (select condition, count(volume) as n, avg(volume) as mean, stddev_samp(volume) as sd, count(volume)-1.0 as f from {{metrics}} where condition<>'P' group by 1)")
 def mean_intervals(s, d):
-    return t.group_summary(views.metrics(s, d).filter("condition <> 'P'"), ["region", "condition"], "volume").select("region", "condition", "n", "mean", "ci")
+    return t.group_summary(views.metrics(s, d).filter("condition <> 'P'"), ["condition"], "volume").select("condition", "n", "mean", "ci")
 
 
 @query("select a.region, a.volume, b.volume as volume_1, c.nuclei from (select region, sum(volume) as volume from {metrics} where condition='F' group by 1) a left join (select region, sum(volume) as volume from {metrics} where condition='O' group by 1) b using (region) left join (select region, min(nuclei) as nuclei from {metrics} group by 1) c using (region)")
@@ -474,7 +475,7 @@ def label_compactness(s, d):
 
 @query()
 def connected_labels(s, d):
-    return v.connected(_grid(s, d), full=False)
+    return lb.labelled(_grid(s, d), full=False)
 
 
 @query(f"select a.z, a.y, a.x, a.label from {GRID} a, {FACES} join {GRID} b on b.z=a.z+dz and b.y=a.y+dy and b.x=a.x+dx and b.label=a.label where a.label<>0 group by all having count(*)=6")
@@ -550,4 +551,4 @@ def spearman_correlation(s, d):
     return st.spearman(views.metrics(s, d), "region", "volume", "nuclei")
 
 
-from . import matching_queries, metric_queries, volume_queries  # noqa: E402, F401  they register theirs
+from . import atlas_queries, matching_queries, metric_queries, volume_queries  # noqa: E402, F401  they register theirs

@@ -8,6 +8,7 @@ from ..functions import views
 from ..functions.views import SQL
 from ..operators import blocks
 from ..operators import detection as de
+from ..operators import labelling as lb
 from ..operators import morphology as mo
 from ..operators import regions as r
 from ..operators import volumes as v
@@ -168,7 +169,7 @@ def tile_members(s, d):
 
 @query()
 def largest_components(s, d):
-    return v.largest(v.connected(_labels(s, d), full=False)).groupBy("label").agg(F.count("*").alias("size"), F.min("component").alias("component"))
+    return v.largest(lb.labelled(_labels(s, d), full=False)).groupBy("label").agg(F.count("*").alias("size"), F.min("component").alias("component"))
 
 
 # ---- halo blocks: detection, preprocessing, smoothing ---------------------------------------------------------------------
