@@ -82,6 +82,12 @@ def network(listed: DataFrame, closed: DataFrame) -> DataFrame:
     return near.groupBy("parent").agg(F.count("*").alias("n_children"), F.min("descendant").alias("first_child"))
 
 
+def mirrored_ids(ids: DataFrame, combine: bool = False) -> DataFrame:
+    """Ids of the other side, negated; with ``combine`` those of both sides, each once."""
+    other = ids.select((-F.col("id")).alias("id"))
+    return ids.select("id").unionByName(other).distinct() if combine else other
+
+
 def side(label: Column) -> Column:
     """Aggregate: R if all labels are positive, L if all are negative, else both."""
     return F.when(F.min(label) > 0, "R").when(F.max(label) < 0, "L").otherwise("both")

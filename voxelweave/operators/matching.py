@@ -223,3 +223,29 @@ def verified_rois(rois: DataFrame, points: DataFrame, truth: DataFrame, toleranc
     n = lambda p, name: in_rois(p, rois).groupBy("roi_id").agg(F.count("*").alias(name))
     d = rois.select("roi_id").join(n(truth, "pos"), "roi_id", "left").join(n(points, "found"), "roi_id", "left").join(m, "roi_id", "left").na.fill(0)
     return d.select("roi_id", "pos", "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("pos") - F.col("tp")).alias("fn"))
+
+
+def experiments_named(experiments: DataFrame, name: str, extension: bool = True) -> DataFrame:
+    """Experiments of a name; without ``extension`` what follows the last dot of either is ignored."""
+    if extension:
+        return experiments.filter(F.col("name") == name)
+    bare = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    return experiments.filter(bare(F.col("name")) == bare(F.lit(name)))
+
+
+def merged_boxes(boxes: DataFrame, points: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boxes, points and matches of several stores as one: boxes of one experiment and place become the first (by store and id), and
+    points and matches follow with new ids.
+
+    ``boxes(store, roi_id, experiment, z0, y0, x0, ...)``, ``points(store, roi_id, blob_id, ...)``, ``matches(store, roi_id, a, b, ...)``.
+    New ids are hashes of store and id, so nothing is numbered in one task.
+    """
+    place = ["experiment", "z0", "y0", "x0"]
+    first = boxes.groupBy(*place).agg(F.min(F.struct("store", "roi_id")).alias("_f"))
+    keyed = boxes.join(first, place).withColumn("_new", F.xxhash64("_f.store", "_f.roi_id"))
+    of = keyed.select("store", "roi_id", "_new").distinct()
+    kept = keyed.filter((F.col("store") == F.col("_f.store")) & (F.col("roi_id") == F.col("_f.roi_id"))).withColumn("roi_id", F.col("_new")).select(*boxes.columns).drop("store")
+    new = lambda c: F.xxhash64("store", c)
+    moved = points.join(of, ["store", "roi_id"]).withColumns({"roi_id": F.col("_new"), "blob_id": new("blob_id")}).select(*[c for c in points.columns if c != "store"])
+    links = matches.join(of, ["store", "roi_id"]).withColumns({"roi_id": F.col("_new"), "a": new("a"), "b": new("b")}).select(*[c for c in matches.columns if c != "store"])
+    return kept, moved, links

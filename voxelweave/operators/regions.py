@@ -123,6 +123,19 @@ def verification(df: DataFrame, by: list[str], radius: float = 0.001) -> DataFra
     return out.withColumn("sensitivity", F.try_divide("tp", "pos")).withColumn("ppv", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
 
 
+def unlabeled_planes(v: DataFrame, label: str, axis: str, extent: tuple[int, int], by: list[str]) -> DataFrame:
+    """1 - planes of the axis with any label / planes within the extent that have voxels at all, per group."""
+    planes = v.filter(F.col(axis).between(extent[0], extent[1] - 1)).groupBy(*by, axis).agg(F.max((F.col(label) != 0).cast("int")).alias("_on"))
+    return planes.groupBy(*by).agg((1 - F.try_divide(F.sum("_on"), F.count("*"))).alias("unlabeled"))
+
+
+def edge_total(df: DataFrame, by: list[str]) -> DataFrame:
+    """The row "all" of edge distances: the mean weighted by edge size, and their sum as the sum of each sum times its edge size."""
+    size = F.col("edge_size")
+    total = df.groupBy(*by).agg(F.sum("edge_size").alias("edge_size"), F.sum(F.col("edge_dist_sum") * size).alias("edge_dist_sum"), F.try_divide(F.sum(F.col("edge_dist_mean") * size), F.sum(size)).alias("edge_dist_mean"))
+    return total.withColumn("label", F.lit("all"))
+
+
 def unlabeled_share(v: DataFrame, label: str, extent: tuple[int, int]) -> DataFrame:
     """1 - (labelled foreground before the first extent + all foreground between the two) / foreground."""
     fore = F.col("atlas") > 0

@@ -132,9 +132,28 @@ def rescale(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     return df.join(F.broadcast(ends)).withColumn(column, F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (high - low) + low).drop("_lo", "_hi")
 
 
-def weighted_bars(df: DataFrame, value: str, weight: str) -> DataFrame:
+def weighted_bars(df: DataFrame, value: str, weight: str, error: str | None = None, absolute: bool = False) -> DataFrame:
+    """``bar``: the value times the weight over the largest weight; ``bar_error`` likewise.
+
+    An ``absolute`` error is the place of the bar's end and not its length, so its distance from the value is scaled.
+    """
     top = df.agg(F.max(weight).alias("_top"))
-    return df.join(F.broadcast(top)).withColumn("bar", F.col(value) * F.col(weight) / F.col("_top")).drop("_top")
+    share = F.col(weight) / F.col("_top")
+    out = df.join(F.broadcast(top)).withColumn("bar", F.col(value) * share)
+    if error is not None:
+        out = out.withColumn("bar_error", (F.abs(F.col(value) - F.col(error)) if absolute else F.col(error)) * share)
+    return out.drop("_top")
+
+
+def shortened(c: Column, digits: int = 5) -> Column:
+    """A float as a key of groups: 1.2999998 and 1.3000001 are one."""
+    return F.round(c.cast("double"), digits)
+
+
+def with_effects(df: DataFrame, others: DataFrame, key: str, effect: str) -> DataFrame:
+    """Rows whose key ``others`` has, with the sign of the effect there: 1, -1 or 0 (null if it is null)."""
+    signs = others.groupBy(key).agg(F.signum(F.first(effect, ignorenulls=True)).cast("int").alias("sign"))
+    return df.join(signs, key)
 
 
 def absolute_age(c: Column, gestation: float = 19.0) -> Column:

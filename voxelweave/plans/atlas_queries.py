@@ -9,6 +9,9 @@ from ..functions.views import SQL
 from ..operators import atlases as a
 from ..operators import hierarchy as h
 from ..operators import labelling as lb
+from ..operators import matching as m
+from ..operators import regions as r
+from ..operators import tables as t
 from ..operators import volumes as v
 from .registry import query
 
@@ -101,3 +104,59 @@ def intensity_and_nuclei(s, d):
     m = views.metrics(s, d)
     means = lambda c: m.groupBy("region").agg(F.sum("volume").alias("volume"), *[F.avg(F.when(F.col("condition") == x, F.col(c))).alias(f"{x}_mean") for x in "FO"])
     return a.side_by_side({"intensity": means("volume"), "nuclei": means("nuclei")}, "region", "volume")
+
+
+# ---- small table and store operators -------------------------------------------------------------------------------------
+@query("select sample, region, condition, volume*w/max(w) over () as bar, nuclei*w/max(w) over () as bar_error from (select *, region+1 as w from {metrics})")
+def weighted_errors(s, d):
+    return t.weighted_bars(views.metrics(s, d).withColumn("w", F.col("region") + 1), "volume", "w", "nuclei").select("sample", "region", "condition", "bar", "bar_error")
+
+
+@query("select volume::double as volume, count(*) as n from (select floor(volume/1000)/10 as volume from {metrics}) group by 1")
+def volumes_by_key(s, d):
+    m = views.metrics(s, d).withColumn("volume", F.floor(F.col("volume") / 1000) * 0.1)
+    return m.groupBy(t.shortened(F.col("volume"), 6).alias("volume")).agg(F.count("*").alias("n"))
+
+
+@query("with e as (select region, avg(volume) filter (condition='O')-avg(volume) filter (condition='F') as effect from {metrics} group by 1) select n_nationkey::bigint as region, n_name as name, sign(effect)::int as sign from nation join e on region=n_nationkey where region%2=0")
+def regions_with_effects(s, d):
+    m = views.metrics(s, d).filter("region % 2 = 0")
+    e = m.groupBy("region").agg((F.avg(F.when(F.col("condition") == "O", F.col("volume"))) - F.avg(F.when(F.col("condition") == "F", F.col("volume")))).alias("effect"))
+    n = views.read(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("region"), F.col("n_name").alias("name"))
+    return t.with_effects(n, e, "region", "effect")
+
+
+@query("select distinct id from (select id from {ontology} union all select -id from {ontology})")
+def ids_of_both_sides(s, d):
+    return h.mirrored_ids(views.ontology(s, d), True)
+
+
+@query("with g as (select z//100 as part, z, max((label2>=5)::int) as p from {grid} where y>=1 and z%100 between 10 and 80 group by 1,2) select part, 1-sum(p)/count(*) as unlabeled from g group by 1")
+def unlabeled_planes(s, d):
+    g = views.grid(s, d).filter("y >= 1 and z % 100 between 10 and 80").withColumns({"part": F.floor(F.col("z") / 100), "on": (F.col("label2") >= 5).cast("int")})
+    return r.unlabeled_planes(g, "on", "z", (0, 2**30), ["part"])
+
+
+@query("with e as (select label, count(*) as edge_size, sum(x)::double as edge_dist_sum, avg(x) as edge_dist_mean from {grid} where label<>0 group by 1) select 1 as part, sum(edge_size)::bigint as edge_size, sum(edge_dist_sum*edge_size) as edge_dist_sum, sum(edge_dist_mean*edge_size)/sum(edge_size) as edge_dist_mean, 'all' as label from e")
+def edge_total(s, d):
+    e = views.grid(s, d).filter("label <> 0").groupBy("label").agg(F.count("*").alias("edge_size"), F.sum("x").cast("double").alias("edge_dist_sum"), F.avg("x").alias("edge_dist_mean")).withColumn("part", F.lit(1))
+    return r.edge_total(e, ["part"])
+
+
+@query("select o_orderpriority||'.tif' as name, count(*) as n from orders where o_orderpriority='2-HIGH' group by 1")
+def experiments_by_name(s, d):
+    e = views.read(s, d, "orders").groupBy(F.concat("o_orderpriority", F.lit(".tif")).alias("name")).agg(F.count("*").alias("n"))
+    return m.experiments_named(e, "2-HIGH.czi", False)
+
+
+@query("""with b as (select s_suppkey%3 as store, s_suppkey::bigint as roi_id, s_nationkey as experiment, s_suppkey%2 as z0 from supplier), f as (select experiment, z0, min((store, roi_id)) as f from b group by 1,2),
+p as (select b.store, b.roi_id, f.f from b join f using (experiment, z0)) select (select count(*) from f) as boxes, count(*) as points, count(distinct f) as boxes_with_points from p join {places} q on q.blob_id%(select count(*) from supplier)=p.roi_id-(select min(s_suppkey) from supplier)""")
+def stores_in_one(s, d):
+    k = F.col("s_suppkey")
+    boxes = views.read(s, d, "supplier").select((k % 3).alias("store"), k.cast("long").alias("roi_id"), F.col("s_nationkey").alias("experiment"), (k % 2).alias("z0"), F.lit(0).alias("y0"), F.lit(0).alias("x0"))
+    ends = views.read(s, d, "supplier").agg(F.count("*").alias("c"), F.min("s_suppkey").alias("low"))
+    points = views.places(s, d).crossJoin(F.broadcast(ends)).select((F.col("blob_id") % F.col("c") + F.col("low")).cast("long").alias("roi_id"), "blob_id").join(boxes.select("store", "roi_id"), "roi_id")
+    links = points.select("store", "roi_id", F.col("blob_id").alias("a"), F.col("blob_id").alias("b"))
+    kept, moved, _ = m.merged_boxes(boxes, points, links)
+    n = moved.join(kept.select("roi_id"), "roi_id").agg(F.count("*").alias("points"), F.count_distinct("roi_id").alias("boxes_with_points"))
+    return kept.agg(F.count("*").alias("boxes")).crossJoin(F.broadcast(n))  # one row each
