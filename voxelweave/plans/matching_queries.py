@@ -9,6 +9,7 @@ from ..functions import views
 from ..operators import detection as de
 from ..operators import matching as m
 from ..operators import points as p
+from ..operators import store as st
 from .registry import query
 
 TOLERANCE = (2.0, 3.0, 3.0)
@@ -271,3 +272,47 @@ def volume_metadata(s, d):
     from ..sources.files import volume_metadata as about
 
     return about(views.voxels(s, d), (6.6, 1.1, 1.1), 5.0, 1.0, "atlas")
+
+
+# ---- the experiment store after two loads that share boxes, points and matches ---------------------------------------------
+LOADS = f"""r as (select roi_id as k, s_nationkey as experiment, z0, y0, x0, nz, ny, nx from {{rois}} join supplier on s_suppkey=roi_id),
+b1 as (select *, row_number() over (order by experiment, z0, y0, x0) as roi_id from r where x0<300),
+b as (select * exclude (nz), nz+1 as nz from b1 union all by name select * exclude (nz), nz+1 as nz, row_number() over (order by experiment, z0, y0, x0)+(select count(*) from b1) as roi_id from r where x0>=300),
+i as (select p.*, b.roi_id, b.x0<300 as early from {{places}} p join b on z>=z0 and z<z0+nz-1 and y>=y0 and y<y0+ny and x>=x0 and x<x0+nx),
+p1 as (select roi_id, z, y, x, channel, max(struct_pack(r:=radius, c:=confirmed)) as m from i where early and channel<3 group by all),
+n1 as (select *, row_number() over (order by roi_id, z, y, x, channel) as blob_id from p1),
+p2 as (select roi_id, z, y, x, channel, max(struct_pack(r:=radius+1, c:=1)) as m from i where channel>1 group by all),
+f2 as (select *, row_number() over (order by roi_id, z, y, x, channel)+(select count(*) from n1) as blob_id from p2 anti join n1 using (roi_id, z, y, x, channel)),
+pts as (select n1.* exclude (m), coalesce(p2.m, n1.m) as m from n1 left join p2 using (roi_id, z, y, x, channel) union all by name select * from f2)"""
+
+
+def _store(s, d):
+    """First the boxes on one side with channels 0 to 2, then all boxes, larger, with channels 2 and 3 read anew; both times all matches."""
+    r = views.rois(s, d).join(views.read(s, d, "supplier").select(F.col("s_suppkey").alias("roi_id"), F.col("s_nationkey").alias("experiment")), "roi_id").withColumn("series", F.lit(None).cast("int"))
+    x = views.places(s, d).withColumn("truth", F.lit(-1))
+    held = m.in_rois(x, r).join(r.select("roi_id", *st.BOX), "roi_id")
+    found = m.colocalized(x, 4.0)
+    end = lambda e, n: held.select("roi_id", F.col("blob_id").alias(e), F.struct(*st.PLACE).alias(n), *(st.BOX if e == "a" else ()))
+    pairs = end("a", "one").join(found, "a").join(end("b", "two"), ["roi_id", "b"])
+    early = F.col("x0") < 300
+    first = st.inserted(st.empty(s), r.filter(early), held.filter(early & (F.col("channel") < 3)), pairs.filter(early))
+    again = held.filter("channel > 1").withColumns({"radius": F.col("radius") + 1, "confirmed": F.lit(1)})
+    return st.inserted(first, r.withColumn("nz", F.col("nz") + 1), again, pairs.withColumn("dist", F.col("dist") + 1))
+
+
+@query(f"with {LOADS} select roi_id, experiment, 0 as series, z0, y0, x0, nz, ny, nx from b")
+def store_boxes(s, d):
+    return _store(s, d).boxes
+
+
+@query(f"with {LOADS} select blob_id, roi_id, z, y, x, -1 as truth, channel, m.r as radius, m.c as confirmed from pts")
+def store_points(s, d):
+    return _store(s, d).points
+
+
+@query(f"""with {LOADS}, c as (select * from {COLOC}),
+k as (select i.blob_id as own, pts.blob_id, pts.roi_id, early from i join pts using (roi_id, z, y, x, channel)),
+l as (select k.roi_id, k.blob_id as blob1, j.blob_id as blob2, max(c.dist+1) as dist, k.early and k.blob_id<=(select count(*) from n1) and j.blob_id<=(select count(*) from n1) as old from c join k on k.own=c.a join k j on j.own=c.b and j.roi_id=k.roi_id group by all)
+select row_number() over (order by not old, roi_id, blob1, blob2) as match_id, roi_id, blob1, blob2, dist from l""")
+def store_matches(s, d):
+    return _store(s, d).matches
