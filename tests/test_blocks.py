@@ -278,3 +278,25 @@ def test_distances_are_exact_within_reach():
     for p in np.argwhere(np.ones(on.shape)):
         want = ((have - p) ** 2).sum(axis=1).min()
         assert got[tuple(p)] == want if want <= 36 else got[tuple(p)] > 36
+
+
+@pytest.mark.parametrize("size", SIZES)
+def test_extracted_labels_equal_plain_numpy(spark, size):
+    rng = np.random.default_rng(8)
+    labels, image = np.zeros((20, 24, 18), int), rng.uniform(1, 2, (20, 24, 18))
+    labels[8:11, 9:13, 6:9], labels[12, 15, 10] = 3, 4
+    at = np.argwhere(labels != 0)
+    low, high = np.maximum(at.min(axis=0) - 4, 0), np.minimum(at.max(axis=0) + 5, labels.shape)
+    box = tuple(slice(a, b) for a, b in zip(low, high, strict=True))
+    near = np.zeros(labels.shape, bool)
+    for place in np.argwhere(np.ones(labels.shape)):
+        near[tuple(place)] = ((at - place) ** 2).sum(axis=1).min() <= 4
+    kept = np.where(near, image, 0)[box]
+    rows = [(*map(int, p), int(labels[tuple(p)]), float(image[tuple(p)])) for p in np.argwhere(image > 0)]
+    v = spark.createDataFrame(rows, "z int, y int, x int, label int, atlas double")
+    got = {(r.z, r.y, r.x): (r.label, r.atlas) for r in m.extracted_labels(v, "atlas", radius=2, padding=4, block=size).collect()}
+    assert got == {tuple(map(int, p)): (labels[box][tuple(p)], kept[tuple(p)]) for p in np.argwhere((labels[box] != 0) | (kept != 0))}
+    only = v.withColumn("mask", (F.col("label") == 4).cast("int"))
+    few = m.extracted_labels(only, "atlas", radius=1, padding=1, mask="mask", block=size).collect()
+    assert {(r.z, r.y, r.x) for r in few} == {(1, 1, 1), (0, 1, 1), (2, 1, 1), (1, 0, 1), (1, 2, 1), (1, 1, 0), (1, 1, 2)}
+    assert m.extracted_labels(v.filter("label = 0"), "atlas").collect() == []

@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pytest
 
 from voxelweave.sources import files
 
@@ -41,3 +42,24 @@ def test_deep_ontology_planes_and_records(spark, tmp_path):
         assert "not a label description" in str(e)
     else:
         raise AssertionError("a bad line was taken")
+
+
+def test_planes_become_a_volume(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    planes = {(c, z): rng.integers(0, 9, (5, 7)).astype("<u2") for c in (0, 3) for z in range(2)}
+    folder = tmp_path / "planes"
+    folder.mkdir()
+    for (c, z), a in planes.items():
+        np.save(folder / f"plane{z}_ch_{c}.npy", a)
+        a.tofile(folder / f"plane{z}_ch_{c}.raw")
+    (folder / "notes.txt").write_text("no plane")
+    want = sorted((c, z, y, x, float(a[y, x])) for (c, z), a in planes.items() for y in range(5) for x in range(7))
+    assert sorted(tuple(r) for r in files.read_plane_volume(spark, str(folder)).collect()) == want
+    assert sorted(tuple(r) for r in files.read_plane_volume(spark, str(folder), "<u2", (5, 7), suffix=".raw").collect()) == want
+    with pytest.raises(Exception, match="not a plane: .*raw"):
+        files.read_plane_volume(spark, str(folder), "<u2", (5, 8), suffix=".raw").collect()
+    with pytest.raises(Exception, match="not a plane: .*notes.txt"):
+        files.read_plane_volume(spark, str(folder), suffix=".txt").collect()
+    np.save(folder / "wide_ch_1.npy", np.ones((2, 300_000), "u1"))
+    wide = files.read_plane_volume(spark, str(folder)).filter("channel = 1")
+    assert wide.agg({"value": "sum", "y": "max", "x": "max"}).select("sum(value)", "max(y)", "max(x)").first() == (600_000.0, 1, 299_999)

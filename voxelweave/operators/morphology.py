@@ -284,3 +284,30 @@ def refinement_row(v: DataFrame, atlas: str, label: str, threshold: float, thres
     whole = label_measures(v.filter(F.col(atlas) > threshold_all).select(*CELL, F.lit(1).cast("long").alias("label")), (), spacing, extents(v))
     shape = whole.agg(F.try_divide(F.sum("surface") ** 3, F.sum("volume") ** 2).alias("compactness"))
     return overlap.crossJoin(F.broadcast(shape))  # one row each
+
+
+def extracted_labels(v: DataFrame, value: str, label: str = "label", radius: int = 2, padding: int = 5, mask: str | None = None, shape: Sequence[int] | None = None, block: Sequence[int] = (32, 32, 32)) -> DataFrame:
+    """``v(z, y, x, label, value)`` -> the box around its labels with ``padding``, moved to the corner, ``value`` 0 beyond ``radius`` voxels of them.
+
+    ``mask``: a column whose voxels that are not 0 stand for the labels in both steps. The
+    dilation is a threshold on exact distances in halo blocks and does not reach
+    from voxels outside of the box. Rows of label and value 0 are left out; without labels there are no rows.
+    """
+    shape, on = shape or extents(v), mask or label
+    ends = v.filter(F.col(on) != 0).agg(*[f(c).alias(f"{c}_{n}") for c in CELL for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()  # one row
+    if ends is None or ends[0] is None:
+        return v.select(*CELL, label, value).limit(0)
+    low = [max(ends[f"{c}_lo"] - padding, 0) for c in CELL]
+    size = [min(ends[f"{c}_hi"] + padding + 1, n) - lo for c, n, lo in zip(CELL, shape, low, strict=True)]
+    kind = v.schema[label].dataType.simpleString()
+    rows = v.select(*[(F.col(c) - lo).cast("int").alias(c) for c, lo in zip(CELL, low, strict=True)], F.col(label).cast("long").alias("_label"), F.col(value).cast("double").alias("_value"), (F.col(on) != 0).cast("int").alias("_on"))
+
+    def run(arrays, corner, core, key):
+        near = dilated(arrays["_on"] != 0, radius)[core]
+        labels, values = arrays["_label"][core], np.where(near, arrays["_value"][core], 0.0)
+        at = np.nonzero((labels != 0) | (values != 0))
+        place = [(p + c.start + lo).astype(np.int32) for p, c, lo in zip(at, core, corner, strict=True)]
+        return dict(zip((*CELL, "_label", "_value"), [*place, labels[at], values[at]], strict=True))
+
+    out = on_blocks(rows.na.fill(0), {"_label": "i8", "_value": "f8", "_on": "i1"}, size, block, (radius,) * 3, run, "z int, y int, x int, _label long, _value double")
+    return out.select(*CELL, F.col("_label").cast(kind).alias(label), F.col("_value").alias(value))

@@ -222,3 +222,19 @@ w as (select * from g where atlas>20000), f as (select count(*) as faces from w
 select o.*, faces::double**3/(select count(*) from w)::double**2 as compactness from o, f""")
 def refinement_row(s, d):
     return mo.refinement_row(_grid(s, d), "atlas", "label", 30000, 20000)
+
+
+BALL = "(select a as dz, b as dy, c as dx from unnest(range(-2,3)) t(a), unnest(range(-2,3)) u(b), unnest(range(-2,3)) w(c) where a*a+b*b+c*c<=4)"
+
+
+@query(f"""with g as (select z, y, x, case when label2>=6 then label2 else 0 end as label, atlas from {GRID}), e as (select min(z) as z0, max(z) as z1, min(y) as y0, max(y) as y1, min(x) as x0, max(x) as x1 from g where label<>0),
+n as (select distinct z+dz as z, y+dy as y, x+dx as x from g join {BALL} on label<>0)
+select z-greatest(z0-1,0) as z, y-greatest(y0-1,0) as y, x-greatest(x0-1,0) as x, label, case when n.z is null then 0 else atlas end as atlas from g join e on z between z0-1 and z1+1 and y between y0-1 and y1+1 and x between x0-1 and x1+1 left join n using (z, y, x) where label<>0 or n.z is not null""")
+def extracted_labels(s, d):
+    g = _grid(s, d).withColumn("label", F.when(F.col("label2") >= 6, F.col("label2")).otherwise(0))
+    return mo.extracted_labels(g, "atlas", radius=2, padding=1)
+
+
+@query("select sample, channel, least(round_even(z*0.5,0)::int,24) as z, least(round_even(y*0.5,0)::int,4) as y, least(round_even(x*0.5,0)::int,3) as x, count(*) as n from {voxels} group by all")
+def density_by_sample(s, d):
+    return r.heat_map(views.voxels(s, d), (0.5, 0.5, 0.5), (25, 5, 4), ["sample", "channel"])

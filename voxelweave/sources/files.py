@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detection import formatted
 from ..operators.ranks import quantiles, running
-from ..plans.tables import cut
+from ..plans.tables import cut, text_batches
 
 
 def write_points(points: DataFrame, path: str) -> None:
@@ -104,9 +106,9 @@ def read_raw_volume(spark: SparkSession, path: str, dtype: str, shape: tuple[int
     return spark.createDataFrame(rows.map(lambda r: (bytearray(r[0]), r[1])), "data binary, row long").mapInPandas(values, "z int, y int, x int, value double")
 
 
-def read_planes(spark: SparkSession, path: str, pattern: str = r"_ch_?(\d+)") -> DataFrame:
+def read_planes(spark: SparkSession, path: str, pattern: str = r"_ch_?(\d+)", suffix: str = "") -> DataFrame:
     """Plane files of a folder -> path, channel (from the name by ``pattern``, else 0) and z (order of the names in a channel)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).select("path", "length")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     channel = F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")).cast("int"), F.lit(0))
     ordered = files.select("path", "length", channel.alias("channel"), name.alias("name"), F.lit(1).alias("one"))
@@ -118,3 +120,38 @@ def records(spark: SparkSession, rows: Sequence[dict], columns: dict[str, str])
     if isinstance(rows, dict):
         rows = [dict(zip(rows, x, strict=True)) for x in zip(*rows.values(), strict=True)]
     return spark.createDataFrame([tuple(r.get(k) for k in columns) for r in rows], list(columns.values()))
+
+
+def read_plane_volume(spark: SparkSession, path: str, dtype: str | None = None, shape: tuple[int, int] | None = None, pattern: str = r"_ch_?(\d+)", suffix: str = ".npy") -> DataFrame:
+    """Plane files of a folder as voxels (channel, z, y, x, value): channels and order as ``read_planes`` finds them.
+
+    Files are NumPy's own format, or flat arrays where ``dtype`` and ``shape`` (y, x) are given. Only
+    files that end in ``suffix`` count. A file that is no plane, or not of ``shape``, is an error that names
+    it; without ``shape`` planes may differ in size. One file at a time is decoded, its rows passed on in slices.
+    """
+    ordered = read_planes(spark, path, pattern, suffix).select("path", "channel", "z")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path).select("path", "content").join(ordered, "path")
+
+    def decoded(name: str, data: bytes) -> np.ndarray:
+        try:
+            a = np.load(io.BytesIO(data), allow_pickle=False) if dtype is None else np.frombuffer(data, dtype).reshape(shape)
+        except ValueError as e:
+            raise ValueError(f"not a plane: {name}") from e
+        if a.ndim != 2 or shape is not None and a.shape != tuple(shape):
+            raise ValueError(f"not a plane: {name}")
+        return a
+
+    def voxels(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                name, content, channel, z = (batch.column(c)[row] for c in ("path", "content", "channel", "z"))
+                a = decoded(name.as_py(), content.as_py())
+                step = max(1, 2**18 // max(a.shape[1], 1))
+                for y0 in range(0, a.shape[0], step):
+                    part = a[y0 : y0 + step].astype(np.float64)
+                    y, x = np.indices(part.shape, np.int32)
+                    same = lambda v: np.full(part.size, v.as_py(), np.int32)  # noqa: B023, E731
+                    yield pa.record_batch({"channel": same(channel), "z": same(z), "y": (y + np.int32(y0)).ravel(), "x": x.ravel(), "value": part.ravel()})
+
+    text_batches(spark)
+    return files.mapInArrow(voxels, "channel int, z int, y int, x int, value double")
