@@ -300,3 +300,34 @@ def test_extracted_labels_equal_plain_numpy(spark, size):
     few = m.extracted_labels(only, "atlas", radius=1, padding=1, mask="mask", block=size).collect()
     assert {(r.z, r.y, r.x) for r in few} == {(1, 1, 1), (0, 1, 1), (2, 1, 1), (1, 0, 1), (1, 2, 1), (1, 1, 0), (1, 1, 2)}
     assert m.extracted_labels(v.filter("label = 0"), "atlas").collect() == []
+
+
+def test_detection_grid_equals_single_detections(spark):
+    rng = np.random.default_rng(12)
+    image = spots(rng, (14, 26, 22), 45)
+    v = table(spark, image)
+    truth = [tuple(map(float, p)) for p in rng.integers(0, (14, 26, 22), (25, 3))]
+    truth += truth[:1] + [(r.z + 1.0, float(r.y), float(r.x)) for r in d.detected(v, PROFILE, shape=image.shape).collect()[:5]]
+    real = spark.createDataFrame(truth, "z double, y double, x double")
+    got = d.detection_grid(v, real, PROFILE, [0.05, 0.45, 9.0], [0.02, 0.6], (3, 3, 3), shape=image.shape, size=(9, 9, 9)).collect()
+    assert len(got) == 6
+    seen = set()
+    for r in got:
+        one = d.detected(v, d.replace(PROFILE, threshold=r.threshold, overlap=r.overlap), shape=image.shape).collect()
+        pairs = sorted((sum(map(abs, np.subtract(p, q))), i, j) for i, p in enumerate([(b.z, b.y, b.x) for b in sorted(one, key=lambda b: (b.z, b.y, b.x, b.radius))]) for j, q in enumerate(sorted(truth)) if max(map(abs, np.subtract(p, q))) <= 3)
+        left, right = set(), set()
+        for _, i, j in pairs:
+            if i not in left and j not in right:
+                left.add(i)
+                right.add(j)
+        assert (r.pos, r.tp, r.fp) == (len(truth), len(left), len(one) - len(left))
+        assert r.sensitivity == pytest.approx(len(left) / len(truth))
+        seen.add((r.tp, r.fp))
+    assert len(seen) > 2
+
+
+def test_overlaps_are_pruned_within_their_keys(spark):
+    rows = [(k, 0, 0, x, 2.0) for k in (0, 1) for x in (0, 1)] + [(2, 0, 0, 1, 2.0)]
+    blobs = spark.createDataFrame(rows, "setting int, z int, y int, x int, radius double")
+    most = F.when(F.col("setting") == 0, 0.1).otherwise(0.95)
+    assert sorted((r.setting, r.x) for r in d.without_overlaps(blobs, 2.0, most, ("setting",)).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]

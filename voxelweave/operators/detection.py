@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import cut
 from .blocks import CELL, blurred, extents, laplacian, on_blocks, reach
-from .points import kept_first, near_pairs, squared
+from .points import greedy_matches, kept_first, near_pairs, squared
+from .tables import grid_statistics
 
 
 @dataclass(frozen=True)
@@ -201,15 +204,15 @@ def sphere_overlap(distance: Column, a: Column, b: Column) -> Column:
     return F.when(distance >= a + b, 0.0).when(distance <= large - small, 1.0).otherwise(lens)
 
 
-def without_overlaps(blobs: DataFrame, most: float, overlap: float) -> DataFrame:
-    """Largest first (ties by place): a blob goes if a kept one shares more than ``overlap`` of the smaller of both.
+def without_overlaps(blobs: DataFrame, most: float, overlap: float | Column, keys: Sequence[str] = ()) -> DataFrame:
+    """Largest first (ties by place): a blob goes if a kept one of its ``keys`` shares more than ``overlap`` of the smaller of both.
 
-    ``blobs(z, y, x, radius, ...)``, at most one of each radius at a place, radii up to ``most``.
+    ``blobs(keys, z, y, x, radius, ...)``, at most one of each radius at a place, radii up to ``most``; ``overlap`` may depend on the keys.
     """
-    id_of = F.struct((-F.col("radius")).alias("r"), *[F.col(c).cast("long").alias(c) for c in CELL])
+    id_of = F.struct(*keys, (-F.col("radius")).alias("r"), *[F.col(c).cast("long").alias(c) for c in CELL])
     named = blobs.withColumn("_id", id_of)
-    spots = named.select("_id", *[F.col(c).cast("double").alias(c) for c in CELL], "radius")
-    pairs = near_pairs(spots, spots, (2 * most,) * 3).filter("_id_b < _id_a")
+    spots = named.select("_id", *keys, *[F.col(c).cast("double").alias(c) for c in CELL], "radius")
+    pairs = near_pairs(spots, spots, (2 * most,) * 3, keys).filter("_id_b < _id_a").withColumnsRenamed({f"{k}_a": k for k in keys})
     pairs = pairs.filter(sphere_overlap(F.sqrt(squared()), F.col("radius_a"), F.col("radius_b")) > overlap)
     gone = kept_first(pairs.select(F.col("_id_a").alias("later"), F.col("_id_b").alias("earlier")))
     return named.join(gone.withColumnRenamed("later", "_id"), "_id", "left_anti").drop("_id")
@@ -231,6 +234,36 @@ def detected(v: DataFrame, profile: Profile, value: str = "value", size: Sequenc
     return formatted(found.select(*CELL, "radius"), channel)
 
 
+def detection_grid(v: DataFrame, truth: DataFrame, profile: Profile, thresholds: Sequence[float], overlaps: Sequence[float], tolerance: Sequence[float], value: str = "value", size: Sequence[int] = (32, 64, 64), shape: Sequence[int] | None = None) -> DataFrame:
+    """``detected`` for every pair of threshold and overlap, held against ``truth(z, y, x)``: (threshold, overlap, pos, tp, fp, ppv, sensitivity, fdr).
+
+    The volume is filtered once: a peak is one at any threshold under its
+    response, so settings differ in the peaks they take and in what overlaps. Detected and true points are
+    matched one to one, smallest sum of axis distances first, within the tolerance.
+    Settings without points keep their row.
+    """
+    shape = shape or extents(v)
+    settings = [(i, float(t), float(o)) for i, (t, o) in enumerate(product(thresholds, overlaps))]
+    every = F.array(*[F.lit(i) for i, _, _ in settings])
+    of = lambda n: F.element_at(F.array(*[F.lit(s[n]) for s in settings]), F.col("setting") + 1)
+    found = scale_space_peaks(v, replace(profile, threshold=min(thresholds)), value, size, shape).withColumn("radius", F.col("sigma") * math.sqrt(3))
+    found = cut(found.withColumn("setting", F.explode(every)).filter(F.col("response") > of(1)).select("setting", *CELL, "radius"))
+    found = without_overlaps(found, profile.max_sigma * math.sqrt(3), of(2), ("setting",))
+    if profile.exclude_border:
+        for c, b, n in zip(CELL, profile.exclude_border, shape, strict=True):
+            found = found.filter(F.col(c).between(b, n - 1 - b))
+    place = [F.col(c).cast("double").alias(c) for c in CELL]
+    numbered = lambda d: d.select("setting", *place, F.struct("setting", *CELL, "n").alias("blob_id"))
+    found = cut(numbered(found.withColumn("n", F.col("radius"))))
+    real = truth.groupBy(*CELL).agg(F.count("*").alias("_c")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
+    real = cut(numbered(real.withColumn("setting", F.explode(every))))
+    hits = greedy_matches(found, real, tolerance, ("setting",)).groupBy(F.col("a.setting").alias("setting")).agg(F.count("*").alias("tp"))
+    n = lambda d, name: d.groupBy("setting").agg(F.count("*").alias(name))
+    rows = v.sparkSession.createDataFrame(settings, "setting int, threshold double, overlap double")
+    counts = rows.join(n(real, "pos"), "setting", "left").join(n(found, "_n"), "setting", "left").join(hits, "setting", "left").na.fill(0)
+    return grid_statistics(counts.select("threshold", "overlap", "pos", "tp", (F.col("_n") - F.col("tp")).alias("fp")), ["threshold", "overlap"])
+
+
 #: Columns of a blob table beside its place and radius, and what they hold where nothing is known.
 UNKNOWN = {"confirmed": -1, "truth": -1, "channel": 0}
 

@@ -238,3 +238,10 @@ def extracted_labels(s, d):
 @query("select sample, channel, least(round_even(z*0.5,0)::int,24) as z, least(round_even(y*0.5,0)::int,4) as y, least(round_even(x*0.5,0)::int,3) as x, count(*) as n from {voxels} group by all")
 def density_by_sample(s, d):
     return r.heat_map(views.voxels(s, d), (0.5, 0.5, 0.5), (25, 5, 4), ["sample", "channel"])
+
+
+@query()
+def detection_grid(s, d):
+    n = F.col("p_partkey")  # where ``views.spots`` are planted
+    planted = views.read(s, d, "part").select((F.floor(n / 64) * 9 + 4 + n * 7 % 3).alias("z"), (F.floor(n % 64 / 8) * 9 + 4 + n * 11 % 3).alias("y"), (n % 8 * 9 + 4 + n * 5 % 3).alias("x"))
+    return de.detection_grid(views.spots(s, d), planted, SPOTS, [0.05, 0.15, 0.25], [0.1, 0.5], (2.0, 2.0, 2.0))
