@@ -199,3 +199,21 @@ def test_closure_of_a_deep_tree_and_a_cycle(spark):
     assert hierarchy.closure(tree).filter("descendant = 18").count() == 19
     with pytest.raises(ValueError, match="cycle"):
         hierarchy.closure(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
+
+
+def test_copies_of_points_are_never_broadcast(spark):
+    p = spark.range(50).selectExpr("id as blob_id", "cast(id % 2 as int) as channel", "cast(id as double) as z", "0d as y", "0d as x", "1 as confirmed")
+    boxes = spark.range(5).selectExpr("id as roi_id", "0 as z0", "0 as y0", "0 as x0", "6 as nz", "40 as ny", "60 as nx")
+    v = p.selectExpr("cast(z as int) as z", "cast(y as int) as y", "cast(x as int) as x", "1d as atlas")
+    mean = lambda patches: patches.map(len)
+    for d in (points.near_pairs(p, p, (2, 3, 3)), matching.in_rois(p, boxes), matching.colocalized(p, 4.0), matching.scored_patches(p, v, 2, mean)):
+        assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_pairs_at_the_tolerance_and_far_from_zero(spark):
+    rng = random.Random(3)
+    rows = [(i, *(rng.choice((0.0, -1e6, 1e9)) + rng.randrange(-60, 60) / 10 for _ in range(3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, z double, y double, x double")
+    for tol in ((0.3, 0.6, 1.1), (2, 3, 3), (0, 50, 5)):
+        got = sorted((r.i_a, r.i_b) for r in points.near_pairs(df, df, tol).collect())
+        assert got == sorted((a[0], b[0]) for a in rows for b in rows if _near(a[1:], b[1:], tol))

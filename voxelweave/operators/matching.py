@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import shuffled
 from .points import AXES, near_pairs, squared
 from .ranks import running
 
@@ -29,7 +30,7 @@ def in_rois(points: DataFrame, rois: DataFrame, margin: Sequence[float] = (0, 0,
         last = F.floor((F.col(f"{c}0") + F.col(f"n{c}") - 1) / cell)
         boxes = boxes.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.greatest(last, F.floor(F.col(f"{c}0") / cell)))))
         at = at.withColumn(f"_{c}", F.floor(F.col(c) / cell))
-    out = at.join(boxes, [f"_{c}" for c in AXES])
+    out = at.join(shuffled(boxes), [f"_{c}" for c in AXES])
     for c, m in zip(AXES, margin, strict=True):
         out = out.filter((F.col(c) >= F.col(f"{c}0") + m) & (F.col(c) < F.col(f"{c}0") + F.col(f"n{c}") - m))
     return out.select("roi_id", *points.columns)
@@ -167,7 +168,7 @@ def colocalized_by_intensity(points: DataFrame, v: DataFrame, channels: Sequence
     ball = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(AXES, o, strict=True)]) for o in ((a, b, c) for a in r for b in r for c in r) if sum(x * x for x in o) <= radius * radius])
     around = points.select("blob_id", F.col("channel").alias("own"), *AXES, F.explode(ball).alias("o")).select("blob_id", "own", *[(F.col(c).cast("int") + F.col(f"o.{c}")).alias(c) for c in AXES])
     held = around.groupBy(*AXES).agg(F.max(F.struct("blob_id", "own")).alias("_m")).select(*AXES, "_m.*")
-    mean = held.join(v, list(AXES)).groupBy("blob_id", "own", "channel").agg(F.avg("atlas").alias("mean"))
+    mean = shuffled(held).join(v, list(AXES)).groupBy("blob_id", "own", "channel").agg(F.avg("atlas").alias("mean"))
     least = mean.filter("own = channel").groupBy("channel").agg(F.min("mean").alias("least"))
     return mean.filter(F.col("channel").isin(*channels)).join(least, "channel").select("blob_id", "channel", (F.col("mean") >= F.col("least")).cast("int").alias("coloc"))
 
@@ -179,7 +180,7 @@ def scored_patches(points: DataFrame, v: DataFrame, reach: int, score: Callable[
     """
     sides = [F.explode(F.sequence(F.col(c).cast("int") - reach, F.col(c).cast("int") + reach)) for c in ("y", "x")]
     cells = points.select("blob_id", F.col("z").cast("int").alias("z"), "x", sides[0].alias("y"), F.col("y").cast("int").alias("y0")).select("blob_id", "z", "y", "y0", F.col("x").cast("int").alias("x0"), sides[1].alias("x"))
-    found = cells.join(v.select(*AXES, value), list(AXES)).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct((F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), F.col(value).cast("double").alias("v")))).alias("patch"), F.max(value).alias("_top"))
+    found = shuffled(cells).join(v.select(*AXES, value), list(AXES)).groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct((F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), F.col(value).cast("double").alias("v")))).alias("patch"), F.max(value).alias("_top"))
     scaled = found.select("blob_id", F.transform("patch", lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"), F.try_divide(p["v"], F.col("_top")).alias("v"))).alias("patch"))
 
     def run(frames):

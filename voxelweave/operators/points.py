@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut, free, partitions
+from ..plans.tables import cut, free, partitions, shuffled
 from .components import components
 from .ranks import quantiles, running
 
@@ -68,18 +68,20 @@ def first_of_each(points: DataFrame, key: Sequence[str], order: Sequence[str]) -
 def near_pairs(a: DataFrame, b: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), axes: Sequence[str] = AXES) -> DataFrame:
     """All pairs with |a - b| <= tolerance on every axis and equal ``keys``; columns end in _a and _b.
 
-    An equi-join on keys and grid cells as wide as the tolerance, ``b`` copied
-    to its neighbouring cells, so that no nested-loop join is planned and AQE
+    An equi-join on keys and grid cells twice as wide as the tolerance, ``b`` copied
+    to the cells in its reach (mostly two on an axis) and never broadcast, so that no nested-loop join is planned and AQE
     may split crowded cells.
     """
-    cell = lambda c, t: F.floor(F.col(c) / max(t, 1e-9)).cast("long")
-    left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns], *[cell(c, t).alias(f"_c{i}") for i, (c, t) in enumerate(zip(axes, tolerance, strict=True))])
-    right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns], *[cell(c, t).alias(f"_c{i}") for i, (c, t) in enumerate(zip(axes, tolerance, strict=True))])
-    for i in range(len(axes)):
-        right = right.withColumn(f"_c{i}", F.explode(F.array(*[F.col(f"_c{i}") + d for d in (-1, 0, 1)])))
+    cell = lambda x, t: F.floor(x / (2 * max(t, 1e-9))).cast("long")
+    far = lambda c, t: max(t, 1e-9) + F.abs(F.col(c)) * 1e-12  # noqa: E731  # rounding never leaves out a cell
+    left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns], *[cell(F.col(c), t).alias(f"_c{i}") for i, (c, t) in enumerate(zip(axes, tolerance, strict=True))])
+    right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
+    for i, (c, t) in enumerate(zip(axes, tolerance, strict=True)):
+        x, r = F.col(f"{c}_b"), far(f"{c}_b", t * (1 + 1e-9))
+        right = right.withColumn(f"_c{i}", F.explode(F.sequence(cell(x - r, t), cell(x + r, t))))
     for i, k in enumerate(keys):
         left, right = left.withColumn(f"_k{i}", F.col(f"{k}_a")), right.withColumn(f"_k{i}", F.col(f"{k}_b"))
-    joined = left.join(right, [*[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(axes))]])
+    joined = left.join(shuffled(right), [*[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(axes))]])
     for c, t in zip(axes, tolerance, strict=True):
         joined = joined.filter(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= t)
     return joined.select(*[f"{c}_a" for c in a.columns], *[f"{c}_b" for c in b.columns])
@@ -292,7 +294,7 @@ def dbscan(points: DataFrame, eps: float, least: int, axes: Sequence[str], key:
     joined = cut(nodes.join(components(links).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     steps = F.array(*[F.struct(*[F.lit(x).alias(g) for g, x in zip(cell, o, strict=True)]) for o in _offsets(d, int(d**0.5) + 1)])
     beside = joined.select(*by, F.explode(steps).alias("_o"), *cell, F.col("node").alias("node_a"), F.col("component").alias("_one")).select(*by, *[(F.col(g) + F.col(f"_o.{g}")).alias(g) for g in cell], "node_a", "_one")
-    apart = cut(beside.join(joined.select(*by, *cell, F.col("node").alias("node_b"), F.col("component").alias("_two")), [*by, *cell]).filter("_one < _two").select("node_a", "node_b"))
+    apart = cut(shuffled(beside).join(joined.select(*by, *cell, F.col("node").alias("node_b"), F.col("component").alias("_two")), [*by, *cell]).filter("_one < _two").select("node_a", "node_b"))
     ends = of_cell.select("node", *axes)
     side_of = lambda e: ends.select(F.col("node").alias(f"node_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in axes])
     more = cut(pairs(apart.join(side_of("a"), "node_a").join(side_of("b"), "node_b").filter(squared(axes) <= eps * eps)).distinct())

@@ -71,6 +71,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of an equi-join that shuffles both sides.
+
+    Spark takes the size of exploded rows for that of the rows before, and so
+    would send the copies whole through the driver to all executors.
+    """
+    return df.hint("merge")
+
+
 def text_batches(spark: SparkSession, rows: int = 2000, size: int = 16 * 2**20) -> None:
     """Bound the rows and the bytes of an Arrow batch, as whole texts may be long (a single longer text is a batch of its own).
 
