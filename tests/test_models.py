@@ -207,3 +207,11 @@ def test_all_combinations_of_flags(spark):
     got = {(r.channels, r.z): r.n for r in regions.combination_heat_maps(df, (1, 1, 1), (5, 5, 5), ["a", "b", "c"], ["b"]).collect()}
     assert got == {("a-b", 1): 2, ("b-c", 1): 1, ("a-b-c", 1): 1, ("b-c", 4): 1}
     assert regions.combination_heat_maps(df, (1, 1, 1), (5, 5, 5), ["a"]).collect() == []
+
+
+def test_signed_rank_of_sums_does_not_hang_on_their_last_bits(spark):
+    rows = [(0, s, c, x) for s, v in enumerate((0.1 + 0.2, 0.3, -0.3, 1.7, 0.0)) for c, x in (("F", 0.0), ("O", v))]
+    rows += [(0, 9, "F", 0.3), (0, 9, "O", 0.1 + 0.2)]  # no difference but for the order of the sum
+    df = spark.createDataFrame(rows, "region int, sample int, condition string, volume double")
+    got = stats.signed_rank(df, "region", "sample", "condition", "volume", ("F", "O"), 2).first()
+    assert (got.n, got.w) == (4, 8.0)  # ranks 2, 2, 2 (of which one negative) and 4

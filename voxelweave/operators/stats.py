@@ -265,9 +265,13 @@ def paired_t(df: DataFrame, region: str, sample: str, condition: str, value: str
     return one_sample_t(d, region, "_d")
 
 
-def signed_rank(df: DataFrame, region: str, sample: str, condition: str, value: str, pair: tuple[str, str]) -> DataFrame:
-    """Wilcoxon signed rank per region: W of the positive differences, tie-corrected z, z / sqrt(n), p; zero differences are left out."""
-    d = paired_values(df, [region, sample], condition, value, pair).withColumn("_d", F.col("v2") - F.col("v1")).filter("_d <> 0")
+def signed_rank(df: DataFrame, region: str, sample: str, condition: str, value: str, pair: tuple[str, str], digits: int | None = None) -> DataFrame:
+    """Wilcoxon signed rank per region: W of the positive differences, tie-corrected z, z / sqrt(n), p; zero differences are left out.
+
+    ``digits``: differences are rounded to so many decimals, for values that are sums, whose last bits hang on the order of rows and would break ties by chance.
+    """
+    less = F.col("v2") - F.col("v1")
+    d = paired_values(df, [region, sample], condition, value, pair).withColumn("_d", less if digits is None else F.round(less, digits)).filter("_d <> 0")
     r = average_ranks(d.withColumn("_a", F.abs("_d")), [region], "_a")
     s = r.groupBy(region).agg(F.count("*").cast("double").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("rank")).otherwise(0.0)).alias("w"), F.sum(F.col("ties") * F.col("ties") - 1).cast("double").alias("_t"))
     n = F.col("n")

@@ -231,10 +231,10 @@ def one_sample_t_test(s, d):
     return st.one_sample_t(views.metrics(s, d), "region", "nuclei", 4000.0).drop("p", "cohen_low", "cohen_high")
 
 
-@query(f"""with r as (select region, v2-v1 as d, abs(v2-v1) as a from {PAIRED} where v2<>v1), k as (select *, {RANK.replace('{v}', 'a')} as rank, count(*) over (partition by region, a) as ties from r),
+@query(f"""with r as (select region, round(v2-v1,2) as d, abs(round(v2-v1,2)) as a from {PAIRED} where round(v2-v1,2)<>0), k as (select *, {RANK.replace('{v}', 'a')} as rank, count(*) over (partition by region, a) as ties from r),
 s as (select region, count(*)::double as n, sum(case when d>0 then rank else 0 end)::double as w, sum(ties*ties-1)::double as t from k group by 1), z as (select *, (w-n*(n+1)/4)/sqrt(n*(n+1)*(2*n+1)/24-t/48) as z from s) select region, n, w, z, z/sqrt(n) as effect from z""")
 def signed_rank_test(s, d):
-    return st.signed_rank(_base(s, d), "region", "sample", "condition", "volume", PAIR).drop("p", "cohen_low", "cohen_high")
+    return st.signed_rank(_base(s, d), "region", "sample", "condition", "volume", PAIR, 2).drop("p", "cohen_low", "cohen_high")
 
 
 @query()
