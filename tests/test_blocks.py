@@ -1,5 +1,6 @@
 """Halo blocks: filters, detection and smoothing against plain NumPy on whole small volumes, for blocks of several sizes."""
 
+import itertools
 import math
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from voxelweave.operators import blocks as b
 from voxelweave.operators import detection as d
 from voxelweave.operators import morphology as m
+from voxelweave.operators import volumes
 
 SIZES = [(7, 7, 7), (5, 40, 9), (64, 64, 64)]
 
@@ -331,3 +333,24 @@ def test_overlaps_are_pruned_within_their_keys(spark):
     blobs = spark.createDataFrame(rows, "setting int, z int, y int, x int, radius double")
     most = F.when(F.col("setting") == 0, 0.1).otherwise(0.95)
     assert sorted((r.setting, r.x) for r in d.without_overlaps(blobs, 2.0, most, ("setting",)).collect()) == [(0, 0), (1, 0), (1, 1), (2, 1)]
+
+
+def test_nearest_and_closed_from_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    cells = sorted({tuple(int(x) for x in c) for c in rng.integers((-70, -3, 0), (70, 6, 9), (700, 3))} | {(200, 0, 0), (-20, 4, 4)})
+    kind = {c: int(k) for c, k in zip(cells, rng.integers(0, 3, len(cells)), strict=True)} | {(200, 0, 0): 0}
+    df = spark.createDataFrame([(*c, kind[c]) for c in cells], "z int, y int, x int, kind int")
+    a, b = [c for c in cells if kind[c] < 2], [c for c in cells if kind[c] > 0]  # some are in both
+    got = {(r.z, r.y, r.x): (r.dist, r.tag) for r in volumes.nearest_voxel(df.filter("kind < 2"), df.filter("kind > 0").selectExpr("z", "y", "x", "z * 10000 + y * 100 + x as tag"), carry=["tag"]).collect()}
+    want = {}
+    for p in a:
+        d2, q = min((sum((i - j) ** 2 for i, j in zip(p, q, strict=True)), q) for q in b)
+        want[p] = (d2**0.5, q[0] * 10000 + q[1] * 100 + q[2])
+    assert got == want
+    v = df.filter("kind > 0").select("z", "y", "x")
+    ball = [o for o in itertools.product(range(-2, 3), repeat=3) if sum(x * x for x in o) <= 4]
+    add = lambda p, o: tuple(i + j for i, j in zip(p, o, strict=True))
+    wide = {add(p, o) for p in b for o in ball}
+    closed = volumes.closed(v, 2)
+    assert "FlatMapGroupsInArrow" in closed._jdf.queryExecution().executedPlan().toString()  # blocks, not a row a neighbour
+    assert {tuple(r) for r in closed.collect()} == {p for p in wide if all(add(p, o) in wide for o in ball)}

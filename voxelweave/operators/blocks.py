@@ -27,6 +27,15 @@ def extents(v: DataFrame, axes: Sequence[str] = CELL) -> tuple[int, int, int]:
     return tuple(int(e) + 1 if e is not None else 0 for e in ends)
 
 
+def fitted(shape: Sequence[int], voxels: int = 2**17) -> tuple[int, int, int]:
+    """A block of about ``voxels``, long where the volume is thin, so that halos copy little."""
+    size, left = [1, 1, 1], float(voxels)
+    for rest, i in zip((3, 2, 1), sorted(range(3), key=lambda i: shape[i]), strict=True):
+        size[i] = max(min(shape[i], int(left ** (1 / rest))), 1)
+        left /= size[i]
+    return tuple(size)
+
+
 def in_blocks(v: DataFrame, shape: Sequence[int], size: Sequence[int], halo: Sequence[int]) -> DataFrame:
     """Each voxel with every block that holds it in its core or its halo."""
     for c, b, n, s, h in zip(CELL, BLOCK, shape, size, halo, strict=True):
@@ -129,3 +138,22 @@ def squared_distances(on: np.ndarray, most: int) -> np.ndarray:
             np.minimum(best[tuple(ahead)], d[tuple(behind)] + k * k, out=best[tuple(ahead)])
         d = best
     return d
+
+
+def nearest_places(on: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every voxel the squared distance to the nearest of ``on`` and that one's flat place (of equally near ones the first); exact up to ``most``.
+
+    Distance and place are one number, so passes along one axis after another keep the least of both.
+    """
+    far = 4 * (most + 1) ** 2
+    d = np.where(on, np.arange(on.size).reshape(on.shape), np.int64(far) * on.size)
+    for axis in range(on.ndim):
+        best = d.copy()
+        for k in range(1, min(most, on.shape[axis] - 1) + 1):
+            ahead, behind = [slice(None)] * on.ndim, [slice(None)] * on.ndim
+            ahead[axis], behind[axis] = slice(k, None), slice(None, -k)
+            step = k * k * on.size
+            np.minimum(best[tuple(behind)], d[tuple(ahead)] + step, out=best[tuple(behind)])
+            np.minimum(best[tuple(ahead)], d[tuple(behind)] + step, out=best[tuple(ahead)])
+        d = best
+    return d // max(on.size, 1), d % max(on.size, 1)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut
+from .blocks import fitted, nearest_places, on_blocks, squared_distances
 from .components import components
-from .points import extent, near_pairs, squared
+from .points import near_pairs, squared
 
 CELL = ["z", "y", "x"]
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
@@ -92,24 +94,48 @@ def dilated(v: DataFrame, radius: int = 1) -> DataFrame:
     return _neighbours(v, [], ball).select(*CELL).distinct()
 
 
-def nearest_voxel(a: DataFrame, b: DataFrame, radius: float = 2.0, carry: Sequence[str] = ()) -> DataFrame:
+def nearest_voxel(a: DataFrame, b: DataFrame, radius: float = 2.0, carry: Sequence[str] = (), reach: int = 16) -> DataFrame:
     """For each voxel of ``a`` the distance to the nearest of ``b``, and that one's columns ``carry`` (ties by place); null if ``b`` is empty.
 
-    The radius doubles where none is found, until it spans both sets.
+    Halo blocks find those within ``reach`` (or ``radius`` up to 32). For the rest the radius doubles until it spans both sets.
     """
-    todo, out, far = a.select(*CELL).distinct(), None, extent(a, b)
-    there = b.select(*CELL, *carry).distinct()
-    if there.isEmpty():
-        return todo.select("*", F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in carry])
-    while True:
+    every = a.select(*CELL, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*CELL, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    both = cut(every.groupBy(*CELL).agg(F.max("_a").cast("byte").alias("_a"), F.max("_b").cast("byte").alias("_b")))
+    ends = both.agg(F.max("_b").alias("b"), *[f(c).cast("long").alias(f"{c}_{n}") for c in CELL for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()  # one row
+    if not ends["b"]:
+        return both.filter("_a = 1").select(*CELL, F.lit(None).cast("double").alias("dist"), *[F.lit(None).cast(b.schema[c].dataType).alias(c) for c in carry])
+    low = [ends[f"{c}_lo"] for c in CELL]
+    shape = [ends[f"{c}_hi"] - lo + 1 for c, lo in zip(CELL, low, strict=True)]
+    most = min(max(int(radius), reach), 32)
+
+    def run(arrays, corner, core, key):
+        d, place = nearest_places(arrays["_b"] != 0, most)
+        at = np.nonzero(arrays["_a"][core])
+        own = [(p + c.start + lo).astype(np.int32) for p, c, lo in zip(at, core, corner, strict=True)]
+        d, place = d[core][at], np.unravel_index(place[core][at], arrays["_b"].shape)
+        near = [(p + lo).astype(np.int32) for p, lo in zip(place, corner, strict=True)]
+        return dict(zip((*CELL, "_d", *(f"_{c}" for c in CELL)), [*own, np.where(d <= most * most, d, -1).astype(np.int64), *near], strict=True))
+
+    moved = both.select(*[(F.col(c) - lo).cast("int").alias(c) for c, lo in zip(CELL, low, strict=True)], "_a", "_b")
+    found = cut(on_blocks(moved, {"_a": "i1", "_b": "i1"}, shape, fitted(shape), (most,) * 3, run, "z int, y int, x int, _d long, _z int, _y int, _x int"))
+    kinds = {c: both.schema[c].dataType for c in CELL}
+    back = lambda c, lo, of: (F.col(of).cast("long") + lo).cast(kinds[c])
+    out = found.filter("_d >= 0").select(*[back(c, lo, c).alias(c) for c, lo in zip(CELL, low, strict=True)], F.sqrt(F.col("_d").cast("double")).alias("dist"), *[back(c, lo, f"_{c}").alias(f"_{c}") for c, lo in zip(CELL, low, strict=True)])
+    todo, radius, far = cut(found.filter("_d < 0").select(*[back(c, lo, c).alias(c) for c, lo in zip(CELL, low, strict=True)])), 2.0 * most, sum(n * n for n in shape) ** 0.5
+    there = both.filter("_b = 1").select(*CELL)
+    while not todo.isEmpty():
         pairs = near_pairs(todo, there, (radius,) * 3).withColumn("d", F.sqrt(squared())).filter(F.col("d") <= radius)
-        near = F.min(F.struct("d", *[f"{c}_b" for c in (*CELL, *carry)])).alias("_m")
-        best = cut(pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in CELL]).agg(near).select(*CELL, F.col("_m.d").alias("dist"), *[F.col(f"_m.{c}_b").alias(c) for c in carry]))
-        out = best if out is None else out.unionByName(best)
+        near = F.min(F.struct("d", *[f"{c}_b" for c in CELL])).alias("_m")
+        best = cut(pairs.groupBy(*[F.col(f"{c}_a").alias(c) for c in CELL]).agg(near).select(*CELL, F.col("_m.d").alias("dist"), *[F.col(f"_m.{c}_b").alias(f"_{c}") for c in CELL]))
+        out = out.unionByName(best)
         todo = cut(todo.join(best, CELL, "left_anti"))
-        if radius > far or todo.isEmpty():
-            return out
+        if radius > far:
+            break
         radius *= 2
+    if not carry:
+        return out.select(*CELL, "dist")
+    held = b.groupBy(*[F.col(c).alias(f"_{c}") for c in CELL]).agg(F.min(F.struct(*carry)).alias("_c"))
+    return out.join(held, [f"_{c}" for c in CELL]).select(*CELL, "dist", *[F.col(f"_c.{c}").alias(c) for c in carry])
 
 
 def mirrored(v: DataFrame, axis: str, middle: int, sign: int = -1, label: str = "label") -> DataFrame:
@@ -199,13 +225,28 @@ def _grown(v: DataFrame, radius: int, label: str) -> DataFrame:
 
 
 def closed(v: DataFrame, radius: int = 1) -> DataFrame:
-    """Dilation and then erosion of a voxel set; places beyond the volume are as others."""
-    wide = dilated(v, radius).withColumn("label", F.lit(1))
-    return eroded(wide, "label", radius).select(*CELL)
+    """Dilation and then erosion of a voxel set, in halo blocks; places beyond the volume are as others."""
+    kinds = {c: v.schema[c].dataType for c in CELL}
+    ends = v.agg(*[f(c).cast("long").alias(f"{c}_{n}") for c in CELL for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()  # one row
+    if ends[0] is None:
+        return v.select(*CELL).limit(0)
+    low = [ends[f"{c}_lo"] - 2 * radius for c in CELL]
+    shape = [ends[f"{c}_hi"] - lo + 1 + 2 * radius for c, lo in zip(CELL, low, strict=True)]
+
+    def run(arrays, corner, core, key):
+        wide = squared_distances(arrays["_on"] != 0, radius) <= radius * radius
+        kept = wide & (squared_distances(~wide, radius) > radius * radius)
+        at = np.nonzero(kept[core])
+        return {c: (p + s.start + lo).astype(np.int32) for c, p, s, lo in zip(CELL, at, core, corner, strict=True)}
+
+    rows = v.select(*[(F.col(c) - lo).cast("int").alias(c) for c, lo in zip(CELL, low, strict=True)], F.lit(1).cast("byte").alias("_on"))
+    found = on_blocks(rows, {"_on": "i1"}, shape, fitted(shape), (2 * radius,) * 3, run, "z int, y int, x int")
+    return found.select(*[(F.col(c).cast("long") + lo).cast(kinds[c]).alias(c) for c, lo in zip(CELL, low, strict=True)])
 
 
 def in_painted(v: DataFrame, label: str = "label") -> DataFrame:
     """Voxels without a label take that of the nearest labelled voxel (ties by place); all stay if there is none."""
+    v = cut(v)
     own = v.filter(F.col(label) != 0)
     fill = nearest_voxel(v.filter(F.col(label) == 0), own.select(*CELL, F.col(label).alias("_near")), carry=["_near"])
     return v.join(fill.drop("dist"), CELL, "left").withColumn(label, F.coalesce("_near", label)).select(*v.columns)
