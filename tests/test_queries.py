@@ -217,3 +217,16 @@ def test_near_pairs_at_the_tolerance_and_far_from_zero(spark):
     for tol in ((0.3, 0.6, 1.1), (2, 3, 3), (0, 50, 5)):
         got = sorted((r.i_a, r.i_b) for r in points.near_pairs(df, df, tol).collect())
         assert got == sorted((a[0], b[0]) for a in rows for b in rows if _near(a[1:], b[1:], tol))
+
+
+def test_channel_matches_are_one_pass_and_equal_each_pair_alone(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(3), *(rng.random() * n for n in (8, 30, 30))) for i in range(150)]
+    df = spark.createDataFrame(rows, "blob_id long, channel int, z double, y double, x double")
+    boxes = spark.createDataFrame([(0, 0, 0, 0, 6, 20, 20), (1, 2, 8, 9, 5, 18, 20)], "roi_id long, z0 int, y0 int, x0 int, nz int, ny int, nx int")
+    found = matching.channel_matches(df, boxes, (2, 3, 3), [0, 1, 2])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("MapInArrow") == 1 and "CoGroup" not in plan
+    got = {tuple(r) for r in found.collect()}
+    want = {(r.roi_id, low, high, r.b, r.a, r.dist) for low, high in ((0, 1), (0, 2), (1, 2)) for r in matching.roi_matches(df.filter(f"channel = {high}"), df.filter(f"channel = {low}"), boxes, (2, 3, 3)).collect()}
+    assert got == want and len({g[:3] for g in got}) > 1

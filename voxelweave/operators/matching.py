@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,11 @@ def in_rois(points: DataFrame, rois: DataFrame, margin: Sequence[float] = (0, 0,
 
     An equi-join on grid cells: a box is copied to each cell that it touches.
     """
+    return _in_boxes(points, rois, margin, cell).select("roi_id", *points.columns)
+
+
+def _in_boxes(points: DataFrame, rois: DataFrame, margin: Sequence[float] = (0, 0, 0), cell: int = 32) -> DataFrame:
+    """``in_rois`` with the box's columns."""
     boxes, at = rois, points
     for c in AXES:
         last = F.floor((F.col(f"{c}0") + F.col(f"n{c}") - 1) / cell)
@@ -33,7 +39,7 @@ def in_rois(points: DataFrame, rois: DataFrame, margin: Sequence[float] = (0, 0,
     out = at.join(shuffled(boxes), [f"_{c}" for c in AXES])
     for c, m in zip(AXES, margin, strict=True):
         out = out.filter((F.col(c) >= F.col(f"{c}0") + m) & (F.col(c) < F.col(f"{c}0") + F.col(f"n{c}") - m))
-    return out.select("roi_id", *points.columns)
+    return out
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -62,6 +68,52 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j]]
 
 
+def _least(one: np.ndarray, two: np.ndarray, top: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``one`` and of ``two`` that the assignment of their scaled places pairs under ``top``, with their distances."""
+    if max(len(one), len(two)) > most:
+        raise ValueError(f"a group of {max(len(one), len(two))} points; at most {most}")
+    if not len(one) or not len(two):
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    gap = np.sqrt(((one[:, None] - two[None]) ** 2).sum(axis=2))
+    pairs = assignment(gap) if len(one) <= len(two) else [(i, j) for j, i in assignment(gap.T)]
+    i, j = np.array([(i, j) for i, j in pairs if gap[i, j] < top], int).reshape(-1, 2).T
+    return i, j, gap[i, j]
+
+
+def _match_groups(rows: DataFrame, group: str, pairs: Sequence[tuple[int, int]], tolerance: Sequence[float], key: str, most: int = 2000) -> DataFrame:
+    """``rows(group, _side, _in, key, z, y, x)`` -> (group, pair, a, b, dist): sides of each of ``pairs`` (a, b) matched within a group.
+
+    First the inner a with all b, then the outer a with the inner b that are left. A group is one row with its points
+    as an array, so all of its pairs and both steps are one pass, and a task takes many groups a batch.
+    """
+    top, scale, _ = match_tolerances(tolerance)
+    point = F.struct(F.col(key).cast("long").alias("k"), F.col("_side").cast("int").alias("s"), F.col("_in").alias("i"), *[F.col(c).cast("double").alias(c) for c in AXES])
+    held = rows.groupBy(F.col(group).cast("long").alias(group)).agg(F.collect_list(point).alias("_p"))
+
+    def run(batches):
+        for batch in batches:
+            lists, names = batch.column("_p"), batch.column(group).to_numpy()
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            ids, side, inner = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("k", "s", "i"))
+            place = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in AXES], axis=1) * scale
+            out: list[tuple] = []
+            for g, start, end in zip(names, ends[:-1], ends[1:], strict=True):
+                own = start + np.argsort(ids[start:end], kind="stable")
+                for n, (s_a, s_b) in enumerate(pairs):
+                    a, b = own[side[own] == s_a], own[side[own] == s_b]
+                    near, rest = a[inner[a]], a[~inner[a]]
+                    i, j, gap = _least(place[near], place[b], top, most)
+                    left = np.delete(b, j)
+                    left = left[inner[left]]
+                    k, m, more = _least(place[rest], place[left], top, most)
+                    one, two = ids[np.concatenate([near[i], rest[k]])], ids[np.concatenate([b[j], left[m]])]
+                    out.append((np.full(len(one), g), np.full(len(one), n, np.int32), one, two, np.concatenate([gap, more])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], [group, "pair", "a", "b", "dist"])
+
+    return held.mapInArrow(run, f"{group} long, pair int, a long, b long, dist double")
+
+
 def optimal_matches(a: DataFrame, b: DataFrame, group: str, tolerance: Sequence[float], key: str = "blob_id", most: int = 2000) -> DataFrame:
     """One-to-one matches of least total distance within each ``group``; then those under the tolerance (strictly): (group, a, b, dist).
 
@@ -69,23 +121,18 @@ def optimal_matches(a: DataFrame, b: DataFrame, group: str, tolerance: Sequence[
     group is one box or tile; one of over ``most`` points on a side is an
     error, as the assignment takes cubic time: cut it into tiles.
     """
-    top, scale, _ = match_tolerances(tolerance)
-    cols = [group, key, *AXES]
+    side = lambda d, n: d.select(group, F.lit(n).alias("_side"), F.lit(n == 0).alias("_in"), key, *AXES)
+    return _match_groups(side(a, 0).unionByName(side(b, 1)), group, [(0, 1)], tolerance, key, most).drop("pair")
 
-    def match(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        if max(len(one), len(two)) > most:
-            raise ValueError(f"a group of {max(len(one), len(two))} points; at most {most}")
-        if not len(one) or not len(two):
-            return pd.DataFrame({group: [], "a": [], "b": [], "dist": []})
-        one, two = one.sort_values(key), two.sort_values(key)
-        x, y = one[list(AXES)].to_numpy(float) * scale, two[list(AXES)].to_numpy(float) * scale
-        gap = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
-        pairs = assignment(gap) if len(x) <= len(y) else [(i, j) for j, i in assignment(gap.T)]
-        i, j = np.array([(i, j) for i, j in pairs if gap[i, j] < top], int).reshape(-1, 2).T
-        return pd.DataFrame({group: one[group].iloc[0], "a": one[key].to_numpy()[i], "b": two[key].to_numpy()[j], "dist": gap[i, j]})
 
-    left, right = a.select(*cols).toDF(*cols), b.select(*cols).toDF(*cols)  # of one table, told apart
-    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(match, f"{group} long, a long, b long, dist double")
+def _sided(points: DataFrame, side: Column, rois: DataFrame, tolerance: Sequence[float]) -> DataFrame:
+    """Points in boxes with their side and whether they are in the box's inside (see ``roi_matches``)."""
+    inner = F.lit(True)
+    for c, t in zip(AXES, tolerance, strict=True):
+        pad = F.least(F.lit(int(t)), F.ceil(F.col(f"n{c}") / 2 - 1))
+        inner = inner & (F.col(c) >= F.col(f"{c}0") + pad) & (F.col(c) < F.col(f"{c}0") + F.col(f"n{c}") - pad)
+    boxes = rois.select("roi_id", *[f"{c}0" for c in AXES], *[f"n{c}" for c in AXES])
+    return _in_boxes(points.select("blob_id", *AXES, side.cast("int").alias("_side")), boxes).select("roi_id", "_side", inner.alias("_in"), "blob_id", *AXES)
 
 
 def roi_matches(test: DataFrame, base: DataFrame, rois: DataFrame, tolerance: Sequence[float]) -> DataFrame:
@@ -94,29 +141,19 @@ def roi_matches(test: DataFrame, base: DataFrame, rois: DataFrame, tolerance: Se
 
     The inside leaves out the tolerance on each side, but no more than keeps the box's middle.
     """
-    pad = [int(t) for t in tolerance]
-    every, truth = in_rois(test, rois), in_rois(base, rois)
-    inner = lambda p: in_rois(p, rois.withColumns({f"{c}0": F.col(f"{c}0") + F.least(F.lit(m), F.ceil(F.col(f"n{c}") / 2 - 1)) for c, m in zip(AXES, pad, strict=True)} | {f"n{c}": F.col(f"n{c}") - 2 * F.least(F.lit(m), F.ceil(F.col(f"n{c}") / 2 - 1)) for c, m in zip(AXES, pad, strict=True)}))
-    # a point may be in several boxes, so ids are told apart by box
-    first = optimal_matches(inner(test), truth, "roi_id", tolerance)
-    used_a, used_b = first.select("roi_id", F.col("a").alias("blob_id")), first.select("roi_id", F.col("b").alias("blob_id"))
-    missed = inner(base).join(used_b, ["roi_id", "blob_id"], "left_anti")
-    outer = every.join(inner(test).select("roi_id", "blob_id"), ["roi_id", "blob_id"], "left_anti").join(used_a, ["roi_id", "blob_id"], "left_anti")
-    return first.unionByName(optimal_matches(outer, missed, "roi_id", tolerance))
+    rows = _sided(test, F.lit(0), rois, tolerance).unionByName(_sided(base, F.lit(1), rois, tolerance))
+    return _match_groups(rows, "roi_id", [(0, 1)], tolerance, "blob_id").drop("pair")
 
 
 def channel_matches(points: DataFrame, rois: DataFrame, tolerance: Sequence[float], channels: Sequence[int]) -> DataFrame:
     """Co-localization by matches: (roi_id, channel_a, channel_b, a, b, dist) for each pair of channels, the lower first.
 
-    The higher channel's points are matched with the lower one's in each box by ``roi_matches``.
+    The higher channel's points are matched with the lower one's in each box as by ``roi_matches``, all pairs in one pass.
     """
-    out = None
-    for i, low in enumerate(sorted(channels)):
-        for high in sorted(channels)[i + 1 :]:  # a few channels
-            found = roi_matches(points.filter(F.col("channel") == high), points.filter(F.col("channel") == low), rois, tolerance)
-            one = found.select("roi_id", F.lit(low).alias("channel_a"), F.lit(high).alias("channel_b"), F.col("b").alias("a"), F.col("a").alias("b"), "dist")
-            out = one if out is None else out.unionByName(one)
-    return out
+    pairs = [(high, low) for i, low in enumerate(sorted(channels)) for high in sorted(channels)[i + 1 :]]  # a few channels
+    found = _match_groups(_sided(points.filter(F.col("channel").isin(*channels)), F.col("channel"), rois, tolerance), "roi_id", pairs, tolerance, "blob_id")
+    of = lambda n: F.element_at(F.array(*[F.lit(p[n]) for p in pairs]), F.col("pair") + 1)
+    return found.select("roi_id", of(1).alias("channel_a"), of(0).alias("channel_b"), F.col("b").alias("a"), F.col("a").alias("b"), "dist")
 
 
 def match_table(matches: DataFrame, points: DataFrame) -> DataFrame:
