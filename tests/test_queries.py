@@ -230,3 +230,17 @@ def test_channel_matches_are_one_pass_and_equal_each_pair_alone(spark):
     got = {tuple(r) for r in found.collect()}
     want = {(r.roi_id, low, high, r.b, r.a, r.dist) for low, high in ((0, 1), (0, 2), (1, 2)) for r in matching.roi_matches(df.filter(f"channel = {high}"), df.filter(f"channel = {low}"), boxes, (2, 3, 3)).collect()}
     assert got == want and len({g[:3] for g in got}) > 1
+
+
+def test_nearest_compares_few_pairs_where_points_are_dense(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, *(rng.randrange(40) / 8 for _ in range(3))) for i in range(900)] + [(900 + i, 9.0, 9.0, 9.0) for i in range(400)] + [(2000, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "blob_id long, z double, y double, x double")
+    radii, pairs = [], points.near_pairs
+    monkeypatch.setattr(points, "near_pairs", lambda a, b, t, *more: radii.append(t[0]) or pairs(a, b, t, *more))
+    got = {r.blob_id: r.dist for r in points.nearest(df, 5, 6.0, points.AXES, "blob_id").collect()}
+    dist = lambda p, q: sum((a - b) ** 2 for a, b in zip(p[1:], q[1:], strict=True)) ** 0.5
+    want = {p[0]: sorted(dist(p, q) for q in rows[:-1])[4] for p in rows[:-1]}
+    assert got.pop(2000) is None
+    assert got == pytest.approx(want)
+    assert radii[0] < 6.0

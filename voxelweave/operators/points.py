@@ -225,25 +225,38 @@ def extent(*tables: DataFrame, axes: Sequence[str] = AXES) -> float:
     return sum((x or 0.0) ** 2 for x in ends) ** 0.5
 
 
+def _start_radius(spots: DataFrame, k: int, radius: float, axes: Sequence[str], levels: int = 20) -> float:
+    """``radius`` halved until points have few others in a cell of that side, about ``k`` times eight on average."""
+    sides = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(radius / 2**i).alias("r")) for i in range(levels)])
+    cells = spots.select(*axes, F.explode(sides).alias("_s")).groupBy("_s.i", *[F.floor(F.col(c) / F.col("_s.r")).alias(f"_c{n}") for n, c in enumerate(axes)]).agg(F.count("*").alias("_n"))
+    mean = cells.groupBy("i").agg((F.sum(F.col("_n").cast("double") * F.col("_n")) / F.sum("_n")).alias("m"))
+    fits = mean.filter(F.col("m") <= 8 * k).agg(F.min("i")).first()[0]  # one row
+    return radius / 2 ** (levels - 1 if fits is None else fits)
+
+
 def nearest(points: DataFrame, k: int, radius: float, axes: Sequence[str], key: str) -> DataFrame:
     """Distance to the k-th neighbour, itself the first; null where there are fewer points.
 
-    The radius doubles for those with too few neighbours in reach, until it
-    spans all points. Of a point's neighbours only the k nearest are kept, in each task
-    before the shuffle and after it.
+    Places are compared, each with its number of points; one of ``k`` points and more has distance 0. The radius starts at ``radius``,
+    smaller where points are dense, and doubles for those with too few neighbours in reach, until it
+    spans all points, so that a point's pairs grow with ``k`` and not with the table.
     """
     everyone = points.select(key, *axes)
-    todo, out, far = everyone, None, extent(points, axes=axes)
-    nth = Window.partitionBy(f"{key}_a").orderBy("d")
-    while True:
-        pairs = near_pairs(todo, everyone, (radius,) * len(axes), (), axes).select(f"{key}_a", F.sqrt(squared(axes)).alias("d")).filter(F.col("d") <= radius)
-        best = pairs.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= k).groupBy(F.col(f"{key}_a").alias(key)).agg(F.max(F.when(F.col("_n") == k, F.col("d"))).alias("dist"))
-        have = cut(best.filter("dist is not null"))
-        out = have if out is None else out.unionByName(have)
-        todo = cut(todo.join(have.select(key), key, "left_anti"))
-        if radius > far or todo.isEmpty():
-            return out.unionByName(todo.select(key, F.lit(None).cast("double").alias("dist")))
+    spots = cut(everyone.filter(" and ".join(f"{c} is not null" for c in axes)).groupBy(*axes).agg(F.count("*").alias("_n")))
+    far, order = extent(spots, axes=axes), Window.partitionBy(*[f"{c}_a" for c in axes]).orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    radius = _start_radius(spots, k, radius, axes)
+    out = spots.filter(F.col("_n") >= k).select(*axes, F.lit(0.0).alias("dist"))
+    todo = cut(spots.filter(F.col("_n") < k).select(*axes))
+    while not todo.isEmpty():
+        pairs = near_pairs(todo, spots, (radius,) * len(axes), (), axes).withColumn("d", F.sqrt(squared(axes))).filter(F.col("d") <= radius)
+        reached = pairs.groupBy(*[f"{c}_a" for c in axes], "d").agg(F.sum("_n_b").alias("_n")).withColumn("_n", F.sum("_n").over(order)).filter(F.col("_n") >= k)
+        have = cut(reached.groupBy(*[F.col(f"{c}_a").alias(c) for c in axes]).agg(F.min("d").alias("dist")))
+        out = out.unionByName(have)
+        todo = cut(todo.join(have, list(axes), "left_anti"))
+        if radius > far:
+            break
         radius *= 2
+    return everyone.join(out, list(axes), "left").select(key, "dist")
 
 
 def neighbour_distances(points: DataFrame, k: int, radius: float, axes: Sequence[str], key: str, most: float | None = None, rows: int = 1000) -> DataFrame:
