@@ -95,7 +95,7 @@ def without_close(check: DataFrame, master: DataFrame, tolerance: Sequence[float
     """Rows of ``check`` that have no row of ``master`` within the tolerance box. Places are compared, whatever the number of points there."""
     cols = [*keys, *AXES]
     close = near_pairs(check.select(*cols).distinct(), master.select(*cols).distinct(), tolerance, keys).select(*[F.col(f"{c}_a").alias(c) for c in cols]).distinct()
-    return check.join(close, cols, "left_anti").select(*check.columns)
+    return check.join(shuffled(close), cols, "left_anti").select(*check.columns)
 
 
 def absorbed(check: DataFrame, master: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
@@ -103,7 +103,7 @@ def absorbed(check: DataFrame, master: DataFrame, tolerance: Sequence[float], ke
     cols = [key, *keys, *AXES]
     pairs = near_pairs(check.select(*cols), master.select(*cols), tolerance, keys)
     last = pairs.groupBy(F.col(f"{key}_b").alias(key)).agg(F.max(F.struct(f"{key}_a", *[F.bround((F.col(f"{c}_a") + F.col(f"{c}_b")) / 2).alias(c) for c in AXES])).alias("_m"))
-    out = master.join(last, key, "left")
+    out = master.join(shuffled(last), key, "left")
     return out.select(*[F.coalesce(F.col(f"_m.{c}"), out[c]).alias(c) if c in AXES else F.col(c) for c in master.columns])
 
 
@@ -115,11 +115,11 @@ def kept_first(pairs: DataFrame) -> DataFrame:
     left, gone = cut(pairs.distinct()), None
     while not left.isEmpty():
         waiting = left.select(F.col("later").alias("earlier")).distinct()
-        kept = left.select("earlier").distinct().join(waiting, "earlier", "left_anti")
-        out = cut(left.join(kept, "earlier").select("later").distinct())
+        kept = left.select("earlier").distinct().join(shuffled(waiting), "earlier", "left_anti")
+        out = cut(left.join(shuffled(kept), "earlier").select("later").distinct())
         gone = out if gone is None else gone.unionByName(out)
         done = out.select(F.col("later").alias("earlier"), F.lit(True).alias("_gone"))
-        old, left = left, cut(left.join(out, "later", "left_anti").join(done, "earlier", "left_anti"))
+        old, left = left, cut(left.join(shuffled(out), "later", "left_anti").join(shuffled(done), "earlier", "left_anti"))
         free(old)
     return left.select("later") if gone is None else gone
 
@@ -137,9 +137,9 @@ def thinned(points: DataFrame, tolerance: Sequence[float], keys: Sequence[str] =
     order = lambda e: F.struct(*[F.col(f"{c}_{e}") for c in AXES])
     pairs = near_pairs(places, places, tolerance, keys).filter(order("b") < order("a")).select(F.col(f"{key}_a").alias("later"), F.col(f"{key}_b").alias("earlier"))
     gone = kept_first(pairs).select(F.col("later").alias(key))
-    stays = places.select(key).join(gone, key, "left_anti")
+    stays = places.select(key).join(shuffled(gone), key, "left_anti")
     without = points.filter(" or ".join(f"{c} is null" for c in cols))  # near nothing
-    return points.join(stays.unionByName(without.select(key)), key, "left_semi")
+    return points.join(shuffled(stays.unionByName(without.select(key))), key, "left_semi")
 
 
 def pruned_tiles(points: DataFrame, tile: Sequence[int], overlap: Sequence[float], tolerance: Sequence[float], key: str = "blob_id") -> DataFrame:
@@ -160,12 +160,12 @@ def _ranked(points: DataFrame, place: Sequence[str], key: str) -> DataFrame:
     """
     there = points.select(*place, key).distinct()
     first = there.groupBy(*place).agg(F.min(key).alias("_p"))
-    there = there.join(first, list(place))  # without nulls, which are near nothing
+    there = there.join(shuffled(first), list(place))  # without nulls, which are near nothing
     there = cut(there.repartitionByRange(partitions(points.sparkSession), "_p", key).withColumn("_block", F.spark_partition_id()))
     before = Window.partitionBy("_p").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = there.groupBy("_p", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("_p", "_block").orderBy(key))
-    return cut(there.withColumn("_i", rank).join(blocks.drop("_n"), ["_p", "_block"]).withColumn("_i", F.col("_i") + F.col("_before")).drop("_block", "_before"))
+    return cut(there.withColumn("_i", rank).join(shuffled(blocks.drop("_n")), ["_p", "_block"]).withColumn("_i", F.col("_i") + F.col("_before")).drop("_block", "_before"))
 
 
 def greedy_matches(a: DataFrame, b: DataFrame, tolerance: Sequence[float], keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
@@ -189,23 +189,23 @@ def greedy_matches(a: DataFrame, b: DataFrame, tolerance: Sequence[float], keys:
     while True:
         head_a = one.groupBy("p").agg(F.min("a").alias("a"), F.min("i").alias("i_a"))
         head_b = two.groupBy("q").agg(F.min("b").alias("b"), F.min("i").alias("i_b"))
-        left = cut(left.select("p", "q", "gap").join(head_a, "p").join(head_b, "q"))
+        left = cut(left.select("p", "q", "gap").join(shuffled(head_a), "p").join(shuffled(head_b), "q"))
         if left.isEmpty():
             return left.select("a", "b", "gap") if done is None else done
         best_p = left.groupBy("p").agg(F.min(F.struct("gap", "b", "q")).alias("_b")).select("p", F.col("_b.q").alias("q"))
         best_q = left.groupBy("q").agg(F.min(F.struct("gap", "a", "p")).alias("_a")).select("q", F.col("_a.p").alias("p"))
-        pairs = cut(left.join(best_p, ["p", "q"]).join(best_q, ["p", "q"]))
-        rival = lambda end, other, head: left.join(pairs.select(end, F.col(other).alias("_o"), F.col("gap").alias("_g")), end).filter((F.col("gap") == F.col("_g")) & (F.col(other) != F.col("_o"))).groupBy(end).agg(F.min(head).alias(f"stop_{head}"))
-        pairs = cut(pairs.drop("a", "b").join(rival("p", "q", "b"), "p", "left").join(rival("q", "p", "a"), "q", "left"))
-        free = lambda t, end, head: t.join(pairs, end).filter(F.col(f"stop_{head}").isNull() | (F.col(head) < F.col(f"stop_{head}"))).select("p", "q", "gap", (F.col("i") - F.col(f"i_{head}")).alias("i"), head)
-        now = cut(free(one, "p", "a").join(free(two, "q", "b").drop("gap"), ["p", "q", "i"]).select("a", "b", "gap"))
+        pairs = cut(left.join(shuffled(best_p), ["p", "q"]).join(shuffled(best_q), ["p", "q"]))
+        rival = lambda end, other, head: left.join(shuffled(pairs.select(end, F.col(other).alias("_o"), F.col("gap").alias("_g"))), end).filter((F.col("gap") == F.col("_g")) & (F.col(other) != F.col("_o"))).groupBy(end).agg(F.min(head).alias(f"stop_{head}"))
+        pairs = cut(pairs.drop("a", "b").join(shuffled(rival("p", "q", "b")), "p", "left").join(shuffled(rival("q", "p", "a")), "q", "left"))
+        free = lambda t, end, head: t.join(shuffled(pairs), end).filter(F.col(f"stop_{head}").isNull() | (F.col(head) < F.col(f"stop_{head}"))).select("p", "q", "gap", (F.col("i") - F.col(f"i_{head}")).alias("i"), head)
+        now = cut(free(one, "p", "a").join(shuffled(free(two, "q", "b").drop("gap")), ["p", "q", "i"]).select("a", "b", "gap"))
         if now.isEmpty():
             raise RuntimeError("greedy_matches did not settle")
         n += 1
         done = now if done is None else done.unionByName(now)
         done = cut(done) if n % 30 == 0 else done
-        one = cut(one.join(left.select("p").distinct(), "p", "left_semi").join(now.select("a"), "a", "left_anti"))
-        two = cut(two.join(left.select("q").distinct(), "q", "left_semi").join(now.select("b"), "b", "left_anti"))
+        one = cut(one.join(shuffled(left.select("p").distinct()), "p", "left_semi").join(shuffled(now.select("a")), "a", "left_anti"))
+        two = cut(two.join(shuffled(left.select("q").distinct()), "q", "left_semi").join(shuffled(now.select("b")), "b", "left_anti"))
 
 
 def closest(a: DataFrame, b: DataFrame, tolerance: float, keys: Sequence[str] = (), key: str = "blob_id") -> DataFrame:
