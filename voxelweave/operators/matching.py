@@ -229,7 +229,7 @@ def scored_patches(points: DataFrame, v: DataFrame, reach: int, score: Callable[
 
 def numbered(new: DataFrame, old: DataFrame, key: str, id_: str = "id") -> DataFrame:
     """The id of every key of ``old`` and ``new``: known keys keep theirs, new ones follow the greatest in order of key."""
-    fresh = new.select(key).distinct().join(old, key, "left_anti").withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
+    fresh = new.select(key).distinct().join(shuffled(old), key, "left_anti").withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
     top = old.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("_top"))
     ids = running(fresh, ["_all"], key, "_one").crossJoin(F.broadcast(top)).select(key, (F.col("before") + F.col("_top") + 1).alias(id_))  # one row
     return old.select(key, F.col(id_).cast("long").alias(id_)).unionByName(ids)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, shuffled
 from .matching import numbered
 from .points import latest_rows
 
@@ -49,7 +49,7 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], id_: str) -> Da
     keyed = lambda d, *more: d.select(F.struct(*key).alias("_k"), *more)
     ids = numbered(keyed(new), keyed(old, id_), "_k", id_)
     rows = latest_rows(old.select(*rest), new, key).withColumn("_k", F.struct(*key))
-    return cut(rows.join(ids, "_k").select(*old.columns))
+    return cut(rows.join(shuffled(ids), "_k").select(*old.columns))
 
 
 def inserted(store: Store, boxes: DataFrame, points: DataFrame, matches: DataFrame) -> Store:
@@ -64,10 +64,10 @@ def inserted(store: Store, boxes: DataFrame, points: DataFrame, matches: DataFra
     zero = lambda d: d.withColumn("series", F.coalesce("series", F.lit(0)).cast("int"))
     held = upserted(store.boxes, zero(boxes), BOX, "roi_id")
     ids = held.select("roi_id", *BOX)
-    of_box = lambda d, *own: zero(d).select(*BOX, *own).join(ids, list(BOX))
+    of_box = lambda d, *own: zero(d).select(*BOX, *own).join(shuffled(ids), list(BOX))
     dots = upserted(store.points, of_box(points, *[c for c in store.points.columns if c not in ("blob_id", "roi_id")]), POINT, "blob_id")
     end = lambda n, name: dots.select("roi_id", F.struct(*PLACE).alias(n), F.col("blob_id").alias(name))
     kinds = ", ".join(f"{c}: {dots.schema[c].dataType.simpleString()}" for c in PLACE)
     ends = of_box(matches, "one", "two", "dist").withColumns({n: F.struct(*[F.col(f"{n}.{c}") for c in PLACE]).cast(f"struct<{kinds}>") for n in ("one", "two")})
-    links = ends.join(end("one", "blob1"), ["roi_id", "one"]).join(end("two", "blob2"), ["roi_id", "two"])
+    links = ends.join(shuffled(end("one", "blob1")), ["roi_id", "one"]).join(shuffled(end("two", "blob2")), ["roi_id", "two"])
     return Store(held, dots, upserted(store.matches, links, MATCH, "match_id"))
