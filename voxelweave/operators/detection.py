@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import cut
+from ..plans.tables import cut, shuffled
 from .blocks import CELL, blurred, extents, laplacian, on_blocks, reach
 from .points import greedy_matches, kept_first, near_pairs, squared
 from .tables import grid_statistics
@@ -215,7 +215,7 @@ def without_overlaps(blobs: DataFrame, most: float, overlap: float | Column, key
     pairs = near_pairs(spots, spots, (2 * most,) * 3, keys).filter("_id_b < _id_a").withColumnsRenamed({f"{k}_a": k for k in keys})
     pairs = pairs.filter(sphere_overlap(F.sqrt(squared()), F.col("radius_a"), F.col("radius_b")) > overlap)
     gone = kept_first(pairs.select(F.col("_id_a").alias("later"), F.col("_id_b").alias("earlier")))
-    return named.join(gone.withColumnRenamed("later", "_id"), "_id", "left_anti").drop("_id")
+    return named.join(shuffled(gone.withColumnRenamed("later", "_id")), "_id", "left_anti").drop("_id")
 
 
 def detected(v: DataFrame, profile: Profile, value: str = "value", size: Sequence[int] = (32, 64, 64), shape: Sequence[int] | None = None, channel: int = 0) -> DataFrame:
