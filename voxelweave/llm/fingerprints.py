@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,9 @@ def _donors(bins: np.ndarray, attempt: int) -> np.ndarray:
     return (mix(bins.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(attempt)) >> _SHIFT).astype(np.int64)
 
 
-_FIRST = np.array([_donors(np.arange(BINS), t) for t in range(64)])
+#: The first donors of every bin, one row a bin, and the blocks in which a text's empty bins look at them.
+_FIRST = np.array([_donors(np.arange(BINS), t) for t in range(256)]).T.copy()
+_BLOCKS = (0, 8, 32, 96, 256)
 
 
 def least_values(known: WordHash, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +58,26 @@ def densified(low: np.ndarray, some: np.ndarray) -> np.ndarray:
     """Every empty bin takes the value of the first filled bin on its own hashed path (rows without words stay)."""
     filled = low != _EMPTY
     out = low.copy()
-    row, to = np.nonzero(~filled & some[:, None])
-    attempt = 0
+    rows, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(some).tolist():
+        own, values, to = filled[i], low[i], np.flatnonzero(~filled[i])
+        if len(to) == BINS - 1:  # every path ends at the only filled bin
+            out[i] = values[own.argmax()]
+            continue
+        for begin, end in pairwise(_BLOCKS):
+            if not len(to):
+                break
+            at = _FIRST[to, begin:end]
+            found = own[at]
+            first = found.argmax(axis=1)
+            ok = found[np.arange(len(to)), first]
+            out[i, to[ok]] = values[at[ok, first[ok]]]
+            to = to[~ok]
+        rows.append(np.full(len(to), i))
+        ends.append(to)
+    row, to, attempt = np.concatenate(rows), np.concatenate(ends), _BLOCKS[-1]
     while len(row):
-        at = _FIRST[attempt][to] if attempt < len(_FIRST) else _donors(to, attempt)
+        at = _donors(to, attempt)
         ok = filled[row, at]
         out[row[ok], to[ok]] = low[row[ok], at[ok]]
         row, to = row[~ok], to[~ok]
