@@ -247,9 +247,12 @@ def merged_stores(experiments: Sequence[DataFrame], rois: Sequence[DataFrame]) -
 
 
 def roi_table(rois: DataFrame, points: DataFrame, v: DataFrame, unit: float) -> DataFrame:
-    """Per box: volume, summed intensity, points, confirmed points and densities; boxes without rows have zeros."""
+    """Per box: volume, summed intensity, points, confirmed points and densities; boxes without rows have zeros.
+
+    Intensities are summed by place before they meet the boxes, so the rows of a crowded cell are combined first.
+    """
     n = in_rois(points, rois).groupBy("roi_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("confirmed") == 1, 1)).alias("n_confirmed"))
-    i = in_rois(v, rois).groupBy("roi_id").agg(F.sum("atlas").alias("intensity"))
+    i = in_rois(v.groupBy(*AXES).agg(F.sum("atlas").alias("atlas")), rois).groupBy("roi_id").agg(F.sum("atlas").alias("intensity"))
     d = rois.join(n, "roi_id", "left").join(i, "roi_id", "left").withColumn("volume", F.col("nz") * F.col("ny") * F.col("nx") * unit)
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("n", "n_confirmed")}
     return d.select("roi_id", "volume", F.coalesce("intensity", F.lit(0.0)).alias("intensity"), *[x.alias(c) for c, x in zero.items()], F.try_divide(zero["n"], F.col("volume")).alias("density"), F.try_divide(zero["n_confirmed"], F.col("volume")).alias("density_confirmed"))
