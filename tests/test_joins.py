@@ -1,9 +1,10 @@
 """Joins of tables that grow: small files may hold many rows, so no side goes whole through the driver, however small it is taken to be."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.operators import detection, points, store
+from voxelweave.operators import detection, matching, points, store, volumes
 from voxelweave.plans.tables import cut
 
 
@@ -49,3 +50,37 @@ def test_loads_of_the_store_broadcast_nothing(spark, plans):
     assert (again.boxes.count(), again.points.count(), again.matches.count()) == (5, 10, 5)
     sent = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
     assert not [line for line in sent if "_all" not in line]  # starts of ranges, one row each
+
+
+def test_sums_of_boxes_are_of_places(spark):
+    i = F.col("id")
+    boxes = spark.range(2).select(i.alias("roi_id"), *[(i * 2).cast("int").alias(f"{c}0") for c in ("z", "y", "x")], *[F.lit(2).alias(c) for c in ("nz", "ny", "nx")])
+    v = spark.range(100).select(*[F.lit(1).alias(c) for c in ("z", "y", "x")], i.cast("double").alias("atlas"))
+    out = matching.roi_table(boxes, placed(spark).withColumn("confirmed", F.lit(1)), v, 1.0)
+    assert plan(out).count("partial_sum(atlas") == 2
+    assert {r.roi_id: r.intensity for r in out.collect()} == {0: 4950.0, 1: 0.0}
+
+
+def test_sizes_of_masks_take_one_grouping(spark):
+    a, b = placed(spark), placed(spark, 30, 2)
+    n = {r.how: r.n for r in volumes.mask_sizes(a, b).collect()}
+    assert n == {how: volumes.combined_masks(a, b, how).count() for how in ("and", "or", "xor", "not")} and n["and"] and n["not"]
+    assert plan(volumes.mask_sizes(a, b)).count("Exchange hashpartitioning(z") == 1
+    assert {r.n for r in volumes.mask_sizes(a.limit(0), b.limit(0)).collect()} == {0}
+
+
+def test_erosion_shuffles_voxels_once(spark):
+    rng = np.random.default_rng(3)
+    a = np.where(rng.random((9, 8, 7)) < 0.95, rng.integers(1, 3, (9, 1, 1)), 0)
+    a[:, :, 3:] = np.where(a[:, :, 3:] > 0, 2, 0)
+    rows = [(int(z) - 4, int(y) + 2, int(x), int(a[z, y, x])) for z, y, x in np.ndindex(a.shape)]
+    v = spark.createDataFrame(rows, "z int, y int, x long, label int")
+    at = {r[:3]: r[3] for r in rows}
+    for radius in (1, 2):
+        r = range(-radius, radius + 1)
+        ball = [(i, j, k) for i in r for j in r for k in r if i * i + j * j + k * k <= radius * radius]
+        want = {(*p, x) for p, x in at.items() if x and all(at.get(tuple(map(sum, zip(p, o)))) == x for o in ball)}  # noqa: B905
+        got = volumes.eroded(v, "label", radius)
+        assert plan(got).count("Exchange hashpartitioning") == 1 and "Join" not in plan(got)
+        assert want and {tuple(r) for r in got.collect()} == want and got.dtypes == v.dtypes
+    assert volumes.eroded(v.filter("label = 0"), "label").count() == 0

@@ -80,12 +80,28 @@ def connected(v: DataFrame, label: str = "label", full: bool = True) -> DataFram
 
 
 def eroded(v: DataFrame, label: str, radius: int = 1) -> DataFrame:
-    """Voxels whose whole ball of ``radius`` has their label."""
+    """Voxels whose whole ball of ``radius`` has their label, a whole number, in halo blocks; rows that repeat a place are an error of the table."""
     r = range(-radius, radius + 1)
     ball = [(a, b, c) for a in r for b in r for c in r if a * a + b * b + c * c <= radius * radius]
     own = v.filter(F.col(label) != 0).select(*CELL, label)
-    held = _neighbours(own, [label], ball).join(own, [*CELL, label])
-    return held.groupBy(*[F.col(f"{c}0").alias(c) for c in CELL], label).agg(F.count("*").alias("n")).filter(F.col("n") == len(ball)).drop("n")
+    kinds = {c: own.schema[c].dataType for c in (*CELL, label)}
+    ends = own.agg(*[f(c).cast("long").alias(f"{c}_{n}") for c in CELL for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()  # one row
+    if ends[0] is None:
+        return own.limit(0)
+    low = [ends[f"{c}_lo"] for c in CELL]
+    shape = [ends[f"{c}_hi"] - lo + 1 for c, lo in zip(CELL, low, strict=True)]
+
+    def run(arrays, corner, core, key):
+        here, wide = arrays["_label"][core], np.pad(arrays["_label"], radius)
+        kept = here != 0
+        for o in ball:
+            kept &= wide[tuple(slice(s.start + radius + d, s.stop + radius + d) for s, d in zip(core, o, strict=True))] == here
+        at = np.nonzero(kept)
+        return {c: (p + s.start + lo).astype(np.int32) for c, p, s, lo in zip(CELL, at, core, corner, strict=True)} | {"_label": here[at]}
+
+    rows = own.select(*[(F.col(c) - lo).cast("int").alias(c) for c, lo in zip(CELL, low, strict=True)], F.col(label).cast("long").alias("_label"))
+    found = on_blocks(rows, {"_label": "i8"}, shape, fitted(shape), (radius,) * 3, run, "z int, y int, x int, _label long")
+    return found.select(*[(F.col(c).cast("long") + lo).cast(kinds[c]).alias(c) for c, lo in zip(CELL, low, strict=True)], F.col("_label").cast(kinds[label]).alias(label))
 
 
 def dilated(v: DataFrame, radius: int = 1) -> DataFrame:
@@ -213,6 +229,16 @@ def combined_masks(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return both.filter({"and": "n = 3", "or": "n >= 1", "xor": "n <> 3", "not": "n = 1"}[how]).select(*CELL)
 
 
+def mask_sizes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(how, n): the number of places of each of ``combined_masks``, from one grouping of both sets."""
+    each = a.select(*CELL, F.lit(1).alias("one"), F.lit(0).alias("two")).unionByName(b.select(*CELL, F.lit(0).alias("one"), F.lit(1).alias("two")))
+    kinds = each.groupBy(*CELL).agg(F.max("one").alias("one"), F.max("two").alias("two")).groupBy("one", "two").agg(F.count("*").alias("n"))
+    n = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0))
+    one, two = F.col("one") == 1, F.col("two") == 1
+    row = kinds.agg(n(one & two).alias("and"), n(one | two).alias("or"), n(one != two).alias("xor"), n(one & ~two).alias("not"))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("how"), F.col(c).alias("n")) for c in row.columns])).alias("r")).select("r.*")
+
+
 def opened(v: DataFrame, radius: int = 1, label: str = "label") -> DataFrame:
     """Erosion and then dilation of each label; a voxel that several labels reach takes the smallest."""
     return _grown(eroded(v, label, radius), radius, label)

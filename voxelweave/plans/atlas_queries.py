@@ -14,6 +14,7 @@ from ..operators import regions as r
 from ..operators import tables as t
 from ..operators import volumes as v
 from .registry import query
+from .tables import cut
 
 GRID = SQL["grid"]
 #: The grid with a count of nuclei at each voxel and three segments along an axis.
@@ -21,7 +22,7 @@ HEATED = f"(select *, floor(atlas/10000)::int as heat, x//4 as segment from {GRI
 
 
 def _heated(s, d):
-    return views.grid(s, d).withColumns({"heat": F.floor(F.col("atlas") / 10000).cast("int"), "segment": F.floor(F.col("x") / 4).cast("int")})
+    return cut(views.grid(s, d)).withColumns({"heat": F.floor(F.col("atlas") / 10000).cast("int"), "segment": F.floor(F.col("x") / 4).cast("int")})
 
 
 def _closed(s, d):
