@@ -13,6 +13,7 @@ from ..operators import morphology as mo
 from ..operators import regions as r
 from ..operators import volumes as v
 from .registry import query
+from .tables import cut
 
 GRID = SQL["grid"]
 FACES = "(values (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx)"
@@ -81,12 +82,8 @@ def masked_labels(s, d):
 
 @query(f"with g as (select * from {GRID}) select 'and' as how, count(*) as n from g where label=1 and y<5 union all select 'or', count(*) from g where label=1 or y<5 union all select 'xor', count(*) from g where (label=1)<>(y<5) union all select 'not', count(*) from g where label=1 and y>=5")
 def mask_logic(s, d):
-    g = _labels(s, d)
-    a, b, out = g.filter("label = 1"), g.filter("y < 5"), None
-    for how in ("and", "or", "xor", "not"):
-        one = v.combined_masks(a, b, how).agg(F.count("*").alias("n")).select(F.lit(how).alias("how"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    g = cut(_labels(s, d))
+    return v.mask_sizes(g.filter("label = 1"), g.filter("y < 5"))
 
 
 @query(f"select z, y, x, label from {ERODED}")
