@@ -84,3 +84,23 @@ def test_erosion_shuffles_voxels_once(spark):
         assert plan(got).count("Exchange hashpartitioning") == 1 and "Join" not in plan(got)
         assert want and {tuple(r) for r in got.collect()} == want and got.dtypes == v.dtypes
     assert volumes.eroded(v.filter("label = 0"), "label").count() == 0
+
+
+def test_intensities_are_combined_before_any_sort(spark):
+    i = F.col("id")
+    v = spark.range(60).select(*[(i % n).cast("int").alias(c) for c, n in (("z", 3), ("y", 4), ("x", 5))], (i % 2).cast("int").alias("channel"), i.cast("double").alias("atlas"))
+    got = matching.colocalized_by_intensity(placed(spark), v, [0, 1])
+    assert "SortAggregate" not in plan(got) and "partial_sum(atlas" in plan(got)
+    owner = {}
+    for p in placed(spark).collect():
+        for z, y, x in np.ndindex(5, 5, 5):
+            if (z - 2) ** 2 + (y - 2) ** 2 + (x - 2) ** 2 <= 4:
+                at = (int(p.z) + z - 2, int(p.y) + y - 2, int(p.x) + x - 2)
+                owner[at] = max(owner.get(at, (-1, 0)), (p.blob_id, p.channel))
+    held = {}
+    for r in v.collect():
+        if at := owner.get((r.z, r.y, r.x)):
+            held.setdefault((*at, r.channel), []).append(r.atlas)
+    mean = {k: sum(x) / len(x) for k, x in held.items()}
+    least = {c: min(m for (_, own, channel), m in mean.items() if own == channel == c) for c in (0, 1)}
+    assert {tuple(r) for r in got.collect()} == {(b, c, int(m >= least[c])) for (b, _, c), m in mean.items()}

@@ -199,13 +199,15 @@ def of_points(found: DataFrame, ids: DataFrame, end: str = "a") -> DataFrame:
 def colocalized_by_intensity(points: DataFrame, v: DataFrame, channels: Sequence[int], radius: int = 2) -> DataFrame:
     """Per point and channel 1 where the mean intensity around the point reaches the channel's threshold.
 
-    A voxel that several balls hold belongs to the greatest point id. The threshold is the least mean of the channel's own points.
+    A voxel that several balls hold belongs to the greatest point id. Points' ids and the voxels' sums are combined by place before
+    any shuffle, so crowded places stay small. The threshold is the least mean of the channel's own points.
     """
     r = range(-radius, radius + 1)
     ball = F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(AXES, o, strict=True)]) for o in ((a, b, c) for a in r for b in r for c in r) if sum(x * x for x in o) <= radius * radius])
     around = points.select("blob_id", F.col("channel").alias("own"), *AXES, F.explode(ball).alias("o")).select("blob_id", "own", *[(F.col(c).cast("int") + F.col(f"o.{c}")).alias(c) for c in AXES])
-    held = around.groupBy(*AXES).agg(F.max(F.struct("blob_id", "own")).alias("_m")).select(*AXES, "_m.*")
-    mean = shuffled(held).join(v, list(AXES)).groupBy("blob_id", "own", "channel").agg(F.avg("atlas").alias("mean"))
+    held = around.groupBy(*AXES).agg(F.max_by("own", "blob_id").alias("own"), F.max("blob_id").alias("blob_id"))
+    sums = v.groupBy(*AXES, "channel").agg(F.sum("atlas").alias("_s"), F.count("atlas").alias("_n"))
+    mean = shuffled(held).join(sums, list(AXES)).groupBy("blob_id", "own", "channel").agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("mean"))
     least = mean.filter("own = channel").groupBy("channel").agg(F.min("mean").alias("least"))
     return mean.filter(F.col("channel").isin(*channels)).join(least, "channel").select("blob_id", "channel", (F.col("mean") >= F.col("least")).cast("int").alias("coloc"))
 
