@@ -51,19 +51,22 @@ def on_blocks(v: DataFrame, values: dict[str, str], shape: Sequence[int], size:
     Rows outside of ``shape`` are ignored. ``work`` also gets the group's ``keys``, which
     stand first in ``schema``; it returns columns of equal length. A task holds
     one block of (size + 2 halo) voxels at a time.
+    The shuffle's rows are narrow: a block's number and the place within it are one number each.
     """
     inside = F.lit(True)
     for c, n in zip(CELL, shape, strict=True):
         inside = inside & F.col(c).between(0, n - 1)
     names = list(values)
+    many = [max(-(-n // s), 1) for n, s in zip(shape, size, strict=True)]
+    widths = [min(s + 2 * h, max(n, 1)) for s, h, n in zip(size, halo, shape, strict=True)]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         key = tuple(k.as_py() for k in key)
-        at = key[len(keys) :]
+        at = [int(i) for i in np.unravel_index(key[-1], many)]
         low = [max(b * s - h, 0) for b, s, h in zip(at, size, halo, strict=True)]
         high = [min((b + 1) * s + h, n) for b, s, h, n in zip(at, size, halo, shape, strict=True)]
         core = tuple(slice(b * s - lo, min((b + 1) * s, n) - lo) for b, s, lo, n in zip(at, size, low, shape, strict=True))
-        place = tuple(table.column(c).to_numpy() - lo for c, lo in zip(CELL, low, strict=True))
+        place = np.unravel_index(table.column("_place").to_numpy(), widths)
         arrays = {}
         for name in names:
             arrays[name] = np.zeros([hi - lo for lo, hi in zip(low, high, strict=True)], values[name])
@@ -73,7 +76,12 @@ def on_blocks(v: DataFrame, values: dict[str, str], shape: Sequence[int], size:
         return pa.table({k: pa.array([x] * n, table.schema.field(k).type) for k, x in zip(keys, key, strict=False)} | {k: pa.array(x) for k, x in out.items()})
 
     rows = in_blocks(v.filter(inside).select(*keys, *CELL, *names), shape, size, halo)
-    return rows.groupBy(*keys, *BLOCK).applyInArrow(run, schema)
+    block = place = F.lit(0).cast("long")
+    for c, b, n, s, h, w in zip(CELL, BLOCK, many, size, halo, widths, strict=True):
+        block = block * n + F.col(b)
+        place = place * w + F.col(c) - F.greatest(F.col(b).cast("long") * s - h, F.lit(0))
+    rows = rows.select(*keys, block.alias("_block"), place.cast("long").alias("_place"), *names)
+    return rows.groupBy(*keys, "_block").applyInArrow(run, schema)
 
 
 def correlated(a: np.ndarray, taps: np.ndarray, axis: int, mode: str) -> np.ndarray:

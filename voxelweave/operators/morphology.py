@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut
-from .blocks import CELL, extents, on_blocks, squared_distances
+from .blocks import CELL, extents, fitted, nearest_places, on_blocks, squared_distances
 from .volumes import nearest_voxel
 
 MODES = ("opening", "closing", "adaptive_opening", "adaptive_closing", "adaptive_erosion")
@@ -18,6 +18,8 @@ LEAST_KEPT, LOST = 0.2, 0.01
 #: A label's own filter: eight bits for each size, of which the highest says closing (1) or else opening or erosion.
 BITS = 8
 _NONE = np.int64(-(2**62))
+#: Voxels within which gaps between smoothed labels are filled in blocks.
+REACH = 16
 
 
 def eroded(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -102,42 +104,34 @@ def own_filters(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[i
     return wide.select(label, "volume", code.alias("codes"))
 
 
-def _balls(radius: int) -> list[tuple[int, int, int]]:
-    """Offsets within a ball without its middle, nearest first, ties by place."""
-    r = range(-radius, radius + 1)
-    return [o for _, o in sorted((z * z + y * y + x * x, (z, y, x)) for z in r for y in r for x in r if 0 < z * z + y * y + x * x <= radius * radius)]
+def _stored(v: DataFrame, label: str) -> DataFrame:
+    """Places and labels, written once, as several passes read them."""
+    return cut(v.select(*CELL, F.col(label).cast("long").alias(label)))
 
 
-def smoothed_labels(v: DataFrame, sizes: Sequence[int], mode: str = "opening", shape: Sequence[int] | None = None, block: Sequence[int] = (32, 32, 32), small: int = 5000, crop: int | None = None, background: bool = True, label: str = "label") -> DataFrame:
-    """``v(z, y, x, label)`` -> (filter_size, z, y, x, was, label): the volume smoothed by each of ``sizes``, in two passes for all.
-
-    Places without a row have label 0, which is filtered as any label if
-    ``background``. All labels are filtered as they are in ``v``; where closed
-    labels meet others the label of fewer voxels wins (of equal ones the greater).
-    Voxels that no filtered label holds take the label of the nearest one that
-    does (ties by place): within the largest size (twice that for erosion) of any,
-    background included, else of the labelled ones. ``crop``: the background of ``v``, opened by that radius, stays
-    background. Size 0 changes nothing. Rows that were and are background are left
-    out. No voxels give no rows; rows that repeat a place are an error of the table.
-    """
+def _by_size(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[int], block: Sequence[int] | None, small: int, crop: int | None, background: bool, label: str) -> tuple[DataFrame, list[str]]:
+    """A table of ``_stored`` -> (z, y, x, was, to_0, to_1, ...), one row a place, and the names of the labels by each of ``sizes``; see ``smoothed_labels``."""
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     if len(sizes) > 7 or max(sizes, default=0) > 100 or min(sizes, default=0) < 0:
         raise ValueError("up to 7 sizes from 0 to 100")
-    shape = shape or extents(v)
     most = max([*sizes, crop or 0, 1])
-    sizes = list(sizes)
-    filters = cut(own_filters(v, sizes, mode, shape, block, small, background, label))
+    box = block or fitted(shape, 2**16)
+    filters = cut(own_filters(v, sizes, mode, shape, box, small, background, label))
     behind = filters.filter(F.col(label) == 0).first()  # one row
     how = "erosion" if mode == "adaptive_erosion" else "opening"
-    rows = v.filter(F.col(label) != 0).select(*CELL, F.col(label).cast("long").alias(label)).join(filters, label)
+    rows = v.filter(F.col(label) != 0).join(filters, label)
     far = 2 * most if how == "erosion" else most  # of the nearest; erosion itself reaches half as far as an opening
-    offsets = _balls(far)
+    names = [f"to_{i}" for i in range(len(sizes))]
+
+    def written(was: np.ndarray, new: list[np.ndarray], low: Sequence[int], core: Sequence[slice]) -> dict[str, np.ndarray]:
+        at = np.nonzero(np.logical_or.reduce([was != 0, *[a != 0 for a in new]]))
+        place = [(p + c.start + lo).astype(np.int32) for p, c, lo in zip(at, core, low, strict=True)]
+        return dict(zip((*CELL, "was", *names), [*place, was[at], *[a[at] for a in new]], strict=True))
 
     def run(arrays, low, core, key):
         a, wide = arrays[label], tuple(slice(max(c.start - far, 0), c.stop + far) for c in core)
         near = tuple(slice(c.start - w.start, c.stop - w.start) for c, w in zip(core, wide, strict=True))
-        a_near = a[wide]
         present, first = np.unique(a, return_index=True)
         own = {x: (int(arrays["volume"].flat[i]), int(arrays["codes"].flat[i])) for x, i in zip(present.tolist(), first.tolist(), strict=True)}
         if 0 in own:
@@ -146,52 +140,71 @@ def smoothed_labels(v: DataFrame, sizes: Sequence[int], mode: str = "opening", s
         clear = None
         if crop is not None:
             clear = filtered(a == 0, crop, "opening")[core]
-        out: list[list[np.ndarray]] = []
-        for i, n in enumerate(sizes):
+        out = []
+        for i in range(len(sizes)):
             new = np.full(a.shape, _NONE)
             for x in order:
                 code = own[x][1] >> (BITS * i) & 0xFF
                 r, closed = code & 0x7F, code >> 7
                 box = _around(a == x, 2 * r + 1)
                 new[box][filtered(a[box] == x, r, "closing" if closed else how)] = x
-            new = new[wide]
-            there = np.argwhere(new == _NONE)
-            there = there[((there >= [s.start for s in near]) & (there < [s.stop for s in near])).all(axis=1)]
-            values = np.full(len(there), _NONE)
-            todo = np.arange(len(there))
-            for o in offsets:
-                if not len(todo):
-                    break
-                at = there[todo] + o
-                fine = ((at >= 0) & (at < new.shape)).all(axis=1)
-                got = np.full(len(todo), _NONE)
-                got[fine] = new[tuple(at[fine].T)]
-                values[todo] = got
-                todo = todo[got == _NONE]
-            new = new.copy()
-            new[tuple(there.T)] = values
-            new, was = new[near], a_near[near]
+            new = _nearest(new[wide], new[wide] != _NONE, near, far)
             if clear is not None:
                 new[clear] = 0
-            z, y, x = np.nonzero((new != 0) | (was != 0))
-            out.append([np.full(len(z), n, np.int32), z, y, x, was[z, y, x], new[z, y, x]])
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 6
-        place = [(p + c.start + lo).astype(np.int32) for p, c, lo in zip(cols[1:4], core, low, strict=True)]
-        return dict(zip(("filter_size", *CELL, "was", label), [cols[0].astype(np.int32), *place, *cols[4:]], strict=True))
-
-    schema = f"filter_size int, z int, y int, x int, was long, {label} long"
-    done = cut(on_blocks(rows, {label: "i8", "codes": "i8", "volume": "i8"}, shape, block, (3 * most + 1,) * 3, run, schema))
-    empty = done.filter(F.col(label) == int(_NONE))
-    if empty.isEmpty():
-        return done
-    filled = None
-    for n in sizes:  # a few sizes
-        some = done.filter(F.col("filter_size") == n)
-        gaps = some.filter(F.col(label) == int(_NONE))
-        fill = nearest_voxel(gaps, some.filter(~F.col(label).isin(0, int(_NONE))).select(*CELL, F.col(label).alias("_near")), float(most), ["_near"])
-        one = some.join(fill.drop("dist"), list(CELL), "left").withColumn(label, F.when(F.col(label) == int(_NONE), F.coalesce("_near", F.lit(0))).otherwise(F.col(label))).select(*done.columns)
-        filled = one if filled is None else filled.unionByName(one)
-    return filled
+            out.append(new)
+        return written(a[core], out, low, core)
+
+    def fill(arrays, low, core, key):
+        return written(arrays["was"][core], [_nearest(a, (a != 0) & (a != _NONE), core, REACH) for a in (arrays[n] for n in names)], low, core)
+
+    schema = f"z int, y int, x int, was long, {', '.join(f'{n} long' for n in names)}"
+    gaps = F.greatest(*[(F.col(n) == int(_NONE)).cast("int") for n in names], F.lit(0)) == 1
+    done = cut(on_blocks(rows, {label: "i8", "codes": "i8", "volume": "i8"}, shape, box, (3 * most + 1,) * 3, run, schema))
+    if done.filter(gaps).isEmpty():
+        return done, names
+    filled = cut(on_blocks(done, dict.fromkeys(("was", *names), "i8"), shape, block or fitted(shape), (REACH,) * 3, fill, schema))
+    if filled.filter(gaps).isEmpty():
+        return filled, names
+    for n in names:  # a few sizes
+        rest = filled.filter(F.col(n) == int(_NONE)).select(*CELL)
+        if not rest.isEmpty():  # further than blocks reach
+            found = nearest_voxel(rest, done.filter(~F.col(n).isin(0, int(_NONE))).select(*CELL, F.col(n).alias("_near")), float(most), ["_near"])
+            one = filled.join(found.drop("dist"), list(CELL), "left")
+            filled = cut(one.withColumn(n, F.when(F.col(n) == int(_NONE), F.coalesce("_near", F.lit(0))).otherwise(F.col(n))).select(*done.columns))
+    return filled, names
+
+
+def _nearest(a: np.ndarray, held: np.ndarray, core: tuple[slice, ...], most: int) -> np.ndarray:
+    """The core, whose gaps take the value of the nearest voxel of ``held`` within ``most`` (of equally near ones the first)."""
+    out = a[core].copy()
+    gap = out == _NONE
+    if gap.any():
+        d, place = nearest_places(held, most)
+        gap &= d[core] <= most * most
+        out[gap] = a.ravel()[place[core][gap]]
+    return out
+
+
+def smoothed_labels(v: DataFrame, sizes: Sequence[int], mode: str = "opening", shape: Sequence[int] | None = None, block: Sequence[int] | None = None, small: int = 5000, crop: int | None = None, background: bool = True, label: str = "label") -> DataFrame:
+    """``v(z, y, x, label)`` -> (filter_size, z, y, x, was, label): the volume smoothed by each of ``sizes``, in two passes for all.
+
+    Places without a row have label 0, which is filtered as any label if
+    ``background``. All labels are filtered as they are in ``v``; where closed
+    labels meet others the label of fewer voxels wins (of equal ones the greater).
+    Voxels that no filtered label holds take the label of the nearest one that
+    does (ties by place): within the largest size (twice that for erosion) of any,
+    background included, else of the labelled ones. ``crop``: the background of ``v``, opened by that radius, stays
+    background. Size 0 changes nothing. Rows that were and are background are left
+    out. No voxels give no rows; rows that repeat a place are an error of the table.
+
+    A place is one row for all sizes until the end; labels beyond the largest size are looked for in a third pass over
+    blocks, and only places without any within ``REACH`` voxels are joined with the rest.
+    """
+    v = _stored(v, label)
+    wide, names = _by_size(v, sizes, mode, shape or extents(v), block, small, crop, background, label)
+    each = F.array(*[F.struct(F.lit(n).cast("int").alias("filter_size"), F.col(c).alias("to")) for n, c in zip(sizes, names, strict=True)])
+    out = wide.select(*CELL, "was", F.explode(each).alias("_one")).select("_one.filter_size", *CELL, "was", F.col("_one.to").alias(label))
+    return out.filter((F.col("was") != 0) | (F.col(label) != 0))
 
 
 def label_measures(v: DataFrame, by: Sequence[str] = (), spacing: Sequence[float] = (1.0, 1.0, 1.0), shape: Sequence[int] | None = None, block: Sequence[int] = (32, 32, 32), label: str = "label", was: str | None = None) -> DataFrame:
