@@ -207,34 +207,57 @@ def smoothed_labels(v: DataFrame, sizes: Sequence[int], mode: str = "opening", s
     return out.filter((F.col("was") != 0) | (F.col(label) != 0))
 
 
-def label_measures(v: DataFrame, by: Sequence[str] = (), spacing: Sequence[float] = (1.0, 1.0, 1.0), shape: Sequence[int] | None = None, block: Sequence[int] = (32, 32, 32), label: str = "label", was: str | None = None) -> DataFrame:
+def _measured(a: np.ndarray, core: tuple[slice, ...], area: Sequence[float], was: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Labels of the core that are not 0, their voxels, surface, and voxels that ``was`` another label."""
+    a = np.pad(a, 1, constant_values=_NONE)
+    here = a[tuple(slice(c.start + 1, c.stop + 1) for c in core)]
+    labels, at = np.unique(here, return_inverse=True)
+    at = at.ravel()
+    surface = np.zeros(len(labels))
+    for axis in range(3):
+        for step in (0, 2):
+            other = a[tuple(slice(c.start + (step if i == axis else 1), c.stop + (step if i == axis else 1)) for i, c in enumerate(core))]
+            surface += np.bincount(at, (here != other).ravel() * area[axis], len(labels))
+    away = np.bincount(at, (was[core] != here).ravel(), len(labels)) if was is not None else np.zeros(len(labels))
+    some = labels != 0
+    return labels[some], np.bincount(at, minlength=len(labels))[some], surface[some], away[some]
+
+
+def label_measures(v: DataFrame, by: Sequence[str] = (), spacing: Sequence[float] = (1.0, 1.0, 1.0), shape: Sequence[int] | None = None, block: Sequence[int] | None = None, label: str = "label", was: str | None = None) -> DataFrame:
     """Per label (and ``by``): volume, surface of the voxel faces that its own voxels don't cover, and displaced, the volume that ``was`` another label.
 
     One pass over blocks with a halo of one voxel; beyond the volume faces are open.
     """
     sz, sy, sx = spacing
     area, voxel = (sy * sx, sz * sx, sz * sy), sz * sy * sx
-    names = [label, *([was] if was else [])]
+    names, shape = [label, *([was] if was else [])], shape or extents(v)
 
     def run(arrays, low, core, key):
-        a = np.pad(arrays[label], 1, constant_values=_NONE)
-        here = a[tuple(slice(c.start + 1, c.stop + 1) for c in core)]
-        labels, at = np.unique(here, return_inverse=True)
-        at = at.ravel()
-        surface = np.zeros(len(labels))
-        for axis in range(3):
-            for step in (0, 2):
-                other = a[tuple(slice(c.start + (step if i == axis else 1), c.stop + (step if i == axis else 1)) for i, c in enumerate(core))]
-                surface += np.bincount(at, (here != other).ravel() * area[axis], len(labels))
-        away = np.bincount(at, (arrays[was][core] != here).ravel(), len(labels)) if was else np.zeros(len(labels))
-        some = labels != 0
-        return {label: labels[some], "volume": np.bincount(at, minlength=len(labels))[some] * voxel, "surface": surface[some], "displaced": away[some] * voxel}
+        labels, n, surface, away = _measured(arrays[label], core, area, arrays[was] if was else None)
+        return {label: labels, "volume": n * voxel, "surface": surface, "displaced": away * voxel}
 
     kinds = "".join(f"{k} {v.schema[k].dataType.simpleString()}, " for k in by)
-    found = on_blocks(v, dict.fromkeys(names, "i8"), shape or extents(v), block, (1, 1, 1), run, f"{kinds}{label} long, volume double, surface double, displaced double", by)
+    found = on_blocks(v, dict.fromkeys(names, "i8"), shape, block or fitted(shape), (1, 1, 1), run, f"{kinds}{label} long, volume double, surface double, displaced double", by)
     return found.groupBy(*by, label).agg(*[F.sum(c).alias(c) for c in ("volume", "surface", "displaced")])
 
 
+def _measures_by_size(wide: DataFrame, names: Sequence[str], sizes: Sequence[int], spacing: Sequence[float], shape: Sequence[int], label: str) -> tuple[DataFrame, DataFrame]:
+    """``label_measures`` of what the volume was, and of each size, from one pass over a table of ``_by_size``."""
+    sz, sy, sx = spacing
+    area, voxel = (sy * sx, sz * sx, sz * sy), sz * sy * sx
+    turns = [(-1, "was"), *zip(sizes, names, strict=True)]
+
+    def run(arrays, low, core, key):
+        found = [(n, *_measured(arrays[c], core, area, arrays["was"])) for n, c in turns]
+        cols = [np.concatenate([f[i] for f in found]) for i in range(1, 5)]
+        at = np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found])
+        return {"filter_size": at, label: cols[0], "volume": cols[1] * voxel, "surface": cols[2], "displaced": cols[3] * voxel}
+
+    found = on_blocks(wide, dict.fromkeys(("was", *names), "i8"), shape, fitted(shape), (1, 1, 1), run, f"filter_size int, {label} long, volume double, surface double, displaced double")
+    both = cut(found.groupBy("filter_size", label).agg(*[F.sum(c).alias(c) for c in ("volume", "surface", "displaced")]))
+    return both.filter("filter_size < 0").drop("filter_size"), both.filter("filter_size >= 0")
+
+
 def smoothing_quality(before: DataFrame, after: DataFrame, by: Sequence[str] = ("filter_size",), label: str = "label") -> DataFrame:
     """Per ``by`` and label of two ``label_measures``: compaction, displacement, their difference, and surface to volume.
 
@@ -274,12 +297,14 @@ def aggregate_quality(raw: DataFrame, by: Sequence[str] = ("filter_size",)) -> D
     return out.join(apart, list(by)).select(*by, *names, sd.alias("compactness_sd"), F.try_divide(sd, "compactness").alias("compactness_cv"), "label_loss")
 
 
-def smoothing_sweep(v: DataFrame, sizes: Sequence[int], spacing: Sequence[float] = (1.0, 1.0, 1.0), label: str = "label", **options) -> tuple[DataFrame, DataFrame]:
-    """Smooth by each size and measure: (aggregate per size, rows per size and label). The volume is filtered once for all sizes."""
-    shape = options.pop("shape", None) or extents(v)
-    new = cut(smoothed_labels(v, sizes, shape=shape, label=label, **options))
-    before = label_measures(v.filter(F.col(label) != 0), (), spacing, shape, label=label)
-    after = label_measures(new, ("filter_size",), spacing, shape, label=label, was="was")
+def smoothing_sweep(
+    v: DataFrame, sizes: Sequence[int], spacing: Sequence[float] = (1.0, 1.0, 1.0), label: str = "label", mode: str = "opening", shape: Sequence[int] | None = None, block: Sequence[int] | None = None, small: int = 5000, crop: int | None = None, background: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Smooth by each size and measure: (aggregate per size, rows per size and label). The volume is filtered and measured once for all sizes."""
+    v, sizes = _stored(v, label), list(dict.fromkeys(sizes))
+    shape = shape or extents(v)
+    wide, names = _by_size(v, sizes, mode, shape, block, small, crop, background, label)
+    before, after = _measures_by_size(wide, names, sizes, spacing, shape, label)
     raw = cut(smoothing_quality(before, after, label=label))
     return aggregate_quality(raw), raw
 
