@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import dealt
 from ..plans.tables import read
 
 
@@ -81,8 +82,11 @@ def ontology(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """z, y, x, label, label2, atlas: planes of 100 voxels, more of them the more line items there are; labels come in slabs of three planes."""
+def grid(spark: SparkSession, sf: str, planes: bool = False) -> DataFrame:
+    """z, y, x, label, label2, atlas: planes of 100 voxels, more of them the more line items there are; labels come in slabs of three planes.
+
+    ``planes``: whole planes are dealt to tasks of the same size however many there are, instead of voxels to the session's partitions.
+    """
     k = F.floor(F.col("l_orderkey") / 60) % 3
     cells = read(spark, sf, "lineitem").select(
         F.floor(F.col("l_orderkey") / 20).cast("int").alias("z"),
@@ -92,6 +96,8 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
         (k + F.when(F.col("l_partkey") % 10 < 2, 5).otherwise(0)).cast("int").alias("label2"),
         F.col("l_extendedprice").alias("atlas"),
     )
+    if planes and (parts := dealt(cells)):
+        cells = cells.repartition(parts, "z")
     return cells.groupBy("z", "y", "x").agg(F.min("label").alias("label"), F.max("label2").alias("label2"), F.avg("atlas").alias("atlas"))
 
 

@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import partitions
+
 CELL = ("z", "y", "x")
 BLOCK = ("block_z", "block_y", "block_x")
+#: Voxels of a stored table for one task.
+ROWS = 2**20
 
 #: A function of a block: the arrays of its values by name, the place of their first voxel, and where the core lies in them.
 Work = Callable[[dict[str, np.ndarray], tuple[int, int, int], tuple[slice, slice, slice], tuple], dict[str, np.ndarray]]
@@ -45,13 +49,19 @@ def in_blocks(v: DataFrame, shape: Sequence[int], size: Sequence[int], halo: Seq
     return v
 
 
-def on_blocks(v: DataFrame, values: dict[str, str], shape: Sequence[int], size: Sequence[int], halo: Sequence[int], work: Work, schema: str, keys: Sequence[str] = ()) -> DataFrame:
+def dealt(v: DataFrame) -> int:
+    """Partitions for the blocks of a stored table, so that a task's share stays the same however many voxels there are; 0 for the session's setting."""
+    n = v.count() // ROWS
+    return max(n + 1, partitions(v.sparkSession)) if n else 0
+
+
+def on_blocks(v: DataFrame, values: dict[str, str], shape: Sequence[int], size: Sequence[int], halo: Sequence[int], work: Work, schema: str, keys: Sequence[str] = (), parts: int = 0) -> DataFrame:
     """``work`` on every block that has a voxel; ``values``: column -> NumPy type of its array.
 
     Rows outside of ``shape`` are ignored. ``work`` also gets the group's ``keys``, which
     stand first in ``schema``; it returns columns of equal length. A task holds
-    one block of (size + 2 halo) voxels at a time.
-    The shuffle's rows are narrow: a block's number and the place within it are one number each.
+    one block of (size + 2 halo) voxels at a time. ``parts``: partitions of the shuffle, the session's if 0. Its rows
+    are narrow: a block's number and the place within it are one number each.
     """
     inside = F.lit(True)
     for c, n in zip(CELL, shape, strict=True):
@@ -81,6 +91,8 @@ def on_blocks(v: DataFrame, values: dict[str, str], shape: Sequence[int], size:
         block = block * n + F.col(b)
         place = place * w + F.col(c) - F.greatest(F.col(b).cast("long") * s - h, F.lit(0))
     rows = rows.select(*keys, block.alias("_block"), place.cast("long").alias("_place"), *names)
+    if parts:
+        rows = rows.repartition(parts, *keys, "_block")
     return rows.groupBy(*keys, "_block").applyInArrow(run, schema)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut
-from .blocks import CELL, extents, fitted, nearest_places, on_blocks, squared_distances
+from .blocks import CELL, dealt, extents, fitted, nearest_places, on_blocks, squared_distances
 from .volumes import nearest_voxel
 
 MODES = ("opening", "closing", "adaptive_opening", "adaptive_closing", "adaptive_erosion")
@@ -46,7 +46,7 @@ def _around(mask: np.ndarray, by: int) -> tuple[slice, ...]:
     return tuple(out)
 
 
-def kept_sizes(v: DataFrame, radii: Sequence[int], how: str, shape: Sequence[int], size: Sequence[int] = (32, 32, 32), background: bool = True, label: str = "label") -> DataFrame:
+def kept_sizes(v: DataFrame, radii: Sequence[int], how: str, shape: Sequence[int], size: Sequence[int] = (32, 32, 32), background: bool = True, label: str = "label", parts: int = 0) -> DataFrame:
     """(label, radius, kept): voxels of each label that filtering it alone by each of ``radii`` leaves, all in one pass.
 
     A label's distances to its outside are found once for all radii.
@@ -67,11 +67,11 @@ def kept_sizes(v: DataFrame, radii: Sequence[int], how: str, shape: Sequence[int
         labels, at, kept = zip(*out, strict=True) if out else ((), (), ())
         return {label: np.array(labels, np.int64), "radius": np.array(at, np.int32), "kept": np.array(kept, np.int64)}
 
-    found = on_blocks(v, {label: "i8"}, shape, size, (2 * most + 1,) * 3, run, f"{label} long, radius int, kept long")
+    found = on_blocks(v, {label: "i8"}, shape, size, (2 * most + 1,) * 3, run, f"{label} long, radius int, kept long", parts=parts)
     return found.groupBy(label, "radius").agg(F.sum("kept").alias("kept"))
 
 
-def own_filters(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[int], size: Sequence[int], small: int, background: bool, label: str = "label") -> DataFrame:
+def own_filters(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[int], size: Sequence[int], small: int, background: bool, label: str = "label", parts: int = 0) -> DataFrame:
     """(label, volume, codes): for each of ``sizes`` the radius that a label is filtered by, and whether it is closed.
 
     ``opening``: the size, half of it (rounded down) for labels under ``small``
@@ -89,7 +89,7 @@ def own_filters(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[i
         code = sum(F.lit((n | 0x80) << (BITS * i)) for i, n in enumerate(sizes))
         return volume.select(label, "volume", code.cast("long").alias("codes"))
     radii = sorted({*range(1, max(sizes) + 1)} if mode != "opening" else {r for n in sizes for r in (n, n // 2)})
-    kept = kept_sizes(v, radii, how, shape, size, background, label)
+    kept = kept_sizes(v, radii, how, shape, size, background, label, parts)
     wide = volume.join(kept.groupBy(label).agg(*[F.max(F.when(F.col("radius") == r, F.col("kept"))).alias(f"kept_{r}") for r in radii]), label, "left")
     code = F.lit(0).cast("long")
     for i, n in enumerate(sizes):
@@ -116,8 +116,8 @@ def _by_size(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[int]
     if len(sizes) > 7 or max(sizes, default=0) > 100 or min(sizes, default=0) < 0:
         raise ValueError("up to 7 sizes from 0 to 100")
     most = max([*sizes, crop or 0, 1])
-    box = block or fitted(shape, 2**16)
-    filters = cut(own_filters(v, sizes, mode, shape, box, small, background, label))
+    box, parts = block or fitted(shape, 2**16), dealt(v)
+    filters = cut(own_filters(v, sizes, mode, shape, box, small, background, label, parts))
     behind = filters.filter(F.col(label) == 0).first()  # one row
     how = "erosion" if mode == "adaptive_erosion" else "opening"
     rows = v.filter(F.col(label) != 0).join(filters, label)
@@ -159,10 +159,10 @@ def _by_size(v: DataFrame, sizes: Sequence[int], mode: str, shape: Sequence[int]
 
     schema = f"z int, y int, x int, was long, {', '.join(f'{n} long' for n in names)}"
     gaps = F.greatest(*[(F.col(n) == int(_NONE)).cast("int") for n in names], F.lit(0)) == 1
-    done = cut(on_blocks(rows, {label: "i8", "codes": "i8", "volume": "i8"}, shape, box, (3 * most + 1,) * 3, run, schema))
+    done = cut(on_blocks(rows, {label: "i8", "codes": "i8", "volume": "i8"}, shape, box, (3 * most + 1,) * 3, run, schema, parts=parts))
     if done.filter(gaps).isEmpty():
         return done, names
-    filled = cut(on_blocks(done, dict.fromkeys(("was", *names), "i8"), shape, block or fitted(shape), (REACH,) * 3, fill, schema))
+    filled = cut(on_blocks(done, dict.fromkeys(("was", *names), "i8"), shape, block or fitted(shape), (REACH,) * 3, fill, schema, parts=dealt(done)))
     if filled.filter(gaps).isEmpty():
         return filled, names
     for n in names:  # a few sizes
@@ -253,7 +253,7 @@ def _measures_by_size(wide: DataFrame, names: Sequence[str], sizes: Sequence[int
         at = np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found])
         return {"filter_size": at, label: cols[0], "volume": cols[1] * voxel, "surface": cols[2], "displaced": cols[3] * voxel}
 
-    found = on_blocks(wide, dict.fromkeys(("was", *names), "i8"), shape, fitted(shape), (1, 1, 1), run, f"filter_size int, {label} long, volume double, surface double, displaced double")
+    found = on_blocks(wide, dict.fromkeys(("was", *names), "i8"), shape, fitted(shape), (1, 1, 1), run, f"filter_size int, {label} long, volume double, surface double, displaced double", parts=dealt(wide))
     both = cut(found.groupBy("filter_size", label).agg(*[F.sum(c).alias(c) for c in ("volume", "surface", "displaced")]))
     return both.filter("filter_size < 0").drop("filter_size"), both.filter("filter_size >= 0")
 

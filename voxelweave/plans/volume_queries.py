@@ -32,8 +32,8 @@ ERODED = f"(with {_steps(GRID)} select n.z, n.y, n.x, n.label from n join {GRID}
 _grid = views.grid
 
 
-def _labels(s, d):
-    return _grid(s, d).select("z", "y", "x", "label")
+def _labels(s, d, planes=False):
+    return _grid(s, d, planes).select("z", "y", "x", "label")
 
 
 @query(f"select z, y, 9-x as x, label from {GRID}")
@@ -201,17 +201,17 @@ def preprocessed_volume(s, d):
 
 @query()
 def smoothed_labels(s, d):
-    return mo.smoothed_labels(_labels(s, d), [1, 2], small=500)
+    return mo.smoothed_labels(_labels(s, d, planes=True), [1, 2], small=500)
 
 
 @query()
 def smoothing_sweep(s, d):
-    return mo.smoothing_sweep(_labels(s, d), [1, 2, 3], small=500)[0]
+    return mo.smoothing_sweep(_labels(s, d, planes=True), [1, 2, 3], small=500)[0]
 
 
 @query()
 def adaptive_smoothing(s, d):
-    return mo.smoothing_sweep(_labels(s, d), [1, 2], mode="adaptive_opening")[1]
+    return mo.smoothing_sweep(_labels(s, d, planes=True), [1, 2], mode="adaptive_opening")[1]
 
 
 @query(f"""with g as (select * from {GRID}), o as (select 2.0*count(*) filter (atlas>30000 and label<>0)/(count(*) filter (atlas>30000)+count(*) filter (label<>0)) as dsc, count(*) filter (atlas>30000) as volume_atlas, count(*) filter (label<>0) as volume_labels from g),
