@@ -115,6 +115,38 @@ def test_detection_of_planted_spheres_and_of_nothing(spark):
     assert sorted((r.z, r.y, r.x) for r in edge) == at[2:3] + ([at[3]] if at[3][0] <= 20 else [])
 
 
+def test_detection_reads_and_filters_the_volume_once(spark, image):
+    v, read = table(spark, image), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    n = v.count()
+    assert len(d.detected(v.mapInArrow(counted, v.schema), PROFILE, shape=image.shape).collect()) > 10
+    assert read.value == n
+
+
+def test_responses_are_the_same_to_the_last_bit_in_any_part():
+    a = np.random.default_rng(4).random((40, 30, 35))
+    whole = d.responses(a, PROFILE)[1:-1, 1:-1, 1:-1, 1:-1]
+    want = np.stack([-plain_laplacian(a, s) * s * s for s in np.linspace(1.0, 2.5, 4)])
+    assert np.abs(whole - want).max() < 1e-12
+    part = d.responses(a[5:38, :, 12:], PROFILE, (slice(10, 17), slice(0, 30), slice(11, 23)))[1:-1, 1:-1, 1:-1, 1:-1]
+    assert (part == whole[:, 15:22, :, 23:35]).all()
+
+
+def test_of_equal_peaks_the_first_stays():
+    cube = np.full((4, 6, 6, 6), -np.inf)
+    cube[1:-1, 1:-1, 1:-1, 1:-1] = 0.0
+    cube[1, 2, 2, 2:4] = cube[2, 2, 2, 2] = cube[1, 4, 4, 4] = 1.0
+    cube[1, 4, 1, 1] = 0.5
+    cube[1, 4, 1, 2] = 0.25
+    assert list(zip(*(i.tolist() for i in d.peaks(cube, 0.2, [slice(1, -1)] * 3)), strict=True)) == [(1, 2, 2, 2), (1, 4, 1, 1), (1, 4, 4, 4)]
+    assert list(zip(*(i.tolist() for i in d.peaks(cube, 0.2, [slice(3, -1)] * 3)), strict=True)) == [(1, 4, 4, 4)]
+
+
 def test_preprocessing_by_tiles(spark, image):
     a = image.copy()
     profile = d.Profile(blur=2.0, total_variation=0.05)

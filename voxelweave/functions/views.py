@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.blocks import dealt
-from ..plans.tables import read
+from ..operators.blocks import ROWS, dealt
+from ..plans.tables import partitions, read
 
 
 def voxels(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,16 +101,27 @@ def grid(spark: SparkSession, sf: str, planes: bool = False) -> DataFrame:
     return cells.groupBy("z", "y", "x").agg(F.min("label").alias("label"), F.max("label2").alias("label2"), F.avg("atlas").alias("atlas"))
 
 
-def spots(spark: SparkSession, sf: str) -> DataFrame:
-    """z, y, x, value: a volume of blurred spots, one a part in slabs of 64, of three widths and two strengths."""
+def spot_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """z, y, x, s, top: where ``spots`` are planted, one a part in slabs of 64, with their widths and strengths."""
     n = F.col("p_partkey")
-    part = read(spark, sf, "part").select(
-        (F.floor(n / 64) * 9 + 4 + n * 7 % 3).cast("int").alias("z0"), (F.floor(n % 64 / 8) * 9 + 4 + n * 11 % 3).cast("int").alias("y0"), (n % 8 * 9 + 4 + n * 5 % 3).cast("int").alias("x0"), (n % 3 * 0.3 + 1.2).cast("double").alias("s"), (n % 2 * 0.2 + 0.6).cast("double").alias("top")
+    return read(spark, sf, "part").select(
+        (F.floor(n / 64) * 9 + 4 + n * 7 % 3).cast("int").alias("z"), (F.floor(n % 64 / 8) * 9 + 4 + n * 11 % 3).cast("int").alias("y"), (n % 8 * 9 + 4 + n * 5 % 3).cast("int").alias("x"), (n % 3 * 0.3 + 1.2).cast("double").alias("s"), (n % 2 * 0.2 + 0.6).cast("double").alias("top")
     )
-    near = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(y).alias("y"), F.lit(x).alias("x")) for z in range(-4, 5) for y in range(-4, 5) for x in range(-4, 5) if z * z + y * y + x * x <= 16])
-    e = part.select("*", F.explode(near).alias("o"))
-    d2 = F.col("o.z") ** 2 + F.col("o.y") ** 2 + F.col("o.x") ** 2
-    return e.groupBy(*[(F.col(f"{c}0") + F.col(f"o.{c}")).alias(c) for c in ("z", "y", "x")]).agg(F.sum(F.col("top") * F.exp(-d2 / (2 * F.col("s") ** 2))).alias("value"))
+
+
+def spots(spark: SparkSession, sf: str, planes: int = 64) -> DataFrame:
+    """z, y, x, value: a volume of blurred spots of radius 4 (see ``spot_centres``).
+
+    Spots are dealt to the runs of ``planes`` that they reach before they become voxels, so only they are shuffled.
+    """
+    ball = [(z, y, x) for z in range(-4, 5) for y in range(-4, 5) for x in range(-4, 5) if z * z + y * y + x * x <= 16]
+    near = F.array(*[F.struct(F.lit(z).alias("z"), F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(float(z * z + y * y + x * x)).alias("d2")) for z, y, x in ball])
+    run = lambda z: F.floor(z / planes).cast("int")
+    centres = spot_centres(spark, sf)
+    reached = centres.withColumn("run", F.explode(F.sequence(run(F.col("z") - 4), run(F.col("z") + 4)))).withColumn("s", 2 * F.col("s") ** 2)
+    e = reached.repartition(max(centres.count() * len(ball) // ROWS + 1, partitions(spark)), "run").select("*", F.explode(near).alias("o")).filter(run(F.col("z") + F.col("o.z")) == F.col("run"))
+    places = [(F.col(c) + F.col(f"o.{c}")).alias(c) for c in ("z", "y", "x")]
+    return e.groupBy("run", *places).agg(F.sum(F.col("top") * F.exp(-F.col("o.d2") / F.col("s"))).alias("value")).drop("run")
 
 
 #: The same views in DuckDB SQL.

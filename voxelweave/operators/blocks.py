@@ -7,11 +7,12 @@ filter of that reach needs, so results don't depend on the size of blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import partitions
@@ -44,6 +45,9 @@ def in_blocks(v: DataFrame, shape: Sequence[int], size: Sequence[int], halo: Seq
     """Each voxel with every block that holds it in its core or its halo."""
     for c, b, n, s, h in zip(CELL, BLOCK, shape, size, halo, strict=True):
         last = max(n - 1, 0) // s
+        if last == 0:
+            v = v.withColumn(b, F.lit(0))
+            continue
         first = F.greatest(F.floor((F.col(c) - h) / s), F.lit(0)).cast("int")
         v = v.withColumn(b, F.explode(F.sequence(first, F.least(F.floor((F.col(c) + h) / s), F.lit(last)).cast("int"))))
     return v
@@ -55,6 +59,12 @@ def dealt(v: DataFrame) -> int:
     return max(n + 1, partitions(v.sparkSession)) if n else 0
 
 
+def block_tasks(spark: SparkSession, shape: Sequence[int], size: Sequence[int], each: int = 4, most: int = 4096) -> int:
+    """Partitions for about ``each`` blocks a task, where that is more than the session's setting; 0 for that one."""
+    n = -(-math.prod(max(-(-n // s), 1) for n, s in zip(shape, size, strict=True)) // each)
+    return min(n, most) if n > partitions(spark) else 0
+
+
 def on_blocks(v: DataFrame, values: dict[str, str], shape: Sequence[int], size: Sequence[int], halo: Sequence[int], work: Work, schema: str, keys: Sequence[str] = (), parts: int = 0) -> DataFrame:
     """``work`` on every block that has a voxel; ``values``: column -> NumPy type of its array.
 
@@ -129,15 +139,43 @@ def blurred(a: np.ndarray, sigma: float, mode: str = "edge") -> np.ndarray:
     return a
 
 
-def laplacian(a: np.ndarray, sigma: float, mode: str = "symmetric") -> np.ndarray:
-    """The Laplacian of the blurred array."""
-    g, d = gaussian_taps(sigma), gaussian_taps(sigma, 2)
-    out = np.zeros_like(a)
-    for curved in range(a.ndim):
-        part = a
-        for axis in range(a.ndim):
-            part = correlated(part, d if axis == curved else g, axis, mode)
-        out += part
+def widened(a: np.ndarray, axis: int, low: int, high: int) -> np.ndarray:
+    """``a`` from ``low`` to ``high`` on an axis, mirrored beyond its ends."""
+    n = a.shape[axis]
+    if 0 <= low and high <= n:
+        return a[(slice(None),) * axis + (slice(low, high),)]
+    at = np.arange(low, high) % (2 * n)
+    return np.take(a, np.where(at < n, at, 2 * n - 1 - at), axis)
+
+
+def folded(wide: np.ndarray, axis: int, kernels: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """``wide`` filtered along an axis by symmetric kernels of one length, where they lie in it whole.
+
+    Kernels share the sums of mirrored places. Sums run from the middle outwards, so a place's
+    value is the same to the last bit wherever in an array it lies.
+    """
+    r = len(kernels[0]) // 2
+    n = wide.shape[axis] - 2 * r
+    at = lambda i: wide[(slice(None),) * axis + (slice(r + i, r + i + n),)]
+    out = [at(0) * k[r] for k in kernels]
+    pair, part = np.empty_like(out[0]), np.empty_like(out[0])
+    for i in range(1, r + 1):
+        np.add(at(-i), at(i), out=pair)
+        for o, k in zip(out, kernels, strict=True):
+            np.multiply(pair, k[r + i], out=part)
+            o += part
+    return out
+
+
+def laplacian(a: np.ndarray, sigma: float, within: Sequence[slice]) -> np.ndarray:
+    """The Laplacian of the blurred array at the places ``within``; the array is mirrored beyond its ends."""
+    r, g, d = reach(sigma), gaussian_taps(sigma), gaussian_taps(sigma, 2)
+    wide = lambda x, axis: widened(x, axis, within[axis].start - r, within[axis].stop + r)
+    flat, curved = folded(wide(a, 0), 0, (g, d))
+    flat, rest = folded(wide(flat, 1), 1, (g, d))
+    rest += folded(wide(curved, 1), 1, (g,))[0]
+    (out,), (rest,) = folded(wide(flat, 2), 2, (d,)), folded(wide(rest, 2), 2, (g,))
+    out += rest
     return out
 
 

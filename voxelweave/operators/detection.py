@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut, shuffled
-from .blocks import CELL, blurred, extents, laplacian, on_blocks, reach
+from .blocks import CELL, block_tasks, blurred, extents, fitted, laplacian, on_blocks, reach
 from .points import greedy_matches, kept_first, near_pairs, squared
 from .tables import grid_statistics
 
@@ -153,31 +153,40 @@ def preprocessed(v: DataFrame, profile: Profile, near_max: float = 1.0, value: s
     return on_blocks(v, {value: "f8"}, shape or extents(v), tile, (0, 0, 0), run, f"z int, y int, x int, {value} double")
 
 
-def responses(a: np.ndarray, profile: Profile) -> np.ndarray:
-    """Scale-normalized negative Laplacians of Gaussians, one for each scale."""
-    return np.stack([-laplacian(a, s) * s * s for s in np.linspace(profile.min_sigma, profile.max_sigma, profile.sigmas)])
+#: Voxels of a block of the scale space, and those of its planes that are filtered at a time, so that they stay in a core's cache.
+VOXELS, PLANES = 2**20, 2**15
 
 
-def peaks(cube: np.ndarray, threshold: float) -> np.ndarray:
-    """Which entries are over the threshold and greatest among their neighbours in scale and space; the first of equal ones.
+def responses(a: np.ndarray, profile: Profile, within: Sequence[slice] | None = None) -> np.ndarray:
+    """Scale-normalized negative Laplacians of Gaussians, one for each scale, at the places ``within``, between a layer of -inf on all sides."""
+    within = within or [slice(0, n) for n in a.shape]
+    sigmas = np.linspace(profile.min_sigma, profile.max_sigma, profile.sigmas)
+    out = np.full([n + 2 for n in (len(sigmas), *(w.stop - w.start for w in within))], -np.inf)
+    first, step = within[0].start, max(PLANES // max(a[0].size, 1), 1)
+    for z in range(first, within[0].stop, step):
+        planes = slice(z, min(z + step, within[0].stop))
+        for i, s in enumerate(sigmas):
+            np.multiply(laplacian(a, s, (planes, *within[1:])), -s * s, out=out[i + 1, 1 + planes.start - first : 1 + planes.stop - first, 1:-1, 1:-1])
+    return out
+
 
-    The outermost layer of space only counts as neighbours.
+def peaks(cube: np.ndarray, threshold: float, core: Sequence[slice]) -> tuple[np.ndarray, ...]:
+    """Indices of the entries of ``core`` over the threshold that are greatest among their neighbours in scale and space; the first of equal ones.
+
+    The outermost layer only counts as neighbours. Few entries are over the threshold, and fewer with each neighbour they are held against.
     """
-    scales, inner = np.pad(cube, ((1, 1), (0, 0), (0, 0), (0, 0)), constant_values=-np.inf), cube[:, 1:-1, 1:-1, 1:-1]
-    best = inner > threshold
-    n = inner.shape
-    for s in range(3):
-        for z in range(3):
-            for y in range(3):
-                for x in range(3):
-                    if (s, z, y, x) == (1, 1, 1, 1):
-                        continue
-                    other = scales[s : s + n[0], z : z + n[1], y : y + n[2], x : x + n[3]]
-                    best &= inner > other if (s, z, y, x) < (1, 1, 1, 1) else inner >= other
-    return best
-
-
-def scale_space_peaks(v: DataFrame, profile: Profile, value: str = "value", size: Sequence[int] = (32, 64, 64), shape: Sequence[int] | None = None) -> DataFrame:
+    flat, steps = cube.ravel(), np.array(cube.strides) // cube.itemsize
+    inner = (slice(1, -1), *core)
+    found = np.nonzero(cube[inner] > threshold)
+    at = sum((i + s.start) * n for i, s, n in zip(found, inner, steps, strict=True))
+    around = [o for o in product((-1, 0, 1), repeat=4) if any(o)]
+    for o in sorted(around, key=lambda o: sum(map(abs, o))):
+        other = flat[at + int(np.dot(o, steps))]
+        at = at[flat[at] > other if o < (0, 0, 0, 0) else flat[at] >= other]
+    return np.unravel_index(at, cube.shape)
+
+
+def scale_space_peaks(v: DataFrame, profile: Profile, value: str = "value", size: Sequence[int] | None = None, shape: Sequence[int] | None = None) -> DataFrame:
     """``v(z, y, x, value)`` -> (z, y, x, scale, sigma, response): local maxima of the response over scales and places.
 
     Blocks have a halo as wide as the largest kernel and one voxel more, so
@@ -185,16 +194,19 @@ def scale_space_peaks(v: DataFrame, profile: Profile, value: str = "value", size
     """
     wide = (reach(profile.max_sigma) + 1,) * 3
     sigmas = np.linspace(profile.min_sigma, profile.max_sigma, profile.sigmas)
+    shape = shape or extents(v)
+    size = size or fitted(shape, VOXELS)
 
     def run(arrays, low, core, key):
-        cube = responses(arrays[value], profile)
-        cube = np.pad(cube, ((0, 0), (1, 1), (1, 1), (1, 1)), constant_values=-np.inf)  # places beyond the volume
-        cube = cube[(slice(None), *(slice(c.start, c.stop + 2) for c in core))]
-        s, z, y, x = np.nonzero(peaks(cube, profile.threshold))
-        place = [(p + c.start + lo).astype(np.int32) for p, c, lo in zip((z, y, x), core, low, strict=True)]
-        return dict(zip(CELL, place, strict=True)) | {"scale": s.astype(np.int32), "sigma": sigmas[s], "response": cube[s, z + 1, y + 1, x + 1]}
+        a = arrays[value]
+        within = [slice(max(c.start - 1, 0), min(c.stop + 1, n)) for c, n in zip(core, a.shape, strict=True)]
+        cube = responses(a, profile, within)
+        s, *place = peaks(cube, profile.threshold, [slice(c.start - w.start + 1, c.stop - w.start + 1) for c, w in zip(core, within, strict=True)])
+        response = cube[(s, *place)]
+        place = [(p + w.start - 1 + lo).astype(np.int32) for p, w, lo in zip(place, within, low, strict=True)]
+        return dict(zip(CELL, place, strict=True)) | {"scale": (s - 1).astype(np.int32), "sigma": sigmas[s - 1], "response": response}
 
-    return on_blocks(v, {value: "f8"}, shape or extents(v), size, wide, run, "z int, y int, x int, scale int, sigma double, response double")
+    return on_blocks(v, {value: "f8"}, shape, size, wide, run, "z int, y int, x int, scale int, sigma double, response double", parts=block_tasks(v.sparkSession, shape, size))
 
 
 def sphere_overlap(distance: Column, a: Column, b: Column) -> Column:
@@ -218,7 +230,7 @@ def without_overlaps(blobs: DataFrame, most: float, overlap: float | Column, key
     return named.join(shuffled(gone.withColumnRenamed("later", "_id")), "_id", "left_anti").drop("_id")
 
 
-def detected(v: DataFrame, profile: Profile, value: str = "value", size: Sequence[int] = (32, 64, 64), shape: Sequence[int] | None = None, channel: int = 0) -> DataFrame:
+def detected(v: DataFrame, profile: Profile, value: str = "value", size: Sequence[int] | None = None, shape: Sequence[int] | None = None, channel: int = 0) -> DataFrame:
     """Blobs of a volume: z, y, x, radius, confirmed, truth, channel, abs_z, abs_y, abs_x (as ``formatted``).
 
     Peaks of the scale space, without those that larger blobs overlap; the
@@ -226,7 +238,7 @@ def detected(v: DataFrame, profile: Profile, value: str = "value", size: Sequenc
     nearer to the volume's faces. No voxels give no blobs.
     """
     shape = shape or extents(v)
-    found = scale_space_peaks(v, profile, value, size, shape).withColumn("radius", F.col("sigma") * math.sqrt(3))
+    found = cut(scale_space_peaks(v, profile, value, size, shape).select(*CELL, (F.col("sigma") * math.sqrt(3)).alias("radius")))  # the volume is filtered once
     found = without_overlaps(found, profile.max_sigma * math.sqrt(3), profile.overlap)
     if profile.exclude_border:
         for c, b, n in zip(CELL, profile.exclude_border, shape, strict=True):

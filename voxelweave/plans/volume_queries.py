@@ -174,9 +174,15 @@ def largest_components(s, d):
 SPOTS = de.Profile(min_sigma=1.0, max_sigma=2.2, sigmas=5, threshold=0.1, overlap=0.5)
 
 
+def _spots(s, d):
+    """The volume of spots, and its shape from their centres."""
+    return views.spots(s, d), tuple(n + 4 if n else 0 for n in blocks.extents(views.spot_centres(s, d)))
+
+
 @query()
 def detected_points(s, d):
-    return de.detected(views.spots(s, d), SPOTS)
+    volume, shape = _spots(s, d)
+    return de.detected(volume, SPOTS, shape=shape)
 
 
 TILE = "with g as (select z, y, x, atlas/100000 as v from {grid}), e as (select max(z)+1 as n from g), d as (select z//10 as t, z, y, x, coalesce(g.v,0) as v from (select unnest(range((select n from e)))::int as z) join (select unnest(range(10))::int as y) on true join (select unnest(range(10))::int as x) on true left join g using (z, y, x)),"
@@ -239,6 +245,5 @@ def density_by_sample(s, d):
 
 @query()
 def detection_grid(s, d):
-    n = F.col("p_partkey")  # where ``views.spots`` are planted
-    planted = views.read(s, d, "part").select((F.floor(n / 64) * 9 + 4 + n * 7 % 3).alias("z"), (F.floor(n % 64 / 8) * 9 + 4 + n * 11 % 3).alias("y"), (n % 8 * 9 + 4 + n * 5 % 3).alias("x"))
-    return de.detection_grid(views.spots(s, d), planted, SPOTS, [0.05, 0.15, 0.25], [0.1, 0.5], (2.0, 2.0, 2.0))
+    volume, shape = _spots(s, d)
+    return de.detection_grid(volume, views.spot_centres(s, d), SPOTS, [0.05, 0.15, 0.25], [0.1, 0.5], (2.0, 2.0, 2.0), shape=shape)
