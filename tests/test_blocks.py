@@ -12,7 +12,7 @@ from voxelweave.functions import views
 from voxelweave.operators import blocks as b
 from voxelweave.operators import detection as d
 from voxelweave.operators import morphology as m
-from voxelweave.operators import volumes
+from voxelweave.operators import points, volumes
 
 SIZES = [(7, 7, 7), (5, 40, 9), (64, 64, 64)]
 
@@ -337,6 +337,21 @@ def test_extracted_labels_equal_plain_numpy(spark, size):
     assert m.extracted_labels(v.filter("label = 0"), "atlas").collect() == []
 
 
+def test_detection_grid_looks_for_neighbours_once_for_all_settings(spark, monkeypatch):
+    image = spots(np.random.default_rng(12), (14, 26, 22), 45)
+    blobs = [(r.z, r.y, r.x) for r in d.detected(table(spark, image), PROFILE, shape=image.shape).collect()]
+    alone = [p for p in blobs if all(max(map(abs, np.subtract(p, q))) > 4 for q in blobs if q != p)]
+    assert len(alone) > 2
+    real = spark.createDataFrame(alone * 2, "z int, y int, x int")  # two true points at each place, one blob near them
+    asked, pairs = [], d.near_pairs
+    monkeypatch.setattr(d, "near_pairs", lambda a, b, *rest: asked.append(a.columns) or pairs(a, b, *rest))
+    monkeypatch.setattr(d, "greedy_matches", lambda a, b, *rest: (lambda n: points.greedy_matches(a.limit(0), b.limit(0), *rest) if n == 0 else pytest.fail(f"{n} lone points are ordered"))(a.count()))
+    got = d.detection_grid(table(spark, image), real, d.replace(PROFILE, threshold=0.3), [PROFILE.threshold, 9.0], [PROFILE.overlap, 0.6], (1, 1, 1), shape=image.shape).collect()
+    assert len(asked) == 2 and not any("setting" in c for c in asked)
+    assert {(r.threshold, r.overlap): (r.pos, r.tp, r.fp) for r in got}[PROFILE.threshold, PROFILE.overlap] == (2 * len(alone), len(alone), len(blobs) - len(alone))
+    assert [(r.pos, r.tp, r.fp) for r in got if r.threshold == 9.0] == [(2 * len(alone), 0, 0)] * 2
+
+
 def test_detection_grid_equals_single_detections(spark):
     rng = np.random.default_rng(12)
     image = spots(rng, (14, 26, 22), 45)

@@ -216,17 +216,26 @@ def sphere_overlap(distance: Column, a: Column, b: Column) -> Column:
     return F.when(distance >= a + b, 0.0).when(distance <= large - small, 1.0).otherwise(lens)
 
 
+def _named(blobs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """With ``_id``, by which the largest of its ``keys`` come first, then by place."""
+    return blobs.withColumn("_id", F.struct(*keys, (-F.col("radius")).alias("r"), *[F.col(c).cast("long").alias(c) for c in CELL]))
+
+
+def _overlapping(named: DataFrame, most: float, overlap: float | Column, keys: Sequence[str] = (), more: Sequence[str] = ()) -> DataFrame:
+    """Pairs of blobs of radii up to ``most`` that share more than ``overlap``, ``_id_a`` the later one: (_id_a, _id_b, share, and ``more`` of both)."""
+    spots = named.select("_id", *keys, *[F.col(c).cast("double").alias(c) for c in CELL], "radius", *more)
+    pairs = near_pairs(spots, spots, (2 * most,) * 3, keys).filter("_id_b < _id_a").withColumnsRenamed({f"{k}_a": k for k in keys})
+    share = sphere_overlap(F.sqrt(squared()), F.col("radius_a"), F.col("radius_b"))
+    return pairs.filter(share > overlap).select("_id_a", "_id_b", share.alias("share"), *[f"{c}_{e}" for c in more for e in "ab"])
+
+
 def without_overlaps(blobs: DataFrame, most: float, overlap: float | Column, keys: Sequence[str] = ()) -> DataFrame:
     """Largest first (ties by place): a blob goes if a kept one of its ``keys`` shares more than ``overlap`` of the smaller of both.
 
     ``blobs(keys, z, y, x, radius, ...)``, at most one of each radius at a place, radii up to ``most``; ``overlap`` may depend on the keys.
     """
-    id_of = F.struct(*keys, (-F.col("radius")).alias("r"), *[F.col(c).cast("long").alias(c) for c in CELL])
-    named = blobs.withColumn("_id", id_of)
-    spots = named.select("_id", *keys, *[F.col(c).cast("double").alias(c) for c in CELL], "radius")
-    pairs = near_pairs(spots, spots, (2 * most,) * 3, keys).filter("_id_b < _id_a").withColumnsRenamed({f"{k}_a": k for k in keys})
-    pairs = pairs.filter(sphere_overlap(F.sqrt(squared()), F.col("radius_a"), F.col("radius_b")) > overlap)
-    gone = kept_first(pairs.select(F.col("_id_a").alias("later"), F.col("_id_b").alias("earlier")))
+    named = _named(blobs, keys)
+    gone = kept_first(_overlapping(named, most, overlap, keys).select(F.col("_id_a").alias("later"), F.col("_id_b").alias("earlier")))
     return named.join(shuffled(gone.withColumnRenamed("later", "_id")), "_id", "left_anti").drop("_id")
 
 
@@ -246,36 +255,63 @@ def detected(v: DataFrame, profile: Profile, value: str = "value", size: Sequenc
     return formatted(found.select(*CELL, "radius"), channel)
 
 
-def detection_grid(v: DataFrame, truth: DataFrame, profile: Profile, thresholds: Sequence[float], overlaps: Sequence[float], tolerance: Sequence[float], value: str = "value", size: Sequence[int] = (32, 64, 64), shape: Sequence[int] | None = None) -> DataFrame:
+def detection_grid(v: DataFrame, truth: DataFrame, profile: Profile, thresholds: Sequence[float], overlaps: Sequence[float], tolerance: Sequence[float], value: str = "value", size: Sequence[int] | None = None, shape: Sequence[int] | None = None) -> DataFrame:
     """``detected`` for every pair of threshold and overlap, held against ``truth(z, y, x)``: (threshold, overlap, pos, tp, fp, ppv, sensitivity, fdr).
 
     The volume is filtered once: a peak is one at any threshold under its
-    response, so settings differ in the peaks they take and in what overlaps. Detected and true points are
+    response, so settings differ in the peaks they take and in what overlaps. Peaks are one row for all settings, and
+    overlaps are looked for once. Detected and true points are
     matched one to one, smallest sum of axis distances first, within the tolerance.
     Settings without points keep their row.
     """
     shape = shape or extents(v)
     settings = [(i, float(t), float(o)) for i, (t, o) in enumerate(product(thresholds, overlaps))]
     every = F.array(*[F.lit(i) for i, _, _ in settings])
-    of = lambda n: F.element_at(F.array(*[F.lit(s[n]) for s in settings]), F.col("setting") + 1)
-    found = scale_space_peaks(v, replace(profile, threshold=min(thresholds)), value, size, shape).withColumn("radius", F.col("sigma") * math.sqrt(3))
-    found = cut(found.withColumn("setting", F.explode(every)).filter(F.col("response") > of(1)).select("setting", *CELL, "radius"))
-    found = without_overlaps(found, profile.max_sigma * math.sqrt(3), of(2), ("setting",))
+    of = lambda n, i: F.element_at(F.array(*[F.lit(s[n]) for s in settings]), i + 1)
+    found = scale_space_peaks(v, replace(profile, threshold=min(thresholds)), value, size, shape)
+    found = _named(cut(found.select(*CELL, (F.col("sigma") * math.sqrt(3)).alias("radius"), "response")))
+    pairs = cut(_overlapping(found, profile.max_sigma * math.sqrt(3), float(min(overlaps)), more=("response",)))  # else each further filter works out all shares again
+    pairs = pairs.withColumn("setting", F.explode(every)).filter((F.least("response_a", "response_b") > of(1, F.col("setting"))) & (F.col("share") > of(2, F.col("setting"))))
+    gone = kept_first(pairs.select(*[F.struct("setting", F.col(f"_id_{e}").alias("_id")).alias(n) for e, n in (("a", "later"), ("b", "earlier"))]))
+    gone = gone.groupBy("later._id").agg(F.collect_set("later.setting").alias("_gone"))
+    over = F.filter(every, lambda i: F.col("response") > of(1, i))
+    left = F.when(F.col("_gone").isNull(), over).otherwise(F.array_except(over, "_gone"))
+    found = found.join(shuffled(gone), "_id", "left").select(*CELL, "radius", left.alias("settings")).filter(F.size("settings") > 0)
     if profile.exclude_border:
         for c, b, n in zip(CELL, profile.exclude_border, shape, strict=True):
             found = found.filter(F.col(c).between(b, n - 1 - b))
     place = [F.col(c).cast("double").alias(c) for c in CELL]
-    numbered = lambda d: d.select("setting", *place, F.struct("setting", *CELL, "n").alias("blob_id"))
-    found = cut(numbered(found.withColumn("n", F.col("radius"))))
-    real = truth.groupBy(*CELL).agg(F.count("*").alias("_c")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int"))))
-    real = cut(numbered(real.withColumn("setting", F.explode(every))))
-    hits = greedy_matches(found, real, tolerance, ("setting",)).groupBy(F.col("a.setting").alias("setting")).agg(F.count("*").alias("tp"))
-    n = lambda d, name: d.groupBy("setting").agg(F.count("*").alias(name))
-    rows = v.sparkSession.createDataFrame(settings, "setting int, threshold double, overlap double")
-    counts = rows.join(n(real, "pos"), "setting", "left").join(n(found, "_n"), "setting", "left").join(hits, "setting", "left").na.fill(0)
+    found = cut(found.select(*place, "radius", "settings"))
+    real = cut(truth.groupBy(*place).agg(F.count("*").alias("_c")))
+    hits = _setting_matches(found, real, tolerance, every).groupBy("setting").agg(F.sum("_n").alias("tp"))
+    each = found.select(F.explode("settings").alias("setting")).groupBy("setting").agg(F.count("*").alias("_n"))
+    rows = v.sparkSession.createDataFrame(settings, "setting int, threshold double, overlap double").crossJoin(F.broadcast(real.agg(F.sum("_c").alias("pos"))))  # one row
+    counts = rows.join(each, "setting", "left").join(hits, "setting", "left").na.fill(0)
     return grid_statistics(counts.select("threshold", "overlap", "pos", "tp", (F.col("_n") - F.col("tp")).alias("fp")), ["threshold", "overlap"])
 
 
+def _setting_matches(found: DataFrame, real: DataFrame, tolerance: Sequence[float], every: Column) -> DataFrame:
+    """Numbers of one-to-one matches (setting, _n), to be summed, of ``found(z, y, x, radius, settings)`` with ``real(z, y, x, _c)``.
+
+    Places that are near each other and near no others match as many points as both have, in any
+    setting; only the rest, setting by setting, needs an order.
+    """
+    one, two = [f"{c}_a" for c in CELL], [f"{c}_b" for c in CELL]
+    near = cut(near_pairs(found.select(*CELL).distinct(), real.select(*CELL), tolerance))
+    single = lambda own, other: near.groupBy(*own).agg(F.count("*").alias("_k"), *[F.max(c).alias(c) for c in other]).filter("_k = 1").drop("_k")
+    alone = cut(single(one, two).join(shuffled(single(two, one)), [*one, *two]))
+    at = lambda d, own: d.select(*[F.col(o).alias(c) for o, c in zip(own, CELL, strict=True)])
+    most = alone.join(shuffled(real.withColumnsRenamed(dict(zip(CELL, two, strict=True)))), two)
+    most = most.select(*[F.col(o).alias(c) for o, c in zip(one, CELL, strict=True)], "_c")
+    settled = found.join(shuffled(most), list(CELL)).select(*CELL, "_c", F.explode("settings").alias("setting")).groupBy(*CELL, "setting").agg(F.least(F.count("*"), F.max("_c")).alias("_n"))
+    rest = lambda d, own: d.join(shuffled(at(near, own).distinct().join(shuffled(at(alone, own)), list(CELL), "left_anti")), list(CELL), "left_semi")
+    numbered = lambda d: d.select("setting", *CELL, F.struct("setting", *CELL, "n").alias("blob_id"))
+    dots = rest(found, one).select(*CELL, F.col("radius").alias("n"), F.explode("settings").alias("setting"))
+    true = rest(real, two).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).withColumn("setting", F.explode(every))
+    ordered = greedy_matches(cut(numbered(dots)), cut(numbered(true)), tolerance, ("setting",))
+    return settled.select("setting", "_n").unionByName(ordered.select(F.col("a.setting").alias("setting"), F.lit(1).cast("long").alias("_n")))
+
+
 #: Columns of a blob table beside its place and radius, and what they hold where nothing is known.
 UNKNOWN = {"confirmed": -1, "truth": -1, "channel": 0}
 
