@@ -21,17 +21,21 @@ MATCH = ("roi_id", "blob1", "blob2")
 
 @dataclass(frozen=True)
 class Store:
-    """``boxes(roi_id, experiment, series, z0, y0, x0, nz, ny, nx)``, ``points(blob_id, roi_id, z, y, x, truth, channel, radius,
-    confirmed)``, ``matches(match_id, roi_id, blob1, blob2, dist)``."""
+    """``boxes(roi_id, experiment, series, z0, y0, x0, nz, ny, nx, ...)``, ``points(blob_id, roi_id, z, y, x, truth, channel, radius,
+    confirmed)``, ``matches(match_id, roi_id, blob1, blob2, dist)``.
+
+    Boxes of an experiment and place are one, unless the table has further columns, which then tell them apart.
+    """
 
     boxes: DataFrame
     points: DataFrame
     matches: DataFrame
 
 
-def empty(spark: SparkSession) -> Store:
+def empty(spark: SparkSession, more: str = "") -> Store:
+    """``more``: columns with types that tell boxes of a place apart."""
     return Store(
-        spark.createDataFrame([], "roi_id long, experiment long, series int, z0 int, y0 int, x0 int, nz int, ny int, nx int"),
+        spark.createDataFrame([], f"roi_id long, experiment long, series int, z0 int, y0 int, x0 int, nz int, ny int, nx int{', ' * bool(more)}{more}"),
         spark.createDataFrame([], "blob_id long, roi_id long, z double, y double, x double, truth int, channel int, radius double, confirmed int"),
         spark.createDataFrame([], "match_id long, roi_id long, blob1 long, blob2 long, dist double"),
     )
@@ -55,16 +59,17 @@ def upserted(old: DataFrame, new: DataFrame, key: Sequence[str], id_: str) -> Da
 def inserted(store: Store, boxes: DataFrame, points: DataFrame, matches: DataFrame) -> Store:
     """The store with boxes, points and matches of one load.
 
-    ``boxes`` has the columns of ``BOX`` and the sizes nz, ny, nx; a null series is
-    0. ``points`` names its box by the columns of ``BOX`` and has the points'
-    columns but for the ids. ``matches`` has ``BOX``, dist and two structs ``one`` and ``two`` of ``PLACE``, the points as
+    ``boxes`` has the columns of ``BOX``, those that the store tells boxes of a place apart by, and the sizes nz, ny, nx; a null series is
+    0. ``points`` names its box by the same columns but for the sizes and has the points'
+    columns but for the ids. ``matches`` names its box, too, and has dist and two structs ``one`` and ``two`` of ``PLACE``, the points as
     they are in the store after this load. Points of unknown boxes and matches
     of unknown points are left out, as a database would refuse them. Other columns are ignored.
     """
     zero = lambda d: d.withColumn("series", F.coalesce("series", F.lit(0)).cast("int"))
-    held = upserted(store.boxes, zero(boxes), BOX, "roi_id")
-    ids = held.select("roi_id", *BOX)
-    of_box = lambda d, *own: zero(d).select(*BOX, *own).join(shuffled(ids), list(BOX))
+    box = [*BOX, *[c for c in store.boxes.columns if c not in (*BOX, "roi_id", "nz", "ny", "nx")]]
+    held = upserted(store.boxes, zero(boxes), box, "roi_id")
+    ids = held.select("roi_id", *box)
+    of_box = lambda d, *own: zero(d).select(*box, *own).join(shuffled(ids), box)
     dots = upserted(store.points, of_box(points, *[c for c in store.points.columns if c not in ("blob_id", "roi_id")]), POINT, "blob_id")
     end = lambda n, name: dots.select("roi_id", F.struct(*PLACE).alias(n), F.col("blob_id").alias(name))
     kinds = ", ".join(f"{c}: {dots.schema[c].dataType.simpleString()}" for c in PLACE)
