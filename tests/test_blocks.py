@@ -137,6 +137,30 @@ def test_responses_are_the_same_to_the_last_bit_in_any_part():
     assert (part == whole[:, 15:22, :, 23:35]).all()
 
 
+@pytest.mark.parametrize("size", [(3, 40, 9), (64, 64, 64)])
+def test_lists_of_voxels_are_the_same_blocks_as_rows(spark, size):
+    rng = np.random.default_rng(6)
+    rows = [(k, *map(int, p), None if i % 5 == 0 else float("nan") if i % 7 == 0 else float(i), int(i) - 40) for k in ("a", "b") for i, p in enumerate(np.argwhere(rng.random((9, 30, 25)) < 0.05))]
+    v = spark.createDataFrame(rows, "k string, z int, y int, x int, value double, label int")
+
+    def work(arrays, low, core, key):
+        there = np.nonzero(arrays["label"])
+        return {c: (i + lo).astype(np.int32) for c, i, lo in zip(("z", "y", "x"), there, low, strict=True)} | {"value": arrays["value"][there], "label": arrays["label"][there]}
+
+    def got(**how):
+        return sorted(map(tuple, b.on_blocks(v, {"value": "f8", "label": "i8"}, (9, 30, 25), size, (1, 2, 1), work, "k string, z int, y int, x int, value double, label long", ["k"], **how).collect()))
+
+    assert len(got()) >= len(rows) - 2 and got() == got(lists=True) == got(lists=True, parts=3)
+
+
+def test_detection_hands_lists_of_voxels_to_python(spark, image):
+    v = table(spark, image)
+    sent = d.scale_space_peaks(v, PROFILE, shape=image.shape)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(_place" in sent
+    null = v.unionByName(spark.createDataFrame([(20, 25, 18, None)], v.schema)) if image[20, 25, 18] == 0 else v
+    assert sorted(map(tuple, d.scale_space_peaks(null, PROFILE, shape=image.shape).collect())) == sorted(map(tuple, d.scale_space_peaks(v, PROFILE, shape=image.shape).collect()))
+
+
 def test_of_equal_peaks_the_first_stays():
     cube = np.full((4, 6, 6, 6), -np.inf)
     cube[1:-1, 1:-1, 1:-1, 1:-1] = 0.0

@@ -206,7 +206,7 @@ def scale_space_peaks(v: DataFrame, profile: Profile, value: str = "value", size
         place = [(p + w.start - 1 + lo).astype(np.int32) for p, w, lo in zip(place, within, low, strict=True)]
         return dict(zip(CELL, place, strict=True)) | {"scale": (s - 1).astype(np.int32), "sigma": sigmas[s - 1], "response": response}
 
-    return on_blocks(v, {value: "f8"}, shape, size, wide, run, "z int, y int, x int, scale int, sigma double, response double", parts=block_tasks(v.sparkSession, shape, size))
+    return on_blocks(v, {value: "f8"}, shape, size, wide, run, "z int, y int, x int, scale int, sigma double, response double", parts=block_tasks(v.sparkSession, shape, size), lists=True)
 
 
 def sphere_overlap(distance: Column, a: Column, b: Column) -> Column:
